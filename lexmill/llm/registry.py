@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from lexmill.llm import decontamination, packing, token_counts
+from lexmill.llm import decontamination, licenses, packing, sharding, simhash, token_counts
 
 QUERIES = {
+    "op9_licenses": licenses.op9_licenses,
+    "op6_sharding": sharding.op6_sharding,
+    "op8_simhash": simhash.op8_simhash,
     "op1_packing": packing.op1_packing,
     "op2_token_counts": token_counts.op2_token_counts,
     "op7_decontamination": decontamination.op7_decontamination,
