@@ -45,7 +45,7 @@ PASSAGES = {
 }
 
 #: Share of a template's word pairs that a span must cover; how far apart merged diagonals may be; span against template length.
-COVERAGE, DRIFT, STRETCH = 0.75, 2, 1.5
+COVERAGE, DRIFT, STRETCH = 0.8, 2, 1.5
 
 
 def templates(spark: SparkSession, phrases: dict[str, str], passages: dict[str, str]) -> DataFrame:
