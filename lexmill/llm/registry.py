@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from lexmill.llm import decontamination, licenses, packing, sharding, simhash, token_counts
+from lexmill.llm import decontamination, licenses, packing, sharding, simhash, token_counts, url_filters, vector_search
 
 QUERIES = {
+    "op4_url_filter": url_filters.op4_url_filter,
+    "op10_vector_search": vector_search.op10_vector_search,
     "op9_licenses": licenses.op9_licenses,
     "op6_sharding": sharding.op6_sharding,
     "op8_simhash": simhash.op8_simhash,
@@ -14,5 +16,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op10_vector_search": vector_search.ORACLE,
     "op7_decontamination": decontamination.ORACLE,
 }
