@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from lexmill.llm import decontamination, licenses, packing, sharding, simhash, token_counts, url_filters, vector_search
+from lexmill.llm import decontamination, licenses, line_dedup, packing, sharding, simhash, token_counts, toxicity, url_filters, vector_search
 
 QUERIES = {
+    "op5_line_dedup": line_dedup.op5_line_dedup,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op4_url_filter": url_filters.op4_url_filter,
     "op10_vector_search": vector_search.op10_vector_search,
     "op9_licenses": licenses.op9_licenses,
@@ -16,6 +18,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op5_line_dedup": line_dedup.ORACLE,
     "op10_vector_search": vector_search.ORACLE,
     "op7_decontamination": decontamination.ORACLE,
 }
