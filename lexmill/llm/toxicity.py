@@ -60,7 +60,7 @@ class Votes:
     def fired(self, text: str | None) -> list[int]:
         counts: Counter[bytes] = Counter()
         heads = self.heads
-        for word in words_of(text):
+        for word in words_of(text and text.lower()):
             if word[:4] in heads:
                 counts[b"=" + word] += 1
                 for n in self.lengths:
@@ -72,7 +72,7 @@ class Votes:
 def traits(text: str | None, known: set | None = None) -> list[tuple[bytes, int]]:
     """Every (name, count reached) of a text, or those in known."""
     counts: Counter[bytes] = Counter()
-    for word in words_of(text):
+    for word in words_of(text and text.lower()):
         counts[b"=" + word] += 1
         for n in BEGINNINGS:
             if len(word) > n:
