@@ -17,6 +17,13 @@ not all pairs, so dense groups give rows in proportion to their size.
 Components come from alternating large-star and small-star rounds over these
 links, in the cluster, each round written to the shared checkpoint folder.
 
+near_duplicate_texts() is the same idea by similarity of the texts, for which
+fingerprints alone are too coarse (texts whose 5-word shingles overlap by 0.8
+differ in about 10 of 64 bits). Pairs meet in bands of minimal shingle hashes
+(12 bands of 4: a pair at 0.8 meets with probability 0.998, nearer pairs more
+surely); the pivot table discards those over FAR bits apart, and the shingle
+sets verify the rest. Exact copies are merged first.
+
 Contract for odd rows: null and empty texts have the fingerprint 0, linked like
 any other; texts with fewer words than a shingle are one shingle; repeated rows
 each get a row; a null doc_id is left out of the smallest id unless its
@@ -189,6 +196,125 @@ def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, id_col:
     return marked.join(of.join(smallest, "root").select("fp", "component_id"), "fp").select(id_col, "fp", "component_id")
 
 
+#: Bands and rows of minimal hashes; bits beyond which a pair at the wanted similarity doesn't occur (five deviations over its mean).
+BANDS, BAND_ROWS, FAR = 12, 4, 24
+#: Members of a band that are held against each other at a time.
+MEMBERS = 2000
+
+_random = np.random.default_rng(SEED)
+_FACTORS, _TERMS = (_random.integers(1 << 62, size=BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
+
+
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """Hashes of all shingles in order, repeats included; none for a text without words."""
+    words = text.encode("utf-8", "surrogatepass").translate(FOLD_BYTES).translate(_SPACES).split() if text else []
+    k = min(shingle, len(words))
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(b" ".join(words[i : i + k]), SEED) for i in range(len(words) - k + 1)] if words else [], dtype=np.uint64)
+
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """A signed key for each band of minimal hashes; none without shingles."""
+    if not len(hashes):
+        return []
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for i in range(0, len(hashes), 4096):
+        least = np.minimum(least, (hashes[i : i + 4096, None] * _FACTORS[None, :] + _TERMS[None, :]).min(axis=0))
+    rows = least.reshape(BANDS, BAND_ROWS)
+    return [xxhash.xxh64_intdigest(bytes([i]) + row.tobytes(), SEED) - (1 << 63) for i, row in enumerate(rows)]
+
+
+def bits_of(hashes: np.ndarray) -> int:
+    counts = np.zeros(BITS, dtype=np.int64)
+    for i in range(0, len(hashes), 1 << 16):
+        counts += np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.int64)[0])
+
+
+def overlap(a: np.ndarray, b: np.ndarray) -> float:
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common / (len(a) + len(b) - common)
+
+
+def similar(members: list[tuple], leaders: list[tuple], similarity: float, refs: np.ndarray) -> list[tuple]:
+    """Links (id, id) of a band's members with leaders or with each other; members that start a group join the leaders.
+
+    A member is held against the leaders first; one that no leader takes is held
+    against the earlier members too, so groups grow along chains.
+    """
+    found: list[tuple] = []
+    near = lambda x, y: (np.abs(x[3] - y[3]) <= FAR).all() and (x[1] ^ y[1]).bit_count() <= FAR and overlap(x[2], y[2]) >= similarity
+    members = [(key, fp & ((1 << 64) - 1), np.array(sorted_hashes, dtype=np.int64)) for key, fp, sorted_hashes in members]
+    tables = distance_table(np.array([m[1] for m in members], dtype=np.uint64), refs) if members else []
+    earlier: list[tuple] = []
+    for m, t in zip(members, tables, strict=True):
+        m = (*m, t)
+        taken = [x for x in leaders if near(m, x)]
+        if not taken:
+            taken = [x for x in earlier if near(m, x)]
+            leaders.append(m)
+        found += [(x[0], m[0]) for x in taken]
+        earlier.append(m)
+    return found
+
+
+def near_duplicate_texts(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, component_id) of each row with an id: component_id is the smallest id that links of at least `similarity` reach."""
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = [shingle_hashes(t, shingle) for (t,) in rows_of([batch], text_col)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("copy"), pa.array([bits_of(h) for h in hashes], pa.int64()), pa.array([band_keys(h) for h in hashes], pa.list_(pa.int64()))], names=["id", "copy", "fp", "bands"])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([np.unique(shingle_hashes(t, shingle).view(np.int64)) for (t,) in rows_of([batch], text_col)], pa.list_(pa.int64()))], names=["id", "hashes"])
+
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_col, F.xxhash64(text_col, F.length(text_col)).alias("copy"))
+    sketches = durable(texts.mapInArrow(sketch, "id long, copy long, fp long, bands array<long>"))
+    copies = durable(sketches.groupBy("copy").agg(F.min("id").alias("rep")))
+    reps = sketches.join(copies, "copy").where("id = rep").select("id", "fp", F.explode("bands").alias("band"))
+    crowded = durable(reps.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"))
+    members = durable(reps.join(crowded, "band").dropDuplicates(["band", "id"]))
+    wanted = members.select("id").distinct()
+    shingles = texts.join(wanted, "id", "left_semi").mapInArrow(sets, "id long, hashes array<long>").dropDuplicates(["id"])
+    grouped = members.join(shingles, "id").repartition("band").sortWithinPartitions("band", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        refs, band, held, leaders = pivots(), None, [], []
+
+        def flush() -> pa.RecordBatch:
+            found = similar(held, leaders, similarity, refs)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+
+        for b, key, fp, hashes in rows_of(batches, "band", "id", "fp", "hashes"):
+            if b != band or len(held) >= MEMBERS:
+                if held:
+                    yield flush()
+                leaders = leaders if b == band else []
+                band = b
+            held.append((key, fp, hashes))
+        if held:
+            yield flush()
+
+    found = components(durable(grouped.mapInArrow(run, "a long, b long").distinct()))
+    by_copy = copies.join(found, F.col("rep") == F.col("node"), "left").select("copy", F.coalesce("root", "rep").alias("component_id"))
+    return sketches.join(by_copy, "copy").select(F.col("id").alias(id_col), "component_id")
+
+
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """docs with one document of each near-duplicate group, the one with the smallest id; same columns.
+
+    Rows without an id stay; of rows that repeat the id one stays.
+    """
+    found = near_duplicate_texts(docs, id_col=id_col)
+    gone = found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
+    kept = docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    known = kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
+    return known.unionByName(kept.where(F.col(id_col).isNull()))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
