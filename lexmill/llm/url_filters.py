@@ -50,21 +50,26 @@ def fitting_rule(host: Column, path: Column, rules) -> tuple[Column, Column]:
 
 
 def tokens(url: Column, host: Column, path: Column) -> Column:
-    """Distinct tokens of a url; those with digits would not repeat and are left out."""
-    labels = F.transform(F.split(host, r"[.]"), lambda x: F.concat(F.lit("h:"), x))
-    words = F.transform(F.split(host, r"[.\-]"), lambda x: F.concat(F.lit("w:"), x))
+    """Distinct tokens of a url, each kind once; those with digits would not repeat and are left out."""
+    words = F.transform(F.split(host, r"[.\-]"), lambda x: F.concat(F.lit("h:"), x))
     segments = F.transform(F.split(path, "/"), lambda x: F.concat(F.lit("p:"), x))
     keys = F.transform(F.regexp_extract_all(F.coalesce(url, F.lit("")), F.lit(r"[?&]([^=&#]+)"), F.lit(1)), lambda x: F.concat(F.lit("k:"), x))
-    return F.array_distinct(F.filter(F.concat(labels, words, segments, keys), lambda x: (F.length(x) > 2) & ~F.rlike(x, F.lit("[0-9]"))))
+    return F.array_distinct(F.filter(F.concat(words, segments, keys), lambda x: (F.length(x) > 2) & ~F.rlike(x, F.lit("[0-9]"))))
 
 
 def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
-    """(rule_id, tokens, verdict, confidence, support) from rows (tokens, verdict)."""
+    """(rule_id, tokens, verdict, confidence, support) from rows (tokens, verdict).
+
+    A rule goes if one with a token less is as confident.
+    """
     items = labelled.select(F.concat("tokens", F.array(F.concat(F.lit("v:"), "verdict"))).alias("items"))
     found = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(items).associationRules
     about = found.where(F.col("consequent")[0].startswith("v:") & ~F.exists("antecedent", lambda x: x.startswith("v:")))
     named = about.select(F.array_sort("antecedent").alias("tokens"), F.substring(F.col("consequent")[0], 3, 9).alias("verdict"), "confidence", "support")
-    return named.withColumn("rule_id", F.xxhash64("tokens", "verdict"))
+    rules = durable(named.withColumn("rule_id", F.xxhash64("tokens", "verdict")))
+    shorter = rules.select("rule_id", "confidence", F.explode(F.transform("tokens", lambda x: F.xxhash64(F.array_except("tokens", F.array(x)), "verdict"))).alias("part"))
+    needless = shorter.alias("a").join(rules.alias("b"), (F.col("a.part") == F.col("b.rule_id")) & (F.col("b.confidence") >= F.col("a.confidence"))).select("a.rule_id")
+    return rules.join(needless, "rule_id", "left_anti")
 
 
 def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
