@@ -182,7 +182,7 @@ def clean_words(words: DataFrame) -> DataFrame:
     plain = words.where(is_clean_word())
     parts = F.split("word", "-")
     known = words.where("zipf > 2").select("word")
-    two = words.where(F.col("word").contains("-") & (F.size(parts) == 2) & F.length("word").between(3, 30) & ~F.col("word").contains("'")).withColumns({"__a": parts[0], "__b": parts[1]})
+    two = words.where(F.col("word").contains("-") & (F.size(parts) == 2) & F.length("word").between(3, 30) & ~F.col("word").contains("'")).withColumns({"__a": F.get(parts, F.lit(0)), "__b": F.get(parts, F.lit(1))})
     joined = two.join(known.select(F.col("word").alias("__a")), "__a", "left_semi").join(known.select(F.col("word").alias("__b")), "__b", "left_semi")
     return plain.unionByName(joined.select(*words.columns))
 
