@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lexmill.functions import expressions as X
 from lexmill.functions import lexicon as L
 from lexmill.operators import corpus, levels, ngrams, reports, reviews
+from lexmill.operators.ranking import durable
 from lexmill.sources import readers
 
 GENERATORS: dict[str, Callable[..., DataFrame]] = {}
@@ -32,9 +33,9 @@ def vocabulary(docs: DataFrame, u: float = 0.6, important: DataFrame | None = No
     """From documents (doc_id, text) to the selected words with difficulty, tier and reason, most frequent first."""
     repaired = docs.withColumn("text", corpus.repair("text"))
     tokens = readers.tokens(repaired)
-    table = corpus.word_table(tokens)
-    clean = corpus.clean_tokens(tokens, corpus.lemmas(table)).select(F.col("lemma").alias("token"))
-    words = corpus.word_table(clean).withColumn("level", X.level_of_zipf("zipf"))
+    table = durable(corpus.word_table(tokens))
+    clean = corpus.clean_tokens(tokens, durable(corpus.lemmas(table))).select(F.col("lemma").alias("token"))
+    words = durable(corpus.word_table(clean).withColumn("level", X.level_of_zipf("zipf")))
     kept = levels.quantile_filter(words, u, important if important is not None else words.select("word").limit(0), gates)
     return kept.withColumn("tier", X.tier("q")).orderBy(F.desc("n"), "word").limit(most)
 

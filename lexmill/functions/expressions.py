@@ -69,9 +69,7 @@ def phrase_tokens(text) -> Column:
 
 def is_noise(word) -> Column:
     """One letter, a letter three times or a pair of letters three times over and over, or two equal characters in three."""
-    w = F.lower(col(word))
-    short = (F.length(w) <= 3) & ((F.substring(w, 1, 1) == F.substring(w, 2, 1)) | ((F.length(w) == 3) & ((F.substring(w, 1, 1) == F.substring(w, 3, 1)) | (F.substring(w, 2, 1) == F.substring(w, 3, 1)))))
-    return (F.length(w) < 2) | w.rlike(r"^([a-z])\1{2,}$") | w.rlike(r"^([a-z]{2})\1{2,}$") | short
+    return F.lower(col(word)).rlike(r"^(?:.?|([a-z])\1{2,}|([a-z]{2})\2{2,}|(.)\3.?|.(.)\4|(.).\5)$")
 
 
 def more_common(a_rank, b_rank) -> Column:
@@ -130,16 +128,19 @@ def form_decision(surface, lemma, pos, lemma_pos, context) -> Column:
     return F.struct((changed | derived | term).alias("independent"), term.alias("term"), evidence.alias("evidence"), reason.alias("reason"))
 
 
-def is_joined_word(word, common=None) -> Column:
-    """Two words run together: known ones, or a function word beside a common word. common: array column of further common words."""
+def _either(words: list[str], least: int) -> str:
+    return "(?:" + "|".join(dict.fromkeys(w for w in words if len(w) >= least)) + ")"
+
+
+#: A function word beside a common word; the first part has two letters at least, the second three.
+_COMMON = [*L.JOIN_FUNCTION, *L.JOIN_CONTENT]
+_TWO_WORDS = f"^(?:{_either(L.JOIN_FUNCTION, 2)}{_either(_COMMON, 3)}|{_either(_COMMON, 2)}{_either(L.JOIN_FUNCTION, 3)})$"
+
+
+def is_joined_word(word) -> Column:
+    """Two words run together: known ones, or a function word beside a common word, unless the whole is a common word."""
     w = F.lower(stripped(word))
-    function = F.array(*map(F.lit, L.JOIN_FUNCTION))
-    frequent = F.array(*map(F.lit, [*L.JOIN_FUNCTION, *L.JOIN_CONTENT]))
-    known = lambda x: F.array_contains(frequent, x) if common is None else F.array_contains(frequent, x) | F.array_contains(col(common), x)
-    cuts = F.when(F.length(w) >= 5, F.sequence(F.lit(2), F.length(w) - 3)).otherwise(F.array().cast("array<int>"))
-    left, right = lambda i: F.substring(w, F.lit(1), i), lambda i: F.substring(w, i + 1, F.length(w))
-    parts = F.exists(cuts, lambda i: (F.array_contains(function, left(i)) & known(right(i))) | (F.array_contains(function, right(i)) & known(left(i))))
-    return (w == "") | w.isin(*L.JOINED) | ((F.length(w) >= 5) & ~known(w) & parts)
+    return (w == "") | w.isin(*L.JOINED) | (~w.isin(*dict.fromkeys(_COMMON)) & w.rlike(_TWO_WORDS))
 
 
 def is_notable(word, zipf) -> Column:

@@ -81,10 +81,9 @@ def recover_truncated(words: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def clean_tokens(tokens: DataFrame, lemma_of: DataFrame) -> DataFrame:
-    """(doc_id, pos, token, lemma) without stop words (token or lemma), single letters and noise."""
-    low = F.lower("token")
-    joined = tokens.withColumn("word", low).where(~F.col("word").isin(*L.STOP_WORDS)).join(lemma_of, "word")
-    return joined.where(~F.col("lemma").isin(*L.STOP_WORDS) & (F.length("lemma") >= 2) & ~X.is_noise("word") & ~X.is_noise("lemma")).select("doc_id", "pos", "token", "lemma")
+    """(doc_id, pos, token, lemma) without stop words (token or lemma), single letters and noise; words are tested once each, in the lemma table."""
+    wanted = lemma_of.where(~F.col("word").isin(*L.STOP_WORDS) & ~F.col("lemma").isin(*L.STOP_WORDS) & (F.length("lemma") >= 2) & ~X.is_noise("word") & ~X.is_noise("lemma"))
+    return tokens.withColumn("word", F.lower("token")).join(wanted, "word").select("doc_id", "pos", "token", "lemma")
 
 
 def first_of_each(tokens: DataFrame, key: str, *order: str) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from lexmill.functions import expressions as X
 from lexmill.functions import lexicon as L
 from lexmill.operators import corpus, levels, ngrams, reports, reviews, senses
+from lexmill.operators.ranking import durable
 from lexmill.sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,7 +50,7 @@ def case_sql(table: dict, key: str) -> str:
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = corpus.word_table(readers.tokens(readers.english(spark, sf_dir)))
-    return w.withColumn("level", X.level_of_zipf("zipf"))
+    return durable(w.withColumn("level", X.level_of_zipf("zipf")))  # read many times over: written once
 
 
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,7 +138,7 @@ CLEAN = f"""{LEMMA}, ct AS (
 
 def clean_tokens(spark, d):
     ts = readers.tokens(readers.english(spark, d))
-    return corpus.clean_tokens(ts, corpus.lemmas(words(spark, d)))
+    return corpus.clean_tokens(ts, durable(corpus.lemmas(words(spark, d))))
 
 
 @query(f"WITH {CLEAN} SELECT lemma, count(*) AS n, min(doc_id) AS first_doc FROM ct GROUP BY lemma")
