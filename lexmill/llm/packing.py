@@ -34,7 +34,7 @@ from lexmill.llm.common import blocks_of, table
 
 WINDOW = 1024
 #: Of a shard: documents (12 bits in the sort keys below) and characters.
-SHARD_ROWS, SHARD_CHARS = 4096, 12_000_000
+SHARD_ROWS, SHARD_CHARS = 4096, 8_000_000
 #: A seed's query: this many of its rarest terms; it gets this many neighbours at a time.
 QUERY_TERMS, NEIGHBOURS = 8, 16
 K1, B = 1.2, 0.75
@@ -42,6 +42,14 @@ K1, B = 1.2, 0.75
 FIELDS = [("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("seed_doc", pa.bool_())]
 
 
+@cache
+def library(json_path: str):
+    """The library's tokenizer, loaded when a first text needs it."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(json_path)
+
+
 @cache
 def byte_pair_encoder(json_path: str, rank_path: str | None, pattern: str | None) -> Callable[[str], np.ndarray]:
     """Text to ids as the library `tokenizers` gives them for json_path, no special tokens added.
@@ -50,10 +58,7 @@ def byte_pair_encoder(json_path: str, rank_path: str | None, pattern: str | None
     characters all Unicode versions class alike (several times as fast, same
     ids); the library itself encodes the rest and texts with special strings.
     """
-    from tokenizers import Tokenizer
-
-    library = Tokenizer.from_file(json_path)
-    slow = lambda text: np.array(library.encode(text, add_special_tokens=False).ids, dtype="<u4")
+    slow = lambda text: np.array(library(json_path).encode(text, add_special_tokens=False).ids, dtype="<u4")
     if rank_path is None:
         return slow
     import tiktoken
