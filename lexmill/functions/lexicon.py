@@ -214,3 +214,15 @@ ANY_SUBJECT = ["philosophy", "biology", "physics", "chemistry"]
 
 # The spaced-repetition schedule starts and bounds.
 START_EASE, LEAST_EASE, FIRST_INTERVALS = 2.5, 1.3, (1, 6)
+
+# Pronunciations (American, British) of common words without a dictionary.
+COMMON_IPA = {
+    "the": ("/ðə/", "/ðə/"), "and": ("/ænd/", "/ænd/"), "for": ("/fɔːr/", "/fɔːr/"), "you": ("/juː/", "/juː/"), "this": ("/ðɪs/", "/ðɪs/"),
+    "that": ("/ðæt/", "/ðæt/"), "with": ("/wɪð/", "/wɪð/"), "from": ("/frʌm/", "/frʌm/"), "have": ("/hæv/", "/hæv/"), "not": ("/nɒt/", "/nɒt/"),
+    "life": ("/laɪf/", "/laɪf/"), "truth": ("/truːθ/", "/truːθ/"), "love": ("/lʌv/", "/lʌv/"), "world": ("/wɜːrld/", "/wɜːld/"), "light": ("/laɪt/", "/laɪt/"),
+    "form": ("/fɔːrm/", "/fɔːm/"), "being": ("/ˈbiːɪŋ/", "/ˈbiːɪŋ/"), "consciousness": ("/ˈkɑːnʃəsnəs/", "/ˈkɒnʃəsnəs/"),
+    "knowledge": ("/ˈnɑːlɪdʒ/", "/ˈnɒlɪdʒ/"), "experience": ("/ɪkˈspɪriəns/", "/ɪkˈspɪəriəns/"),
+}
+
+# Lengths over which examples and sentences count as long.
+LONG_EXAMPLE, LONG_SENTENCE = 60, 80

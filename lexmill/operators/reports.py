@@ -72,3 +72,42 @@ def letter_heads(words: DataFrame) -> DataFrame:
 
 def to_json(entries: DataFrame) -> DataFrame:
     return entries.select("word", F.to_json(F.struct(*entries.columns)).alias("json"))
+
+
+def style(words: DataFrame, examples: DataFrame, most: int = 100) -> DataFrame:
+    """One row: the five most frequent words, the mean length of the first examples (at most `most`) and whether it is long."""
+    top = words.orderBy(F.desc("n"), "word").limit(5).agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("r"), "word"))).alias("ws"))
+    mean = examples.orderBy("word").limit(most).agg(F.coalesce(F.avg(F.length("example")), F.lit(0.0)).alias("m"))
+    return top.join(mean).select(F.array_join(F.col("ws.word"), ", ").alias("core"), F.rint("m").cast("int").alias("mean_length"), (F.col("m") > L.LONG_EXAMPLE).alias("long"))
+
+
+def high_frequency(words: DataFrame, k: int = 50) -> DataFrame:
+    """(rank, word, n, level, colour) of the most frequent words that aren't function words."""
+    best = words.where(~F.lower("word").isin(*L.FILTER_WORDS)).orderBy(F.desc("n"), "word").limit(k)
+    return best.select(F.row_number().over(Window.orderBy(F.desc("n"), "word")).alias("rank"), "word", "n", "level", X.mapping(L.LEVEL_COLOURS, F.col("level")).alias("colour"))
+
+
+def plan_note(words: DataFrame, days: int = 14, shown: int = 10) -> DataFrame:
+    """(day, words, head): a review plan with the first words of each day."""
+    from lexmill.operators.reviews import plan
+
+    head = words.select("word").distinct().orderBy("word").limit(shown).agg(F.array_join(F.array_sort(F.collect_list("word")), ", ").alias("head"))
+    return plan(words, days).join(head).select("day", "words", F.when(F.col("words") > 0, F.col("head")).otherwise("").alias("head"))
+
+
+def html_page(entries: DataFrame, title: str) -> DataFrame:
+    """One row (html): a page of the entries' HTML in alphabetical order. Entries are a report's bounded selection."""
+    body = entries.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.lower("word").alias("w"), "html"))), lambda s: s.html), "\n").alias("b"))
+    head = f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{title.replace('&', '&amp;').replace('<', '&lt;')}</title></head><body>"
+    return body.select(F.concat(F.lit(head + "\n"), "b", F.lit("\n</body></html>")).alias("html"))
+
+
+def json_page(stats: DataFrame) -> DataFrame:
+    """One row (html): statistics inlined as JSON that can't close its script element."""
+    data = stats.agg(F.to_json(F.collect_list(F.struct("*"))).alias("j"))
+    return data.select(F.concat(F.lit("<script type='application/json'>"), F.replace("j", F.lit("</"), F.lit("<\\/")), F.lit("</script>")).alias("html"))
+
+
+def write_text(page: DataFrame, path: str) -> None:
+    """Write a one-column page as text wherever Spark can write."""
+    page.write.mode("overwrite").text(path)

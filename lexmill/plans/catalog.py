@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import expressions as X
 from lexmill.functions import lexicon as L
-from lexmill.operators import corpus, levels, ngrams, reports, reviews, senses
+from lexmill.operators import corpus, enrich, levels, ngrams, reports, reviews, senses
 from lexmill.operators.ranking import durable
 from lexmill.sources import readers
 
@@ -760,3 +760,70 @@ def learning_states(spark, d):
 @query("SELECT user_id, event_type AS status FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
 def latest_status(spark, d):
     return reviews.latest(readers.table(spark, d, "events"), "user_id", "event_type", "ts", "event_id")
+
+
+# ---- entries and further reports
+
+
+@query(f"WITH {WORDS}, t AS (SELECT word, n FROM w ORDER BY n DESC, word LIMIT 5), e AS (SELECT length('example of ' || word) AS l FROM w ORDER BY word LIMIT 100) SELECT (SELECT string_agg(word, ', ' ORDER BY n DESC, word) FROM t) AS core, CAST(round_even(avg(l), 0) AS INTEGER) AS mean_length, avg(l) > 60 AS long FROM e")
+def style_stats(spark, d):
+    w = words(spark, d)
+    return reports.style(w, w.select("word", F.concat(F.lit("example of "), "word").alias("example")))
+
+
+@query(f"WITH {COLLOC} SELECT phrase, n, round(s, 2) AS pmi FROM col WHERE s > 0 AND n >= 3 ORDER BY round(s, 2) DESC, n DESC, phrase LIMIT 20")
+def phrase_report(spark, d):
+    return ngrams.top(ngrams.collocations(readers.english(spark, d), 2, 3), 20).select("phrase", "n", "pmi")
+
+
+@query(f"WITH {WORDS} SELECT CAST(row_number() OVER (ORDER BY n DESC, word) AS INTEGER) AS rank, word, n, level, {case_sql(L.LEVEL_COLOURS, 'level')} AS colour FROM w WHERE word NOT IN ({quoted(L.FILTER_WORDS)}) ORDER BY n DESC, word LIMIT 50")
+def high_frequency_page(spark, d):
+    return reports.high_frequency(words(spark, d))
+
+
+@query(f"WITH {WORDS}, h AS (SELECT string_agg(word, ', ' ORDER BY word) AS head FROM (SELECT word FROM w ORDER BY word LIMIT 10)) SELECT CAST(day AS INTEGER) AS day, CASE WHEN day IN (0, 1, 7) THEN (SELECT count(*) FROM w) ELSE 0 END AS words, CASE WHEN day IN (0, 1, 7) THEN head ELSE '' END AS head FROM (SELECT unnest(range(0, 14)) AS day), h")
+def review_plan_note(spark, d):
+    return reports.plan_note(words(spark, d))
+
+
+@query(f"WITH {WORDS} SELECT CASE WHEN n % 3 = 0 THEN 'n.' ELSE 'v.' END AS pos, count(*) AS n, CAST(round_even(count(*) * 100 / (SELECT count(*) FROM w), 0) AS INTEGER) AS pct FROM w GROUP BY 1")
+def pos_distribution(spark, d):
+    return reports.distribution(words(spark, d).select(F.when(F.col("n") % 3 == 0, X.pos_code(F.lit("noun"))).otherwise(X.pos_code(F.lit("vt"))).alias("pos")), "pos")
+
+
+@query(
+    f"WITH {WORDS}, p AS {rows_sql([(w, *p) for w, p in L.COMMON_IPA.items()], 'word', 'us', 'uk')} SELECT w.word, us, uk FROM w JOIN p ON w.word = p.word"
+)
+def common_pronunciations(spark, d):
+    ipa = words(spark, d).select("word", enrich.common_ipa("word").alias("m")).where(F.size("m") > 0)
+    return ipa.select("word", F.col("m")["en_us"].alias("us"), F.col("m")["en_uk"].alias("uk"))
+
+
+@query(
+    f"WITH s AS (SELECT doc_id, no - 1 AS no, ss[no] AS s FROM (SELECT doc_id, ss, unnest(range(1, len(ss) + 1)) AS no FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ss FROM documents WHERE lang = 'en'))), "
+    f"t AS (SELECT DISTINCT doc_id, no, s, lower(unnest(regexp_extract_all(s, '{TOKEN_RE}'))) AS word FROM s), {_IMPORTANT}, r AS (SELECT t.*, row_number() OVER (PARTITION BY t.word ORDER BY doc_id, no) AS k FROM t JOIN imp ON t.word = imp.word) SELECT word, doc_id, no FROM r WHERE k = 1"
+)
+def first_contexts(spark, d):
+    rows = readers.lines(readers.english(spark, d)).select("doc_id", F.col("line_no").cast("long").alias("no"), F.explode(F.array_distinct(F.transform(X.corpus_tokens("line"), lambda x: F.lower(x)))).alias("word"))
+    return corpus.first_of_each(rows.join(important(spark, d).distinct(), "word"), "word", "doc_id", "no")
+
+
+@query()
+def enriched_entries(spark, d):
+    docs = readers.english(spark, d)
+    w = words(spark, d).orderBy(F.desc("n"), "word").limit(300)
+    t = dictionaries(spark, d)
+    found = levels.look_up(w.select("word"), t["cmu"], t["cefr"], t["oxford"], t["bilingual"], t["wiktionary"])
+    phrases = ngrams.phrases_of(ngrams.collocations(docs, 2, 3), w)
+    return enrich.preview(enrich.enrich(w, found, enrich.contexts(w, enrich.numbered_sentences(docs)), phrases)).select("word", "n", "pos", "gloss_en", "level", "examples", "collocations", F.col("phenomena.polysemy").alias("polysemy"))
+
+
+@query()
+def html_report(spark, d):
+    w = words(spark, d).where("n >= 20").orderBy(F.desc("n"), "word").limit(500).withColumn("gloss", F.concat(F.lit("gloss of "), "word"))
+    return reports.html_page(reports.entry_html(w), "Words & more")
+
+
+@query()
+def json_report(spark, d):
+    return reports.json_page(reports.distribution(words(spark, d), "level"))

@@ -128,6 +128,25 @@ def test_readers(spark, tmp_path):
     assert {r.word: r.band for r in readers.families(spark, [str(tmp_path / "f1"), str(tmp_path / "f2")]).collect()} == {"one": 1, "two": 2}
 
 
+def test_contexts(spark):
+    from lexmill.operators import enrich
+
+    docs = spark.createDataFrame([(i, f"First {i} has alpha. Other one.\nalpha again here {i}!") for i in range(4)] + [(9, None)], "doc_id int, text string")
+    words = spark.createDataFrame([("alpha",), ("other",), ("absent",)], "word string")
+    found = {r.word: r.contexts for r in enrich.contexts(words, enrich.numbered_sentences(docs)).collect()}
+    assert found == {"alpha": ["First 0 has alpha.", "alpha again here 0!", "First 1 has alpha."], "other": ["Other one."]}
+
+
+def test_pages(spark, tmp_path):
+    from lexmill.operators import reports
+
+    rows = spark.createDataFrame([("b", "<p>2</p>"), ("A", "<p>1</p>")], "word string, html string")
+    reports.write_text(reports.html_page(rows, "x < y"), str(tmp_path / "page"))
+    text = "\n".join(r.value for r in spark.read.text(str(tmp_path / "page")).collect())
+    assert "x &lt; y" in text and text.index("1") < text.index("2")
+    assert "</x" not in reports.json_page(spark.createDataFrame([("</x>",)], "v string")).first().html
+
+
 def test_execute(spark):
     call = lambda n, **a: json.loads(api.execute(spark, n, a))
     assert call("clean_examples", examples=["a b", "42"])["examples"] == ["a b"]
