@@ -31,7 +31,7 @@ from lexmill.llm.common import table, words_of
 
 WINDOW = 10
 #: Of a shard: characters. Of a block of the benchmark: UTF-8 bytes.
-SHARD_CHARS, BLOCK_BYTES = 8_000_000, 8_000_000
+SHARD_CHARS, BLOCK_BYTES = 8_000_000, 4_000_000
 
 
 class Items:
@@ -49,10 +49,10 @@ class Items:
         rows, owner, place = [], [], []
         for i, x in enumerate(ids):
             for j in range(len(x) - self.depth[i] + 1):
-                rows.append(np.pad(x[j : j + window], (0, window - len(x[j : j + window]))))
+                rows.append(np.pad(x[j : j + window], (0, window - len(x[j : j + window]))).astype(np.int32))
                 owner.append(i)
                 place.append(j)
-        self.suffixes = np.array(rows, dtype=np.int64).reshape(-1, window)
+        self.suffixes = np.array(rows, dtype=np.int32).reshape(-1, window)
         self.owner, self.place = np.array(owner, dtype=np.int64), np.array(place, dtype=np.int64)
         self.single = np.unique(self.suffixes[self.depth[self.owner] == 1, 0]) if len(rows) else np.zeros(0, np.int64)
         n = len(self.vocabulary) + 1
@@ -70,7 +70,7 @@ class Items:
         if not len(at):
             return none, none, none, none
         # The words that follow each suffix that is left, none of another document; these are its sort key.
-        key = np.zeros((len(at), self.window), dtype=np.int64)
+        key = np.zeros((len(at), self.window), dtype=np.int32)
         alive = np.ones(len(at), dtype=bool)
         for k in range(self.window):
             to = np.minimum(at + k, len(words) - 1)
@@ -109,7 +109,7 @@ def suffix_array(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     pairs for columns 2^k apart are ranked together, as the suffixes at those
     columns are suffixes too.
     """
-    ranks = list(keys.T)
+    ranks = [column.astype(np.int64) for column in keys.T]
     while len(ranks) > 1:
         merged = []
         for i in range(0, len(ranks), 2):
