@@ -355,14 +355,14 @@ def exam_zipf_threshold(spark, d):
 
 
 @query(
-    f"WITH {SCORES} SELECT event_id, round(CAST(CASE WHEN exam = 'other' THEN 0.85 ELSE " + case_sql(L.LEVEL_SHARE, f"coalesce({_ASOF.format(t=steps_sql(L.EXAM_LEVELS))}, 'A1')") + " END AS DOUBLE), 6) AS u FROM sc WHERE event_id % 10 = 0 "
-    "UNION ALL SELECT event_id, round(least(0.95, greatest(0.10, (event_id % 12000 - 1500) / 8500.0)), 6) FROM sc WHERE event_id % 10 = 1"
+    f"WITH {SCORES} SELECT event_id, round(CAST(CASE WHEN exam = 'other' THEN 0.85 ELSE " + case_sql(L.LEVEL_SHARE, f"coalesce({_ASOF.format(t=steps_sql(L.EXAM_LEVELS))}, 'A1')") + " END AS DOUBLE), 6) AS u FROM sc WHERE exam <> 'tem8' "
+    "UNION ALL SELECT event_id, round(least(0.95, greatest(0.10, (event_id % 12000 - 1500) / 8500.0)), 6) FROM sc WHERE exam = 'tem8'"
 )
 def user_level_u(spark, d):
     s = scores(spark, d)
-    by_exam = s.where("event_id % 10 = 0").withColumn("vocabulary", F.lit(None).cast("double"))
-    by_size = s.where("event_id % 10 = 1").withColumns({"vocabulary": (F.col("event_id") % 12000).cast("double"), "exam": F.lit(None).cast("string"), "score": F.lit(None).cast("double")})
-    return levels.user_level(by_exam.unionByName(by_size)).select("event_id", F.round("u", 6).alias("u"))
+    sized = F.col("exam") == "tem8"  # these users state a vocabulary instead of a score
+    asked = s.select("event_id", F.when(~sized, F.col("exam")).alias("exam"), F.when(~sized, F.col("score")).alias("score"), F.when(sized, (F.col("event_id") % 12000).cast("double")).alias("vocabulary"))
+    return levels.user_level(asked).select("event_id", F.round("u", 6).alias("u"))
 
 
 @query(f"WITH p AS {rows_sql([*L.PRESETS, ('none', None, None)], 'preset', 'exam', 'score')} SELECT preset, coalesce(p.exam, 'all') AS exam, CAST(score AS DOUBLE) AS score, coalesce(b.cefr, 'C2') AS cefr FROM p LEFT JOIN {BANDS} b ON p.exam = b.exam AND score BETWEEN lo AND hi")
@@ -636,7 +636,7 @@ def _reply(ws: list[str]) -> str:
 
 @query()
 def batch_enrich(spark, d):
-    top = words(spark, d).orderBy(F.desc("n"), "word").limit(120)
+    top = words(spark, d).orderBy(F.desc("n"), "word").limit(150)
     entries = top.select("word", F.lit("").alias("pos"), F.lit("旧").alias("gloss_zh"), F.lit("old").alias("gloss_en"))
     return senses.merge_replies(entries, senses.parse_replies(senses.ask(entries, 20, _reply)))
 
@@ -705,10 +705,10 @@ def letter_heads(spark, d):
     return reports.letter_heads(words(spark, d))
 
 
-@query("SELECT source AS book, left(string_agg('[p' || doc_id || '] ' || left(text, 300), chr(10) ORDER BY doc_id), 6000) AS head FROM documents WHERE lang = 'en' AND doc_id <= 200 AND text IS NOT NULL GROUP BY source")
+@query("SELECT conv_id AS book, left(string_agg('[p' || turn || '] ' || left(text, 300), chr(10) ORDER BY turn), 6000) AS head FROM conversations WHERE turn <= 15 AND text IS NOT NULL GROUP BY conv_id")
 def first_pages(spark, d):
-    p = readers.english(spark, d).where("text is not null").select(F.col("source").alias("book"), F.col("doc_id").alias("page_no"), F.col("text").alias("body"))
-    return readers.first_pages(p, n=200)
+    c = readers.table(spark, d, "conversations").where("text is not null")
+    return readers.first_pages(c.select(F.col("conv_id").alias("book"), F.col("turn").alias("page_no"), F.col("text").alias("body")))
 
 
 # ---- spaced repetition
