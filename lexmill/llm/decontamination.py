@@ -143,13 +143,13 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[t
     yield held
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """docs with n_words, n_hit, n_items, longest_match (words), item_ids (a sorted array), items_sha256, contaminated.
 
     The other columns of docs stay; its columns of those names are replaced.
     """
     out = docs.drop("n_words", "n_hit", "n_items", "longest_match", "item_ids", "items_sha256", "contaminated")
-    for k, block in enumerate(_blocks(benchmark, item_col, text_col)):
+    for k, block in enumerate(_blocks(benchmark, item_col, item_text)):
         out = _against(out, docs.sparkSession.sparkContext.broadcast(Items(block, window)), text_col, first=not k)
     hits = F.size("hit_words")
     return out.select(
@@ -222,10 +222,12 @@ def scan_block(texts: list[str | None], items: Items) -> list[tuple]:
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """docs without the affected documents, same columns."""
-    judged = contamination(docs.select("*", F.struct("*").alias("__row")).select("__row", "text"), benchmark)
-    return judged.where(~F.col("contaminated")).select("__row.*")
+    names = docs.columns
+    plain = docs.toDF(*(f"__{i}" for i in range(len(names))))  # no clash with the columns that are added
+    judged = contamination(plain, benchmark, text_col=f"__{names.index(text_col)}")
+    return judged.where(~F.col("contaminated")).select(*plain.columns).toDF(*names)
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
