@@ -113,7 +113,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     spark = vectors.sparkSession
     rows = durable(usable(vectors, id_col, vector_col).withColumn("n", F.size("v")).where("n > 0"))
     results = None
-    for (length,) in rows.select("n").distinct().orderBy("n").limit(1000).collect():
+    for (length,) in rows.select("n").distinct().orderBy("n").toLocalIterator():
         found = _search(rows.where(F.col("n") == length).drop("n"), is_query, k, length)
         results = found if results is None else results.unionAll(found)
     if results is None:
