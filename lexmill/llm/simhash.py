@@ -270,8 +270,8 @@ def near_duplicate_texts(docs: DataFrame, similarity: float = 0.8, shingle: int
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([np.unique(shingle_hashes(t, shingle).view(np.int64)) for (t,) in rows_of([batch], text_col)], pa.list_(pa.int64()))], names=["id", "hashes"])
 
-    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_col, F.xxhash64(text_col, F.length(text_col)).alias("copy"))
-    sketches = durable(texts.mapInArrow(sketch, "id long, copy long, fp long, bands array<long>"))
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_col, F.coalesce(F.md5(F.col(text_col).cast("binary")), F.lit("")).alias("copy"))
+    sketches = durable(texts.mapInArrow(sketch, "id long, copy string, fp long, bands array<long>"))
     copies = durable(sketches.groupBy("copy").agg(F.min("id").alias("rep")))
     reps = sketches.join(copies, "copy").where("id = rep").select("id", "fp", F.explode("bands").alias("band"))
     crowded = durable(reps.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"))
