@@ -21,8 +21,11 @@ near_duplicate_texts() is the same idea by similarity of the texts, for which
 fingerprints alone are too coarse (texts whose 5-word shingles overlap by 0.8
 differ in about 10 of 64 bits). Pairs meet in bands of minimal shingle hashes
 (12 bands of 4: a pair at 0.8 meets with probability 0.998, nearer pairs more
-surely); the pivot table discards those over FAR bits apart, and the shingle
-sets verify the rest. Exact copies are merged first.
+surely). A member of a band is held against every earlier one that it isn't
+connected with yet, whatever the size of the band (its shingle sets lie in a
+temporary file beyond SPOOL bytes), so links are as complete as all pairs of the
+band; pairs over FAR bits apart are discarded, and the shingle sets verify the
+rest. Exact copies are merged first.
 
 Contract for odd rows: null and empty texts have the fingerprint 0, linked like
 any other; texts with fewer words than a shingle are one shingle; repeated rows
@@ -33,6 +36,7 @@ component has no other, then component_id is null.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from tempfile import SpooledTemporaryFile
 
 import numpy as np
 import pyarrow as pa
@@ -198,8 +202,10 @@ def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, id_col:
 
 #: Bands and rows of minimal hashes; bits beyond which a pair at the wanted similarity doesn't occur (five deviations over its mean).
 BANDS, BAND_ROWS, FAR = 12, 4, 24
-#: Members of a band that are held against each other at a time.
-MEMBERS = 2000
+#: Leaders of a band that distances are kept to; bytes of its shingle sets in memory, the rest lies in a temporary file.
+LEADERS, SPOOL = 8, 32_000_000
+#: Links that a task hands on at a time.
+LINKS = 20_000
 
 _random = np.random.default_rng(SEED)
 _FACTORS, _TERMS = (_random.integers(1 << 62, size=BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
@@ -236,26 +242,78 @@ def overlap(a: np.ndarray, b: np.ndarray) -> float:
     return common / (len(a) + len(b) - common)
 
 
-def similar(members: list[tuple], leaders: list[tuple], similarity: float, refs: np.ndarray) -> list[tuple]:
-    """Links (id, id) of a band's members with leaders or with each other; members that start a group join the leaders.
+class Band:
+    """The members of one band so far and the components that links of at least `similarity` make of them.
 
-    A member is held against the leaders first; one that no leader takes is held
-    against the earlier members too, so groups grow along chains.
+    A member is held against every earlier one that isn't in its component yet,
+    so components are those of all pairs. 1 - overlap is a metric: distances to
+    the leaders (members that no earlier leader took) rule out partners by the
+    triangle inequality, sizes by their ratio. Members with equal sets are one.
     """
-    found: list[tuple] = []
-    near = lambda x, y: (np.abs(x[3] - y[3]) <= FAR).all() and (x[1] ^ y[1]).bit_count() <= FAR and overlap(x[2], y[2]) >= similarity
-    members = [(key, fp & ((1 << 64) - 1), np.array(sorted_hashes, dtype=np.int64)) for key, fp, sorted_hashes in members]
-    tables = distance_table(np.array([m[1] for m in members], dtype=np.uint64), refs) if members else []
-    earlier: list[tuple] = []
-    for m, t in zip(members, tables, strict=True):
-        m = (*m, t)
-        taken = [x for x in leaders if near(m, x)]
-        if not taken:
-            taken = [x for x in earlier if near(m, x)]
-            leaders.append(m)
-        found += [(x[0], m[0]) for x in taken]
-        earlier.append(m)
-    return found
+
+    def __init__(self, similarity: float):
+        self.similarity, self.parts, self.twins, self.leaders = similarity, 0, {}, []
+        self.n, self.sets = 0, SpooledTemporaryFile(SPOOL)  # noqa: SIM115
+        self.rows = np.zeros(4, [("id", "i8"), ("fp", "u8"), ("size", "i8"), ("at", "i8"), ("root", "i8")])
+        self.far = np.full((4, LEADERS), np.nan, np.float32)
+
+    def hashes(self, i: int) -> np.ndarray:
+        self.sets.seek(int(self.rows["at"][i]))
+        return np.frombuffer(self.sets.read(8 * int(self.rows["size"][i])), np.int64)
+
+    def candidates(self, root: int, fp: int, size: int, far: np.ndarray) -> np.ndarray:
+        """Earlier members outside the component that sizes and distances allow, those with the nearest fingerprints first."""
+        at = np.flatnonzero(self.rows["root"][: self.n] != root)
+        sizes = self.rows["size"][at]
+        at = at[np.minimum(sizes, size) >= (self.similarity - 1e-9) * np.maximum(sizes, size)]
+        at = at[~(np.abs(self.far[at] - far) > 1 - self.similarity + 1e-6).any(axis=1)]
+        bits = np.bitwise_count(self.rows["fp"][at] ^ np.uint64(fp))
+        at, bits = at[bits <= FAR], bits[bits <= FAR]
+        return at[np.argsort(bits, kind="stable")]
+
+    def add(self, key: int, fp: int, hashes: np.ndarray) -> list[int]:
+        """The ids of earlier members that link the member with their components, one for each component."""
+        digest, fp = xxhash.xxh128_digest(hashes.tobytes()), fp & ((1 << 64) - 1)
+        if digest in self.twins:
+            return [self.twins[digest]]
+        self.twins[digest] = key
+        root, found, far = -1, [], np.full(LEADERS, np.nan, np.float32)
+
+        def link(i: int) -> None:
+            nonlocal root
+            other = int(self.rows["root"][i])
+            if root >= 0:
+                mine = self.rows["root"][: self.n]
+                mine[mine == other] = root
+                self.parts -= 1
+            else:
+                root = other
+            found.append(int(self.rows["id"][i]))
+
+        for k, (i, of) in enumerate(self.leaders):
+            near = overlap(of, hashes)
+            far[k] = 1 - near
+            if near >= self.similarity and self.rows["root"][i] != root and (self.rows["fp"][i] ^ np.uint64(fp)).bit_count() <= FAR:
+                link(i)
+        taken = bool(found)
+        if self.parts > (root >= 0):
+            for i in self.candidates(root, fp, len(hashes), far).tolist():
+                if self.rows["root"][i] != root and overlap(self.hashes(i), hashes) >= self.similarity:
+                    link(i)
+                    if self.parts == 1:
+                        break
+        if self.n == len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+            self.far = np.concatenate([self.far, np.full_like(self.far, np.nan)])
+        if not taken and len(self.leaders) < LEADERS:
+            far[len(self.leaders)] = 0
+            self.leaders.append((self.n, hashes))
+        self.parts += root < 0
+        self.rows[self.n] = (key, fp, len(hashes), self.sets.seek(0, 2), self.n if root < 0 else root)
+        self.far[self.n] = far
+        self.sets.write(hashes.tobytes())
+        self.n += 1
+        return found
 
 
 def near_duplicate_texts(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -281,22 +339,19 @@ def near_duplicate_texts(docs: DataFrame, similarity: float = 0.8, shingle: int
     grouped = members.join(shingles, "id").repartition("band").sortWithinPartitions("band", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        refs, band, held, leaders = pivots(), None, [], []
-
-        def flush() -> pa.RecordBatch:
-            found = similar(held, leaders, similarity, refs)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
-
-        for b, key, fp, hashes in rows_of(batches, "band", "id", "fp", "hashes"):
-            if b != band or len(held) >= MEMBERS:
-                if held:
-                    yield flush()
-                leaders = leaders if b == band else []
-                band = b
-            held.append((key, fp, hashes))
-        if held:
-            yield flush()
+        band, held, found = None, None, []
+        record = lambda: pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+        for batch in batches:
+            column = batch.column("hashes")
+            values, ends = column.values.to_numpy(), column.offsets.to_numpy()
+            for row, (b, key, fp) in enumerate(rows_of([batch], "band", "id", "fp")):
+                if b != band:
+                    band, held = b, Band(similarity)
+                found += [(x, key) for x in held.add(key, fp, values[ends[row] : ends[row + 1]].copy())]
+                if len(found) >= LINKS:
+                    yield record()
+                    found.clear()
+        yield record()
 
     found = components(durable(grouped.mapInArrow(run, "a long, b long").distinct()))
     by_copy = copies.join(found, F.col("rep") == F.col("node"), "left").select("copy", F.coalesce("root", "rep").alias("component_id"))

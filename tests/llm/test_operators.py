@@ -425,6 +425,26 @@ def test_near_duplicate_texts(spark, empty):
     assert kept.where("doc_id is null").count() == 2 and simhash.one_of_each_group(empty).count() == 0
 
 
+def test_band_links_a_large_drifting_group_by_brute_force():
+    rnd = random.Random(11)
+    words, sets = [rnd.randrange(1 << 40) for _ in range(60)], []
+    for i in range(2600):
+        words[i % 60] = rnd.randrange(1 << 40)
+        sets.append(np.array(sorted(words), dtype=np.int64))
+    drifting = [(i, simhash.bits_of(s.view(np.uint64)), s) for i, s in enumerate(sets)]
+    for order in (drifting, drifting[::-1], rnd.sample(drifting, len(drifting))):
+        band, root = simhash.Band(0.8), list(range(len(sets)))
+        for key, fp, s in order:
+            for other in band.add(key, fp, s):
+                while root[other] != other:
+                    other = root[other]
+                at = key
+                while root[at] != at:
+                    at = root[at]
+                root[max(at, other)] = min(at, other)
+        assert sum(i == r for i, r in enumerate(root)) == 1 == band.parts
+
+
 # ---- 9 licenses
 
 
