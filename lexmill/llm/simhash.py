@@ -24,8 +24,8 @@ differ in about 10 of 64 bits). Pairs meet in bands of minimal shingle hashes
 surely). A member of a band is held against every earlier one that it isn't
 connected with yet, whatever the size of the band (its shingle sets lie in a
 temporary file beyond SPOOL bytes), so links are as complete as all pairs of the
-band; pairs over FAR bits apart are discarded, and the shingle sets verify the
-rest. Exact copies are merged first.
+band. Fingerprints of the sets only say which partners to try first: no pair is
+discarded by its bits, the shingle sets decide. Exact copies are merged first.
 
 Contract for odd rows: null and empty texts have the fingerprint 0, linked like
 any other; texts with fewer words than a shingle are one shingle; repeated rows
@@ -200,8 +200,8 @@ def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, id_col:
     return marked.join(of.join(smallest, "root").select("fp", "component_id"), "fp").select(id_col, "fp", "component_id")
 
 
-#: Bands and rows of minimal hashes; bits beyond which a pair at the wanted similarity doesn't occur (five deviations over its mean).
-BANDS, BAND_ROWS, FAR = 12, 4, 24
+#: Bands and rows of minimal hashes.
+BANDS, BAND_ROWS = 12, 4
 #: Leaders of a band that distances are kept to; bytes of its shingle sets in memory, the rest lies in a temporary file.
 LEADERS, SPOOL = 8, 32_000_000
 #: Links that a task hands on at a time.
@@ -267,9 +267,7 @@ class Band:
         sizes = self.rows["size"][at]
         at = at[np.minimum(sizes, size) >= (self.similarity - 1e-9) * np.maximum(sizes, size)]
         at = at[~(np.abs(self.far[at] - far) > 1 - self.similarity + 1e-6).any(axis=1)]
-        bits = np.bitwise_count(self.rows["fp"][at] ^ np.uint64(fp))
-        at, bits = at[bits <= FAR], bits[bits <= FAR]
-        return at[np.argsort(bits, kind="stable")]
+        return at[np.argsort(np.bitwise_count(self.rows["fp"][at] ^ np.uint64(fp)), kind="stable")]
 
     def add(self, key: int, fp: int, hashes: np.ndarray) -> list[int]:
         """The ids of earlier members that link the member with their components, one for each component."""
@@ -293,7 +291,7 @@ class Band:
         for k, (i, of) in enumerate(self.leaders):
             near = overlap(of, hashes)
             far[k] = 1 - near
-            if near >= self.similarity and self.rows["root"][i] != root and (self.rows["fp"][i] ^ np.uint64(fp)).bit_count() <= FAR:
+            if near >= self.similarity and self.rows["root"][i] != root:
                 link(i)
         taken = bool(found)
         if self.parts > (root >= 0):
@@ -322,7 +320,7 @@ def near_duplicate_texts(docs: DataFrame, similarity: float = 0.8, shingle: int
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hashes = [shingle_hashes(t, shingle) for (t,) in rows_of([batch], text_col)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("copy"), pa.array([bits_of(h) for h in hashes], pa.int64()), pa.array([band_keys(h) for h in hashes], pa.list_(pa.int64()))], names=["id", "copy", "fp", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("copy"), pa.array([bits_of(np.unique(h)) for h in hashes], pa.int64()), pa.array([band_keys(h) for h in hashes], pa.list_(pa.int64()))], names=["id", "copy", "fp", "bands"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

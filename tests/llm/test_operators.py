@@ -445,6 +445,16 @@ def test_band_links_a_large_drifting_group_by_brute_force():
         assert sum(i == r for i, r in enumerate(root)) == 1 == band.parts
 
 
+def test_near_duplicates_with_a_passage_repeated_inside_a_text(spark):
+    rnd = random.Random(12)
+    rows = []
+    for i in range(0, 120, 2):
+        base, passage = (" ".join(f"w{rnd.randrange(10**6)}" for _ in range(k)) for k in (200, 30))
+        rows += [(i, f"{base} {passage}"), (i + 1, f"{base} {' '.join([passage] * 40)}")]
+    found = {r.doc_id: r.component_id for r in simhash.near_duplicate_texts(make(spark, rows)).collect()}
+    assert found == {i: i // 2 * 2 for i, _ in rows}
+
+
 # ---- 9 licenses
 
 
