@@ -2,9 +2,10 @@
 
 Rows stream through each input partition in blocks of bounded rows and tokens.
 A block is a shard: it holds a BM25 inverted index over the token ids of its
-documents. A document opens a sequence as its seed; when it ends before the
+documents; documents of other shards are not neighbours (README has what that
+loses). A document opens a sequence as its seed; when it ends before the
 sequence is full, the index returns the shard's unused documents that score
-highest for the seed's rarest terms, and these fill the window greedily. A
+highest for the seed's terms, and these fill the window greedily. A
 document that doesn't fit is cut there; its rest opens the next sequence and
 becomes its seed. A seed without unused neighbours is followed by the next
 unused document, so only a shard's last sequence is padded.
@@ -35,8 +36,8 @@ from lexmill.llm.common import blocks_of, table
 WINDOW = 1024
 #: Of a shard: documents (12 bits in the sort keys below) and characters.
 SHARD_ROWS, SHARD_CHARS = 4096, 8_000_000
-#: A seed's query: this many of its rarest terms; it gets this many neighbours at a time.
-QUERY_TERMS, NEIGHBOURS = 8, 16
+#: A seed gets this many neighbours at a time.
+NEIGHBOURS = 16
 K1, B = 1.2, 0.75
 
 FIELDS = [("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("seed_doc", pa.bool_())]
@@ -87,21 +88,42 @@ class Shard:
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
         weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / max(1, lengths.mean() if n else 1)))
         by_doc = np.lexsort((df[term], doc))
-        self.terms, self.of = term[by_doc], np.searchsorted(doc[by_doc], np.arange(n + 1))
+        self.terms, self.of, self.own = term[by_doc], np.searchsorted(doc[by_doc], np.arange(n + 1)), weight[by_doc]
         by_term = np.argsort(term, kind="stable")
         self.docs, self.weights = doc[by_term], weight[by_term]
         self.postings = np.searchsorted(term[by_term], np.arange(vocabulary + 1))
+        #: The most that a term adds to any document's score.
+        self.most = np.zeros(vocabulary)
+        np.maximum.at(self.most, term, weight)
+        self.asked = np.zeros(vocabulary, dtype=bool)
 
     def neighbours(self, seed: int, unused: np.ndarray) -> list[int]:
-        """Unused documents by falling score, ties to the earlier one; only those with a score above zero."""
-        spans = [slice(*self.postings[t : t + 2]) for t in self.terms[self.of[seed] : self.of[seed + 1]][:QUERY_TERMS]]
-        if not spans:
+        """The unused documents that score highest for all of the seed's terms, by falling score, ties to the earlier one; only those above zero.
+
+        The rarest terms are scored first. What the others can add bounds the
+        score of each document, and only those whose bound reaches the best
+        partial scores are scored in full, so the result is that of all terms.
+        """
+        terms = self.terms[self.of[seed] : self.of[seed + 1]]
+        if not len(terms):
             return []
-        found = np.concatenate([self.docs[s] for s in spans])
-        scores = np.bincount(found, np.concatenate([self.weights[s] for s in spans]), self.n) * unused
-        top = np.argpartition(-scores, min(NEIGHBOURS, self.n - 1))[:NEIGHBOURS] if self.n > NEIGHBOURS else np.arange(self.n)
-        top = top[np.lexsort((top, -scores[top]))]
-        return top[scores[top] > 0].tolist()
+        sizes = self.postings[terms + 1] - self.postings[terms]
+        left = np.r_[np.cumsum(self.most[terms][::-1])[::-1], 0.0]
+        first = max(1, int(np.searchsorted(np.cumsum(sizes), 20 * self.n)), int(np.searchsorted(-left, -0.03 * left[0])))
+        spans = [slice(*self.postings[t : t + 2]) for t in terms[:first]]
+        scores = np.bincount(np.concatenate([self.docs[s] for s in spans]), np.concatenate([self.weights[s] for s in spans]), self.n) * unused
+        least = np.partition(scores, -NEIGHBOURS)[-NEIGHBOURS] if self.n > NEIGHBOURS else 0.0
+        able = np.flatnonzero(unused & (scores + (left[first] if first < len(terms) else 0.0) >= least - 1e-9))
+        if first < len(terms):
+            self.asked[terms] = True
+            starts, counts = self.of[able], self.of[able + 1] - self.of[able]
+            at = np.repeat(starts - np.r_[0, np.cumsum(counts)[:-1]], counts) + np.arange(counts.sum())
+            total = np.bincount(np.repeat(np.arange(len(able)), counts), self.own[at] * self.asked[self.terms[at]], len(able))
+            self.asked[terms] = False
+        else:
+            total = scores[able]
+        top = np.lexsort((able, -total))[:NEIGHBOURS]
+        return able[top[total[top] > 0]].tolist()
 
 
 def pack_shard(docs: list[np.ndarray], window: int = WINDOW) -> Iterator[tuple[int, int, int, int, int, bool]]:

@@ -98,6 +98,24 @@ def test_packing_prefers_neighbours():
     assert order == [0, 2, 1, 3]
 
 
+def test_packing_neighbours_by_brute_force():
+    rnd = np.random.default_rng(5)
+    docs = [np.minimum(rnd.zipf(1.3, rnd.integers(1, 120)), 3000).astype("<u4") for _ in range(700)]
+    shard, unused = packing.Shard(docs), rnd.random(700) < 0.6
+    terms = [collections.Counter(d.tolist()) for d in docs]
+    df, mean = collections.Counter(t for c in terms for t in c), np.mean([len(d) for d in docs])
+
+    def score(seed, d):
+        own, norm = terms[d], packing.K1 * (1 - packing.B + packing.B * len(docs[d]) / mean)
+        return sum(np.log1p((700 - df[t] + 0.5) / (df[t] + 0.5)) * own[t] * (packing.K1 + 1) / (own[t] + norm) for t in terms[seed] if df[t] > 1 and t in own)
+
+    for seed in range(0, 700, 7):
+        scores = sorted((score(seed, d) for d in range(700) if unused[d]), reverse=True)[: packing.NEIGHBOURS]
+        found = shard.neighbours(seed, unused)
+        assert all(unused[d] for d in found)
+        assert np.allclose([score(seed, d) for d in found], [x for x in scores if x > 0])
+
+
 def test_encoder_equals_library():
     from tokenizers import Tokenizer
 
