@@ -581,8 +581,10 @@ def file_like_titles(spark, d):
 
 
 def sense_items(spark, d):
+    """Whole texts; a word is a role within 8 turns of 8 conversations, so its senses stay a handful at any size."""
     c = readers.table(spark, d, "conversations").where("text is not null")
-    return c.select(F.col("role").alias("word"), F.substring("text", 1, 60).alias("text"), F.concat(F.lit("dict"), F.col("turn") % 3).alias("source"), F.lit("en").alias("lang"), (F.col("conv_id") * 100 + F.col("turn")).alias("ord")).withColumn("word", F.concat("word", F.col("ord") % 50))
+    block = F.concat_ws("_", "role", F.floor(F.col("conv_id") / 8), F.floor(F.col("turn") / 8))
+    return c.select(block.alias("word"), "text", F.concat(F.lit("dict"), F.col("turn") % 3).alias("source"), F.lit("en").alias("lang"), (F.col("conv_id") * 100 + F.col("turn")).alias("ord"))
 
 
 @query()

@@ -170,3 +170,14 @@ def test_stream(spark, tmp_path):
         assert q.awaitTermination(120)
     assert {r.user_id: (r.interval, r.reps) for r in spark.table("states").collect()} == {1: (6, 2), 2: (1, 0)}
     assert spark.table("counts").count() == 3
+
+
+def test_registered_senses_are_whole_texts_in_bounded_groups(spark, tmp_path):
+    from lexmill.plans import catalog
+
+    start = "the same words open both of these senses and run on for more than sixty characters "
+    texts = [start + "then rivers mountains valleys forests glaciers deserts oceans", start + "but engines turbines gearboxes pistons bearings crankshafts cylinders valves"]
+    rows = [(i, t, "user", texts[i % 2]) for i in range(400) for t in (0, 8)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert max(r["count"] for r in catalog.sense_items(spark, str(tmp_path)).groupBy("word").count().collect()) <= 64
+    assert {r.text for r in catalog.merge_senses(spark, str(tmp_path)).collect()} == set(texts)
