@@ -95,11 +95,21 @@ def plan_note(words: DataFrame, days: int = 14, shown: int = 10) -> DataFrame:
     return plan(words, days).join(head).select("day", "words", F.when(F.col("words") > 0, F.col("head")).otherwise("").alias("head"))
 
 
+def html_head(title: str) -> str:
+    return f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{title.replace('&', '&amp;').replace('<', '&lt;')}</title></head><body>"
+
+
 def html_page(entries: DataFrame, title: str) -> DataFrame:
     """One row (html): a page of the entries' HTML in alphabetical order. Entries are a report's bounded selection."""
     body = entries.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.lower("word").alias("w"), "html"))), lambda s: s.html), "\n").alias("b"))
-    head = f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{title.replace('&', '&amp;').replace('<', '&lt;')}</title></head><body>"
-    return body.select(F.concat(F.lit(head + "\n"), "b", F.lit("\n</body></html>")).alias("html"))
+    return body.select(F.concat(F.lit(html_head(title) + "\n"), "b", F.lit("\n</body></html>")).alias("html"))
+
+
+def html_pages(entries: DataFrame, title: str, size: int = 500) -> DataFrame:
+    """(page, html) of all entries in alphabetical order, `size` on a page, for selections that one page can't hold."""
+    placed = numbered(entries.select(F.lower("word").alias("w"), "html"), "w", "html", name="__r").withColumn("page", F.floor((F.col("__r") - 1) / size) + 1)
+    body = placed.groupBy("page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__r", "html"))), lambda s: s.html), "\n").alias("b"))
+    return body.select("page", F.concat(F.lit(html_head(title) + "\n"), "b", F.lit("\n</body></html>")).alias("html"))
 
 
 def json_page(stats: DataFrame) -> DataFrame:

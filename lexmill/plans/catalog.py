@@ -822,8 +822,9 @@ def enriched_entries(spark, d):
 
 @query()
 def html_report(spark, d):
-    w = words(spark, d).where("n >= 20").orderBy(F.desc("n"), "word").limit(500).withColumn("gloss", F.concat(F.lit("gloss of "), "word"))
-    return reports.html_page(reports.entry_html(w), "Words & more")
+    w = words(spark, d)
+    kept = levels.quantile_filter(w, 0.75, important(spark, d)).select("word").join(w, "word").withColumn("gloss", F.concat(F.lit("gloss of "), "word"))
+    return reports.html_pages(reports.entry_html(kept), "Words & more")
 
 
 @query()

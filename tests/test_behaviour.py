@@ -1,6 +1,7 @@
 """Facts about single operators on small literal inputs."""
 
 import json
+import re
 
 import pandas as pd
 import pytest
@@ -181,3 +182,19 @@ def test_registered_senses_are_whole_texts_in_bounded_groups(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     assert max(r["count"] for r in catalog.sense_items(spark, str(tmp_path)).groupBy("word").count().collect()) <= 64
     assert {r.text for r in catalog.merge_senses(spark, str(tmp_path)).collect()} == set(texts)
+
+
+def test_html_report_has_every_selected_entry(spark, tmp_path, monkeypatch):
+    from lexmill.plans import catalog
+
+    found = catalog.words
+    monkeypatch.setattr(catalog, "words", lambda spark, d: found(spark, d).withColumn("zipf", F.lit(1.5)).withColumn("level", X.level_of_zipf("zipf")))
+    letters = "bcdfghjklmnprstv"
+    made = [f"{a}o{b}e{c}an" for a in letters for b in letters for c in letters][:1300]
+    text = "\n".join(f"They saw {w} and {w} here." for w in made for _ in range(12))
+    spark.createDataFrame([(1, text, "en", "s", len(text))], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "nothing")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = sorted(r.word for r in catalog.quantile_filter(spark, str(tmp_path)).collect())
+    pages = catalog.html_report(spark, str(tmp_path)).orderBy("page").collect()
+    assert len(kept) > 500 and len(pages) == -(-len(kept) // 500)
+    assert re.findall(r"<b>([^<]*)</b>", "".join(r.html for r in pages)) == kept
