@@ -314,8 +314,16 @@ class Band:
         return found
 
 
-def near_duplicate_texts(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, component_id) of each row with an id: component_id is the smallest id that links of at least `similarity` reach."""
+def copy_of(text_col: str):
+    """Equal for equal texts."""
+    return F.coalesce(F.md5(F.col(text_col).cast("binary")), F.lit(""))
+
+
+def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(id, copy, ..) of each row with an id; (copy, rep, node, root) of each text: its smallest id, its number and its component's smallest number.
+
+    Numbers rise with (rep, copy), so the smallest one has the component's smallest id.
+    """
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -324,17 +332,18 @@ def near_duplicate_texts(docs: DataFrame, similarity: float = 0.8, shingle: int
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([np.unique(shingle_hashes(t, shingle).view(np.int64)) for (t,) in rows_of([batch], text_col)], pa.list_(pa.int64()))], names=["id", "hashes"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([np.unique(shingle_hashes(t, shingle).view(np.int64)) for (t,) in rows_of([batch], text_col)], pa.list_(pa.int64()))], names=["node", "hashes"])
 
-    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_col, F.coalesce(F.md5(F.col(text_col).cast("binary")), F.lit("")).alias("copy"))
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_col, copy_of(text_col).alias("copy"))
     sketches = durable(texts.mapInArrow(sketch, "id long, copy string, fp long, bands array<long>"))
-    copies = durable(sketches.groupBy("copy").agg(F.min("id").alias("rep")))
-    reps = sketches.join(copies, "copy").where("id = rep").select("id", "fp", F.explode("bands").alias("band"))
-    crowded = durable(reps.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"))
-    members = durable(reps.join(crowded, "band").dropDuplicates(["band", "id"]))
-    wanted = members.select("id").distinct()
-    shingles = texts.join(wanted, "id", "left_semi").mapInArrow(sets, "id long, hashes array<long>").dropDuplicates(["id"])
-    grouped = members.join(shingles, "id").repartition("band").sortWithinPartitions("band", "id")
+    least = sketches.groupBy("copy").agg(F.min("id").alias("rep"))
+    copies = durable(least.repartitionByRange("rep", "copy").sortWithinPartitions("rep", "copy").withColumn("node", F.monotonically_increasing_id()))
+    reps = sketches.join(copies, "copy").where("id = rep").select("node", "fp", F.explode("bands").alias("band"))
+    crowded = durable(reps.groupBy("band").agg(F.countDistinct("node").alias("n")).where("n > 1").select("band"))
+    members = durable(reps.join(crowded, "band").dropDuplicates(["band", "node"]))
+    wanted = members.select("node").distinct().join(copies, "node").select("node", "copy", F.col("rep").alias("id"))
+    shingles = texts.join(wanted, ["id", "copy"]).mapInArrow(sets, "node long, hashes array<long>").dropDuplicates(["node"])
+    grouped = members.join(shingles, "node").repartition("band").sortWithinPartitions("band", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         band, held, found = None, None, []
@@ -342,7 +351,7 @@ def near_duplicate_texts(docs: DataFrame, similarity: float = 0.8, shingle: int
         for batch in batches:
             column = batch.column("hashes")
             values, ends = column.values.to_numpy(), column.offsets.to_numpy()
-            for row, (b, key, fp) in enumerate(rows_of([batch], "band", "id", "fp")):
+            for row, (b, key, fp) in enumerate(rows_of([batch], "band", "node", "fp")):
                 if b != band:
                     band, held = b, Band(similarity)
                 found += [(x, key) for x in held.add(key, fp, values[ends[row] : ends[row + 1]].copy())]
@@ -352,20 +361,27 @@ def near_duplicate_texts(docs: DataFrame, similarity: float = 0.8, shingle: int
         yield record()
 
     found = components(durable(grouped.mapInArrow(run, "a long, b long").distinct()))
-    by_copy = copies.join(found, F.col("rep") == F.col("node"), "left").select("copy", F.coalesce("root", "rep").alias("component_id"))
-    return sketches.join(by_copy, "copy").select(F.col("id").alias(id_col), "component_id")
+    return sketches, copies.join(found, "node", "left").select("copy", "rep", "node", F.coalesce("root", "node").alias("root"))
+
+
+def near_duplicate_texts(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, component_id) of each row with an id: component_id is the smallest id that links of at least `similarity` reach."""
+    sketches, copies = near_copies(docs, similarity, shingle, id_col, text_col)
+    first = copies.where("node = root").select("root", F.col("rep").alias("component_id"))
+    return sketches.join(copies.join(first, "root"), "copy").select(F.col("id").alias(id_col), "component_id")
 
 
-def one_of_each_group(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each near-duplicate group, the one with the smallest id; same columns.
 
-    Rows without an id stay; of rows that repeat the id one stays.
+    Rows are known by id and text: unlike texts under one id are documents of
+    their own. Rows without an id stay; of rows that repeat id and text one stays.
     """
-    found = near_duplicate_texts(docs, id_col=id_col)
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    kept = docs.join(gone, id_col, "left_anti").select(*docs.columns)
-    known = kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-    return known.unionByName(kept.where(F.col(id_col).isNull()))
+    sketches, copies = near_copies(docs, id_col=id_col, text_col=text_col)
+    gone = sketches.join(copies, "copy").where("node <> root or id <> rep").select(F.col("id").alias(id_col), F.col("copy").alias("__copy")).distinct()
+    kept = docs.withColumn("__copy", copy_of(text_col)).join(gone, [id_col, "__copy"], "left_anti")
+    known = kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col, "__copy"])
+    return known.unionByName(kept.where(F.col(id_col).isNull())).select(*docs.columns)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

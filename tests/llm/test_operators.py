@@ -473,6 +473,15 @@ def test_near_duplicates_with_a_passage_repeated_inside_a_text(spark):
     assert found == {i: i // 2 * 2 for i, _ in rows}
 
 
+def test_unlike_texts_of_one_id_are_documents_of_their_own(spark):
+    rnd = random.Random(13)
+    a, b, c, d = (" ".join(f"w{rnd.randrange(10**6)}" for _ in range(60)) for _ in range(4))
+    rows = [(1, a), (2, b), (2, a + " end"), (2, c), (2, c), (3, d), (3, d + " end"), (4, c)]
+    kept = sorted((r.doc_id, r.text) for r in simhash.one_of_each_group(make(spark, rows)).collect())
+    assert [(i, t) for i, t in kept if i < 3] == sorted([(1, a), (2, b), (2, c)])
+    assert [i for i, _ in kept if i > 2] == [3]
+
+
 # ---- 9 licenses
 
 
