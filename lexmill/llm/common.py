@@ -27,15 +27,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def durable(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and cut its lineage there.
 
-    The folder is the session's spark.checkpoint.dir; a temporary folder is
-    taken only where that is unset (local tests). Lost executors don't lose it.
+    Lost executors don't lose it.
     """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's spark.checkpoint.dir.
+
+    Only a local session may leave it unset and gets a temporary one.
+    """
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="checkpoint-")
+
+
 def fold(column):
     """Lower-case A-Z only, unlike lower(), which folds all scripts."""
     return F.translate(column, UPPER, LOWER)

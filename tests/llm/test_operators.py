@@ -254,14 +254,18 @@ def brute_lines(rows, min_words=8):
         ls = (text or "").split("\n") if text is not None else []
         full = [(i, x.strip(" ")) for i, x in enumerate(ls) if x.strip(" ")]
         at.append((d, full))
-    for size in (1, 2, 4, 8):
+    for size in range(1, max([len(full) for _, full in at], default=0) + 1):
         for d, full in at:
             for j in range(len(full) - size + 1):
                 win = full[j : j + size]
                 key = (size, tuple(x for _, x in win))
-                if seen[key] and sum(x.count(" ") + 1 for _, x in win) >= min_words:
-                    gone[d] |= set(range(win[0][0], win[-1][0] + 1))
+                if seen[key] and sum(max(1, len(x.encode().split()), len(re.findall("[\u3040-\u30ff\u4e00-\u9fff]", x)) // 2) for _, x in win) >= min_words:
+                    gone[d] |= {i for i, _ in win}
                 seen[key].add((d, j))
+    for d, full in at:
+        for (a, _), (b, _) in zip(full, full[1:], strict=False):
+            if {a, b} <= gone[d]:
+                gone[d] |= set(range(a, b))
     return gone
 
 
@@ -282,6 +286,20 @@ def test_line_dedup(spark, empty):
     assert kept.columns == docs.columns and 205 not in {r.doc_id for r in kept.collect()} and all(r.n_chars == len(r.text) for r in kept.collect() if r.text)
 
 
+def test_line_dedup_of_short_lines_by_brute_force(spark):
+    """Every length of run counts, words are runs without blanks, scripts without blanks count by characters."""
+    rnd = random.Random(21)
+    rows = [(0, "a b c\nd e f\ng h"), (1, "x\na b c\nd e f\ng h\ny"), (2, "a" + " " * 10 + "b"), (3, "a" + " " * 10 + "b"), (4, "日本語の文章はここにありますから"), (5, "日本語の文章はここにありますから")]
+    pool = [" ".join(rnd.choice("abcdefg") for _ in range(rnd.choice((1, 1, 2, 3, 9)))) for _ in range(6)]
+    rows += [(10 + i, "\n".join(rnd.choice([*pool, "", "\t"]) for _ in range(rnd.randint(1, 25)))) for i in range(60)]
+    gone = brute_lines(rows)
+    assert gone[1] == {1, 2, 3} and not gone[3] and gone[5] == {0}
+    found = line_dedup.dedup_lines(make(spark, rows)).collect()
+    for r in found:
+        assert r.text == "\n".join(x for i, x in enumerate(dict(rows)[r.doc_id].split("\n")) if i not in gone[r.doc_id]), r.doc_id
+    assert {min(20, len(v)) for v in gone.values()} > {1, 3, 5}
+
+
 def test_maximal_runs(spark):
     lines = [f"line number {i} has quite a few more words" for i in range(40)]
     docs = make(spark, [(1, "\n".join(lines[:20])), (2, "\n".join(["x"] + lines[3:16] + ["y"])), (3, "\n".join(lines[30:33])), (4, "\n".join(lines[30:33]))])
