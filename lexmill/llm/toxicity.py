@@ -1,25 +1,38 @@
 """Toxicity by weak supervision.
 
-Voters are mined from labelled training documents: words (lexicon voters) and
-word beginnings (pattern voters), each with a least count in the text, whose
-presence raises the odds of the label. A generative model takes the true label
-as hidden: it estimates each voter's rates given either label and the
-correlations of the voters' residuals by expectation maximisation, discounts
-voters by how correlated they are, and gives posterior labels. The given label
-is one more voter of unknown accuracy. A logistic regression over the votes is
-fitted to the posteriors and scores every text as a whole.
+Voters come from fixed families: words and word beginnings (lexicon and pattern
+voters, each with a least count in a text), which vote toxic or abstain, and
+counter-voters that vote clean or abstain: a text in which no word of the lexicon
+occurs, and one in which no beginning does. The label of a labelled document is
+one more voter, of unknown accuracy like the others.
+
+Which words and beginnings are worth asking is read off the labelled documents:
+they occur in LEAST_SHARE of the toxic ones, with ODDS against the others, more
+clearly than any shorter beginning or lower count that includes them, and in as
+many toxic documents that fewer than COVER stronger ones occur in. All that meet
+this are voters. They need not be right: a generative model with
+the true label hidden estimates every voter's rates given either label from how
+voters agree, and the correlations of their residuals, by which voters that say
+the same count less. It starts from the share of votes, not from the given
+labels, and gives posterior labels; wrong given labels are outvoted. A logistic
+regression over the votes is fitted to the posteriors and scores whole texts.
 
 Fitting takes at most TRAIN_ROWS labelled documents of each label, chosen by a
 hash of the id (a documented bound; the share of the labels is counted over all
-labelled training rows and restored by weights). Scoring is one narrow pass.
+labelled training rows and restored by weights). Their texts stay on the
+executors; the driver gets names of voters and one short list of votes for each
+document. Scoring is one narrow pass.
 
 Labels come only from rows whose crc32(id as text) mod 5 is not 0. Neither
 labels nor lang, source or id are inputs of a score.
 
 Contract for odd rows: null and empty texts get the score of a text without
-votes; rows with a null label or id aren't learned from; ids labelled twice
-count as toxic if any label is; a null id is not held out; without training rows
-of both labels every score is the share of the toxic label (0 without any).
+votes; texts of any length are read whole; rows with a null label or id aren't
+learned from; ids labelled twice count as toxic if any label is; of unlike texts
+of one id the smallest is learned from, repeated rows once; every row is scored,
+repeated ones alike; other columns, whatever their names, take no part; a null
+id is not held out; without training rows of both labels every score is the
+share of the toxic label (0 without any).
 """
 
 from __future__ import annotations
@@ -32,15 +45,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import rows_of, table, words_of
+from lexmill.llm.common import durable, rows_of, table, words_of
 
-#: Bounds of the fit: documents of each label, voters.
-TRAIN_ROWS, VOTERS = 3000, 240
+#: Bound of the fit: documents of each label.
+TRAIN_ROWS = 3000
 #: Bytes of the word beginnings that may become pattern voters; least counts in a text.
 BEGINNINGS, COUNTS = (4, 5, 6, 7, 8), (1, 2, 3)
 #: A voter fires in at least this share of toxic documents (and in LEAST_DOCS), with this odds ratio.
 LEAST_SHARE, LEAST_DOCS, ODDS = 0.01, 3, 8.0
-ROUNDS, RIDGE = 25, 1e-3
+#: Voters that a toxic document may have before weaker ones are needless for it.
+COVER = 3
+ROUNDS, RIDGE = 50, 1e-3
+#: What a voter's rates are before any row is seen, in rows: the given label is right in 9 of 10.
+GIVEN_RIGHT, PRIOR_ROWS = 0.9, 20.0
+#: Traits that a task counts at a time.
+TRAITS = 1_000_000
 
 
 def held_out(id_col: str) -> Column:
@@ -80,43 +99,96 @@ def traits(text: str | None, known: set | None = None) -> list[tuple[bytes, int]
     return [(name, k) for name, n in counts.items() for k in COUNTS if n >= k and (known is None or (name, k) in known)]
 
 
-def find_voters(texts: list[str | None], toxic: np.ndarray) -> list[tuple[bytes, int]]:
-    """The voters with the strongest evidence; among voters of the same name the stricter counts must add odds."""
-    n1, n0 = int(toxic.sum()), int((~toxic).sum())
-    with_, without = Counter(), Counter()
-    for i in np.flatnonzero(toxic).tolist():
-        with_.update(traits(texts[i]))
-    least = max(LEAST_DOCS, LEAST_SHARE * n1)
-    likely = {t for t, n in with_.items() if n >= least}
-    for i in np.flatnonzero(~toxic).tolist():
-        without.update(traits(texts[i], likely))
-    odds = lambda t: (with_[t] + 0.5) / (n1 - with_[t] + 0.5) * (n0 - without[t] + 0.5) / (without[t] + 0.5)
-    kept = {t: odds(t) for t in likely if odds(t) >= ODDS}
-    strength = lambda t: -with_[t] * np.log(kept[t])
-    return sorted(kept, key=lambda t: (strength(t), t))[:VOTERS]
+def parents(trait: tuple[bytes, int]) -> Iterator[tuple[bytes, int]]:
+    """The traits that every text with this one has too: lower counts, shorter beginnings."""
+    name, least = trait
+    yield from ((name, k) for k in COUNTS if k < least)
+    word = name[1:] if name[:1] == b"=" else name
+    yield from ((word[:n], k) for n in BEGINNINGS if n < len(word) for k in COUNTS if k <= least)
 
 
-def label_model(votes: np.ndarray, given: np.ndarray, weights: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(posterior of the toxic label, rates of the voters given each label (2 x voters), discounts of the voters).
+def trait_counts(texts: DataFrame, known: set | None = None) -> DataFrame:
+    """(name, least, n): texts of the column `text` that have each trait, or those in known; counted in tasks first."""
 
-    votes: rows x voters in 0/1; given: the given label, the anchor voter; weights: of the rows.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[tuple[bytes, int]] = Counter()
+        for batch in batches:
+            for (text,) in rows_of([batch], "text"):
+                counts.update(traits(text, known))
+                if len(counts) > TRAITS:
+                    yield record(counts)
+                    counts.clear()
+        yield record(counts)
+
+    def record(counts: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([t for t, _ in counts], pa.binary()), pa.array([k for _, k in counts], pa.int32()), pa.array(list(counts.values()), pa.int64())], names=["name", "least", "n"])
+
+    return texts.select("text").mapInArrow(run, "name binary, least int, n long").groupBy("name", "least").agg(F.sum("n").alias("n"))
+
+
+def candidates(sample: DataFrame, n1: int, n0: int) -> list[tuple[bytes, int]]:
+    """The traits whose evidence meets the limits and that no parent shows as clearly, strongest first; sample: (text, y)."""
+    listed = lambda df: {(bytes(r["name"]), r["least"]): r["n"] for r in df.collect()}
+    with_ = listed(trait_counts(sample.where("y = 1")).where(F.col("n") >= max(LEAST_DOCS, LEAST_SHARE * n1)))
+    without = listed(trait_counts(sample.where("y = 0"), set(with_)))
+    odds = {t: (n + 0.5) / (n1 - n + 0.5) * (n0 - without.get(t, 0) + 0.5) / (without.get(t, 0) + 0.5) for t, n in with_.items()}
+    kept = {t for t, x in odds.items() if x >= ODDS}
+    clear = [t for t in kept if all(odds[t] > odds[p] for p in parents(t) if p in kept)]
+    return sorted(clear, key=lambda t: (-with_[t] * np.log(odds[t]), t))
+
+
+def needed(fired: list[list[int]], toxic: np.ndarray, n: int) -> list[int]:
+    """Of n candidates, strongest first, those that occur in enough toxic documents with fewer than COVER stronger ones."""
+    at: list[list[int]] = [[] for _ in range(n)]
+    for row in np.flatnonzero(toxic).tolist():
+        for c in fired[row]:
+            at[c].append(row)
+    cover, found, least = np.zeros(len(fired), dtype=np.int64), [], max(LEAST_DOCS, LEAST_SHARE * toxic.sum())
+    for c, rows in enumerate(at):
+        if (cover[rows] < COVER).sum() >= least:
+            cover[rows] += 1
+            found.append(c)
+    return found
+
+
+def votes_of(fired: list[list[int]], given: np.ndarray, voters: list[tuple[bytes, int]]) -> np.ndarray:
+    """Rows x (voters, the two counter-voters, the given label): 1 toxic, -1 clean, 0 abstains."""
+    votes = np.zeros((len(fired), len(voters) + 3))
+    word = np.array([name[:1] == b"=" for name, _ in voters], dtype=bool)
+    for i, at in enumerate(fired):
+        votes[i, at] = 1
+    votes[:, -3] = -1.0 * ~votes[:, :-3][:, word].any(1)
+    votes[:, -2] = -1.0 * ~votes[:, :-3][:, ~word].any(1)
+    votes[:, -1] = np.where(given, 1, -1)
+    return votes
+
+
+def label_model(votes: np.ndarray, weights: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(posterior of the toxic label, rates (label, vote -1/0/1, voter), discounts of the voters).
+
+    votes: rows x voters in -1, 0, 1, the last the given label; weights: of the
+    rows. Expectation maximisation from the share of votes for toxic; the last
+    voter starts as right in GIVEN_RIGHT of the rows, with the weight of
+    PRIOR_ROWS. A voter that abstains says nothing; one that says the same as
+    others beyond what the label explains counts by its share of what they say.
     """
-    posterior = np.where(given, 0.95, 0.05)
-    discount = np.ones(votes.shape[1])
+    kinds = np.stack([(votes == v).astype(float) for v in (-1, 0, 1)])
     prior = np.log(share / (1 - share))
+    posterior = (votes > 0).sum(1) / np.maximum(1, (votes != 0).sum(1))
+    chance = 4 / np.sqrt(len(votes))  # correlations below are noise
+    smooth = np.full((2, 3, votes.shape[1]), 0.25)
+    smooth[:, :, -1] = PRIOR_ROWS * np.array([[GIVEN_RIGHT, 0, 1 - GIVEN_RIGHT], [1 - GIVEN_RIGHT, 0, GIVEN_RIGHT]])
     for _ in range(ROUNDS):
         by = np.stack([weights * (1 - posterior), weights * posterior])
-        rates = (by @ votes + 0.5) / (by.sum(1, keepdims=True) + 1)
-        anchor = (by @ given + 1) / (by.sum(1) + 2)
-        expected = rates[0] + posterior[:, None] * (rates[1] - rates[0])
-        residual = (votes - expected) * np.sqrt(weights)[:, None]
+        rates = np.einsum("lr,krv->lkv", by, kinds) + smooth
+        rates /= rates.sum(1, keepdims=True)
+        mean = rates[:, 2] - rates[:, 0]
+        residual = (votes - mean[0] - posterior[:, None] * (mean[1] - mean[0])) * np.sqrt(weights)[:, None]
         spread = np.sqrt((residual**2).sum(0)) + 1e-9
-        correlated = np.abs(residual.T @ residual / spread[:, None] / spread[None, :])
-        discount = 1 / np.maximum(1, correlated.sum(1))
-        evidence = np.log(rates[1] / rates[0]), np.log((1 - rates[1]) / (1 - rates[0]))
-        logit = prior + (votes * (evidence[0] - evidence[1]) + evidence[1]) @ discount
-        logit += np.where(given, np.log(anchor[1] / anchor[0]), np.log((1 - anchor[1]) / (1 - anchor[0])))
-        new = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+        correlated = residual.T @ residual / spread[:, None] / spread[None, :]
+        discount = 1 / np.maximum(1, np.where(correlated > chance, correlated, 0).sum(1))
+        evidence = np.log(np.maximum(rates[1], 1e-12) / np.maximum(rates[0], 1e-12)) * discount * [[1], [0], [1]]
+        new = 1 / (1 + np.exp(-np.clip(prior + np.einsum("krv,kv->r", kinds, evidence), -30, 30)))
         done = np.abs(new - posterior).max() < 1e-6
         posterior = new
         if done:
@@ -157,21 +229,32 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     share = n1 / (n1 + n0) if n1 + n0 else 0.0
     chosen = [usable.where(F.col("y") == y).orderBy(F.xxhash64(id_col), id_col).limit(TRAIN_ROWS) for y in (0, 1)]
     #: At most 2 x TRAIN_ROWS ids.
-    sample = docs.select(id_col, text_col).join(F.broadcast(chosen[0].unionAll(chosen[1])), id_col).dropDuplicates([id_col]).collect()
-    sample.sort(key=lambda r: r[id_col])
-    texts, given = [r[text_col] for r in sample], np.array([r["y"] == 1 for r in sample], dtype=bool)
-    if not given.any() or given.all():
+    few = F.broadcast(chosen[0].unionAll(chosen[1]))
+    sample = durable(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(few.withColumnRenamed(id_col, "id"), "id").groupBy("id", "y").agg(F.min("text").alias("text")))
+    seen = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    if len(seen) < 2:
         share = min(max(share, 1e-9), 1 - 1e-9)
         return Model([], np.array([0.0, np.log(share / (1 - share))]))
-    voters = find_voters(texts, given)
-    finder = Votes(voters)
-    votes = np.zeros((len(texts), len(voters)))
-    for i, text in enumerate(texts):
-        votes[i, finder.fired(text)] = 1
+    voters = candidates(sample, seen[1], seen[0])
+    finder = sample.sparkSession.sparkContext.broadcast(Votes(voters))
+
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fired = [finder.value.fired(t) for (t,) in rows_of([batch], "text")]
+            yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.string()), batch.column("y"), pa.array(fired, pa.list_(pa.int32()))], names=["id", "y", "fired"])
+
+    #: At most 2 x TRAIN_ROWS rows of numbers of candidates.
+    rows = sorted(sample.mapInArrow(vote, "id string, y int, fired array<int>").collect(), key=lambda r: r["id"])
+    given, fired = np.array([r["y"] == 1 for r in rows], dtype=bool), [r["fired"] for r in rows]
+    kept = needed(fired, given, len(voters))
+    number = {c: i for i, c in enumerate(kept)}
+    voters, fired = [voters[c] for c in kept], [[number[c] for c in cs if c in number] for cs in fired]
     weights = np.where(given, n1 / given.sum(), n0 / (~given).sum())
     weights *= len(weights) / weights.sum()
-    posterior, _, _ = label_model(votes, given, weights, share)
-    return Model(voters, logistic(np.hstack([votes, np.log1p(votes.sum(1, keepdims=True))]), posterior, weights))
+    votes = votes_of(fired, given, voters)
+    posterior, _, _ = label_model(votes, weights, share)
+    fires = votes[:, : len(voters)]
+    return Model(voters, logistic(np.hstack([fires, np.log1p(fires.sum(1, keepdims=True))]), posterior, weights))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

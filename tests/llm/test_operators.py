@@ -195,16 +195,61 @@ def test_toxicity_without_labels(spark, empty):
     assert toxicity.score(empty, model).count() == 0
 
 
+def test_toxicity_odd_rows(spark):
+    """Very long and repeated rows, ids with unlike texts, clashing columns."""
+    rows, labels = toxic_rows(spark, 200)
+    rows += [(700, "plain " * 200_000), (701, "plain " * 200_000 + "scum gruffelist vile scum vile"), (0, "another text of id 0"), rows[5], rows[5]]
+    docs = make(spark, rows).withColumn("y", F.lit("x")).withColumn("score", F.lit("x"))
+    found = toxicity.score(docs, toxicity.fit(docs, spark.createDataFrame([*labels, labels[5]], "doc_id long, toxic int"))).collect()
+    by = collections.defaultdict(list)
+    for r in found:
+        by[r.doc_id].append(r)
+    assert len(found) == len(rows) and len(by[5]) == 3 and len({r.score for r in by[5]}) == 1 and len(by[0]) == 2
+    assert by[700][0].predicted == 0 and by[701][0].predicted == 1
+
+
 def test_label_model_finds_weak_voter():
     rnd = np.random.default_rng(0)
     y = rnd.random(3000) < 0.2
-    votes = np.stack([np.where(y, rnd.random(3000) < p, rnd.random(3000) < q) for p, q in ((0.9, 0.05), (0.8, 0.1), (0.5, 0.5))], axis=1).astype(float)
-    votes = np.hstack([votes, votes[:, :1]])
-    posterior, rates, discount = toxicity.label_model(votes, y, np.ones(3000), 0.2)
-    assert abs(rates[1][0] - 0.9) < 0.05 and abs(rates[0][1] - 0.1) < 0.05 and abs(rates[1][2] - rates[0][2]) < 0.1
+    votes = np.stack([np.where(y, rnd.random(3000) < p, rnd.random(3000) < q) for p, q in ((0.9, 0.05), (0.8, 0.1), (0.5, 0.5))], axis=1) * 2.0 - 1
+    votes = np.hstack([votes, votes[:, :1], np.where(y, 1.0, -1.0)[:, None]])
+    posterior, rates, discount = toxicity.label_model(votes, np.ones(3000), 0.2)
+    assert abs(rates[1][2][0] - 0.9) < 0.05 and abs(rates[0][2][1] - 0.1) < 0.05 and abs(rates[1][2][2] - rates[0][2][2]) < 0.1
     assert discount[0] < 0.65 and discount[2] > 0.8 and ((posterior > 0.5) == y).mean() > 0.97
 
 
+def test_label_model_posterior_by_brute_force():
+    """Three voters and the given label: the posterior is Bayes' rule over the rates, with each voter's evidence discounted, none from those that abstain."""
+    rnd = np.random.default_rng(1)
+    y = rnd.random(2000) < 0.3
+    votes = np.stack([np.where(y, rnd.choice([1, 0], 2000, p=[0.8, 0.2]), rnd.choice([1, 0], 2000, p=[0.05, 0.95])) for _ in range(3)] + [np.where(y ^ (rnd.random(2000) < 0.1), 1, -1)], axis=1).astype(float)
+    posterior, rates, discount = toxicity.label_model(votes, np.ones(2000), 0.3)
+    for row in range(0, 2000, 50):
+        odds = 0.3 / 0.7
+        for v in range(4):
+            at = int(votes[row, v]) + 1
+            odds *= (rates[1][at][v] / rates[0][at][v]) ** discount[v] if at != 1 else 1
+        assert posterior[row] == pytest.approx(odds / (1 + odds), abs=1e-3)
+
+
+def test_wrong_given_labels_are_outvoted(spark):
+    """A tenth of the given labels is flipped; the posterior and the classifier follow the truth."""
+    rows, labels = toxic_rows(spark, 1500)
+    truth, rnd = dict(labels), random.Random(8)
+    noisy = [(i, 1 - y if rnd.random() < 0.1 else y) for i, y in labels]
+    docs = make(spark, rows)
+    found = {r.doc_id: r.predicted for r in toxicity.score(docs, toxicity.fit(docs, spark.createDataFrame(noisy, "doc_id long, toxic int"))).collect()}
+    wrong = [i for i, y in noisy if y != truth[i]]
+    assert len(wrong) > 100 and sum(found[i] == truth[i] for i in wrong) >= 0.95 * len(wrong)
+    assert sum(found[i] == truth[i] for i in truth) >= 0.97 * len(truth)
+    rng = np.random.default_rng(2)
+    y = rng.random(4000) < 0.2
+    voters = [np.where(y, rng.random(4000) < 0.7, rng.random(4000) < 0.02) for _ in range(5)]
+    given = y ^ (rng.random(4000) < 0.15)
+    posterior, rates, _ = toxicity.label_model(np.stack([*(v * 1.0 for v in voters), np.where(given, 1.0, -1.0)], axis=1), np.ones(4000), 0.2)
+    assert ((posterior > 0.5) == y).mean() > 0.98 > (given == y).mean() and abs(rates[1][2][-1] - 0.85) < 0.05
+
+
 # ---- 4 url filters
 
 
