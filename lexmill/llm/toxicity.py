@@ -55,7 +55,8 @@ BEGINNINGS, COUNTS = (4, 5, 6, 7, 8), (1, 2, 3)
 LEAST_SHARE, LEAST_DOCS, ODDS = 0.01, 3, 8.0
 #: Voters that a toxic document may have before weaker ones are needless for it.
 COVER = 3
-ROUNDS, RIDGE = 50, 1e-3
+#: Rounds, those of them that take voters as independent until the labels are near, ridge of the regression.
+ROUNDS, FREE, RIDGE = 60, 10, 1e-3
 #: What a voter's rates are before any row is seen, in rows: the given label is right in 9 of 10.
 GIVEN_RIGHT, PRIOR_ROWS = 0.9, 20.0
 #: Traits that a task counts at a time.
@@ -178,7 +179,7 @@ def label_model(votes: np.ndarray, weights: np.ndarray, share: float) -> tuple[n
     chance = 4 / np.sqrt(len(votes))  # correlations below are noise
     smooth = np.full((2, 3, votes.shape[1]), 0.25)
     smooth[:, :, -1] = PRIOR_ROWS * np.array([[GIVEN_RIGHT, 0, 1 - GIVEN_RIGHT], [1 - GIVEN_RIGHT, 0, GIVEN_RIGHT]])
-    for _ in range(ROUNDS):
+    for i in range(ROUNDS):
         by = np.stack([weights * (1 - posterior), weights * posterior])
         rates = np.einsum("lr,krv->lkv", by, kinds) + smooth
         rates /= rates.sum(1, keepdims=True)
@@ -186,10 +187,10 @@ def label_model(votes: np.ndarray, weights: np.ndarray, share: float) -> tuple[n
         residual = (votes - mean[0] - posterior[:, None] * (mean[1] - mean[0])) * np.sqrt(weights)[:, None]
         spread = np.sqrt((residual**2).sum(0)) + 1e-9
         correlated = residual.T @ residual / spread[:, None] / spread[None, :]
-        discount = 1 / np.maximum(1, np.where(correlated > chance, correlated, 0).sum(1))
+        discount = 1 / np.maximum(1, np.where(correlated > chance, correlated, 0).sum(1)) if i >= FREE else np.ones(votes.shape[1])
         evidence = np.log(np.maximum(rates[1], 1e-12) / np.maximum(rates[0], 1e-12)) * discount * [[1], [0], [1]]
         new = 1 / (1 + np.exp(-np.clip(prior + np.einsum("krv,kv->r", kinds, evidence), -30, 30)))
-        done = np.abs(new - posterior).max() < 1e-6
+        done = i > FREE and np.abs(new - posterior).max() < 1e-6
         posterior = new
         if done:
             break
