@@ -15,7 +15,9 @@ block whatever the size of the input. Sequence ids are the partition and a
 counter, so a lost task makes the same ids again from the same file split.
 
 Contract for odd rows: null and empty texts are the single end id; repeated
-rows are packed as often as they occur; an empty table gives no rows.
+rows are packed as often as they occur; a text of any length is cut into as many
+pieces as it needs; documents of equal score follow in the order of the shard;
+ids may be null and of any type; other columns take no part; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,14 +32,17 @@ import pyarrow as pa
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lexmill.llm.common import blocks_of, table
 
 WINDOW = 1024
-#: Of a shard: documents (12 bits in the sort keys below) and characters.
+#: Of a shard: documents and characters.
 SHARD_ROWS, SHARD_CHARS = 4096, 8_000_000
 #: A seed gets this many neighbours at a time.
 NEIGHBOURS = 16
+#: Terms of this share of a shard's documents are held as rows.
+DENSE = 16
 K1, B = 1.2, 0.75
 
 FIELDS = [("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("seed_doc", pa.bool_())]
@@ -72,58 +77,69 @@ def byte_pair_encoder(json_path: str, rank_path: str | None, pattern: str | None
 
 
 class Shard:
-    """A BM25 index over the distinct token ids of a block of documents."""
+    """A BM25 index over the distinct token ids of a block of documents.
 
-    def __init__(self, docs: list[np.ndarray], vocabulary: int = 1 << 16):
-        n = self.n = len(docs)
+    Terms of at least a DENSE-th of the documents have a row of weights over
+    all of them, the others a posting list. Statistics are those of the whole
+    block throughout; documents that are used leave rows and lists whenever a
+    quarter of those in them is (keep()), as they can't be neighbours any more.
+    """
+
+    def __init__(self, docs: list[np.ndarray]):
+        n = len(docs)
         lengths = np.array([len(d) for d in docs])
-        keys = np.concatenate([(d % vocabulary).astype(np.uint32) | np.uint32(i << 16) for i, d in enumerate(docs)]) if n else np.zeros(0, np.uint32)
+        vocabulary = 1 + max((int(d.max()) for d in docs if len(d)), default=0)
+        kind, bits = (np.uint32, 16) if vocabulary <= 1 << 16 and n <= 1 << 16 else (np.uint64, 32)
+        keys = np.concatenate([d.astype(kind) | kind(i << bits) for i, d in enumerate(docs)]) if n else np.zeros(0, kind)
         keys.sort()
         first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, int)
         tf = np.diff(np.r_[first, len(keys)])
-        doc, term = (keys[first] >> 16).astype(np.int32), (keys[first] & 0xFFFF).astype(np.int32)
+        doc, term = (keys[first] >> kind(bits)).astype(np.intp), (keys[first] & kind((1 << bits) - 1)).astype(np.intp)
         df = np.bincount(term, minlength=vocabulary)
         keep = df[term] > 1  # a term of one document finds no other
         doc, term, tf = doc[keep], term[keep], tf[keep]
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
         weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / max(1, lengths.mean() if n else 1)))
-        by_doc = np.lexsort((df[term], doc))
-        self.terms, self.of, self.own = term[by_doc], np.searchsorted(doc[by_doc], np.arange(n + 1)), weight[by_doc]
-        by_term = np.argsort(term, kind="stable")
-        self.docs, self.weights = doc[by_term], weight[by_term]
-        self.postings = np.searchsorted(term[by_term], np.arange(vocabulary + 1))
-        #: The most that a term adds to any document's score.
-        self.most = np.zeros(vocabulary)
-        np.maximum.at(self.most, term, weight)
-        self.asked = np.zeros(vocabulary, dtype=bool)
+        self.terms, self.of = term, np.searchsorted(doc, np.arange(n + 1))
+        common = np.flatnonzero(df >= max(2, n / DENSE))
+        self.row, self.live = np.full(vocabulary, -1, dtype=np.intp), np.arange(n)
+        self.row[common] = np.arange(len(common))
+        self.rows = np.zeros((len(common), n), dtype=np.float32)
+        dense = self.row[term] >= 0
+        self.rows[self.row[term[dense]], doc[dense]] = weight[dense]
+        rare = np.flatnonzero(~dense)
+        rare = rare[np.argsort(term[rare], kind="stable")]
+        self._post(doc[rare], term[rare], weight[rare])
+
+    def _post(self, docs: np.ndarray, term: np.ndarray, weights: np.ndarray) -> None:
+        """Posting lists in order of terms; docs are numbers in self.live, which holds the documents' own."""
+        self.docs, self.term, self.weights = docs, term, weights
+        self.postings = np.searchsorted(term, np.arange(len(self.row) + 1))
+
+    def keep(self, unused: np.ndarray) -> None:
+        """Take used documents out of rows and lists, if they are many."""
+        left = unused[self.live]
+        if 4 * left.sum() < 3 * len(self.live):
+            number, mine = np.cumsum(left) - 1, left[self.docs]
+            self.live, self.rows = self.live[left], np.ascontiguousarray(self.rows[:, left])
+            self._post(number[self.docs[mine]], self.term[mine], self.weights[mine])
 
     def neighbours(self, seed: int, unused: np.ndarray) -> list[int]:
-        """The unused documents that score highest for all of the seed's terms, by falling score, ties to the earlier one; only those above zero.
-
-        The rarest terms are scored first. What the others can add bounds the
-        score of each document, and only those whose bound reaches the best
-        partial scores are scored in full, so the result is that of all terms.
-        """
-        terms = self.terms[self.of[seed] : self.of[seed + 1]]
-        if not len(terms):
+        """The unused documents that score highest for all of the seed's terms, by falling score, ties to the earlier one; only those above zero."""
+        self.keep(unused)
+        n, terms = len(self.live), self.terms[self.of[seed] : self.of[seed + 1]]
+        if not n or not len(terms):
             return []
-        sizes = self.postings[terms + 1] - self.postings[terms]
-        left = np.r_[np.cumsum(self.most[terms][::-1])[::-1], 0.0]
-        first = max(1, int(np.searchsorted(np.cumsum(sizes), 20 * self.n)), int(np.searchsorted(-left, -0.03 * left[0])))
-        spans = [slice(*self.postings[t : t + 2]) for t in terms[:first]]
-        scores = np.bincount(np.concatenate([self.docs[s] for s in spans]), np.concatenate([self.weights[s] for s in spans]), self.n) * unused
-        least = np.partition(scores, -NEIGHBOURS)[-NEIGHBOURS] if self.n > NEIGHBOURS else 0.0
-        able = np.flatnonzero(unused & (scores + (left[first] if first < len(terms) else 0.0) >= least - 1e-9))
-        if first < len(terms):
-            self.asked[terms] = True
-            starts, counts = self.of[able], self.of[able + 1] - self.of[able]
-            at = np.repeat(starts - np.r_[0, np.cumsum(counts)[:-1]], counts) + np.arange(counts.sum())
-            total = np.bincount(np.repeat(np.arange(len(able)), counts), self.own[at] * self.asked[self.terms[at]], len(able))
-            self.asked[terms] = False
-        else:
-            total = scores[able]
-        top = np.lexsort((able, -total))[:NEIGHBOURS]
-        return able[top[total[top] > 0]].tolist()
+        rows = self.row[terms]
+        rare = terms[rows < 0]
+        spans = [slice(a, b) for a, b in zip(self.postings[rare].tolist(), self.postings[rare + 1].tolist(), strict=True)]
+        scores = self.rows[rows[rows >= 0]].sum(axis=0, dtype=np.float32).astype(np.float64)
+        if spans:
+            scores += np.bincount(np.concatenate([self.docs[s] for s in spans]), np.concatenate([self.weights[s] for s in spans]), n)
+        scores *= unused[self.live]
+        least = np.partition(scores, -NEIGHBOURS)[-NEIGHBOURS] if n > NEIGHBOURS else 0.0
+        able = np.flatnonzero((scores >= least) & (scores > 0))
+        return self.live[able[np.lexsort((able, -scores[able]))[:NEIGHBOURS]]].tolist()
 
 
 def pack_shard(docs: list[np.ndarray], window: int = WINDOW) -> Iterator[tuple[int, int, int, int, int, bool]]:
@@ -155,8 +171,8 @@ def pack_shard(docs: list[np.ndarray], window: int = WINDOW) -> Iterator[tuple[i
 
 def pack(docs: DataFrame, encoder: Callable[[], Callable[[str], np.ndarray]], window: int = WINDOW, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each piece of a document in a sequence; encoder is called on the worker and gives the text-to-ids function."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = pa.schema([(id_col, {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]), *FIELDS])
+    kind = docs.schema[id_col].dataType
+    schema = pa.schema([(id_col, to_arrow_type(kind)), *FIELDS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, base = encoder(), TaskContext.get().partitionId() << 40
@@ -167,7 +183,7 @@ def pack(docs: DataFrame, encoder: Callable[[], Callable[[str], np.ndarray]], wi
             base = rows[-1][5] + 1
 
     fields = ", ".join(f"{n} {'boolean' if t == pa.bool_() else 'bigint'}" for n, t in FIELDS)
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, {fields}")
+    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind.simpleString()}, {fields}")
 
 
 def _encoder() -> Callable[[str], np.ndarray]:

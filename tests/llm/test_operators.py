@@ -110,6 +110,7 @@ def test_packing_neighbours_by_brute_force():
         return sum(np.log1p((700 - df[t] + 0.5) / (df[t] + 0.5)) * own[t] * (packing.K1 + 1) / (own[t] + norm) for t in terms[seed] if df[t] > 1 and t in own)
 
     for seed in range(0, 700, 7):
+        unused[rnd.integers(0, 700, 4)] = False
         scores = sorted((score(seed, d) for d in range(700) if unused[d]), reverse=True)[: packing.NEIGHBOURS]
         found = shard.neighbours(seed, unused)
         assert all(unused[d] for d in found)
