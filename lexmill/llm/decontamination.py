@@ -2,19 +2,28 @@
 
 Documents stream through each partition in blocks of bounded size; a block is a
 shard with a suffix array over its words. Words that no benchmark item has are
-one symbol each that nothing matches, and suffixes that begin with a pair of
-words which no item has in a row are left out of the array: no test suffix
-could reach them. The array is sorted by prefix doubling up to the window.
-Every suffix of every item is then found by binary search: the interval of the
-array that shares its longest prefix, and the longest verbatim match there. An
-interval that shares a whole window marks the words of all its places.
-
-The benchmark is the stated query set. Its texts go to the workers in blocks of
-bounded size, each against all documents, and the blocks' results are summed.
+one symbol that nothing matches, and suffixes that begin with a pair of words
+which no item has in a row are left out of the array: no test suffix could reach
+them. The array is sorted by prefix doubling.
+
+Every suffix of every item that holds a window is binary-searched in the array:
+word by word the interval of training suffixes that share its beginning narrows,
+until it is empty or the window is shared. Suffixes with equal windows are one
+search; they are sorted once, on the driver. Each place of an interval is a
+verbatim match, and matches that follow each other on one diagonal (place in the
+document less place in the item) are one longer match, so matches come out with
+their whole length and both locations, however long they are.
+
+The benchmark is the stated query set. Its suffixes are broadcast in blocks of
+bounded size; one pass over the documents holds each shard against one block
+after the other, and a worker keeps one block at a time in memory.
 
 Contract for odd rows: a null text has no words; items without words match
 nothing; a null item_id is left out of the ids and their number, but its passages count
-as hits; repeated documents each get their row; an empty benchmark leaves all clean.
+as hits; items that share an id are one in the ids; repeated documents each get
+their row; texts of any length are read whole (a text is never parted over two
+shards); columns of docs are kept, but those with the names of ADDED are
+replaced; an empty benchmark leaves all clean, an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
@@ -35,81 +45,67 @@ SHARD_CHARS, BLOCK_BYTES = 8_000_000, 4_000_000
 
 
 class Items:
-    """A block of benchmark items as word ids (from 1), with the windows that each suffix must share."""
+    """A block of benchmark items: the distinct windows that their suffixes begin with, sorted, and where each stands."""
 
     def __init__(self, items: list[tuple], window: int):
         texts = [(key, words_of(text)) for key, text in items]
         texts = [(key, words) for key, words in texts if words]
         self.vocabulary = {w: i for i, w in enumerate(sorted({w for _, words in texts for w in words}), 1)}
-        self.keys = [key for key, _ in texts]
+        self.keys, self.window = [key for key, _ in texts], window
         ids = [np.array([self.vocabulary[w] for w in words], dtype=np.int64) for _, words in texts]
-        self.window = window
-        #: Every suffix that is as long as its item's window: its first words (up to `window`), its item.
-        self.depth = np.array([min(window, len(x)) for x in ids], dtype=np.int64)
-        rows, owner, place = [], [], []
-        for i, x in enumerate(ids):
-            for j in range(len(x) - self.depth[i] + 1):
-                rows.append(np.pad(x[j : j + window], (0, window - len(x[j : j + window]))).astype(np.int32))
-                owner.append(i)
-                place.append(j)
-        self.suffixes = np.array(rows, dtype=np.int32).reshape(-1, window)
-        self.owner, self.place = np.array(owner, dtype=np.int64), np.array(place, dtype=np.int64)
-        self.single = np.unique(self.suffixes[self.depth[self.owner] == 1, 0]) if len(rows) else np.zeros(0, np.int64)
+        depths = [min(window, len(x)) for x in ids]
+        rows = [np.pad(x[j : j + d], (0, window - d)) for x, d in zip(ids, depths, strict=True) for j in range(len(x) - d + 1)]
+        suffixes = np.array(rows, dtype=np.int64).reshape(-1, window)
+        owner = np.repeat(np.arange(len(ids)), [len(x) - d + 1 for x, d in zip(ids, depths, strict=True)]).astype(np.int64)
+        place = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(x) - d + 1) for x, d in zip(ids, depths, strict=True))])
+        #: Sorted distinct windows; window w stands at owner, place [of[w], of[w + 1]).
+        self.windows, inverse = np.unique(suffixes, axis=0, return_inverse=True)
+        order = np.argsort(inverse.ravel(), kind="stable")
+        self.of = np.searchsorted(inverse.ravel()[order], np.arange(len(self.windows) + 1))
+        self.owner, self.place = owner[order], place[order]
+        self.depth = (self.windows > 0).sum(1)
+        self.single = np.unique(self.windows[self.depth == 1, 0])
         n = len(self.vocabulary) + 1
-        self.pairs = np.unique(np.concatenate([x[:-1] * n + x[1:] for x in ids if len(x) > 1] or [np.zeros(0, np.int64)]))
+        self.pairs = np.unique(np.concatenate([np.zeros(0, np.int64), *(x[:-1] * n + x[1:] for x in ids)]))
 
     def find(self, words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
         """(first word, words, item, the window's place in the item) of each place in the shard that holds an item's window."""
-        none = np.zeros(0, np.int64)
-        if not len(words) or not len(self.suffixes):
-            return none, none, none, none
+        none = (np.zeros(0, np.int64),) * 4
+        if not len(words) or not len(self.windows):
+            return none
         n = len(self.vocabulary) + 1
         tail = np.r_[np.where(doc[1:] == doc[:-1], words[1:], 0), 0]
-        begins = (words > 0) & (np.isin(words, self.single) | ((tail > 0) & np.isin(words * n + tail, self.pairs)))
-        at = np.flatnonzero(begins)
+        at = np.flatnonzero((words > 0) & (np.isin(words, self.single) | ((tail > 0) & np.isin(words * n + tail, self.pairs))))
         if not len(at):
-            return none, none, none, none
-        # The words that follow each suffix that is left, none of another document; these are its sort key.
-        key = np.zeros((len(at), self.window), dtype=np.int32)
+            return none
+        # The words that follow each suffix, none beyond an unknown word or another document's.
+        key = np.zeros((len(at), self.window), dtype=np.int64)
         alive = np.ones(len(at), dtype=bool)
         for k in range(self.window):
             to = np.minimum(at + k, len(words) - 1)
             alive &= (at + k < len(words)) & (doc[to] == doc[at]) & (words[to] > 0)
             key[:, k] = np.where(alive, words[to], 0)
-        order, rank = suffix_array(np.concatenate([key, self.suffixes]))
-        # Test suffixes are ranked among the training suffixes: binary search by rank, then by prefix for the interval.
-        mine = order[order < len(at)]
-        found = []
-        depths = self.depth[self.owner]
-        for depth in np.unique(depths):
-            low = prefix_ranks(rank, order, np.concatenate([key, self.suffixes]), depth)
-            ranked, want = low[mine], np.flatnonzero(depths == depth)
-            lo = np.searchsorted(ranked, low[len(at) + want], "left")
-            hi = np.searchsorted(ranked, low[len(at) + want], "right")
-            n_hits = hi - lo
-            take = np.repeat(lo, n_hits) + np.arange(n_hits.sum()) - np.repeat(np.cumsum(n_hits) - n_hits, n_hits)
-            found.append((at[mine[take]], np.full(len(take), depth), np.repeat(self.owner[want], n_hits), np.repeat(self.place[want], n_hits)))
-        return tuple(map(np.concatenate, zip(*found, strict=True)))
-
-
-def longest_matches(at: np.ndarray, n: np.ndarray, item: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """For each place the length of the verbatim match that it belongs to: windows that follow each other on one diagonal are one match."""
-    order = np.lexsort((at, at - place, item))
-    a, i, d = at[order], item[order], (at - place)[order]
-    run = np.cumsum(np.r_[False, (i[1:] != i[:-1]) | (d[1:] != d[:-1]) | (a[1:] != a[:-1] + 1)])
-    out = np.empty(len(at), dtype=np.int64)
-    out[order] = np.bincount(run)[run] - 1 + n[order]
-    return out
+        order = suffix_array(key)
+        lo, hi = intervals(key[order], self.windows, self.depth)
+        found = np.flatnonzero(hi > lo)
+        window, mine = spread(found, lo[found], hi[found])
+        which, stands = spread(np.arange(len(window)), self.of[window], self.of[window + 1])
+        return at[order[mine]][which], self.depth[window][which], self.owner[stands], self.place[stands]
 
 
-def suffix_array(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order and ranks of the suffixes whose first words are the rows of keys, by prefix doubling over the columns.
+def spread(labels: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every number from lo to hi of each range, beside its label."""
+    n = hi - lo
+    return np.repeat(labels, n), np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
-    Ranks of the first 2^k words pair up to ranks of the first 2^(k+1); the
-    pairs for columns 2^k apart are ranked together, as the suffixes at those
-    columns are suffixes too.
+
+def suffix_array(keys: np.ndarray) -> np.ndarray:
+    """Order of the suffixes whose first words are the rows of keys, by prefix doubling.
+
+    Ranks by the first 2^k words pair up with those of the 2^k words after them
+    to ranks by the first 2^(k+1) words.
     """
-    ranks = [column.astype(np.int64) for column in keys.T]
+    ranks = list(keys.T)
     while len(ranks) > 1:
         merged = []
         for i in range(0, len(ranks), 2):
@@ -119,16 +115,40 @@ def suffix_array(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             else:
                 merged.append(ranks[i])
         ranks = merged
-    return np.argsort(ranks[0], kind="stable"), ranks[0]
-
-
-def prefix_ranks(rank: np.ndarray, order: np.ndarray, keys: np.ndarray, depth: int) -> np.ndarray:
-    """For every suffix the number of the interval of the array that shares its first `depth` words."""
-    ordered = keys[order]
-    starts = np.r_[False, (ordered[1:, :depth] != ordered[:-1, :depth]).any(axis=1)]
-    out = np.empty(len(order), dtype=np.int64)
-    out[order] = np.cumsum(starts)
-    return out
+    return np.argsort(ranks[0], kind="stable")
+
+
+def intervals(suffixes: np.ndarray, tests: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each test the interval of the sorted suffixes that share its first `depth` words; empty (lo = hi) if none does."""
+    lo, hi = np.zeros(len(tests), np.int64), np.full(len(tests), len(suffixes), np.int64)
+    live = np.arange(len(tests))
+    for k in range(suffixes.shape[1]):
+        live = live[(depth[live] > k) & (hi[live] > lo[live])]
+        if not len(live):
+            break
+        column, want = suffixes[:, k], tests[live, k]
+        a, b = lo[live], hi[live]
+        lo[live], hi[live] = bisect(column, want, a, b, False), bisect(column, want, a, b, True)
+    return lo, hi
+
+
+def bisect(column: np.ndarray, want: np.ndarray, lo: np.ndarray, hi: np.ndarray, after: bool) -> np.ndarray:
+    """For each range of the column, sorted inside it, the first place at or after `want` (after: beyond it)."""
+    lo, hi = lo.copy(), hi.copy()
+    while (open_ := lo < hi).any():
+        middle = (lo + hi) // 2
+        there = column[np.minimum(middle, len(column) - 1)]
+        right = open_ & ((there <= want) if after else (there < want))
+        lo, hi = np.where(right, middle + 1, lo), np.where(open_ & ~right, middle, hi)
+    return lo
+
+
+def longest_matches(at: np.ndarray, n: np.ndarray, item: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(first word, words, item, place in the item) of whole matches: windows that follow each other on one diagonal are one."""
+    order = np.lexsort((at, at - place, item))
+    a, i, d, m, p = at[order], item[order], (at - place)[order], n[order], place[order]
+    first = np.flatnonzero(np.r_[True, (i[1:] != i[:-1]) | (d[1:] != d[:-1]) | (a[1:] != a[:-1] + 1)]) if len(a) else np.zeros(0, np.int64)
+    return a[first], np.diff(np.r_[first, len(a)]) - 1 + m[first], i[first], p[first]
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple]]:
@@ -136,59 +156,54 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[t
     held, size = [], 0
     for row in benchmark.select(id_col, text_col).toLocalIterator():
         held.append((row[0], row[1]))
-        size += len((row[1] or "").encode()) + 16
+        size += len((row[1] or "").encode("utf-8", "surrogatepass")) + 16
         if size >= BLOCK_BYTES:
             yield held
             held, size = [], 0
-    yield held
+    if held:
+        yield held
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """docs with n_words, n_hit, n_items, longest_match (words), item_ids (a sorted array), items_sha256, contaminated.
+MATCH = StructType([StructField("item_id", StringType()), StructField("first", LongType()), StructField("item_first", LongType()), StructField("words", LongType())])
+FOUND = StructType([StructField("n_words", LongType()), StructField("n_hit", LongType()), StructField("longest_match", LongType()), StructField("item_ids", ArrayType(StringType())), StructField("matches", ArrayType(MATCH))])
+#: Names of the columns that contamination() adds.
+ADDED = (*FOUND.names, "n_items", "items_sha256", "contaminated")
 
-    The other columns of docs stay; its columns of those names are replaced.
-    """
-    out = docs.drop("n_words", "n_hit", "n_items", "longest_match", "item_ids", "items_sha256", "contaminated")
-    for k, block in enumerate(_blocks(benchmark, item_col, item_text)):
-        out = _against(out, docs.sparkSession.sparkContext.broadcast(Items(block, window)), text_col, first=not k)
-    hits = F.size("hit_words")
-    return out.select(
-        *(c for c in out.columns if c != "hit_words"),
-        hits.cast("long").alias("n_hit"),
-        F.size("item_ids").cast("long").alias("n_items"),
-        F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"),
-        (hits > 0).alias("contaminated"),
-    )
 
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """docs with n_words, n_hit, n_items, longest_match (words), item_ids (sorted), items_sha256, contaminated and matches.
 
-FOUND = ("n_words", "longest_match", "item_ids", "hit_words")
-
+    matches: item_id, first word in the document, first word in the item and
+    words of every verbatim match of at least a window, by place.
+    """
+    from pyspark.sql.pandas.types import to_arrow_type
 
-def _against(docs: DataFrame, items, text_col: str, first: bool) -> DataFrame:
-    """Add one block's findings to the columns of FOUND; hit_words are indices of words."""
-    kinds = (LongType(), LongType(), ArrayType(StringType()), ArrayType(LongType()))
-    kept = docs.drop(*FOUND)
+    blocks = [docs.sparkSession.sparkContext.broadcast(Items(b, window)) for b in _blocks(benchmark, item_col, item_text)]
+    kept = docs.drop(*(c for c in ADDED if c != text_col))
     columns = kept.columns
-    schema = StructType([*kept.schema.fields, *(StructField(n, t) for n, t in zip(FOUND, kinds, strict=True))])
+    types = [to_arrow_type(f.dataType) for f in FOUND]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, text_col):
-                found = scan_block(part.column(text_col).to_pylist(), items.value)
-                if not first:
-                    old = zip(*(part.column(n).to_pylist() for n in FOUND[1:]), strict=True)
-                    found = [(n, max(m, x), sorted({*a, *y}), sorted({*h, *z})) for (n, m, a, h), (x, y, z) in zip(found, old, strict=True)]
-                new = [pa.array(list(x), t) for x, t in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64())), strict=True)]
-                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in columns), *new], names=[*columns, *FOUND])
+                found = scan_shard(part.column(text_col).to_pylist(), blocks)
+                new = [pa.array(list(x), t) for x, t in zip(zip(*found, strict=True), types, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in columns), *new], names=[*columns, *FOUND.names])
 
-    return docs.mapInArrow(run, schema)
+    out = kept.mapInArrow(run, StructType([*kept.schema.fields, *FOUND.fields]))
+    return out.select(
+        "*",
+        F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
 
 
 def pieces(batch: pa.RecordBatch, text_col: str) -> Iterator[pa.RecordBatch]:
     """A batch in slices of about SHARD_CHARS."""
     start, size = 0, 0
-    for i, n in enumerate(x.as_py() and len(x.as_py()) or 0 for x in batch.column(text_col)):
-        size += n
+    for i, n in enumerate(pc.utf8_length(batch.column(text_col)).to_pylist()):
+        size += n or 0
         if size >= SHARD_CHARS:
             yield batch.slice(start, i + 1 - start)
             start, size = i + 1, 0
@@ -196,29 +211,35 @@ def pieces(batch: pa.RecordBatch, text_col: str) -> Iterator[pa.RecordBatch]:
         yield batch.slice(start)
 
 
-def scan_block(texts: list[str | None], items: Items) -> list[tuple]:
-    """(n_words, longest match, ids of matched items, indices of hit words) of each text of a shard."""
-    get = items.vocabulary.get
-    parts = [np.array([get(w, 0) for w in words_of(text)], dtype=np.int64) for text in texts]
-    sizes = np.array([len(p) for p in parts], dtype=np.int64)
-    ends = np.cumsum(sizes)
-    words, doc = np.concatenate([np.zeros(0, np.int64), *parts]), np.repeat(np.arange(len(parts)), sizes)
-    at, n, item, place = items.find(words, doc)
-    out = [(int(s), 0, [], []) for s in sizes]
-    if not len(at):
-        return out
-    step = np.zeros(len(words) + 1, dtype=np.int64)
-    np.add.at(step, at, 1)
-    np.add.at(step, at + n, -1)
-    hit = np.flatnonzero(np.cumsum(step)[:-1] > 0)
-    longest = np.zeros(len(parts), dtype=np.int64)
-    np.maximum.at(longest, doc[at], longest_matches(at, n, item, place))
-    of, which = np.divmod(np.unique(doc[at] * len(items.keys) + item), len(items.keys))
-    for d in np.unique(of).tolist():
-        begin = ends[d] - sizes[d]
-        ids = {items.keys[i] for i in which[np.searchsorted(of, d, "left") : np.searchsorted(of, d, "right")].tolist()}
-        mine = hit[slice(*np.searchsorted(hit, [begin, ends[d]]))] - begin
-        out[d] = (int(sizes[d]), int(longest[d]), sorted(str(i) for i in ids if i is not None), mine.tolist())
+def _opened(block) -> Items:
+    """A broadcast block; of several, only the one in use stays in memory."""
+    return block.value if hasattr(block, "value") else block
+
+
+def scan_shard(texts: list[str | None], blocks: list) -> list[tuple]:
+    """(n_words, n_hit, longest match, ids of matched items, matches) of each text of a shard."""
+    split = [words_of(text) for text in texts]
+    sizes = np.array([len(p) for p in split], dtype=np.int64)
+    begin = np.cumsum(sizes) - sizes
+    doc = np.repeat(np.arange(len(split)), sizes)
+    matches: list[list[tuple]] = [[] for _ in texts]
+    for block in blocks:
+        items = _opened(block)
+        get = items.vocabulary.get
+        words = np.array([get(w, 0) for part in split for w in part], dtype=np.int64)
+        for a, n, i, p in zip(*(x.tolist() for x in longest_matches(*items.find(words, doc))), strict=True):
+            key = items.keys[i]
+            matches[doc[a]].append((a - int(begin[doc[a]]), p, n, None if key is None else str(key)))
+        if len(blocks) > 1 and hasattr(block, "_value"):
+            del items, get, block._value  # read again for the next shard
+    out = []
+    for size, found in zip(sizes.tolist(), matches, strict=True):
+        hit, reached = 0, 0
+        found.sort(key=lambda m: (m[0], m[2], m[3] or "", m[1]))
+        for a, _, n, _ in found:
+            hit += max(0, a + n - max(a, reached))
+            reached = max(reached, a + n)
+        out.append((size, hit, max((m[2] for m in found), default=0), sorted({m[3] for m in found if m[3] is not None}), [{"item_id": k, "first": a, "item_first": p, "words": n} for a, p, n, k in found]))
     return out
 
 
@@ -232,10 +253,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text")
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return contamination(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    return contamination(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match")
 
 
-#: Windows as strings. The words that a window's places cover are counted once each.
+#: Windows as strings. The words that a window's places cover are counted once each; windows that follow each other on a diagonal are one match.
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, text, row_number() OVER () AS k FROM documents
@@ -248,18 +269,29 @@ WITH d AS (
 ), bw AS (
   SELECT DISTINCT item_id, n, array_to_string(ws[i:i + n - 1], ' ') AS win
   FROM (SELECT item_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM bn)
+), bp AS (
+  SELECT item_id, n, i AS p, array_to_string(ws[i:i + n - 1], ' ') AS win
+  FROM (SELECT item_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM bn)
 ), ns AS (SELECT DISTINCT n FROM bw
 ), dw AS (
   SELECT k, n, i, array_to_string(ws[i:i + n - 1], ' ') AS win
   FROM (SELECT k, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM w, ns WHERE len(ws) >= n)
 ), m AS (
   SELECT dw.k, dw.i, dw.n, bw.item_id FROM dw JOIN bw ON dw.n = bw.n AND dw.win = bw.win
+), mp AS (
+  SELECT dw.k, dw.i, dw.n, bp.item_id, bp.p FROM dw JOIN bp ON dw.n = bp.n AND dw.win = bp.win
 ), h AS (
   SELECT k, count(DISTINCT p) AS n_hit FROM (SELECT k, unnest(range(i, i + n)) AS p FROM m) GROUP BY k
+), runs AS (
+  SELECT k, max(hi - lo) AS longest FROM (
+    SELECT k, item_id, i - p AS diagonal, run, min(i) AS lo, max(i + n) AS hi
+    FROM (SELECT *, i - row_number() OVER (PARTITION BY k, item_id, i - p ORDER BY i) AS run FROM mp) GROUP BY k, item_id, i - p, run
+  ) GROUP BY k
 ), it AS (
   SELECT k, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM m GROUP BY k
 )
 SELECT w.doc_id, CAST(len(w.ws) AS BIGINT) AS n_words, CAST(coalesce(h.n_hit, 0) AS BIGINT) AS n_hit,
-       CAST(coalesce(it.n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(it.ids, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
-FROM w LEFT JOIN h ON w.k = h.k LEFT JOIN it ON w.k = it.k
+       CAST(coalesce(it.n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(it.ids, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated,
+       CAST(coalesce(runs.longest, 0) AS BIGINT) AS longest_match
+FROM w LEFT JOIN h ON w.k = h.k LEFT JOIN it ON w.k = it.k LEFT JOIN runs ON w.k = runs.k
 """

@@ -7,8 +7,8 @@ occurs, and one in which no beginning does. The label of a labelled document is
 one more voter, of unknown accuracy like the others.
 
 Which words and beginnings are worth asking is read off the labelled documents:
-they occur in LEAST_SHARE of the toxic ones, with ODDS against the others, more
-clearly than any shorter beginning or lower count that includes them, and in as
+they occur in LEAST_SHARE of the toxic ones, with ODDS against the others (and
+SURE_ODDS if chance is allowed for), more clearly than any shorter beginning or lower count that includes them, and in as
 many toxic documents that fewer than COVER stronger ones occur in. All that meet
 this are voters. They need not be right: a generative model with
 the true label hidden estimates every voter's rates given either label from how
@@ -53,10 +53,11 @@ TRAIN_ROWS = 3000
 BEGINNINGS, COUNTS = (4, 5, 6, 7, 8), (1, 2, 3)
 #: A voter fires in at least this share of toxic documents (and in LEAST_DOCS), with this odds ratio.
 LEAST_SHARE, LEAST_DOCS, ODDS = 0.01, 3, 8.0
+#: The odds ratio less two standard errors of its logarithm.
+SURE_ODDS = 2.0
 #: Voters that a toxic document may have before weaker ones are needless for it.
 COVER = 3
-#: Rounds, those of them that take voters as independent until the labels are near, ridge of the regression.
-ROUNDS, FREE, RIDGE = 60, 10, 1e-3
+ROUNDS, RIDGE = 60, 1e-3
 #: What a voter's rates are before any row is seen, in rows: the given label is right in 9 of 10.
 GIVEN_RIGHT, PRIOR_ROWS = 0.9, 20.0
 #: Traits that a task counts at a time.
@@ -132,8 +133,9 @@ def candidates(sample: DataFrame, n1: int, n0: int) -> list[tuple[bytes, int]]:
     listed = lambda df: {(bytes(r["name"]), r["least"]): r["n"] for r in df.collect()}
     with_ = listed(trait_counts(sample.where("y = 1")).where(F.col("n") >= max(LEAST_DOCS, LEAST_SHARE * n1)))
     without = listed(trait_counts(sample.where("y = 0"), set(with_)))
-    odds = {t: (n + 0.5) / (n1 - n + 0.5) * (n0 - without.get(t, 0) + 0.5) / (without.get(t, 0) + 0.5) for t, n in with_.items()}
-    kept = {t for t, x in odds.items() if x >= ODDS}
+    cells = {t: np.array([n, n1 - n, n0 - without.get(t, 0), without.get(t, 0)]) + 0.5 for t, n in with_.items()}
+    odds = {t: c[0] / c[1] * c[2] / c[3] for t, c in cells.items()}
+    kept = {t for t, x in odds.items() if x >= ODDS and np.log(x) - 2 * np.sqrt((1 / cells[t]).sum()) >= np.log(SURE_ODDS)}
     clear = [t for t in kept if all(odds[t] > odds[p] for p in parents(t) if p in kept)]
     return sorted(clear, key=lambda t: (-with_[t] * np.log(odds[t]), t))
 
@@ -170,8 +172,10 @@ def label_model(votes: np.ndarray, weights: np.ndarray, share: float) -> tuple[n
     votes: rows x voters in -1, 0, 1, the last the given label; weights: of the
     rows. Expectation maximisation from the share of votes for toxic; the last
     voter starts as right in GIVEN_RIGHT of the rows, with the weight of
-    PRIOR_ROWS. A voter that abstains says nothing; one that says the same as
-    others beyond what the label explains counts by its share of what they say.
+    PRIOR_ROWS. A voter that abstains says nothing. Equal voters are one.
+    Rounds take the others as independent until the labels settle; then one that
+    says the same as others beyond what the label explains counts by its share
+    of what they say.
     """
     kinds = np.stack([(votes == v).astype(float) for v in (-1, 0, 1)])
     prior = np.log(share / (1 - share))
@@ -179,20 +183,22 @@ def label_model(votes: np.ndarray, weights: np.ndarray, share: float) -> tuple[n
     chance = 4 / np.sqrt(len(votes))  # correlations below are noise
     smooth = np.full((2, 3, votes.shape[1]), 0.25)
     smooth[:, :, -1] = PRIOR_ROWS * np.array([[GIVEN_RIGHT, 0, 1 - GIVEN_RIGHT], [1 - GIVEN_RIGHT, 0, GIVEN_RIGHT]])
-    for i in range(ROUNDS):
+    _, alike, n = np.unique(votes, axis=1, return_inverse=True, return_counts=True)
+    discount, settled = 1 / n[alike.ravel()], False
+    for i in range(ROUNDS + 1):
         by = np.stack([weights * (1 - posterior), weights * posterior])
         rates = np.einsum("lr,krv->lkv", by, kinds) + smooth
         rates /= rates.sum(1, keepdims=True)
-        mean = rates[:, 2] - rates[:, 0]
-        residual = (votes - mean[0] - posterior[:, None] * (mean[1] - mean[0])) * np.sqrt(weights)[:, None]
-        spread = np.sqrt((residual**2).sum(0)) + 1e-9
-        correlated = residual.T @ residual / spread[:, None] / spread[None, :]
-        discount = 1 / np.maximum(1, np.where(correlated > chance, correlated, 0).sum(1)) if i >= FREE else np.ones(votes.shape[1])
+        if last := settled or i == ROUNDS:
+            mean = rates[:, 2] - rates[:, 0]
+            residual = (votes - mean[0] - posterior[:, None] * (mean[1] - mean[0])) * np.sqrt(weights)[:, None]
+            spread = np.sqrt((residual**2).sum(0)) + 1e-9
+            correlated = residual.T @ residual / spread[:, None] / spread[None, :]
+            discount = 1 / np.maximum(1, np.where(correlated > chance, correlated, 0).sum(1))
         evidence = np.log(np.maximum(rates[1], 1e-12) / np.maximum(rates[0], 1e-12)) * discount * [[1], [0], [1]]
         new = 1 / (1 + np.exp(-np.clip(prior + np.einsum("krv,kv->r", kinds, evidence), -30, 30)))
-        done = i > FREE and np.abs(new - posterior).max() < 1e-6
-        posterior = new
-        if done:
+        settled, posterior = np.abs(new - posterior).max() < 1e-6, new
+        if last:
             break
     return posterior, rates, discount
 
