@@ -429,10 +429,34 @@ def test_decontamination(spark, rows, monkeypatch):
     assert decontamination.contamination(docs.limit(0), bench).count() == 0
 
 
-def test_longest_match():
-    items = decontamination.Items([(1, " ".join(f"a{i}" for i in range(30)))], 10)
-    out = decontamination.scan_block(["x " + " ".join(f"a{i}" for i in range(5, 22)) + " y", "z"], items)
-    assert out[0][1] == 17 and out[1] == (1, 0, [], [])
+def test_longest_matches_and_their_places():
+    items = decontamination.Items([(1, " ".join(f"a{i}" for i in range(30))), (2, "b c")], 10)
+    out = decontamination.scan_shard(["x " + " ".join(f"a{i}" for i in range(5, 22)) + " y b c", "z", None], [items])
+    assert out[0][:4] == (21, 19, 17, ["1", "2"]) and out[1] == (1, 0, 0, [], []) and out[2] == (0, 0, 0, [], [])
+    assert [tuple(m.values()) for m in out[0][4]] == [("1", 1, 5, 17), ("2", 19, 0, 2)]
+
+
+def test_intervals_by_brute_force():
+    rnd = np.random.default_rng(3)
+    suffixes, tests = rnd.integers(1, 4, (400, 5)), rnd.integers(1, 4, (200, 5))
+    depth = rnd.integers(1, 6, 200)
+    ordered = suffixes[decontamination.suffix_array(suffixes)]
+    assert ordered.tolist() == sorted(suffixes.tolist())
+    lo, hi = decontamination.intervals(ordered, tests, depth)
+    for t, d, a, b in zip(tests, depth, lo, hi, strict=True):
+        same = np.flatnonzero((ordered[:, :d] == t[:d]).all(axis=1))
+        assert same.tolist() == list(range(a, b))
+
+
+def test_decontamination_is_one_stage_and_keeps_clashing_columns(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a b c", "mine", 5), (1, "a b c", "mine", 5), (2, "d " * 100_000, None, 6)], "doc_id long, text string, hit_words string, item_ids long")
+    bench = spark.createDataFrame([(i, "a b c" if i == 7 else f"item{i} of them") for i in range(40)], "item_id long, text string")
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 40)
+    judged = decontamination.contamination(docs, bench)
+    assert judged._jdf.queryExecution().toString().split("== Physical Plan ==")[1].count("MapInArrow") == 1
+    assert sorted((r.doc_id, r.hit_words, r.item_ids, r.n_words) for r in judged.collect()) == [(1, "mine", ["7"], 3), (1, "mine", ["7"], 3), (2, None, [], 100_000)]
+    kept = decontamination.decontaminate(docs, bench)
+    assert [tuple(r)[0::3] for r in kept.collect()] == [(2, 6)] and kept.columns == docs.columns
 
 
 # ---- 8 simhash
