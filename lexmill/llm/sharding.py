@@ -10,12 +10,16 @@ texts is cut only when it holds more than `group_share` of a shard and a
 boundary beside it is not near enough; so a group that holds a third of all
 rows spreads over shards, and small groups stay whole.
 
-The driver holds at most 8192 counts for each splitter. Slots are numbered in
-bins of a shard (bounded rows, dealt by a hash of the row number) and shifted by
-the counts of the bins before, so no task numbers a whole shard.
-
-Contract for odd rows: a null text has size 1 and crc 0; repeated rows are placed
-one by one; a null doc_id is a value like any other; an empty table gives no rows.
+The driver holds at most 8192 counts for each splitter. The rows (keys and
+sizes, no texts) are exchanged once, by ranges of the key, and sorted; a shard's
+slots follow that order. A row's slot is its place among its partition's rows of
+the shard plus what earlier partitions hold of it, so no task numbers a whole
+shard; these counts are a row for each partition and shard that meet.
+
+Contract for odd rows: a null text has size 1 and crc 0, an empty one too; a text
+of any size is one row and never parted; repeated rows are placed one by one, in
+the order of their row numbers; a null doc_id is a value like any other; other
+columns take no part; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,8 +33,8 @@ KEYS = ("k0", "k1", "k2")
 #: Digits of a 63-bit key from the top: shift and width.
 DIGITS = ((50, 13), (37, 13), (24, 13), (11, 13), (0, 11))
 TOLERANCE, GROUP_SHARE = 0.005, 0.02
-#: Slots are numbered in bins of about this many rows, and no more bins than MOST_BINS.
-BIN_ROWS, MOST_BINS = 10_000, 65_536
+#: The row's place in a number of monotonically_increasing_id(), below that of its partition.
+PLACE_BITS = 33
 
 
 class Splitter:
@@ -107,8 +111,8 @@ def find_splitters(rows: DataFrame, shards: int, tolerance: float = TOLERANCE, g
     return splitters
 
 
-def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, size, text_crc32, shard, slot): shards of near equal bytes, slots gapless from 0 in each."""
+def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", tolerance: float = TOLERANCE, group_share: float = GROUP_SHARE) -> DataFrame:
+    """(id, size, text_crc32, shard, slot): shards of near equal bytes, slots gapless from 0 in the order of the key."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(
         id_col,
@@ -120,16 +124,14 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
     )
     rows = durable(keyed)
     number = F.lit(0)
-    for s in find_splitters(rows, shards):
+    for s in find_splitters(rows, shards, tolerance, group_share):
         number = number + s.before().cast("int")
-    n = rows.count()
-    bins = max(1, min(MOST_BINS // shards, -(-n // (shards * BIN_ROWS))))
-    placed = rows.select("*", number.alias("shard"), F.pmod(F.xxhash64("k2"), F.lit(bins)).cast("int").alias("bin"))
-    #: At most MOST_BINS rows, whatever the size of the input.
-    before = Window.partitionBy("shard").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    shift = placed.groupBy("shard", "bin").agg(F.count("*").alias("n")).select("shard", "bin", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
-    within = F.row_number().over(Window.partitionBy("shard", "bin").orderBy(*KEYS))
-    return placed.withColumn("within", within).join(F.broadcast(shift), ["shard", "bin"]).select(id_col, "size", "text_crc32", "shard", (F.col("shift") + F.col("within") - 1).alias("slot"))
+    ordered = durable(rows.select("*", number.alias("shard")).repartitionByRange(*KEYS).sortWithinPartitions(*KEYS)).withColumn("at", F.monotonically_increasing_id())
+    placed = ordered.withColumn("part", F.shiftrightunsigned("at", PLACE_BITS))
+    met = placed.groupBy("part", "shard").agg(F.count("*").alias("n"), F.min("at").alias("from"))
+    before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = met.select("part", "shard", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("from")).alias("shift"))
+    return placed.join(F.broadcast(shift), ["part", "shard"]).select(id_col, "size", "text_crc32", "shard", (F.col("at") + F.col("shift")).alias("slot"))
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
