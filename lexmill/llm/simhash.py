@@ -7,12 +7,15 @@ bits are linked, and documents that links reach share a component.
 Pairs: of `radius + 1` blocks of bits one is equal in a linked pair, and of
 `radius + 1` parts of the other bits one is equal too. Each fingerprint is sent
 once for each (block, part) with both values as key: every linked pair meets at
-least once, and a key fixes over half of the bits. Within a key, a table of
-Hamming distances to reference fingerprints (the pivots) is computed; a pair is
-discarded when any pivot's distances differ by more than the radius (triangle
-inequality), and the survivors are verified by their own distance. A task hands
-on one link from each fingerprint to an earlier one that it is connected with,
-not all pairs, so dense groups give rows in proportion to their size.
+least once, and a key fixes over half of the bits. A key of more than GROUP
+fingerprints is split by parts of its other bits in the same way, again and
+again, so that no task holds more. Within a key, a table of Hamming distances to
+reference fingerprints (the pivots) is computed. Rows stand in order of the
+distance to the first pivot, so pairs farther apart there than the radius are
+never formed; the others are discarded when any pivot's distances differ by more
+(triangle inequality), and the survivors are verified by their own distance. A
+task hands on one link from each fingerprint to an earlier one that it is
+connected with, not all pairs, so dense groups give rows in proportion to their size.
 
 Components come from alternating large-star and small-star rounds over these
 links, in the cluster, each round written to the shared checkpoint folder.
@@ -48,6 +51,8 @@ from lexmill.llm.common import FOLD_BYTES, durable, rows_of, table
 
 BITS, PIVOTS = 64, 32
 SEED = 42
+#: Fingerprints of one key that are paired in one task; more are split by further bits.
+GROUP = 4096
 #: Pairs that a task holds at once.
 PAIRS = 2_000_000
 
@@ -111,10 +116,13 @@ def distance_table(fps: np.ndarray, refs: np.ndarray) -> np.ndarray:
 def key_links(keys: np.ndarray, fps: np.ndarray, refs: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links (a, b) that connect the fingerprints of each key; rows sorted by key.
 
-    Row i is held against row i + s for s = 1, 2, ... while the key is the same.
-    A row that is already connected with its partner needs no link to it.
+    Row i is held against row i + s for s = 1, 2, ... while the key is the same
+    and the first pivot's distances are within the radius. A row that is already
+    connected with its partner needs no link to it.
     """
     far, n = distance_table(fps, refs), len(fps)
+    order = np.lexsort((far[:, 0], keys))
+    keys, fps, far = keys[order], fps[order], far[order]
     root = np.arange(n)
 
     def find(i: int) -> int:
@@ -127,10 +135,13 @@ def key_links(keys: np.ndarray, fps: np.ndarray, refs: np.ndarray, radius: int)
     while len(active):
         s += 1
         active = active[active + s < n]
-        active = active[keys[active] == keys[active + s]]
+        active = active[(keys[active] == keys[active + s]) & (far[active + s, 0] - far[active, 0] <= radius)]
         for i in range(0, len(active), PAIRS // PIVOTS):
             a = active[i : i + PAIRS // PIVOTS]
-            a = a[(np.abs(far[a] - far[a + s]) <= radius).all(axis=1)]
+            for c in range(1, far.shape[1]):
+                if not len(a):
+                    break
+                a = a[np.abs(far[a, c] - far[a + s, c]) <= radius]
             a = a[np.bitwise_count(fps[a] ^ fps[a + s]) <= radius]
             for x in a.tolist():
                 p, q = find(x), find(x + s)
@@ -141,11 +152,36 @@ def key_links(keys: np.ndarray, fps: np.ndarray, refs: np.ndarray, radius: int)
     return fps[left], fps[right]
 
 
+def finer(mask: int, radius: int) -> list[int]:
+    """The masks that fix one more part of the bits that a mask leaves open."""
+    return [mask | sum(1 << b for b in part) for part in _parts([b for b in range(BITS) if not mask >> b & 1], radius + 1)]
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
 def links(distinct: DataFrame, radius: int) -> DataFrame:
     """(a, b) links that connect the distinct fingerprints of column fp as all pairs within the radius do."""
+    key = F.xxhash64(F.col("mask"), F.col("fp").bitwiseAND(F.col("mask"))).alias("key")
     masks = block_masks(radius)
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keyed = distinct.select("fp", F.explode(F.array(*(F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(signed)))).alias("key"))
+    keyed = distinct.select("fp", F.explode(F.array(*(F.lit(_signed(m)) for m in masks))).alias("mask")).select("fp", "mask", key)
+    found = None
+    while True:
+        crowded = durable(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select("key"))
+        last = crowded.isEmpty()
+        paired = _paired(keyed if last else keyed.join(crowded, "key", "left_anti"), radius)
+        found = paired if found is None else found.unionAll(paired)
+        if last:
+            return found
+        wider = {m: finer(m, radius) for m in masks}
+        nexts = F.create_map(*(x for m, ms in wider.items() for x in (F.lit(_signed(m)), F.array(*(F.lit(_signed(c)) for c in ms)))))
+        keyed = durable(keyed.join(crowded, "key").select("fp", F.explode(nexts[F.col("mask")]).alias("mask")).select("fp", "mask", key))
+        masks = sorted({c for ms in wider.values() for c in ms})
+
+
+def _paired(keyed: DataFrame, radius: int) -> DataFrame:
+    """The links within each key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         refs = pivots()
@@ -164,7 +200,7 @@ def links(distinct: DataFrame, radius: int) -> DataFrame:
         a, b = key_links(k[keep], f[keep], refs, radius)
         return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint")
+    return keyed.select("fp", "key").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
