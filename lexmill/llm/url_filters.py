@@ -1,21 +1,22 @@
 """URL filters by association rules.
 
 Hand-written rules (host, path) judge the urls that they fit; these verdicts are
-the labels. Each labelled url becomes a set of tokens (labels of the host by
-place, path segments, query keys), and Spark's FP-growth mines combinations of
+the labels. Each labelled url becomes a set of tokens (words of the host, path
+segments, query keys, each marked as such), and Spark's FP-growth mines combinations of
 tokens that imply a verdict. Rules under the support or confidence limits are
 pruned. An inverted index from token to mined rule finds, for a url without a
 hand-written rule, the rules all of whose tokens it has; the most confident one
 decides, and without any the url is allowed.
 
-DataFrame operations and Spark ML only. Tokens with digits are left out, so the
-frequent items number at most the tokens of a url over the support limit. The
-index is broadcast only while it is under MOST_INDEX rows; beyond that the join
-is by token.
+DataFrame operations and Spark ML only. FP-growth counts single tokens first and
+goes on with those that meet the support limit, at most the tokens of a url over
+that limit. The index is joined by token, on whichever side Spark finds small.
 
 Contract for odd rows: null urls and urls without "://" have empty host and
-path, fit no rule and are allowed; repeated rows each get a row; an empty table
-gives no rows; without labelled urls nothing is mined.
+path, fit no rule and are allowed; urls of any length are read whole; repeated
+rows, also of one id, each get a row; of rules that are equally sure the one
+with more support, then fewer tokens, then a verdict of allow decides; other columns take
+no part; an empty table gives no rows; without labelled urls nothing is mined.
 """
 
 from __future__ import annotations
@@ -29,7 +30,6 @@ from lexmill.llm.common import durable, fold, table
 #: host, path, verdict.
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 SUPPORT, CONFIDENCE = 0.01, 0.9
-MOST_INDEX = 50_000
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -50,11 +50,11 @@ def fitting_rule(host: Column, path: Column, rules) -> tuple[Column, Column]:
 
 
 def tokens(url: Column, host: Column, path: Column) -> Column:
-    """Distinct tokens of a url, each kind once; those with digits would not repeat and are left out."""
+    """Distinct tokens of a url."""
     words = F.transform(F.split(host, r"[.\-]"), lambda x: F.concat(F.lit("h:"), x))
     segments = F.transform(F.split(path, "/"), lambda x: F.concat(F.lit("p:"), x))
     keys = F.transform(F.regexp_extract_all(F.coalesce(url, F.lit("")), F.lit(r"[?&]([^=&#]+)"), F.lit(1)), lambda x: F.concat(F.lit("k:"), x))
-    return F.array_distinct(F.filter(F.concat(words, segments, keys), lambda x: (F.length(x) > 2) & ~F.rlike(x, F.lit("[0-9]"))))
+    return F.array_distinct(F.filter(F.concat(words, segments, keys), lambda x: F.length(x) > 2))
 
 
 def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
@@ -83,8 +83,6 @@ def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str =
         return judged.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("given", F.lit("allow")).alias("verdict"), F.lit(None).cast("array<string>").alias("mined"))
     mined = durable(mine(labelled))
     index = mined.select(F.explode("tokens").alias("token"), "rule_id", F.size("tokens").alias("needed"), "verdict", "confidence", "support", "tokens")
-    if index.count() <= MOST_INDEX:
-        index = F.broadcast(index)
     open_ = judged.where("given is null").select("row", F.explode("tokens").alias("token"))
     full = open_.join(index, "token").groupBy("row", "rule_id", "needed", "verdict", "confidence", "support", "tokens").agg(F.count("*").alias("n")).where("n = needed")
     strength = F.struct("confidence", "support", -F.col("needed"), F.col("verdict") == "allow", "rule_id")
