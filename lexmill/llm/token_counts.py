@@ -18,8 +18,10 @@ Such maps compose associatively; a text of any length is cut anywhere into
 chunks whose maps meet in a balanced scan.
 
 Contract for odd rows: null text counts as empty (0 bytes, 0 tokens, not over
-the limit); repeated rows give repeated results; strings of special tokens in
-a text count one each, as the library does by default.
+the limit); texts and words of any length are counted whole; repeated rows give
+repeated results; ids may be null and of any type; other columns take no part;
+strings of special tokens in a text count one each, as the library does by
+default; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,6 +34,7 @@ from functools import cache
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lexmill.llm.common import rows_of, table
 
@@ -207,8 +210,8 @@ def token_counts(docs: DataFrame, tokenizer: str | Callable[[], str], limit: int
 
     tokenizer: the file's path, or a function that gives it on the worker.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = pa.schema([(id_col, {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
+    kind = docs.schema[id_col].dataType
+    schema = pa.schema([(id_col, to_arrow_type(kind)), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(tokenizer() if callable(tokenizer) else tokenizer)
@@ -220,7 +223,7 @@ def token_counts(docs: DataFrame, tokenizer: str | Callable[[], str], limit: int
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, schema, strict=True)], schema=schema)
 
-    return docs.select(id_col, text_col).mapInArrow(count, f"{id_col} {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    return docs.select(id_col, text_col).mapInArrow(count, f"{id_col} {kind.simpleString()}, n_bytes bigint, n_tokens bigint, over_limit boolean")
 
 
 def _word_file() -> str:

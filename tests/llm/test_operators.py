@@ -290,6 +290,43 @@ def test_mined_rules_by_brute_force(spark):
         assert confidence == pytest.approx(sum(x[1] == v for x in having) / len(having)) and confidence >= 0.9
 
 
+def test_judgement_by_brute_force(spark):
+    """Every url against every mined rule; urls of one id, long urls, frequent tokens with digits."""
+    rnd = random.Random(15)
+    urls = [f"http://{rnd.choice(['a', 'b', 'web2'])}.{rnd.choice(['com', 'net', 'org'])}/{rnd.choice(['fr', 'es', 'de', 'v1'])}/{rnd.choice(['x', 'news', 'ads'])}{rnd.choice(['', '?utm=1', '?id=2'])}" for _ in range(800)]
+    urls += ["http://web2.org/v1/" + "x" * 50_000, None, urls[0]]
+    pages = spark.createDataFrame([(i // 2, u, "r", 1) for i, u in enumerate(urls)], "page_id long, url string, rule string, row int")
+    found = url_filters.judge(pages).collect()
+    assert len(found) == len(urls)
+
+    def tokens(u):
+        host, _, rest = u.partition("://")[2].partition("/")
+        path, _, q = rest.partition("?")
+        return {x for x in [*("h:" + w for w in host.split(".")), *("p:" + w for w in path.split("/")), *("k:" + k.split("=")[0] for k in q.split("&") if q)] if len(x) > 2}
+
+    given = {h + p: v for h, p, v in url_filters.RULES}
+    host, path = url_filters.parts(F.col("url"))
+    rule, verdict = url_filters.fitting_rule(F.col("host"), F.col("path"), url_filters.RULES)
+    labelled = [r for r in pages.select("url", host.alias("host"), path.alias("path")).select("url", verdict.alias("v")).collect() if r.v]
+    mined = [(set(r.tokens), r.verdict, r.confidence, r.support, r.rule_id) for r in url_filters.mine(spark.createDataFrame([(sorted(tokens(r.url)), r.v) for r in labelled], "tokens array<string>, verdict string")).collect()]
+    assert any("h:web2" in t or "p:v1" in t for t, *_ in mined)
+    want = collections.Counter()
+    for u in urls:
+        fits = [(c, s, -len(t), v == "allow", i, v) for t, v, c, s, i in mined if u and t <= tokens(u)]
+        want[u, max(fits)[-1] if fits else "allow"] += 1
+    for r in found:
+        if r.rule:
+            assert r.verdict == given[r.rule]
+    by_rule = collections.Counter((r.host, r.path, r.verdict) for r in found if not r.rule)
+    brute = collections.Counter()
+    ruled = {r.url for r in labelled}
+    for (u, v), n in want.items():
+        if u not in ruled:
+            host, slash, rest = (u or "").partition("://")[2].partition("/")
+            brute[host, (slash + rest).partition("?")[0], v] += n
+    assert by_rule == brute
+
+
 # ---- 5 line dedup
 
 
@@ -393,6 +430,25 @@ def test_sharding_hot_group(spark):
     check_shards(sharding.shard(make(spark, same)).collect(), same, 16, 40)
 
 
+def test_shards_and_slots_follow_the_key(spark, rows):
+    small = [r for r in rows if len(r[1] or "") < 3000]
+    docs = make(spark, small)
+    found = sharding.shard(docs, 4)
+    keys = docs.select("doc_id", F.shiftrightunsigned(F.xxhash64("text"), 1).alias("k0"), F.shiftrightunsigned(F.xxhash64("doc_id"), 1).alias("k1"))
+    at = [(r.shard, r.slot, r.k0, r.k1) for r in found.join(keys.dropDuplicates(), "doc_id").where("doc_id <> 5").collect()]
+    assert [x[2:] for x in sorted(at)] == sorted(x[2:] for x in at)
+
+
+@pytest.mark.parametrize("share", [0.0, 10.0])
+def test_groups_are_cut_only_beyond_their_share(spark, share):
+    rows = [(i, f"text of group {i % 40}") for i in range(4000)]
+    shards = collections.defaultdict(set)
+    for r in sharding.shard(make(spark, rows), 7, group_share=share).collect():
+        shards[r.text_crc32].add(r.shard)
+    cut = sum(len(s) > 1 for s in shards.values())
+    assert cut == 0 if share else 0 < cut <= 6
+
+
 # ---- 7 decontamination
 
 
@@ -508,6 +564,18 @@ def test_simhash_links_by_brute_force(spark):
     assert groups(lambda k: found.get(k, k)) == groups(lambda k: want[k])
 
 
+def test_crowded_keys_are_split(spark, monkeypatch):
+    """Fingerprints that differ in a few low bits share their keys; split keys give the same components."""
+    rnd = random.Random(6)
+    fps = sorted({sum(1 << b for b in rnd.sample(range(18), rnd.randint(0, 6))) for _ in range(900)} | {rnd.getrandbits(64) for _ in range(100)})
+    monkeypatch.setattr(simhash, "GROUP", 20)
+    df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
+    found = {r.node & (1 << 64) - 1: r.root & (1 << 64) - 1 for r in simhash.components(simhash.links(df, 1)).collect()}
+    want = brute_components(fps, lambda a, b: (a ^ b).bit_count() <= 1)
+    groups = lambda of: sorted(tuple(sorted(k for k in fps if of(k) == r)) for r in {of(k) for k in fps})
+    assert groups(lambda k: found.get(k, k)) == groups(lambda k: want[k]) and len(set(want.values())) > 101
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(500, 501)], "a long, b long")
     assert {r.root for r in simhash.components(edges).where("node <= 100").collect()} == {0}
