@@ -1,26 +1,33 @@
 """License scans by diagonal voting.
 
-Every pair of neighbouring words of every text is joined to the positions that
-pair has in the templates, by hash and verified by the words themselves. A match
+Every k words in a row of every text are joined to the positions that these
+words have in the templates, by hash and verified by the words themselves. A match
 at word i of a text and position j of a template votes for the diagonal i - j.
-Votes are summed by (text, template, diagonal); for long templates neighbouring
-diagonals are merged, which bridges words put in or left out, and a span is
-verified by how much of the template it covers and by its length. A phrase
-template (the base) counts only where one diagonal has every vote, which is the
-phrase word for word.
-
-DataFrame operations only. The templates are a fixed table of under 300 rows,
-so its broadcast doesn't grow; one scan and one pass over the words serve both
-the matches and the counts of words, and only matches are shuffled.
+Votes are summed by (text, template, diagonal). Of passage templates, diagonals
+with enough votes that lie near each other are merged, which bridges words put
+in or left out; scattered single votes of common words join nothing. A span is
+verified by its words: how many of the template's k-grams stand in it, and how
+many of its own k-grams are the template's. A phrase template (the base) counts
+only where one diagonal has every vote, which is the phrase word for word.
+
+Templates may be of any length, whole licenses too; those with fewer words than
+k are joined by as many words as they have. Templates are a parameter and go
+through the same expressions as the texts, so no vote depends on how either was
+split.
+
+DataFrame operations only. One scan and one pass over the words serve both the
+matches and the counts of words, and only matches are shuffled. Templates are
+broadcast, as they are a literal of the plan and don't grow with the data.
 
 Contract for odd rows: null and empty texts have no words, no labels and score
-0; repeated rows each get a row (texts are told apart by a row number); an empty
-table gives no rows.
+0; texts of any length are scanned whole; repeated rows each get a row (texts are
+told apart by a row number); templates of one label are one label; other columns
+take no part, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.llm.common import WORD_PATTERN, fold, table
@@ -36,6 +43,7 @@ PASSAGES = {
     "under the terms of the gnu lesser general public license as published by the free software foundation": "lgpl",
     "under the terms of the gnu affero general public license as published by the free software foundation": "agpl",
     "redistribution and use in source and binary forms with or without modification are permitted": "bsd",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "isc",
     "this source code form is subject to the terms of the mozilla public license": "mpl",
     "this is free and unencumbered software released into the public domain": "unlicense",
     "licensed under cc by": "cc-by",
@@ -44,51 +52,88 @@ PASSAGES = {
     "this work is licensed under the gnu general public license version": "gpl-notice",
 }
 
-#: Share of a template's word pairs that a span must cover; how far apart merged diagonals may be; span against template length.
-COVERAGE, DRIFT, STRETCH = 0.8, 2, 1.5
+#: Words of a gram; share of a template's grams that a span must hold, and of its own grams that must be the template's.
+GRAM, COVERAGE, OWN = 2, 0.8, 0.5
+#: Votes that a diagonal needs to be merged, and how far apart merged diagonals may be.
+VOTES, DRIFT = 2, 2
+
+
+def words(text: Column) -> Column:
+    return F.regexp_extract_all(fold(F.coalesce(text, F.lit(""))), F.lit(WORD_PATTERN), F.lit(0))
 
 
-def templates(spark: SparkSession, phrases: dict[str, str], passages: dict[str, str]) -> DataFrame:
-    """(tid, label, base, pairs, tpos, a, b, pair): a row for each pair of words; at most 63 pairs a template."""
-    rows = [(i, label, base, text.split()) for i, (text, label, base) in enumerate([*((t, v, True) for t, v in phrases.items()), *((t, v, False) for t, v in passages.items())])]
-    if any(not 2 <= len(w) <= 64 for *_, w in rows):
-        raise ValueError("a template has 2 to 64 words")
-    structs = [
-        F.struct(F.lit(i).alias("tid"), F.lit(label).alias("label"), F.lit(base).alias("base"), F.lit(len(w) - 1).alias("pairs"), F.lit(j).alias("tpos"), F.lit(w[j]).alias("a"), F.lit(w[j + 1]).alias("b"))
-        for i, label, base, w in rows
-        for j in range(len(w) - 1)
-    ]
-    return spark.range(1).select(F.inline(F.array(*structs))).withColumn("pair", F.xxhash64("a", "b"))
+def gram(at: Column, size: int) -> Column:
+    """Hash of the first `size` words of a struct of words."""
+    return F.xxhash64(F.lit(size), *(at[f"w{n}"] for n in range(size)))
 
 
-def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, passages: dict[str, str] = PASSAGES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def placed(rows: DataFrame, column: str, most: int, *kept: str) -> DataFrame:
+    """The kept columns, i and w: each word's place in an array column and the `most` words from there on, as w.w0, w.w1, ...
+
+    An empty array gives one row with nulls. The array itself isn't carried to the rows.
+    """
+    shifted = [F.slice(column, n + 1, F.greatest(F.lit(0), F.size(column) - n)).alias(f"w{n}") for n in range(most)]
+    zipped = F.arrays_zip(*(F.col(f"w{n}") for n in range(most)))
+    return rows.select(*kept, *shifted).select(*kept, F.posexplode_outer(zipped).alias("i", "w"))
+
+
+def templates(spark: SparkSession, phrases: dict[str, str], passages: dict[str, str], k: int) -> tuple[DataFrame, list[int]]:
+    """(tid, label, base, grams, tpos, t, gram): a row for each gram of a template, t its words; and the sizes of grams."""
+    listed = [*((text, label, True) for text, label in phrases.items()), *((text, label, False) for text, label in passages.items())]
+    sizes = {min(k, len(text.split())) for text, *_ in listed}
+    if 0 in sizes:
+        raise ValueError("a template has no words")
+    literals = F.array(*(F.struct(F.lit(i).alias("tid"), F.lit(text).alias("text"), F.lit(label).alias("label"), F.lit(base).alias("base")) for i, (text, label, base) in enumerate(listed)))
+    split = spark.range(1).select(F.inline(literals)).withColumn("words", words(F.col("text")))
+    split = split.withColumn("size", F.least(F.lit(k), F.size("words"))).withColumn("grams", F.size("words") - F.col("size") + 1)
+    at = placed(split, "words", max(sizes), "tid", "label", "base", "size", "grams").where(F.col("i") < F.col("grams"))
+    hashed = F.lit(None).cast("long")
+    for size in sorted(sizes):
+        hashed = F.when(F.col("size") == size, gram(F.col("w"), size)).otherwise(hashed)
+    return at.select("tid", "label", "base", "size", "grams", F.col("i").alias("tpos"), F.col("w").alias("t"), hashed.alias("gram")), sorted(sizes)
+
+
+def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, passages: dict[str, str] = PASSAGES, id_col: str = "doc_id", text_col: str = "text", k: int = GRAM, coverage: float = COVERAGE) -> DataFrame:
     """(id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans) for each row of docs.
 
-    spans: label, first and last word and coverage of each verified passage or phrase.
+    spans: first and last word, label and coverage of each verified passage or phrase.
     """
-    words = F.regexp_extract_all(fold(F.coalesce(text_col, F.lit(""))), F.lit(WORD_PATTERN), F.lit(0))
-    texts = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), words.alias("words"))
-    pairs = texts.select("id", "row", F.size("words").cast("long").alias("n_words"), "words", F.posexplode_outer("words").alias("i", "w"))
-    pairs = pairs.select("id", "row", "n_words", "i", "w", F.get("words", F.col("i") + 1).alias("next")).withColumn("at", F.xxhash64("w", "next"))
-    known = F.broadcast(templates(docs.sparkSession, phrases, passages))
-    hits = pairs.join(known, (F.col("at") == F.col("pair")) & (F.col("w") == F.col("a")) & (F.col("next") == F.col("b")), "left")
+    known, sizes = templates(docs.sparkSession, phrases, passages, k)
+    most = max(sizes)
+    texts = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), words(F.col(text_col)).alias("words"))
+    at = placed(texts.withColumn("n_words", F.size("words").cast("long")), "words", most, "id", "row", "n_words")
+    if len(sizes) == 1:
+        at = at.withColumn("at", gram(F.col("w"), sizes[0]))
+    else:
+        at = at.withColumn("at", F.explode(F.array(*(gram(F.col("w"), s) for s in sizes))))
+    same = F.lit(True)
+    for n in range(most):
+        same &= (F.col("size") <= n) | (F.col(f"w.w{n}") == F.col(f"t.w{n}"))
+    hits = at.join(F.broadcast(known), (F.col("at") == F.col("gram")) & same, "left")
     hits = hits.where(F.col("tid").isNotNull() | F.col("i").isNull() | (F.col("i") == 0))
-    bit = F.when(F.col("tid").isNotNull(), F.expr("shiftleft(1L, tpos)"))
+    hit = F.col("tid").isNotNull()
+    passage = hit & ~F.col("base")
     diagonals = (
         hits.withColumn("diagonal", F.col("i") - F.col("tpos"))
-        .groupBy("row", "id", "n_words", "tid", "label", "base", "pairs", "diagonal")
-        .agg(F.bit_or(bit).alias("votes"), F.min(F.when(F.col("tid").isNotNull(), F.col("i"))).alias("lo"), F.max(F.col("i") + 1).alias("hi"))
+        .groupBy("row", "id", "n_words", "tid", "label", "base", "size", "grams", "diagonal")
+        .agg(F.count(F.when(hit, 1)).alias("votes"), F.collect_list(F.when(passage, F.struct("i", "tpos"))).alias("at"), F.min(F.when(hit, F.col("i"))).alias("lo"), F.max(F.col("i") + F.col("size") - 1).alias("hi"))
     )
-    along = Window.partitionBy("row", "tid").orderBy("diagonal")
+    #: A passage of few grams may have a single vote on a diagonal; nothing else does by chance that often.
+    strong = F.col("tid").isNull() | F.col("base") | (F.col("votes") >= F.least(F.lit(VOTES), F.col("grams")))
+    along = Window.partitionBy("row", "tid", "strong").orderBy("diagonal")
     apart = F.col("base") | F.lag("diagonal").over(along).isNull() | (F.col("diagonal") - F.lag("diagonal").over(along) > DRIFT)
+    own = F.size(F.array_distinct(F.transform("at", lambda x: x["i"])))
+    held = F.size(F.array_distinct(F.transform("at", lambda x: x["tpos"])))
     bands = (
-        diagonals.withColumn("band", F.sum(F.coalesce(apart, F.lit(True)).cast("int")).over(along))
-        .groupBy("row", "id", "n_words", "tid", "label", "base", "pairs", "band")
-        .agg(F.bit_or("votes").alias("votes"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-        .withColumn("coverage", F.bit_count("votes") / F.col("pairs"))
+        diagonals.withColumn("strong", strong)
+        .withColumn("band", F.sum(F.coalesce(apart, F.lit(True)).cast("int")).over(along))
+        .groupBy("row", "id", "n_words", "tid", "label", "base", "size", "grams", "strong", "band")
+        .agg(F.max("votes").alias("votes"), F.flatten(F.collect_list("at")).alias("at"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        .withColumn("coverage", F.when(F.col("base"), F.col("votes") / F.col("grams")).when(F.col("strong"), held / F.col("grams")))
+        .withColumn("own", own / (F.col("hi") - F.col("lo") + 2 - F.col("size")))
     )
-    whole = F.col("base") & (F.col("coverage") == 1)
-    near = ~F.col("base") & (F.col("coverage") >= COVERAGE) & (F.col("hi") - F.col("lo") + 1 <= STRETCH * (F.col("pairs") + 1))
+    whole = F.col("base") & (F.col("votes") == F.col("grams"))
+    near = ~F.col("base") & F.col("strong") & (F.col("coverage") >= coverage) & (F.col("own") >= OWN)
     listed = lambda c: F.array_join(F.array_sort(F.collect_set(F.when(c, F.col("label")))), ",")
     return (
         bands.groupBy("row", "id", "n_words")
@@ -98,7 +143,7 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, passages: dict[str,
             F.max(F.when(whole, F.col("lo"))).cast("long").alias("last_word"),
             listed(whole).alias("base_labels"),
             listed(whole | near).alias("labels"),
-            F.coalesce(F.max(F.when(whole, F.lit(1.0)).when(~F.col("base"), F.col("coverage"))), F.lit(0.0)).alias("score"),
+            F.coalesce(F.max(F.when(whole, F.lit(1.0)).when(~F.col("base"), F.col("coverage") * F.least(F.lit(1.0), F.col("own") / OWN))), F.lit(0.0)).alias("score"),
             F.array_sort(F.collect_list(F.when(whole | near, F.struct(F.col("lo").alias("first"), F.col("hi").alias("last"), "label", "coverage")))).alias("spans"),
         )
         .drop("row")

@@ -659,6 +659,55 @@ def test_licenses(spark, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def brute_licenses(text, passages, k, coverage=licenses.COVERAGE):
+    """Labels of passages: every diagonal, merged and verified as the module says."""
+    ws, labels = words_of(text), set()
+    for passage, label in passages.items():
+        t = passage.split()
+        g = min(k, len(t))
+        grams = len(t) - g + 1
+        votes = collections.defaultdict(list)
+        for i in range(len(ws) - g + 1):
+            for j in range(grams):
+                if ws[i : i + g] == t[j : j + g]:
+                    votes[i - j].append((i, j))
+        strong, bands = sorted(d for d, v in votes.items() if len(v) >= min(licenses.VOTES, grams)), []
+        for d in strong:
+            if bands and d - bands[-1][0] <= licenses.DRIFT:
+                bands[-1] = (d, bands[-1][1] + votes[d])
+            else:
+                bands.append((d, list(votes[d])))
+        for _, at in bands:
+            own, lo, hi = {i for i, _ in at}, min(at)[0], max(at)[0] + g - 1
+            if len({j for _, j in at}) / grams >= coverage and len(own) / (hi - lo + 2 - g) >= licenses.OWN:
+                labels.add(label)
+    return labels
+
+
+@pytest.mark.parametrize("k", [1, 2, 3, 5])
+def test_license_labels_by_brute_force(spark, k):
+    """Templates of whole licenses, with words changed, put in and left out, k-grams of any size."""
+    rnd = random.Random(k)
+    long = [rnd.choice([f"l{i}" for i in range(150)]) for _ in range(300)]
+    passages = {" ".join(long): "long", "a b c": "abc", "licensed under cc by": "cc-by", " ".join(f"m{i}" for i in range(30)): "mid"}
+    rows = []
+    for i in range(40):
+        body = [rnd.choice(["l1", "l2", "a", "b", "the", "of"]) for _ in range(rnd.randint(0, 60))]
+        part = rnd.choice([long, [f"m{j}" for j in range(30)], ["a", "b", "c"]])
+        changed = [w for w in part if rnd.random() > 0.02 * (i % 5)]
+        for _ in range(i % 4):
+            changed.insert(rnd.randint(0, len(changed)), "extra")
+        rows.append((i, " ".join([*body, *changed, *body])))
+    rows += [(100, None), (101, "the mit license"), (102, " ".join(long[:150])), (101, "the mit license")]
+    found = licenses.scan(make(spark, rows), passages=passages, k=k).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        text = dict(rows)[r.doc_id]
+        assert set(filter(None, r.labels.split(","))) == brute_licenses(text, passages, k) | set(filter(None, r.base_labels.split(","))), (r.doc_id, r.labels)
+        assert all(0 <= s.first <= s.last < r.n_words for s in r.spans) and 0 <= r.score <= 1
+    assert {"long", "abc", "mid", "mit"} <= {x for r in found for x in r.labels.split(",")}
+
+
 # ---- 10 vector search
 
 
