@@ -1,23 +1,33 @@
 """Exact top-k inner-product search over a pivot-distance index.
 
 Pivots are a fixed number of vectors from a bounded sample. Every vector is
-keyed by its nearest pivot and its distance to it, and the table is ordered by
-(pivot, distance, id) over partitions of like size, so equal vectors and large
-cells spread. A run of rows of one pivot is an annulus with a largest distance r.
-For a query q and pivot p, q.x = q.p + q.(x - p) <= q.p + |q| r by the triangle
-and Cauchy inequalities. Annuli are taken by falling bound; those whose bound is
-under a query's k-th best score so far are not expanded for it, and the rest of
-the batch stops when no query is left. First thresholds come from the sample,
-so most annuli stop at once where vectors cluster.
-
-Queries are a stated set; they go to the workers in blocks of bounded size, each
-against all rows. Scores are integers and exact.
+keyed by its nearest pivot, its distance to it and its norm; the cell of a pivot
+is cut into rings (annuli) by quantiles of the distance, so there are at most
+PIVOTS x RINGS rings whatever the size of the table, and the driver holds one
+row for each. A ring's rows are dealt to slices of about SLICE rows, so equal
+vectors and large cells spread.
+
+For a query q and a ring of pivot p with distances from lo to hi and norms up to
+m, no row x of it can score more than either of
+    q.p + |q| hi                                          (Cauchy)
+    (|q|^2 + m^2 - max(0, |q-p| - hi, lo - |q-p|)^2) / 2   (triangle inequality)
+Each query sorts the rings by this bound. It is sent to the best ones first,
+until they hold enough rows; the k-th best score there is its threshold, and it
+goes on to the other rings in order until a bound is below it. Queries meet
+slices in a shuffle: a task holds one slice and streams the queries that reached
+it, so neither all queries nor all rows are ever in one place.
+
+Queries are a stated set. Scores are integers and exact. scored_share() tells
+which share of all pairs was scored; nothing is pruned where vectors don't cluster.
 
 Contract for odd rows: null vectors and those with null or non-finite components
 take no part, nor do rows without an id; rows that share an id are each
-candidates of other queries, and a query's own id is never its candidate;
-vectors of another length than the query's are no candidates; a query with fewer
-than k candidates gets all; an empty table gives no rows.
+candidates of other queries, a query's own id is never its candidate, and of
+query rows that share an id the one with the smallest vector asks; equal vectors
+are told apart by their ids, ties go to the smaller id; vectors of another length
+than the query's are no candidates, those of no length take no part; scores
+beyond 64 bits are held at the bounds; a query with fewer than k candidates gets
+all; other columns take no part, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,8 +41,10 @@ from pyspark.sql import functions as F
 
 from lexmill.llm.common import durable, table
 
-#: Rows of the sample, pivots of each vector length, queries in a block, rows in an annulus.
-SAMPLE, PIVOTS, BLOCK, ANNULUS = 4096, 64, 2048, 512
+#: Rows of the sample, pivots of each vector length, rings of a pivot, rows of a slice.
+SAMPLE, PIVOTS, RINGS, SLICE = 4096, 64, 16, 2048
+#: Queries of a slice that are scored at a time.
+QUERIES = 512
 SCALE = 256
 
 
@@ -61,41 +73,31 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
 LEAST = -(2**63) + 1
 
 
-class Block:
-    """Queries of one vector length with their thresholds, pivots and the products with them."""
-
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, pivots: np.ndarray, sample_ids: np.ndarray, sample: np.ndarray, k: int):
-        self.ids, self.vectors, self.k = ids, vectors, k
-        self.norms = np.linalg.norm(vectors, axis=1)
-        self.to_pivots = vectors @ pivots.T
-        self.threshold = np.full(len(ids), LEAST, dtype=np.int64)
-        if len(sample) > k:
-            scores = exact(vectors, sample)
-            scores[ids[:, None] == sample_ids[None, :]] = LEAST
-            self.threshold = np.partition(scores, -k, axis=1)[:, -k]
-
-    def search(self, cells: np.ndarray, distances: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query, id, score) that may be among the k best, of rows ordered by (cell, distance)."""
-        edges = [0, *(np.flatnonzero(cells[1:] != cells[:-1]) + 1).tolist(), len(cells)]
-        annuli = [(i, min(i + ANNULUS, hi)) for lo, hi in zip(edges, edges[1:], strict=False) for i in range(lo, hi, ANNULUS)]
-        if not annuli:
-            return (np.zeros(0, np.int64),) * 3
-        bounds = np.stack([self.to_pivots[:, cells[a]] + self.norms * distances[b - 1] for a, b in annuli], axis=1)
-        bounds += np.abs(bounds) * 1e-9 + 1e-6  # rounding must not lose a tie
-        top_s, top_i = np.full((len(self.ids), self.k), LEAST, dtype=np.int64), np.full((len(self.ids), self.k), -1, dtype=np.int64)
-        floor = self.threshold.copy()
-        for j in np.argsort(-bounds.max(axis=0)):
-            live = np.flatnonzero(bounds[:, j] >= floor)
-            if not len(live):
-                continue
-            a, b = annuli[j]
-            scores = exact(self.vectors[live], vectors[a:b])
-            scores[self.ids[live][:, None] == ids[None, a:b]] = LEAST
-            s, i = best(np.hstack([top_s[live], scores]), np.hstack([top_i[live], np.broadcast_to(ids[a:b], scores.shape)]), self.k)
-            top_s[live], top_i[live] = s, i
-            floor[live] = np.maximum(floor[live], s[:, -1])
-        q, r = np.nonzero((top_s > LEAST) & (top_s >= self.threshold[:, None]))
-        return self.ids[q], top_i[q, r], top_s[q, r]
+class Rings:
+    """The rings as arrays, and for queries the order in which to expand them."""
+
+    def __init__(self, pivots: np.ndarray, rows: list):
+        self.pivots = pivots
+        self.cell, self.ring, self.slices = (np.array([r[c] for r in rows], dtype=np.int64) for c in ("cell", "ring", "slices"))
+        self.n = np.array([r["n"] for r in rows], dtype=np.int64)
+        self.lo, self.hi, self.most = (np.array([r[c] for r in rows], dtype=np.float64) for c in ("lo", "hi", "most"))
+
+    def bounds(self, queries: np.ndarray) -> np.ndarray:
+        """Queries x rings: the most that a row of the ring can score."""
+        norms, products = np.linalg.norm(queries, axis=1)[:, None], queries @ self.pivots.T
+        away = np.sqrt(np.maximum(0, norms**2 - 2 * products + (self.pivots**2).sum(1)[None, :]))[:, self.cell]
+        cauchy = products[:, self.cell] + norms * self.hi
+        gap = np.maximum(0, np.maximum(away - self.hi, self.lo - away) - 1e-6 * (1 + away))
+        bound = np.minimum(cauchy, (norms**2 + self.most**2 - gap**2) / 2)
+        return bound + np.abs(bound) * 1e-9 + 1e-3  # rounding must not lose a tie
+
+    def first(self, queries: np.ndarray, k: int) -> np.ndarray:
+        """Queries x rings: those to start with, in order of the bound until they hold more than k rows."""
+        order = np.argsort(-self.bounds(queries), axis=1, kind="stable")
+        held = np.cumsum(self.n[order], axis=1) - self.n[order]
+        out = np.zeros(order.shape, dtype=bool)
+        np.put_along_axis(out, order, held <= k, axis=1)
+        return out
 
 
 def nearest_pivot(vectors: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,52 +112,134 @@ def _matrix(column: pa.Array, length: int) -> np.ndarray:
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows of which is_query (over column id) is true."""
-    spark = vectors.sparkSession
-    rows = durable(usable(vectors, id_col, vector_col).withColumn("n", F.size("v")).where("n > 0"))
     results = None
-    for (length,) in rows.select("n").distinct().orderBy("n").toLocalIterator():
-        found = _search(rows.where(F.col("n") == length).drop("n"), is_query, k, length)
+    for index in indexes(vectors, id_col, vector_col):
+        found = index.search(is_query, k)
         results = found if results is None else results.unionAll(found)
     if results is None:
-        results = spark.createDataFrame([], "query_id long, vec_id long, score long")
+        results = vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return results.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _search(rows: DataFrame, is_query: Column, k: int, length: int) -> DataFrame:
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
-    sample_ids, sampled = np.array([r["id"] for r in sample], dtype=np.int64), np.array([r["v"] for r in sample], dtype=np.float64).reshape(-1, length)
-    pivots = np.unique(sampled, axis=0)
-    pivots = pivots[np.linspace(0, len(pivots) - 1, min(PIVOTS, len(pivots))).astype(int)]
-
-    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cell, distance = nearest_pivot(_matrix(batch.column("v"), length), pivots) if batch.num_rows else (np.zeros(0, int), np.zeros(0))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(cell.astype(np.int32)), pa.array(distance)], names=["id", "v", "cell", "distance"])
-
-    keyed = rows.mapInArrow(key, "id long, v array<double>, cell int, distance double")
-    index = durable(keyed.repartitionByRange("cell", "distance", "id").sortWithinPartitions("cell", "distance", "id"))
-    found, held = None, []
-    queries = rows.where(is_query).select("id", "v").dropDuplicates(["id"])
-    for row in queries.toLocalIterator():
-        held.append(row)
-        if len(held) == BLOCK:
-            part, held = _expand(index, held, pivots, sample_ids, sampled, k, length), []
-            found = part if found is None else found.unionAll(part)
-    part = _expand(index, held, pivots, sample_ids, sampled, k, length)
-    return part if found is None else found.unionAll(part)
-
-
-def _expand(index: DataFrame, queries: list, pivots: np.ndarray, sample_ids: np.ndarray, sampled: np.ndarray, k: int, length: int) -> DataFrame:
-    block = Block(np.array([q["id"] for q in queries], dtype=np.int64), np.array([q["v"] for q in queries], dtype=np.float64).reshape(-1, length), pivots, sample_ids, sampled, k)
-    sent = index.sparkSession.sparkContext.broadcast(block)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cells, distances, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "distance", "id"))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in sent.value.search(cells, distances, ids, _matrix(batch.column("v"), length))], names=["query_id", "vec_id", "score"])
-
-    return index.mapInArrow(run, "query_id long, vec_id long, score long")
+def scored_share(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> float:
+    """The share of all pairs of a query and a row of its length that the search scores."""
+    scored = every = 0
+    for index in indexes(vectors, id_col, vector_col):
+        first, others = index.expansions(is_query, k)
+        sizes = dict(zip(zip(index.rings.cell.tolist(), index.rings.ring.tolist(), strict=True), index.rings.n.tolist(), strict=True))
+        scored += sum(r["n"] * sizes[r["cell"], r["ring"]] for r in first.unionAll(others).groupBy("cell", "ring").agg(F.countDistinct("query_id").alias("n")).collect())
+        every += index.queries(is_query).count() * int(index.rings.n.sum())
+    return scored / every if every else 0.0
+
+
+def indexes(vectors: DataFrame, id_col: str, vector_col: str) -> Iterator[Index]:
+    """An index for each vector length."""
+    rows = durable(usable(vectors, id_col, vector_col).withColumn("n", F.size("v")).where("n > 0"))
+    for (length,) in rows.select("n").distinct().orderBy("n").toLocalIterator():
+        yield Index(rows.where(F.col("n") == length).drop("n"), length)
+
+
+class Index:
+    """Rows (id, v) of one length, keyed by cell, ring and slice."""
+
+    def __init__(self, rows: DataFrame, length: int):
+        self.length = length
+        sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
+        sampled = np.unique(np.array([r["v"] for r in sample], dtype=np.float64).reshape(-1, length), axis=0)
+        pivots = sampled[np.linspace(0, len(sampled) - 1, min(PIVOTS, len(sampled))).astype(int)]
+
+        def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                v = _matrix(batch.column("v"), length)
+                cell, distance = nearest_pivot(v, pivots) if batch.num_rows else (np.zeros(0, int), np.zeros(0))
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(cell.astype(np.int32)), pa.array(distance), pa.array(np.linalg.norm(v, axis=1))], names=["id", "v", "cell", "distance", "norm"])
+
+        keyed = durable(rows.mapInArrow(key, "id long, v array<double>, cell int, distance double, norm double"))
+        cuts = keyed.groupBy("cell").agg(F.percentile_approx("distance", [i / RINGS for i in range(1, RINGS)]).alias("cuts"))
+        ring = F.size(F.filter("cuts", lambda c: c < F.col("distance")))
+        ringed = durable(keyed.join(F.broadcast(cuts), "cell").select("id", "v", "cell", ring.alias("ring"), "distance", "norm"))
+        #: At most PIVOTS x RINGS rows.
+        found = ringed.groupBy("cell", "ring").agg(F.count("*").alias("n"), F.min("distance").alias("lo"), F.max("distance").alias("hi"), F.max("norm").alias("most")).withColumn("slices", F.ceil(F.col("n") / SLICE).cast("int"))
+        listed = found.orderBy("cell", "ring").collect()
+        self.rings = Rings(pivots, listed)
+        slices = F.broadcast(found.select("cell", "ring", "slices"))
+        self.rows = ringed.join(slices, ["cell", "ring"]).select("cell", "ring", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int").alias("slice"), "id", "v")
+
+    def queries(self, is_query: Column) -> DataFrame:
+        """(query_id, v)"""
+        return self.rows.where(is_query).groupBy(F.col("id").alias("query_id")).agg(F.min("v").alias("v"))
+
+    def expansions(self, is_query: Column, k: int) -> tuple[DataFrame, DataFrame]:
+        """(query_id, v, threshold, cell, ring, slices) of the first rings of each query, and of those that its threshold leaves."""
+        rings, length = self.rings, self.length
+
+        def expand(batches: Iterator[pa.RecordBatch], others: bool) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                for i in range(0, batch.num_rows, QUERIES):
+                    part = batch.slice(i, QUERIES)
+                    v = _matrix(part.column("v"), length)
+                    threshold = part.column("threshold").to_numpy(zero_copy_only=False)
+                    go = rings.first(v, k)
+                    if others:
+                        go = ~go & (rings.bounds(v) >= threshold[:, None])
+                    q, r = np.nonzero(go)
+                    at = pa.array(q)
+                    yield pa.RecordBatch.from_arrays([*(part.column(c).take(at) for c in ("query_id", "v", "threshold")), pa.array(rings.cell[r].astype(np.int32)), pa.array(rings.ring[r].astype(np.int32)), pa.array(rings.slices[r].astype(np.int32))], names=["query_id", "v", "threshold", "cell", "ring", "slices"])
+
+        kind = "query_id long, v array<double>, threshold long, cell int, ring int, slices int"
+        asked = durable(self.queries(is_query).withColumn("threshold", F.lit(LEAST)))
+        first = asked.mapInArrow(lambda b: expand(b, False), kind)
+        self.begun = durable(self.score(first, k))
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"))
+        reached = self.begun.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select("query_id", F.col("score").alias("threshold"))
+        known = asked.drop("threshold").join(reached, "query_id", "left").select("query_id", "v", F.coalesce("threshold", F.lit(LEAST)).alias("threshold"))
+        return first, known.mapInArrow(lambda b: expand(b, True), kind)
+
+    def search(self, is_query: Column, k: int) -> DataFrame:
+        """(query_id, vec_id, score): candidates of each query, its k best among them."""
+        _, others = self.expansions(is_query, k)
+        return self.begun.unionAll(self.score(others, k))
+
+    def score(self, expanded: DataFrame, k: int) -> DataFrame:
+        """(query_id, vec_id, score): the k best rows of each slice that a query reached, none under its threshold."""
+        length = self.length
+        slices = F.explode(F.sequence(F.lit(0), F.col("slices") - 1))
+        asking = expanded.select("cell", "ring", slices.alias("slice"), F.lit(1).alias("side"), F.col("query_id").alias("id"), "v", "threshold")
+        held = self.rows.select("cell", "ring", "slice", F.lit(0).alias("side"), "id", "v", F.lit(0).cast("long").alias("threshold"))
+        key = ["cell", "ring", "slice"]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, ids, vectors = None, [], []
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in (*key, "side")], axis=1)
+                edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+                for a, b in zip(edges, edges[1:], strict=False):
+                    where, side, part = tuple(keys[a, :3].tolist()), keys[a, 3], batch.slice(a, b - a)
+                    if where != at:
+                        at, ids, vectors = where, [], []
+                    if side == 0:
+                        ids.append(part.column("id").to_numpy(zero_copy_only=False))
+                        vectors.append(_matrix(part.column("v"), length))
+                    elif ids:
+                        ids, vectors = [np.concatenate(ids)], [np.concatenate(vectors)]
+                        for i in range(0, b - a, QUERIES):
+                            yield best(part.slice(i, QUERIES), ids[0], vectors[0])
+
+        def best(asked: pa.RecordBatch, ids: np.ndarray, vectors: np.ndarray) -> pa.RecordBatch:
+            mine, floor = (asked.column(c).to_numpy(zero_copy_only=False) for c in ("id", "threshold"))
+            scores = exact(_matrix(asked.column("v"), length), vectors)
+            scores[mine[:, None] == ids[None, :]] = LEAST
+            order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
+            top = np.take_along_axis(scores, order, 1)
+            q, r = np.nonzero((top > LEAST) & (top >= floor[:, None]))
+            return pa.RecordBatch.from_arrays([pa.array(mine[q]), pa.array(ids[order[q, r]]), pa.array(top[q, r])], names=["query_id", "vec_id", "score"])
+
+        return held.unionAll(asking).repartition(*key).sortWithinPartitions(*key, "side").select(*key, "side", "id", "v", "threshold").mapInArrow(run, "query_id long, vec_id long, score long")
 
 
 def op10_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:

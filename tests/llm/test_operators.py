@@ -729,15 +729,43 @@ def test_vector_search(spark):
     assert vector_search.top_k(df.limit(0), F.col("id") % 50 == 0).count() == 0
 
 
-def test_vector_search_in_blocks(spark, monkeypatch):
+def brute_top(ints, queries, k=5):
+    out = []
+    for q in queries:
+        ranked = sorted((-int(v @ ints[q][0]), i) for i, vs in ints.items() if i != q for v in vs)
+        out += [(q, n, i, -s) for n, (s, i) in enumerate(ranked[:k], 1)]
+    return sorted(out)
+
+
+def test_vector_search_in_slices_and_blocks(spark, monkeypatch):
     rnd = np.random.default_rng(2)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rnd.normal(size=(300, 4)))], "vec_id long, embedding array<double>")
     run = lambda: sorted(tuple(r) for r in vector_search.top_k(df, F.col("id") % 10 == 0).collect())
     whole = run()
-    monkeypatch.setattr(vector_search, "BLOCK", 7)
+    monkeypatch.setattr(vector_search, "SLICE", 7)
+    monkeypatch.setattr(vector_search, "QUERIES", 3)
     assert run() == whole and len(whole) == 150
 
 
+def test_vector_search_prunes_clusters_and_takes_repeated_ids(spark):
+    """Clustered vectors: under a third of the pairs is scored, results are those of all pairs; ids that repeat, equal vectors."""
+    rnd = np.random.default_rng(4)
+    centres = rnd.normal(size=(40, 16)) * 20
+    base = np.concatenate([c + rnd.normal(size=(50, 16)) for c in centres])
+    base[900:1300] = base[10]
+    rows = [(i, v.tolist()) for i, v in enumerate(base)] + [(5, base[77].tolist()), (5, base[5].tolist()), (100, base[1500].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    ints = collections.defaultdict(list)
+    for i, v in rows:
+        ints[i].append(np.floor(256 * np.array(v)).astype(np.int64))
+    for vs in ints.values():
+        vs.sort(key=lambda v: v.tolist())
+    queries = [i for i in ints if i % 100 == 0]
+    found = vector_search.top_k(df, F.col("id") % 100 == 0)
+    assert sorted(tuple(r) for r in found.select("query_id", "rank", "vec_id", "score").collect()) == brute_top(ints, queries)
+    assert vector_search.scored_share(df, F.col("id") % 100 == 0) < 0.33
+
+
 def test_registry_names():
     from lexmill.llm import registry
 
