@@ -70,11 +70,10 @@ def gram(at: Column, size: int) -> Column:
 def placed(rows: DataFrame, column: str, most: int, *kept: str) -> DataFrame:
     """The kept columns, i and w: each word's place in an array column and the `most` words from there on, as w.w0, w.w1, ...
 
-    An empty array gives one row with nulls. The array itself isn't carried to the rows.
+    An empty array gives one row with nulls. The generator and get() run as
+    generated code, so the array isn't copied to the rows.
     """
-    shifted = [F.slice(column, n + 1, F.greatest(F.lit(0), F.size(column) - n)).alias(f"w{n}") for n in range(most)]
-    zipped = F.arrays_zip(*(F.col(f"w{n}") for n in range(most)))
-    return rows.select(*kept, *shifted).select(*kept, F.posexplode_outer(zipped).alias("i", "w"))
+    return rows.select(*kept, column, F.posexplode_outer(column).alias("i", "w0")).select(*kept, "i", F.struct("w0", *(F.get(column, F.col("i") + n).alias(f"w{n}") for n in range(1, most))).alias("w"))
 
 
 def templates(spark: SparkSession, phrases: dict[str, str], passages: dict[str, str], k: int) -> tuple[DataFrame, list[int]]:
