@@ -4,20 +4,73 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.functions import expressions as X
 from lexmill.functions import lexicon as L
-from lexmill.operators import corpus, levels, ngrams, reports, reviews
+from lexmill.operators import corpus, enrich, levels, ngrams, reports, reviews
 from lexmill.operators.ranking import durable
 from lexmill.sources import readers
 
 GENERATORS: dict[str, Callable[..., DataFrame]] = {}
 PREDICATES: dict[str, Callable[..., Column]] = {"frequency": levels.frequency_between, "level_between": levels.level_between, "level_for": levels.level_for, "zipf_floor": levels.zipf_floor, "no_function_word": levels.no_function_word}
-LANGUAGES = ["en", "de", "fr", "es"]
+LANGUAGES = {"de", "en", "es", "fr"}
 REQUIRED = ["word", "pos", "ipa", "gloss"]
+#: Field of an entry to the function that gives it as a column of a word.
+ENRICHERS: dict[str, Callable[..., Column]] = {"ipa": enrich.common_ipa, "morpheme": X.morphemes}
+#: What a session of this surface is given from outside: a model (prompt to reply) and a reader (bytes to page texts).
+INJECTED: dict[str, Callable | None] = {"model": None, "reader": None}
+#: Calls of execute() and their arguments.
+CALLS = {
+    "list_languages": [], "list_generators": [], "validate_entry": REQUIRED, "clean_examples": ["examples"], "generate_vocabulary": ["docs", "generator", "options"],
+    "lookup_word": ["word", "dictionaries"], "extract_collocations": ["texts", "n", "min_count", "top_n"], "quantile_of": ["zipf", "band", "level"],
+    "bank_coverage": ["dictionaries"], "srs_plan": ["words", "days"], "srs_review": ["quality", "state"],
+}
+
+
+def register_language(lang: str) -> bool:
+    LANGUAGES.add(lang)
+    return True
+
+
+def register_predicate(name: str):
+    """A predicate is a function of plain arguments that gives a boolean column."""
+
+    def add(f: Callable[..., Column]) -> Callable[..., Column]:
+        PREDICATES[name] = f
+        return f
+
+    return add
+
+
+def keep(words: DataFrame, *wanted: tuple) -> DataFrame:
+    """words that all named predicates keep; wanted: (name, argument, ...) each. Without any, all stay."""
+    return reduce(lambda df, w: df.where(PREDICATES[w[0]](*w[1:])), wanted, words)
+
+
+def register_enricher(name: str):
+    def add(f: Callable[..., Column]) -> Callable[..., Column]:
+        ENRICHERS[name] = f
+        return f
+
+    return add
+
+
+def inject(model: Callable | None = None, reader: Callable | None = None) -> None:
+    """Set the model or the reader; those that aren't given stay."""
+    INJECTED.update({k: v for k, v in (("model", model), ("reader", reader)) if v is not None})
+
+
+def reset() -> None:
+    INJECTED.update(dict.fromkeys(INJECTED))
+
+
+def call_schema(name: str) -> dict:
+    """A call's name and arguments, for those who list it as a tool."""
+    return {"name": name, "parameters": {"type": "object", "properties": {a: {} for a in CALLS[name]}}}
 
 
 def register_generator(name: str):
@@ -52,7 +105,7 @@ def execute(spark: SparkSession, name: str, args: dict | None = None) -> str:
     try:
         match name:
             case "list_languages":
-                out = {"languages": LANGUAGES}
+                out = {"languages": sorted(LANGUAGES)}
             case "list_generators":
                 out = {"generators": sorted(GENERATORS)}
             case "validate_entry":

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from lexmill.functions import lexicon as L
 
@@ -36,6 +39,12 @@ def repeat_key(line) -> Column:
     return stripped(F.regexp_replace(F.lower(col(line)), r"\d+", "#"))
 
 
+@F.pandas_udf(StringType())
+def composed(text: pd.Series) -> pd.Series:
+    """Unicode's composed form (NFC), which no built-in function gives."""
+    return text.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))
+
+
 def joined_hyphens(text) -> Column:
     return F.replace(col(text), F.lit("-\n"), F.lit(""))
 
@@ -106,26 +115,46 @@ def is_inflection(word, lemma) -> Column:
     return (w == m) | (w.rlike("(ed|ing|s|es)$") & w.startswith(m))
 
 
+def term_context(**signals) -> Column:
+    """Map of the signals that form_decision() reads; absent and null ones are false or 0."""
+    defaults = {"in_definition": "false", "in_heading": "false", "freq": "0", "tfidf": "0", "italic": "false", "capitalized": "false"}
+    value = lambda k: F.coalesce(col(signals[k]).cast("string"), F.lit(defaults[k])) if k in signals else F.lit(defaults[k])
+    return F.create_map(*(x for k in defaults for x in (F.lit(k), value(k))))
+
+
 def form_decision(surface, lemma, pos, lemma_pos, context) -> Column:
-    """Whether a form stands on its own, is a term of the book, and why. context: map of signals."""
-    s, m, ctx = col(surface), col(lemma), col(context)
+    """(surface, lemma, independent, term, evidence, reason): whether a form stands on its own, is a term of the book, and why.
+
+    context: map of signals, as term_context() gives.
+    """
+    s, m, p, of, ctx = stripped(surface), stripped(lemma), col(pos), col(lemma_pos), col(context)
     flag = lambda k: F.coalesce(ctx[k].cast("boolean"), F.lit(False))
-    inflected = is_inflection(s, m)
-    changed = F.coalesce((col(pos) != col(lemma_pos)) & (col(lemma_pos) != ""), F.lit(False)) & (F.lower(s) != F.lower(m))
+    number = lambda k, t: F.coalesce(ctx[k].cast(t), F.lit(0).cast(t))
+    inflected, changed = is_inflection(s, m), F.coalesce(p != of, F.lit(False))
     derived = has_derivational_suffix(s) & ~inflected
+    often = F.concat(*(F.lit(x) if x else number("freq", "int").cast("string") for x in ("高频(", "", "次)")))
     evidence = F.array_compact(
         F.array(
-            F.when(flag("in_definition"), "definition"),
-            F.when(flag("in_heading"), "heading"),
-            F.when(F.coalesce(ctx["tfidf"].cast("double"), F.lit(0.0)) >= L.TERM_TFIDF, "tfidf"),
-            F.when(F.coalesce(ctx["freq"].cast("int"), F.lit(0)) >= L.TERM_FREQ, "freq"),
-            F.when(flag("italic"), "italic"),
-            F.when(flag("capitalized") & (col(pos) == "NOUN"), "capitalized"),
+            F.when(flag("in_definition"), L.TERM_SIGNS["in_definition"]),
+            F.when(flag("in_heading"), L.TERM_SIGNS["in_heading"]),
+            F.when(number("tfidf", "double") >= L.TERM_TFIDF, L.TERM_SIGNS["tfidf"]),
+            F.when(number("freq", "int") >= L.TERM_FREQ, often),
+            F.when(flag("italic"), L.TERM_SIGNS["italic"]),
+            F.when(flag("capitalized") & (p == "NOUN"), L.TERM_SIGNS["capitalized"]),
         )
     )
     term = F.size(evidence) > 0
-    reason = F.when(changed, "part of speech").when(derived, "derived").when(term, "term").when(inflected, "inflected").otherwise("plain")
-    return F.struct((changed | derived | term).alias("independent"), term.alias("term"), evidence.alias("evidence"), reason.alias("reason"))
+    parts = F.concat(F.lit("派生：POS "), F.coalesce(F.nullif(of, F.lit("")), F.lit("?")), F.lit("→"), p)
+    first = F.when(changed, parts).when(derived, L.FORM_REASONS["derived"]).when(inflected, L.FORM_REASONS["inflected"])
+    reason = F.concat_ws("；", first, F.when(term & ~changed & ~derived, L.FORM_REASONS["term"]))
+    return F.struct(s.alias("surface"), m.alias("lemma"), (changed | derived | term).alias("independent"), term.alias("term"), evidence.alias("evidence"), F.coalesce(F.nullif(reason, F.lit("")), F.lit(L.FORM_REASONS["plain"])).alias("reason"))
+
+
+def entry_key(decision) -> Column:
+    """The form that stands for a decision: the surface of an independent form, else the lemma."""
+    d = col(decision)
+    surface = F.lower(stripped(d["surface"]))
+    return F.when(d["independent"], surface).otherwise(F.coalesce(F.nullif(F.lower(stripped(d["lemma"])), F.lit("")), surface))
 
 
 def _either(words: list[str], least: int) -> str:

@@ -224,5 +224,30 @@ COMMON_IPA = {
     "knowledge": ("/ˈnɑːlɪdʒ/", "/ˈnɒlɪdʒ/"), "experience": ("/ɪkˈspɪriəns/", "/ɪkˈspɪəriəns/"),
 }
 
-# Lengths over which examples and sentences count as long.
+# Length over which examples count as long on average, and sentences.
 LONG_EXAMPLE, LONG_SENTENCE = 60, 80
+
+# Names of accents and of phenomena in rendered entries.
+ACCENT_LABELS = {"en_us": "美", "en_uk": "英", "de": "德", "fr": "法", "es": "西", "zh": "汉"}
+PHENOMENON_LABELS = {"polysemy": "熟词生义", "slang": "俚语", "collocations": "固定搭配", "domain_term": "学科术语"}
+
+# Parts of speech in the reports.
+REPORT_POS = {
+    "n": "n.", "noun": "n.", "v": "v.", "verb": "v.", "vt": "v.", "vi": "v.",
+    "adj": "adj.", "a": "adj.", "adjective": "adj.", "adv": "adv.", "r": "adv.", "adverb": "adv.",
+}
+
+# Signals that a form is a term of the book, and reasons of a decision.
+TERM_SIGNS = {"in_definition": "定义句", "in_heading": "标题", "tfidf": "高TF-IDF", "freq": "高频({}次)", "italic": "斜体（外来术语）", "capitalized": "句中大写（专名）"}
+FORM_REASONS = {"pos": "派生：POS {}→{}", "derived": "派生后缀", "inflected": "屈折变化", "term": "学术术语促进", "plain": "普通词"}
+
+# Files of the subject dictionaries.
+SUBJECT_FILES = {
+    "phenomenology": "kaikki_topic_philosophy.jsonl", "philosophy": "kaikki_topic_philosophy.jsonl", "physics": "kaikki_topic_physics.jsonl",
+    "chemistry": "kaikki_topic_chemistry.jsonl", "biology": "kaikki_topic_biology.jsonl", "biochemistry": "kaikki_topic_biochemistry.jsonl",
+    "genetics": "kaikki_topic_genetics.jsonl", "anatomy": "kaikki_topic_anatomy.jsonl",
+}
+
+# What a model may decide about a suspect word; states of learning in their cycle.
+DECISIONS = ["repair", "spelling", "proper", "noise", "keep"]
+LEARNING_CYCLE = ["new", "learning", "mastered"]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,9 +40,10 @@ def strip_repeated_lines(docs: DataFrame) -> DataFrame:
     return kept.select("doc_id", F.array_join(F.col("ls.line"), "\n").alias("text"))
 
 
-def repair(text_col: str = "text"):
-    """Hyphens at line ends joined; other repairs are plug-ins."""
-    return X.joined_hyphens(text_col)
+def repair(text_col: str = "text", lang: str = "en"):
+    """Characters composed, hyphens at line ends joined (English only); blank texts stay as they are."""
+    text = X.composed(F.col(text_col))
+    return F.when(X.stripped(text_col) == "", F.col(text_col)).otherwise(X.joined_hyphens(text) if lang == "en" else text)
 
 
 def word_table(tokens: DataFrame) -> DataFrame:
@@ -83,13 +87,61 @@ def recover_truncated(words: DataFrame, known: DataFrame) -> DataFrame:
 def clean_tokens(tokens: DataFrame, lemma_of: DataFrame) -> DataFrame:
     """(doc_id, pos, token, lemma) without stop words (token or lemma), single letters and noise; words are tested once each, in the lemma table."""
     wanted = lemma_of.where(~F.col("word").isin(*L.STOP_WORDS) & ~F.col("lemma").isin(*L.STOP_WORDS) & (F.length("lemma") >= 2) & ~X.is_noise("word") & ~X.is_noise("lemma"))
-    return tokens.withColumn("word", F.lower("token")).join(wanted, "word").select("doc_id", "pos", "token", "lemma")
+    #: The most frequent words are stop words: they go before the exchange, not in it.
+    words = tokens.withColumn("word", F.lower("token")).where(~F.col("word").isin(*L.STOP_WORDS) & (F.length("word") >= 2))
+    return words.join(wanted, "word").select("doc_id", "pos", "token", "lemma")
 
 
 def first_of_each(tokens: DataFrame, key: str, *order: str) -> DataFrame:
     """Of rows with one key only the first in the order."""
-    first = tokens.groupBy(key).agg(F.min(F.struct(*order)).alias("__f"))
-    return tokens.join(first, key).where(F.struct(*order) == F.col("__f")).drop("__f")
+    rest = [c for c in tokens.columns if c != key]
+    first = tokens.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("__f"))
+    return first.select(key, *(F.col("__f")[c].alias(c) for c in rest)).select(*tokens.columns)
+
+
+def term_signals(docs: DataFrame, words: DataFrame) -> DataFrame:
+    """words (word, n, ..) with the signals of form_decision(): in_heading (a document's first line has the word), capitalized, freq."""
+    heads = docs.select(F.explode(X.corpus_tokens(F.element_at(F.split(F.coalesce("text", F.lit("")), "\n"), 1))).alias("t")).select(F.lower("t").alias("word")).distinct()
+    names = proper_nouns(capital_stats(docs)).select("word")
+    flagged = lambda df, name: df.withColumn(name, F.lit(True))
+    out = words.join(flagged(heads, "in_heading"), "word", "left").join(flagged(names, "capitalized"), "word", "left")
+    return out.withColumns({"in_heading": F.coalesce("in_heading", F.lit(False)), "capitalized": F.coalesce("capitalized", F.lit(False)), "freq": F.col("n")})
+
+
+#: Letters that words run together have at least; the longest part of one that is looked for.
+RUN, PART = 8, 24
+
+
+def split_joined(words: DataFrame, known: DataFrame) -> DataFrame:
+    """(word, parts): each long word as the cheapest series of known (word, rank) words, itself if it is cheapest or nothing fits.
+
+    A word costs the logarithm of its rank times the logarithm of their number.
+    Its pieces are looked up in a join, so the table of known words may be of any size.
+    """
+    total = known.agg(F.log(F.count("*") + F.lit(1.0)).alias("size"))
+    costs = known.join(F.broadcast(total)).select(F.col("word").alias("piece"), F.log(F.greatest(F.lit(1), F.col("rank")) * F.col("size")).alias("cost"))
+    long_ = words.select("word").distinct().where(F.col("word").rlike(f"^[a-z]{{{RUN},}}$"))
+    at = long_.select("word", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("i"))
+    pieces = at.select("word", "i", F.explode(F.sequence(F.lit(1), F.least(F.lit(PART), F.length("word") - F.col("i")))).alias("k")).select("word", "i", "k", F.substring("word", F.col("i") + 1, F.col("k")).alias("piece"))
+    held = pieces.join(costs, "piece").groupBy("word").agg(F.collect_list(F.struct("i", "k", "cost")).alias("pieces"))
+
+    @F.pandas_udf("array<string>")
+    def cheapest(word: pd.Series, pieces: pd.Series) -> pd.Series:
+        def one(w: str, found) -> list[str]:
+            best: list[tuple[float, int]] = [(0.0, 0)] + [(math.inf, 0)] * len(w)
+            for i, k, cost in sorted((p["i"], p["k"], p["cost"]) for p in found):
+                if best[i][0] + cost < best[i + k][0]:
+                    best[i + k] = (best[i][0] + cost, k)
+            at, parts = len(w), []
+            while at and best[at][0] < math.inf:
+                parts.append(w[at - best[at][1] : at])
+                at -= best[at][1]
+            return parts[::-1] if parts else [w]
+
+        return pd.Series([one(w, found) for w, found in zip(word, pieces, strict=True)])
+
+    split = held.select("word", cheapest("word", "pieces").alias("parts"))
+    return long_.join(split, "word", "left").select("word", F.coalesce("parts", F.array("word")).alias("parts"))
 
 
 def capital_stats(docs: DataFrame) -> DataFrame:

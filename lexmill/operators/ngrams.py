@@ -20,9 +20,9 @@ def placed_words(docs: DataFrame, n: int, text_col: str = "text") -> DataFrame:
     return ws.select("ws", F.posexplode("ws").alias("i", "w1")).where(F.size("ws") >= n)
 
 
-def ngram_counts(docs: DataFrame, n: int, text_col: str = "text") -> DataFrame:
-    """(w1 to wn, n)."""
-    placed = placed_words(docs, n, text_col).where(F.col("i") + n <= F.size("ws"))
+def ngram_counts(docs: DataFrame, n: int, text_col: str = "text", least: int | None = None) -> DataFrame:
+    """(w1 to wn, n) over texts of `least` words (n where not given)."""
+    placed = placed_words(docs, least or n, text_col).where(F.col("i") + n <= F.size("ws"))
     names = [f"w{k + 1}" for k in range(n)]
     return placed.select("w1", *(F.get("ws", F.col("i") + k).alias(f"w{k + 1}") for k in range(1, n))).groupBy(*names).agg(F.count("*").alias("n"))
 
@@ -46,7 +46,7 @@ def collocations(docs: DataFrame, n: int = 2, min_count: int = 2, text_col: str
         a, b = (single.select(F.col("w1").alias(f"w{i}"), F.col("c").alias(f"c{i}")) for i in (1, 2))
         scored = counts.join(a, "w1").join(b, "w2").join(F.broadcast(total)).withColumn("s", pmi(F.col("n"), F.col("c1"), F.col("c2"), F.col("total")))
     else:
-        pairs = ngram_counts(docs, 2, text_col).withColumnRenamed("n", "ab")
+        pairs = ngram_counts(docs, 2, text_col, 3).withColumnRenamed("n", "ab")
         scored = counts.join(pairs, ["w1", "w2"]).withColumn("s", F.log2(F.greatest(F.lit(1), F.col("n")) / F.greatest(F.lit(1), F.col("ab")) * 2))
     return scored.where("s > 0").select(F.concat_ws(" ", *ws).alias("phrase"), F.array(*ws).alias("words"), "n", F.round("s", 2).alias("pmi"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,6 +97,70 @@ def plan_note(words: DataFrame, days: int = 14, shown: int = 10) -> DataFrame:
     return plan(words, days).join(head).select("day", "words", F.when(F.col("words") > 0, F.col("head")).otherwise("").alias("head"))
 
 
+def value_note(words: DataFrame, title: str, entries: int | None = None) -> DataFrame:
+    """One row (text): a short Markdown note with the number of entries and the ten most frequent words."""
+    top = words.orderBy(F.desc("n"), "word").limit(10).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("r"), "word"))), lambda s: s["word"]), ", ").alias("top"))
+    count = words.agg(F.count("*").alias("c")) if entries is None else words.sparkSession.range(1).select(F.lit(entries).alias("c"))
+    return top.join(count).select(F.concat(F.lit(f"# 《{title}》语言学习价值说明\n\n- 词汇量："), F.col("c").cast("string"), F.lit("\n- 高频核心词："), "top").alias("text"))
+
+
+def statistics(words: DataFrame, entries: DataFrame, sentences_: DataFrame, phrases: DataFrame, days: int = 14) -> DataFrame:
+    """(section, no, key, n, pct): the whole bundle of a report's statistics in long form.
+
+    words: (word, n, pos, level) of all candidates; entries: the selected (word, pos, level); phrases: (phrase, n, pmi).
+    Sections: top_words, pos, level, corpus, bands, phrases, plan. Bounded: top lists, six parts of speech and levels, the days.
+    """
+    from lexmill.functions.rendering import report_pos
+    from lexmill.operators.reviews import plan
+
+    content = words.where(~F.col("word").isin(*L.REPORT_WORDS))
+    none = F.lit(None).cast("int")
+    row = lambda df, section, no, key, n, pct=none: df.select(F.lit(section).alias("section"), no.cast("int").alias("no"), key.cast("string").alias("key"), n.cast("double").alias("n"), pct.cast("int").alias("pct"))
+    most = lambda df, k: df.withColumn("no", F.row_number().over(Window.orderBy(F.desc("n"), "key"))).where(F.col("no") <= k)
+    pos = distribution(entries.where("pos <> ''").select(report_pos("pos").alias("key")), "key")
+    level = distribution(entries.where("level <> ''").select(F.col("level").alias("key")), "key")
+    corpus = corpus_stats(words, sentences_).select(F.posexplode(F.array(*(F.struct(F.lit(c).alias("key"), F.col(c).cast("double").alias("n")) for c in ("tokens", "unique", "ttr", "avg_sentence", "longest_sentence")))).alias("no", "s"))
+    bands = frequency_bands(content).select(F.posexplode(F.array(*(F.struct(F.lit(c).alias("key"), F.col(c).alias("n")) for c in ("high", "middle", "single")))).alias("no", "s"))
+    best = phrases.orderBy(F.desc("pmi"), F.desc("n"), "phrase").limit(12).withColumn("no", F.row_number().over(Window.orderBy(F.desc("pmi"), F.desc("n"), "phrase")))
+    parts = [
+        row(top_words(content, 30), "top_words", F.col("rank"), F.col("word"), F.col("n")),
+        row(most(pos, 6), "pos", F.col("no"), F.col("key"), F.col("n"), F.col("pct")),
+        row(level, "level", X.level_order("key") + 1, F.col("key"), F.col("n"), F.col("pct")),
+        row(corpus, "corpus", F.col("no"), F.col("s.key"), F.col("s.n")),
+        row(bands, "bands", F.col("no"), F.col("s.key"), F.col("s.n")),
+        row(best, "phrases", F.col("no"), F.col("phrase"), F.col("n")),
+        row(plan(entries, days), "plan", F.col("day"), F.lit("words"), F.col("words")),
+    ]
+    return reduce(DataFrame.unionAll, parts)
+
+
+def markdown_table(rows: DataFrame, title: str, *columns: str) -> DataFrame:
+    """One row (text): a report's bounded rows as a Markdown table, in the order of the first column."""
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)), F.lit(" |"))
+    body = rows.select(F.col(columns[0]).alias("k"), line.alias("line")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "line"))), lambda s: s["line"]), "\n").alias("b"))
+    head = f"# {title}\n\n| {' | '.join(columns)} |\n|{'---|' * len(columns)}\n"
+    return body.select(F.concat(F.lit(head), "b").alias("text"))
+
+
+def accessories(words: DataFrame, examples: DataFrame, pairs: DataFrame, triples: DataFrame, title: str) -> dict[str, DataFrame]:
+    """The accessory reports of a book by file name, one text column each; write_text() writes them.
+
+    words: (word, n, level); examples: (word, example); pairs, triples: collocations (phrase, n, pmi).
+    """
+    order = Window.orderBy(F.desc("pmi"), F.desc("n"), "phrase")
+    ranked = lambda df, k: df.orderBy(F.desc("pmi"), F.desc("n"), "phrase").limit(k).select(F.row_number().over(order).alias("no"), "phrase", "n", "pmi")
+    both = ranked(pairs, 20).unionAll(ranked(triples, 10).withColumn("no", F.col("no") + 20))
+    page = markdown_table(high_frequency(words), title, "rank", "word", "n", "level")
+    return {
+        "语言学习价值说明.md": value_note(words, title),
+        "词频统计报告.md": markdown_table(top_words(words.where(~F.col("word").isin(*L.REPORT_WORDS))), title, "rank", "word", "n"),
+        "作者语言风格分析.md": markdown_table(style(words, examples), title, "core", "mean_length", "long"),
+        "短语句式统计.md": markdown_table(both, title, "no", "phrase", "n", "pmi"),
+        "SRS复习计划.md": markdown_table(plan_note(words), title, "day", "words", "head"),
+        "高明词统计.html": page.select(F.concat(F.lit(html_head(title) + "<pre>"), X.html_escape("text"), F.lit("</pre></body></html>")).alias("text")),
+    }
+
+
 def html_head(title: str) -> str:
     return f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{title.replace('&', '&amp;').replace('<', '&lt;')}</title></head><body>"
 

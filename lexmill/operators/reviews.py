@@ -24,7 +24,29 @@ def replay(reviews: DataFrame, key: str, *order: str) -> DataFrame:
 def due(states: DataFrame, day: int, as_text: bool = False) -> DataFrame:
     """Words due on a day. as_text compares the labels dayN as strings."""
     when = F.concat(F.lit("day"), F.col("due").cast("string")) <= f"day{day}" if as_text else F.col("due") <= day
-    return states.where(when).select("word")
+    return states.where(when).select("word").orderBy("word")
+
+
+def review(states: DataFrame, word: str, quality: int, day: int) -> DataFrame:
+    """states (word, ease, interval, reps, due) after one review; unchanged if the word isn't among them."""
+    s = X.review_step("ease", "interval", "reps", F.lit(quality))
+    mine = F.col("word") == word
+    new = {c: F.when(mine, s[c]).otherwise(F.col(c)).alias(c) for c in ("ease", "interval", "reps")}
+    return states.select("word", *new.values(), F.when(mine, s["interval"] + day).otherwise(F.col("due")).alias("due"))
+
+
+def cycle(events: DataFrame, key: str, status: str, *order: str) -> DataFrame:
+    """(key, status, reps): events set a state or, with any other status, advance to the next of the cycle; words start as new.
+
+    The last event that sets a state counts and the advances after it; no history is collected.
+    """
+    names = F.array(*map(F.lit, L.LEARNING_CYCLE))
+    place = F.array_position(names, F.col(status))
+    rows = events.select(key, F.struct(*order).alias("at"), F.when(place > 0, place - 1).alias("set"))
+    last = rows.where("set is not null").groupBy(key).agg(F.max(F.struct("at", "set")).alias("last"))
+    after = rows.join(last, key, "left").groupBy(key).agg(F.max("last.set").alias("set"), F.count(F.when(F.col("last").isNull() | (F.col("at") > F.col("last.at")), 1)).alias("steps"))
+    state = F.element_at(names, ((F.coalesce("set", F.lit(0)) + F.col("steps")) % len(L.LEARNING_CYCLE) + 1).cast("int"))
+    return after.select(key, state.alias("status")).withColumn("reps", F.when(F.col("status") == "new", 0).when(F.col("status") == "learning", 1).otherwise(3))
 
 
 def plan(words: DataFrame, days: int = 7) -> DataFrame:

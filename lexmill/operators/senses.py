@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import expressions as X
@@ -27,7 +28,8 @@ def merge_senses(items: DataFrame) -> DataFrame:
 
     In order, a sense joins the first earlier one it is close to: same key, token
     overlap of 0.6, or containment; the longer text stands for both. The fold
-    needs order, so each word's senses (a bounded handful) are one pandas group.
+    needs order, so rows stream sorted by word; only the merged senses of one
+    word are held.
     """
     key, tokens = sense_key("text")
     ready = items.where((X.stripped("text") != "") & (X.stripped("source") != "")).select("word", X.stripped("text").alias("text"), X.stripped("source").alias("source"), F.coalesce("lang", F.lit("en")).alias("lang"), "ord", key.alias("key"), tokens.alias("tokens")).where("key <> ''")
@@ -38,23 +40,52 @@ def merge_senses(items: DataFrame) -> DataFrame:
         (short, few), (long_, _) = sorted(((a, x), (b, y)), key=lambda p: len(p[0]))
         return short in long_ and len(short) >= CONTAINED * len(long_) and len(few) >= LEAST_TOKENS
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        held: list[list] = []
-        for r in frame.sort_values(["ord", "source", "text"]).itertuples():
-            own = set(r.tokens)
-            for h in held:
-                if close(r.key, own, h[0], h[1]):
-                    if r.source not in h[3]:
-                        h[3].append(r.source)
-                    if len(r.key) > len(h[0]):
-                        h[0], h[1], h[2] = r.key, own, r.text
-                    break
-            else:
-                held.append([r.key, own, r.text, [r.source]])
-        first = frame.iloc[0]
-        return pd.DataFrame([(first["word"], first["lang"], i, h[2], h[3]) for i, h in enumerate(held, 1)], columns=["word", "lang", "sense_no", "text", "sources"])
-
-    return ready.groupBy("word", "lang").applyInPandas(fold, "word string, lang string, sense_no int, text string, sources array<string>")
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, done = None, [], []
+        for batch in batches:
+            for word, lang, text, source, name, tokens in zip(*(batch.column(c).to_pylist() for c in ("word", "lang", "text", "source", "key", "tokens")), strict=True):
+                if at != (word, lang):
+                    done += [(*at, i, h[2], h[3]) for i, h in enumerate(held, 1)] if at else []
+                    at, held = (word, lang), []
+                own = set(tokens)
+                for h in held:
+                    if close(name, own, h[0], h[1]):
+                        if source not in h[3]:
+                            h[3].append(source)
+                        if len(name) > len(h[0]):
+                            h[0], h[1], h[2] = name, own, text
+                        break
+                else:
+                    held.append([name, own, text, [source]])
+            yield merged(done)
+            done = []
+        yield merged([(*at, i, h[2], h[3]) for i, h in enumerate(held, 1)] if at else [])
+
+    def merged(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) if rows else [()] * 5
+        types = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.list_(pa.string()))
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=["word", "lang", "sense_no", "text", "sources"])
+
+    ordered = ready.repartition("word", "lang").sortWithinPartitions("word", "lang", "ord", "source", "text")
+    return ordered.mapInArrow(fold, "word string, lang string, sense_no int, text string, sources array<string>")
+
+
+def similar_pairs(sets: DataFrame, least: float) -> DataFrame:
+    """(a, b, jaccard) of pairs of sets (item_id, ts) that overlap by `least` or more.
+
+    Two such sets share one of the rarest size - ceil(least * size) + 1 tokens of
+    each, so only these are joined: the commonest tokens never meet.
+    """
+    tokens = sets.select("item_id", F.size("ts").alias("size"), F.explode("ts").alias("x"))
+    ranked = tokens.join(tokens.groupBy("x").agg(F.count("*").alias("df")), "x").withColumn("r", F.row_number().over(Window.partitionBy("item_id").orderBy("df", "x")))
+    rare = ranked.where(F.col("r") <= F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1)
+    a, b = (rare.select("x", F.col("item_id").alias(n), F.col("size").alias(f"{n}_size")) for n in ("a", "b"))
+    alike = (F.col("a") < F.col("b")) & (F.least("a_size", "b_size") >= F.greatest("a_size", "b_size") * least - 1e-9)
+    met = a.join(b, "x").where(alike).select("a", "b").distinct()
+    whole = lambda n: sets.select(F.col("item_id").alias(n), F.col("ts").alias(f"{n}_ts"))
+    common = F.size(F.array_intersect("a_ts", "b_ts"))
+    scored = met.join(whole("a"), "a").join(whole("b"), "b").withColumn("jaccard", common / (F.size("a_ts") + F.size("b_ts") - common))
+    return scored.where(F.col("jaccard") >= least).select("a", "b", "jaccard")
 
 
 def batches(words: DataFrame, size: int, *order) -> DataFrame:
@@ -98,6 +129,71 @@ def merge_replies(entries: DataFrame, replies: DataFrame) -> DataFrame:
     return out.select(*(F.coalesce(F.nullif(F.trim(f"__{c}"), F.lit("")), F.col(c)).alias(c) if f"__{c}" in out.columns else F.col(c) for c in entries.columns))
 
 
+def batch_prompt(words, title=None, author=None):
+    """The request for the entries of an array of words."""
+    ws = X.col(words)
+    book = F.lit("") if title is None else F.when(X.col(title) != "", F.concat(F.lit("（来源书籍："), X.col(title), F.lit("，作者："), F.coalesce(X.col(author), F.lit("")), F.lit("）"))).otherwise("")
+    numbered = F.array_join(F.transform(ws, lambda w, i: F.concat((i + 1).cast("string"), F.lit(". "), w)), "\n")
+    return F.concat(F.lit("请为以下 "), F.size(ws).cast("string"), F.lit(" 个单词批量生成词汇信息"), book, F.lit("：\n\n"), numbered, F.lit("\n\n按序号顺序输出 JSON 数组，每个元素 headword 必须与输入一致。"))
+
+
+def suspects_prompt(suspects):
+    """The request to judge an array of (word, n, cap_ratio)."""
+    line = lambda s: F.concat(F.lit("- "), s["word"], F.lit("（出现 "), s["n"].cast("string"), F.lit(" 次，大写比例 "), s["cap_ratio"].cast("string"), F.lit("）"))
+    return F.concat(F.lit("请判别以下候选词（依次给出 decision）：\n\n"), F.array_join(F.transform(X.col(suspects), line), "\n"))
+
+
+DECISION = "decisions array<struct<word:string,action:string,replacement:string,reason:string>>"
+
+
+def parse_decisions(replies: DataFrame, *kept: str) -> DataFrame:
+    """(kept.., word, action, replacement, reason) of replies (kept.., reply): text around the JSON is ignored, unknown actions keep, the last of a word holds."""
+    read = lambda c: F.from_json(c, DECISION)["decisions"]
+    found = F.coalesce(read(F.col("reply")), read(F.regexp_extract("reply", r"(?s)\{.*\}", 0)))
+    d = replies.select(*kept, F.posexplode(found).alias("i", "d"))
+    tidy = lambda c: X.stripped(F.coalesce(F.col(f"d.{c}"), F.lit("")))
+    action = F.lower(tidy("action"))
+    rows = d.select(*kept, "i", F.lower(tidy("word")).alias("word"), F.when(action.isin(*L.DECISIONS), action).otherwise("keep").alias("action"), F.lower(tidy("replacement")).alias("replacement"), F.substring(tidy("reason"), 1, 200).alias("reason"))
+    last = rows.where("word <> ''").groupBy(*kept, "word").agg(F.max_by(F.struct("action", "replacement", "reason"), "i").alias("d"))
+    return last.select(*kept, "word", "d.action", "d.replacement", "d.reason")
+
+
+def classify(suspects: DataFrame, size: int, call: Callable[[str], str]) -> DataFrame:
+    """Decisions (word, action, replacement, reason) of a model on suspects (word, n, cap_ratio), asked in batches; a batch that fails decides nothing."""
+    rows = batches(suspects.select("word", "n", "cap_ratio"), size, F.desc("n"), "word")
+    order = F.struct((-F.col("n")).alias("r"), "word", "n", "cap_ratio")
+    prompts = rows.groupBy("batch").agg(F.array_sort(F.collect_list(order)).alias("ss")).select("batch", suspects_prompt("ss").alias("prompt"))
+    return parse_decisions(_answers(prompts, call))
+
+
+def _answers(prompts: DataFrame, call: Callable[[str], str]) -> DataFrame:
+    """(batch, reply) of (batch, prompt); call is injected and picklable."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            replies = []
+            for prompt in frame["prompt"]:
+                try:
+                    replies.append(call(prompt))
+                except (RuntimeError, ValueError, OSError):
+                    replies.append(None)
+            yield pd.DataFrame({"batch": frame["batch"], "reply": replies})
+
+    return prompts.mapInPandas(run, "batch long, reply string")
+
+
+def must_keep(words: DataFrame, call: Callable[[str], str], title: str = "", top: int = 150, size: int = 15) -> DataFrame:
+    """(word, reasons): the terms of a book that a model names among the most frequent words (word, n), asked in batches."""
+    best = words.select("word", "n").orderBy(F.desc("n"), "word").limit(top)
+    rows = batches(best, size, F.desc("n"), "word").groupBy("batch").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("r"), "word", "n"))).alias("ws"))
+    listed = F.array_join(F.transform("ws", lambda w: F.concat(F.lit("- "), w["word"], F.lit("（出现 "), w["n"].cast("string"), F.lit(" 次）"))), "\n")
+    answers = _answers(rows.select("batch", F.concat(F.lit(f"书名：{title}\n候选词：\n"), listed).alias("prompt")), call)
+    read = lambda c: F.from_json(c, "must_keep array<struct<word:string,reason:string>>")["must_keep"]
+    found = answers.select("batch", F.posexplode(F.coalesce(read(F.col("reply")), read(F.regexp_extract("reply", r"(?s)\{.*\}", 0)))).alias("i", "k"))
+    named = found.select(F.lower(X.stripped("k.word")).alias("word"), F.struct("batch", "i", F.substring(F.coalesce("k.reason", F.lit("")), 1, 200).alias("reason")).alias("r")).where("word <> ''")
+    return named.join(best.select("word"), "word", "left_semi").groupBy("word").agg(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["reason"]).alias("reasons"))
+
+
 def apply_decisions(tokens: DataFrame, decisions: DataFrame) -> DataFrame:
     """tokens (.., lemma) after decisions (word, action, replacement): repaired and respelled ones rewritten, names and noise dropped, others kept."""
     d = decisions.select(F.lower("word").alias("lemma"), F.when(F.col("action").isin("repair", "spelling", "proper", "noise"), F.col("action")).otherwise("keep").alias("action"), "replacement")

@@ -201,9 +201,10 @@ PAGE_NO = r"regexp_full_match(" + STRIP + r", '(?i)\d{{1,4}}|[ivxlcdm]{{1,8}}|\d
 KEY = STRIP.format(r"regexp_replace(lower({0}), '\d+', '#', 'g')")
 
 
-@query(f"WITH {LINES} SELECT doc_id, line_no, line FROM l WHERE {PAGE_NO.format('line')}")
+@query(f"WITH x AS (SELECT DISTINCT unnest(regexp_split_to_array(coalesce(text, ''), '[ \\n]+')) AS piece FROM documents) SELECT piece FROM x WHERE {PAGE_NO.format('piece')}")
 def page_numbers(spark, d):
-    return readers.lines(readers.english(spark, d)).where(X.is_page_number("line")).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "line")
+    pieces = readers.table(spark, d, "documents").select(F.explode(F.split(F.coalesce("text", F.lit("")), r"[ \n]+")).alias("piece")).distinct()
+    return pieces.where(X.is_page_number("piece"))
 
 
 @query(f"WITH {LINES} SELECT {KEY.format('line')} AS key, count(*) AS n FROM l GROUP BY 1 HAVING count(*) > 1")
@@ -247,10 +248,13 @@ def example_sanitize(spark, d):
     return readers.lines(readers.english(spark, d)).select("line").distinct().select("line", X.clean_example("line").alias("clean"))
 
 
-@query("SELECT conv_id, list_distinct(list(role)) IS NOT NULL AS ok, CAST(len(list_distinct(list(text))) AS INTEGER) AS distinct_texts FROM conversations WHERE text IS NOT NULL GROUP BY conv_id")
+@query(
+    f"WITH t AS (SELECT conv_id, {STRIP.format('text')} AS s FROM conversations WHERE text IS NOT NULL), c AS (SELECT conv_id, {SANITIZE} AS clean FROM t) "
+    "SELECT conv_id, list_sort(list_distinct(list(clean) FILTER (WHERE clean <> ''))) AS examples FROM c GROUP BY conv_id"
+)
 def distinct_examples(spark, d):
     c = readers.table(spark, d, "conversations").where("text is not null").groupBy("conv_id").agg(F.collect_list("text").alias("xs"))
-    return c.select("conv_id", F.lit(True).alias("ok"), F.size(F.array_distinct("xs")).alias("distinct_texts"))
+    return c.select("conv_id", F.array_sort(X.clean_examples("xs")).alias("examples"))
 
 
 # ---- collocations
@@ -279,9 +283,10 @@ def bigram_pmi_top60(spark, d):
 
 
 @query(
-    f"""WITH {GRAMS}, x3 AS (SELECT ws FROM x WHERE len(ws) >= 3), tri AS (SELECT a, b, c, count(*) AS n FROM (SELECT ws[i] AS a, ws[i + 1] AS b, ws[i + 2] AS c FROM (SELECT ws, unnest(range(1, len(ws) - 1)) AS i FROM x3)) GROUP BY a, b, c HAVING count(*) >= 2)
-  SELECT a || ' ' || b || ' ' || c AS phrase, tri.n, round(log2(tri.n / two.n * 2), 2) AS pmi FROM tri JOIN two USING (a, b)
-  WHERE NOT (a IN ({quoted(L.FUNCTION_WORDS)}) AND b IN ({quoted(L.FUNCTION_WORDS)}) AND c IN ({quoted(L.FUNCTION_WORDS)})) AND log2(tri.n / two.n * 2) > 0"""
+    f"""WITH {GRAMS}, x3 AS (SELECT ws FROM x WHERE len(ws) >= 3), tri AS (SELECT a, b, c, count(*) AS n FROM (SELECT ws[i] AS a, ws[i + 1] AS b, ws[i + 2] AS c FROM (SELECT ws, unnest(range(1, len(ws) - 1)) AS i FROM x3)) GROUP BY a, b, c HAVING count(*) >= 2
+  ), two3 AS (SELECT a, b, count(*) AS n FROM (SELECT ws[i] AS a, ws[i + 1] AS b FROM (SELECT ws, unnest(range(1, len(ws))) AS i FROM x3)) GROUP BY a, b)
+  SELECT a || ' ' || b || ' ' || c AS phrase, tri.n, round(log2(tri.n / two3.n * 2), 2) AS pmi FROM tri JOIN two3 USING (a, b)
+  WHERE NOT (a IN ({quoted(L.FUNCTION_WORDS)}) AND b IN ({quoted(L.FUNCTION_WORDS)}) AND c IN ({quoted(L.FUNCTION_WORDS)})) AND log2(tri.n / two3.n * 2) > 0"""
 )
 def trigram_score(spark, d):
     return ngrams.collocations(readers.english(spark, d), 3).select("phrase", "n", "pmi")
@@ -598,9 +603,7 @@ def merge_senses(spark, d):
 )
 def jaccard_pairs(spark, d):
     t = readers.table(spark, d, "benchmark").where("text is not null").select("item_id", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("ts"))
-    g = t.select("item_id", F.size("ts").alias("size"), F.explode("ts").alias("x"))
-    p = g.alias("a").join(g.alias("b"), (F.col("a.x") == F.col("b.x")) & (F.col("a.item_id") < F.col("b.item_id"))).groupBy(F.col("a.item_id").alias("a"), F.col("b.item_id").alias("b"), F.col("a.size").alias("sa"), F.col("b.size").alias("sb")).agg(F.count("*").alias("c"))
-    return p.withColumn("j", F.col("c") / (F.col("sa") + F.col("sb") - F.col("c"))).where("j >= 0.2").select("a", "b", F.round("j", 6).alias("jaccard"))
+    return senses.similar_pairs(t, 0.2).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
 @query(f"WITH {CLEAN} SELECT doc_id, pos, CASE WHEN length(lemma) % 7 = 0 THEN lemma || 'e' ELSE lemma END AS lemma FROM ct WHERE length(lemma) % 7 NOT IN (1, 2)")

@@ -12,14 +12,19 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import expressions as X
+from lexmill.functions import lexicon as L
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def of_language(spark: SparkSession, sf_dir: str, lang: str = "en") -> DataFrame:
+    return table(spark, sf_dir, "documents").where(F.col("lang") == lang).select("doc_id", "text", "source")
+
+
 def english(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", "text", "source")
+    return of_language(spark, sf_dir, "en")
 
 
 def lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -82,7 +87,7 @@ def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 def pronunciations(spark: SparkSession, path: str) -> DataFrame:
     """(word, phones): "WORD  P H O N E S" lines, ";;;" comments, "(2)" marks of variants."""
     rows = _numbered_lines(spark, path).where(~F.col("value").startswith(";;;")).select(F.split(F.trim("value"), r"\s+").alias("p"), "at").where(F.size("p") >= 2)
-    return last_of_each(rows.select(F.lower(F.regexp_replace(F.col("p")[0], r"\(\d+\)$", "")).alias("word"), F.slice("p", 2, 99).alias("phones"), "at"), "word", ["at"])
+    return last_of_each(rows.select(F.lower(F.regexp_replace(F.col("p")[0], r"\(\d+\)$", "")).alias("word"), F.slice("p", 2, F.size("p")).alias("phones"), "at"), "word", ["at"])
 
 
 def level_list(spark: SparkSession, path: str) -> DataFrame:
@@ -108,7 +113,18 @@ def bilingual(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def wiktionary(spark: SparkSession, path: str) -> DataFrame:
+def translations(spark: SparkSession, path: str) -> DataFrame:
+    """(word, translation_zh) of the bilingual file, of the words that have one."""
+    return bilingual(spark, path).where(X.stripped("translation_zh") != "").select("word", "translation_zh")
+
+
+def subject_files(subjects: list[str]) -> list[str]:
+    """The files of the named subjects, each once; all files where no subject is known."""
+    every = list(dict.fromkeys(L.SUBJECT_FILES.values()))
+    return sorted({L.SUBJECT_FILES[s] for s in subjects if s in L.SUBJECT_FILES}) or every
+
+
+def wiktionary(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(word, gloss_en, glosses, pos, topics, ipa, etymology) from JSON lines; lines that don't parse are skipped."""
     schema = "word string, pos string, etymology_text string, sounds array<struct<ipa:string>>, senses array<struct<glosses:array<string>,topics:array<string>>>"
     rows = spark.read.schema(schema).json(path).where(F.col("word").isNotNull() & (F.length("word") <= 40)).withColumn("at", F.monotonically_increasing_id())
@@ -118,9 +134,24 @@ def wiktionary(spark: SparkSession, path: str) -> DataFrame:
     return last_of_each(named.where(F.size("g") > 0).select("word", F.substring(F.col("g")[0], 1, 300).alias("gloss_en"), F.slice("g", 1, 3).alias("glosses"), "pos", "topics", "ipa", "etymology", "at"), "word", ["at"])
 
 
+def decoded_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value) of the lines of a file in UTF-8, or in Latin-1 if it isn't."""
+    lines_ = spark.read.text(path)
+    if lines_.where(F.col("value").contains("\ufffd")).isEmpty():
+        return lines_
+    return spark.read.csv(path, schema="value string", sep="\x01", quote="", escape="", encoding="ISO-8859-1").where("value is not null")
+
+
+def level_bands(spark: SparkSession, path: str) -> DataFrame:
+    """(exam, lo, hi, cefr) from JSON {"exams": {exam: {"bands": [{"min", "max", "cefr_max"}]}}}."""
+    band = "array<struct<min:double,max:double,cefr_max:string>>"
+    rows = spark.read.schema(f"exams map<string,struct<bands:{band}>>").json(path, multiLine=True)
+    return rows.select(F.explode("exams").alias("exam", "e")).select("exam", F.explode("e.bands").alias("b")).select("exam", F.col("b.min").alias("lo"), F.col("b.max").alias("hi"), F.col("b.cefr_max").alias("cefr"))
+
+
 def families(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(word, band): band k for the k-th file; a word in several files has the last band."""
-    parts = [spark.read.text(p).select(F.lower(F.trim("value")).alias("word"), F.lit(i).alias("band")) for i, p in enumerate(paths, 1)]
+    parts = [decoded_lines(spark, p).select(F.lower(F.trim("value")).alias("word"), F.lit(i).alias("band")) for i, p in enumerate(paths, 1)]
     every = parts[0]
     for p in parts[1:]:
         every = every.unionAll(p)
