@@ -137,7 +137,7 @@ def wiktionary(spark: SparkSession, path: str | list[str]) -> DataFrame:
 def decoded_lines(spark: SparkSession, path: str) -> DataFrame:
     """(value) of the lines of a file in UTF-8, or in Latin-1 if it isn't."""
     lines_ = spark.read.text(path)
-    if lines_.where(F.col("value").contains("\ufffd")).isEmpty():
+    if lines_.where(~F.is_valid_utf8("value")).isEmpty():
         return lines_
     return spark.read.csv(path, schema="value string", sep="\x01", quote="", escape="", encoding="ISO-8859-1").where("value is not null")
 
