@@ -29,6 +29,9 @@ connected with yet, whatever the size of the band (its shingle sets lie in a
 temporary file beyond SPOOL bytes), so links are as complete as all pairs of the
 band. Fingerprints of the sets only say which partners to try first: no pair is
 discarded by its bits, the shingle sets decide. Exact copies are merged first.
+The first FIRST_BANDS bands are worked before the others; of those only the ones
+that hold members of different components are left to work, so shingle sets are
+sent where they can still connect something, and the result is the same.
 
 Contract for odd rows: null and empty texts have the fingerprint 0, linked like
 any other; texts with fewer words than a shingle are one shingle; repeated rows
@@ -236,8 +239,8 @@ def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, id_col:
     return marked.join(of.join(smallest, "root").select("fp", "component_id"), "fp").select(id_col, "fp", "component_id")
 
 
-#: Bands and rows of minimal hashes.
-BANDS, BAND_ROWS = 12, 4
+#: Bands and rows of minimal hashes; bands whose links are found first.
+BANDS, BAND_ROWS, FIRST_BANDS = 12, 4, 2
 #: Leaders of a band that distances are kept to; bytes of its shingle sets in memory, the rest lies in a temporary file.
 LEADERS, SPOOL = 8, 32_000_000
 #: Links that a task hands on at a time.
@@ -288,7 +291,7 @@ class Band:
     """
 
     def __init__(self, similarity: float):
-        self.similarity, self.parts, self.twins, self.leaders = similarity, 0, {}, []
+        self.similarity, self.parts, self.twins, self.leaders, self.groups = similarity, 0, {}, [], {}
         self.n, self.sets = 0, SpooledTemporaryFile(SPOOL)  # noqa: SIM115
         self.rows = np.zeros(4, [("id", "i8"), ("fp", "u8"), ("size", "i8"), ("at", "i8"), ("root", "i8")])
         self.far = np.full((4, LEADERS), np.nan, np.float32)
@@ -305,13 +308,19 @@ class Band:
         at = at[~(np.abs(self.far[at] - far) > 1 - self.similarity + 1e-6).any(axis=1)]
         return at[np.argsort(np.bitwise_count(self.rows["fp"][at] ^ np.uint64(fp)), kind="stable")]
 
-    def add(self, key: int, fp: int, hashes: np.ndarray) -> list[int]:
-        """The ids of earlier members that link the member with their components, one for each component."""
+    def add(self, key: int, fp: int, hashes: np.ndarray, group: int | None = None) -> list[int]:
+        """The ids of earlier members that link the member with their components, one for each component.
+
+        Members of one group are connected already: they are one component and not held against each other.
+        """
         digest, fp = xxhash.xxh128_digest(hashes.tobytes()), fp & ((1 << 64) - 1)
         if digest in self.twins:
             return [self.twins[digest]]
         self.twins[digest] = key
         root, found, far = -1, [], np.full(LEADERS, np.nan, np.float32)
+        if group is not None:
+            if (first := self.groups.setdefault(group, self.n)) < self.n:
+                root = int(self.rows["root"][first])
 
         def link(i: int) -> None:
             nonlocal root
@@ -374,12 +383,16 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_c
     sketches = durable(texts.mapInArrow(sketch, "id long, copy string, fp long, bands array<long>"))
     least = sketches.groupBy("copy").agg(F.min("id").alias("rep"))
     copies = durable(least.repartitionByRange("rep", "copy").sortWithinPartitions("rep", "copy").withColumn("node", F.monotonically_increasing_id()))
-    reps = sketches.join(copies, "copy").where("id = rep").select("node", "fp", F.explode("bands").alias("band"))
-    crowded = durable(reps.groupBy("band").agg(F.countDistinct("node").alias("n")).where("n > 1").select("band"))
-    members = durable(reps.join(crowded, "band").dropDuplicates(["band", "node"]))
-    wanted = members.select("node").distinct().join(copies, "node").select("node", "copy", F.col("rep").alias("id"))
-    shingles = texts.join(wanted, ["id", "copy"]).mapInArrow(sets, "node long, hashes array<long>").dropDuplicates(["node"])
-    grouped = members.join(shingles, "node").repartition("band").sortWithinPartitions("band", "node")
+    reps = durable(sketches.join(copies, "copy").where("id = rep").select("node", "fp", F.posexplode("bands").alias("no", "band")).dropDuplicates(["node", "no"]))
+
+    def linked(placed: DataFrame) -> DataFrame:
+        """(a, b) links within the bands of (band, node, fp, root) that hold more than one root."""
+        crowded = durable(placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band"))
+        members = durable(placed.join(crowded, "band").select("band", "node", "fp", "root"))
+        wanted = members.select("node").distinct().join(copies, "node").select("node", "copy", F.col("rep").alias("id"))
+        shingles = texts.join(wanted, ["id", "copy"]).mapInArrow(sets, "node long, hashes array<long>").dropDuplicates(["node"])
+        grouped = members.join(shingles, "node").repartition("band").sortWithinPartitions("band", "node")
+        return durable(grouped.mapInArrow(run, "a long, b long").distinct())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         band, held, found = None, None, []
@@ -387,16 +400,19 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_c
         for batch in batches:
             column = batch.column("hashes")
             values, ends = column.values.to_numpy(), column.offsets.to_numpy()
-            for row, (b, key, fp) in enumerate(rows_of([batch], "band", "node", "fp")):
+            for row, (b, key, fp, root) in enumerate(rows_of([batch], "band", "node", "fp", "root")):
                 if b != band:
                     band, held = b, Band(similarity)
-                found += [(x, key) for x in held.add(key, fp, values[ends[row] : ends[row + 1]].copy())]
+                found += [(x, key) for x in held.add(key, fp, values[ends[row] : ends[row + 1]].copy(), root)]
                 if len(found) >= LINKS:
                     yield record()
                     found.clear()
         yield record()
 
-    found = components(durable(grouped.mapInArrow(run, "a long, b long").distinct()))
+    first = linked(reps.where(F.col("no") < FIRST_BANDS).withColumn("root", F.col("node")))
+    known = durable(components(first))
+    rest = reps.where(F.col("no") >= FIRST_BANDS).join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    found = components(first.unionAll(linked(rest)))
     return sketches, copies.join(found, "node", "left").select("copy", "rep", "node", F.coalesce("root", "node").alias("root"))
 
 
