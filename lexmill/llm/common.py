@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -47,6 +47,14 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="checkpoint-")
 
 
+def unclashed(docs: DataFrame, run: Callable[..., DataFrame], *names: str) -> DataFrame:
+    """run(docs, *names) while the columns of docs have names that clash with none; its result has the columns of docs first."""
+    columns = docs.columns
+    plain = docs.toDF(*(f"__column{i}" for i in range(len(columns))))
+    out = run(plain, *(f"__column{columns.index(n)}" for n in names))
+    return out.toDF(*columns, *out.columns[len(columns) :])
+
+
 def fold(column):
     """Lower-case A-Z only, unlike lower(), which folds all scripts."""
     return F.translate(column, UPPER, LOWER)

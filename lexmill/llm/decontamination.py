@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from lexmill.llm.common import table, words_of
+from lexmill.llm.common import table, unclashed, words_of
 
 WINDOW = 10
 #: Of a shard: characters. Of a block of the benchmark: UTF-8 bytes.
@@ -245,10 +245,8 @@ def scan_shard(texts: list[str | None], blocks: list) -> list[tuple]:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """docs without the affected documents, same columns."""
-    names = docs.columns
-    plain = docs.toDF(*(f"__{i}" for i in range(len(names))))  # no clash with the columns that are added
-    judged = contamination(plain, benchmark, text_col=f"__{names.index(text_col)}")
-    return judged.where(~F.col("contaminated")).select(*plain.columns).toDF(*names)
+    clean = lambda plain, text: contamination(plain, benchmark, text_col=text).where(~F.col("contaminated")).select(*plain.columns)
+    return unclashed(docs, clean, text_col)
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

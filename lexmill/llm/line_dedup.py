@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import durable, rows_of, table
+from lexmill.llm.common import durable, rows_of, table, unclashed
 
 MIN_WORDS = 8
 #: Scripts without blanks between words.
@@ -172,9 +172,12 @@ def cut(text: str | None, spans: list | None) -> tuple[str | None, int, int]:
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with text_col cut, and two columns more: __lines and __removed."""
+    return unclashed(docs.drop("__lines", "__removed"), lambda plain, key, text: _cut_runs(plain, min_words, key, text), id_col, text_col)
+
+
+def _cut_runs(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
     from pyspark.sql.types import LongType, StructField, StructType
 
-    docs = docs.drop("__lines", "__removed")
     columns = docs.columns
     schema = StructType([*docs.schema.fields, StructField("__lines", LongType()), StructField("__removed", LongType())])
 
@@ -191,13 +194,17 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
     return keyed.join(spans, (F.col("__key") == F.col("__dk")) & F.col(id_col).eqNullSafe(F.col("__id")), "left").select(*columns, "__spans").mapInArrow(run, schema)
 
 
-def without_repeated_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs after the deletions, same columns; n_chars follows the text, and a document that lost every line with text goes."""
-    done = dedup_lines(docs)
-    left = done.where(~((F.col("__removed") > 0) & (F.length(F.trim(text_col)) == 0)))
-    if "n_chars" in docs.columns:
-        left = left.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
-    return left.select(*docs.columns)
+def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
+    """docs after the deletions, same columns; size_col (if there) follows the text, and a document that lost every line with text goes."""
+
+    def run(plain: DataFrame, key: str, text: str, *size: str) -> DataFrame:
+        done = dedup_lines(plain, id_col=key, text_col=text)
+        left = done.where(~((F.col("__removed") > 0) & (F.length(F.trim(text)) == 0)))
+        for c in size:
+            left = left.withColumn(c, F.length(text).cast(plain.schema[c].dataType))
+        return left.select(*plain.columns)
+
+    return unclashed(docs, run, id_col, text_col, *([size_col] if size_col in docs.columns else []))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,9 +31,12 @@ band. Fingerprints of the sets only say which partners to try first: no pair is
 discarded by its bits, the shingle sets decide. Exact copies are merged first.
 
 Contract for odd rows: null and empty texts have the fingerprint 0, linked like
-any other; texts with fewer words than a shingle are one shingle; repeated rows
-each get a row; a null doc_id is left out of the smallest id unless its
-component has no other, then component_id is null.
+any other; texts with fewer words than a shingle are one shingle, those of any
+length are read whole; repeated rows each get a row; ids of any type that has an
+order; a null doc_id is left out of the smallest id unless its component has no
+other, then component_id is null; other columns take no part, whatever their
+names; an empty table gives no rows. near_duplicate_texts() leaves rows without
+an id out, and links texts without words with their copies only.
 """
 
 from __future__ import annotations
@@ -47,7 +50,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import FOLD_BYTES, durable, rows_of, table
+from lexmill.llm.common import FOLD_BYTES, durable, rows_of, table, unclashed
 
 BITS, PIVOTS = 64, 32
 SEED = 42
@@ -363,15 +366,16 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_c
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes = [shingle_hashes(t, shingle) for (t,) in rows_of([batch], text_col)]
+            hashes = [shingle_hashes(t, shingle) for (t,) in rows_of([batch], "text")]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("copy"), pa.array([bits_of(np.unique(h)) for h in hashes], pa.int64()), pa.array([band_keys(h) for h in hashes], pa.list_(pa.int64()))], names=["id", "copy", "fp", "bands"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([np.unique(shingle_hashes(t, shingle).view(np.int64)) for (t,) in rows_of([batch], text_col)], pa.list_(pa.int64()))], names=["node", "hashes"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([np.unique(shingle_hashes(t, shingle).view(np.int64)) for (t,) in rows_of([batch], "text")], pa.list_(pa.int64()))], names=["node", "hashes"])
 
-    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_col, copy_of(text_col).alias("copy"))
-    sketches = durable(texts.mapInArrow(sketch, "id long, copy string, fp long, bands array<long>"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), copy_of(text_col).alias("copy"))
+    sketches = durable(texts.mapInArrow(sketch, f"id {kind}, copy string, fp long, bands array<long>"))
     least = sketches.groupBy("copy").agg(F.min("id").alias("rep"))
     copies = durable(least.repartitionByRange("rep", "copy").sortWithinPartitions("rep", "copy").withColumn("node", F.monotonically_increasing_id()))
     reps = sketches.join(copies, "copy").where("id = rep").select("node", "fp", F.explode("bands").alias("band"))
@@ -413,6 +417,10 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Rows are known by id and text: unlike texts under one id are documents of
     their own. Rows without an id stay; of rows that repeat id and text one stays.
     """
+    return unclashed(docs, _first_of_each_group, id_col, text_col)
+
+
+def _first_of_each_group(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     sketches, copies = near_copies(docs, id_col=id_col, text_col=text_col)
     gone = sketches.join(copies, "copy").where("node <> root or id <> rep").select(F.col("id").alias(id_col), F.col("copy").alias("__copy")).distinct()
     kept = docs.withColumn("__copy", copy_of(text_col)).join(gone, [id_col, "__copy"], "left_anti")

@@ -630,6 +630,24 @@ def test_near_duplicates_with_a_passage_repeated_inside_a_text(spark):
     assert found == {i: i // 2 * 2 for i, _ in rows}
 
 
+def test_near_duplicate_recall_by_brute_force(spark):
+    """Pairs of five-word similarity from 0.8 on, many close to it: at least 0.9 are found, and no others; string ids."""
+    rnd = random.Random(14)
+    rows = []
+    for i in range(150):
+        base = [f"w{rnd.randrange(10**6)}" for _ in range(rnd.randint(40, 300))]
+        near = [*base]
+        for _ in range(rnd.randint(0, max(1, len(base) // 45))):
+            near[rnd.randrange(len(near))] = "changed"
+        rows += [(f"a{i:03}", " ".join(base)), (f"b{i:03}", " ".join(near))]
+    found = {r.doc_id: r.component_id for r in simhash.near_duplicate_texts(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    sets = {k: {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for k, t in rows if (w := t.split())}
+    like = [len(sets[f"a{i:03}"] & sets[f"b{i:03}"]) / len(sets[f"a{i:03}"] | sets[f"b{i:03}"]) >= 0.8 for i in range(150)]
+    linked = [found[f"b{i:03}"] == f"a{i:03}" for i in range(150)]
+    assert 30 < sum(like) < 150 and not any(x and not y for x, y in zip(linked, like, strict=True))
+    assert sum(linked) >= 0.9 * sum(like)
+
+
 def test_unlike_texts_of_one_id_are_documents_of_their_own(spark):
     rnd = random.Random(13)
     a, b, c, d = (" ".join(f"w{rnd.randrange(10**6)}" for _ in range(60)) for _ in range(4))

@@ -64,3 +64,19 @@ def test_run_equals_stages_and_takes_empty_tables(spark, tmp_path):
     assert corpus_pipeline.run(spark, none).count() == 0
     odd = write(spark, tmp_path / "odd", [(None, None), (None, "x"), (1, "x"), (1, "x"), (2, "")], [], [(None, None)])
     assert {r.doc_id for r in corpus_pipeline.run(spark, odd).collect()} == {None, 1, 2}
+
+
+def test_stages_keep_extra_columns_and_long_texts(spark, tmp_path):
+    """Columns whose names the operators use, a very long text, repeated rows and nulls in any column pass every stage."""
+    docs, labels, benchmark = cases()
+    folder = write(spark, tmp_path / "in", docs, labels, benchmark)
+    long = " ".join(f"x{i}" for i in range(150_000))
+    rows = [(i, t, None, None, None, "keep", 1, "r", ["h"], 5) for i, t in docs[1:60] if i % 4] + [(900, long, "en", "s", 1, None, None, None, None, None)] * 2
+    frame = spark.createDataFrame(rows, DOCS + ", __spans string, id int, copy string, hit_words array<string>, n_hit int")
+    kept = frame
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, folder)
+        assert kept.columns == frame.columns, name
+    found = kept.collect()
+    assert {r.doc_id for r in found} == {i for i, *_ in rows} and sum(r.doc_id == 900 for r in found) == 1
+    assert all(r["__spans"] == "keep" and r.copy == "r" for r in found if r.doc_id != 900) and next(r.text for r in found if r.doc_id == 900) == long
