@@ -180,7 +180,7 @@ def html_pages(entries: DataFrame, title: str, size: int = 500) -> DataFrame:
 
 def json_page(stats: DataFrame) -> DataFrame:
     """One row (html): statistics inlined as JSON that can't close its script element."""
-    data = stats.agg(F.to_json(F.collect_list(F.struct("*"))).alias("j"))
+    data = stats.agg(F.to_json(F.array_sort(F.collect_list(F.struct("*")))).alias("j"))
     return data.select(F.concat(F.lit("<script type='application/json'>"), F.replace("j", F.lit("</"), F.lit("<\\/")), F.lit("</script>")).alias("html"))
 
 

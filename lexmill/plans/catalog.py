@@ -565,11 +565,19 @@ def morpheme_split(spark, d):
     return m.select("word", "m.prefix", "m.suffix", F.array_join("m.roots", ",").alias("roots"))
 
 
-@query()
+#: Letters as pronunciation symbols, vowels with stress.
+_PHONES = {c: c.upper() for c in "abcdefghijklmnopqrstuvwxyz"} | {"a": "AE1", "e": "EH0", "i": "IH2", "o": "OW1", "u": "UW0"}
+_SOUNDS = {c: {"1": "ˈ", "2": "ˌ"}.get(p[-1], "") + L.ARPABET.get(p[:-1], p[:-1]) if p[-1].isdigit() else L.ARPABET.get(p, p) for c, p in _PHONES.items()}
+_SOUND = "(" + case_sql(_SOUNDS, "word[i]") + ")"
+
+
+@query(
+    f"WITH {WORDS}, a AS (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w WHERE regexp_full_match(word, '[a-z]+')) "
+    f"SELECT word, '/' || string_agg({_SOUND}, '' ORDER BY i) || '/' AS ipa, '/' || coalesce(string_agg({_SOUND}, '' ORDER BY i) FILTER (WHERE NOT (contains('aeiou', word[i]) AND i < length(word) AND contains('aeiou', word[i + 1]))), '') || '/' AS ipa_lossy FROM a GROUP BY word"
+)
 def arpabet_ipa(spark, d):
-    samples = [("life", "L AY1 F"), ("hello", "HH AH0 L OW1"), ("chaos", "K EY1 AA2 S"), ("being", "B IY1 IH0 NG")]
-    t = levels.literal_table(spark, samples, ("word", "string"), ("phones", "string"))
-    return t.select("word", X.ipa(F.split("phones", " ")).alias("ipa"), X.ipa(F.split("phones", " "), keep_adjacent=False).alias("ipa_lossy"))
+    w = words(spark, d).where(F.col("word").rlike("^[a-z]+$")).select("word", F.transform(F.split("word", ""), lambda c: X.mapping(_PHONES, c)).alias("phones"))
+    return w.select("word", X.ipa("phones").alias("ipa"), X.ipa("phones", keep_adjacent=False).alias("ipa_lossy"))
 
 
 @query(f"WITH t AS (SELECT page_id, regexp_extract(url, '[^/]*$', 0) AS name, CAST(regexp_matches(lower(regexp_extract(url, '[^/]*$', 0)), '{L.SUBJECTS[0][0]}') AS BOOLEAN) AS p FROM pages WHERE url IS NOT NULL) SELECT page_id, name, CASE WHEN p THEN 'philosophy,phenomenology' " + " ".join(f"WHEN regexp_matches(lower(name), '{r}') THEN {quoted([','.join(v)])}" for r, v in L.SUBJECTS[1:]) + " ELSE 'philosophy,biology,physics,chemistry' END AS subjects FROM t")
@@ -823,13 +831,26 @@ def enriched_entries(spark, d):
     return enrich.preview(enrich.enrich(w, found, enrich.contexts(w, enrich.numbered_sentences(docs)), phrases)).select("word", "n", "pos", "gloss_en", "level", "examples", "collocations", F.col("phenomena.polysemy").alias("polysemy"))
 
 
-@query()
+_KEPT_ROWS = ORACLES["quantile_filter"].replace("SELECT word, n, q, kept_by FROM r", "SELECT r.word FROM r")
+_ENTRY = (
+    f"'<div class=\"entry\"><b>' || word || '</b><span style=\"color:' || {case_sql(L.LEVEL_COLOURS, 'level')} || '\">' || level || '</span> ×' || n || '<p>gloss of ' || word || '</p></div>'"
+)
+
+
+@query(
+    f"WITH k AS ({_KEPT_ROWS}), w AS ({ORACLES['word_table']}), h AS (SELECT word, {_ENTRY} AS html FROM w WHERE word IN (SELECT word FROM k)), "
+    "p AS (SELECT word, html, (row_number() OVER (ORDER BY lower(word), html) - 1) // 500 + 1 AS page FROM h) "
+    "SELECT CAST(page AS BIGINT) AS page, '<!DOCTYPE html><html><head><meta charset=''utf-8''><title>Words &amp; more</title></head><body>' || chr(10) "
+    "|| string_agg(html, chr(10) ORDER BY lower(word), html) || chr(10) || '</body></html>' AS html FROM p GROUP BY page"
+)
 def html_report(spark, d):
     w = words(spark, d)
     kept = levels.quantile_filter(w, 0.75, important(spark, d)).select("word").join(w, "word").withColumn("gloss", F.concat(F.lit("gloss of "), "word"))
     return reports.html_pages(reports.entry_html(kept), "Words & more")
 
 
-@query()
+@query(
+    f"WITH v AS ({ORACLES['level_distribution']}) SELECT '<script type=''application/json''>[' || string_agg('{{\"level\":\"' || level || '\",\"n\":' || n || ',\"pct\":' || pct || '}}', ',' ORDER BY level) || ']</script>' AS html FROM v"
+)
 def json_report(spark, d):
     return reports.json_page(reports.distribution(words(spark, d), "level"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lexmill.functions import expressions as X
 from lexmill.functions import lexicon as L
 from lexmill.functions import rendering
-from lexmill.operators import books, corpus, dictionaries, levels, ngrams, reports, reviews, senses
+from lexmill.operators import books, corpus, dictionaries, levels, models, ngrams, reports, reviews, senses
 from lexmill.operators.ranking import shared_folder
 from lexmill.plans import catalog
 from lexmill.plans.catalog import CLEAN, COLLOC, DERIVED, LEMMA, SENT, TOKEN_RE, WORDS, case_sql, query, quoted
@@ -422,3 +422,59 @@ def accessory_files(spark, d):
         part = page.select(F.lit(name).alias("name"), "text")
         out = part if out is None else out.unionAll(part)
     return out
+
+
+def _title_reply(prompt: str) -> str:
+    text = prompt.rsplit("\n", 1)[-1]
+    if len(text) % 3 == 0:
+        return "no idea"
+    return "It is " + json.dumps({"book_title": f"T {len(text)}" if len(text) % 3 == 1 else f"a__b {len(text)}", "book_author": "A"})
+
+
+@query(
+    """WITH f AS (SELECT conv_id, length(string_split(text, chr(10))[-1]) AS n FROM conversations WHERE turn = 1 AND text IS NOT NULL)
+  SELECT conv_id, CASE WHEN conv_id % 4 = 0 THEN 'Stated' WHEN n % 3 = 1 THEN 'T ' || n WHEN n % 3 = 2 THEN 'a__b ' || n ELSE 'Book ' || conv_id END AS title,
+    CASE WHEN conv_id % 4 = 0 OR n % 3 = 0 THEN '' ELSE 'A' END AS author FROM f WHERE n > 0"""
+)
+def model_titles(spark, d):
+    c = readers.table(spark, d, "conversations").where("turn = 1 and text is not null").where(F.length(F.element_at(F.split("text", "\n"), -1)) > 0)
+    path = F.concat(F.lit("/x/Book "), F.col("conv_id").cast("string"), F.lit(" - libgen.li.pdf"))
+    rows = c.select("conv_id", path.alias("path"), F.col("text").alias("head"), F.when(F.col("conv_id") % 4 == 0, "Stated").otherwise("").alias("title"), F.lit(None).cast("string").alias("author"))
+    return models.titles(rows, _title_reply).select("conv_id", "title", "author")
+
+
+def _entry_reply(prompt: str) -> str:
+    word = prompt.split("\n")[0][4:]
+    return "" if len(word) % 4 == 0 else "Here " + json.dumps({"pos": "n." if len(word) % 2 else "", "gloss_en": f"about {word}"})
+
+
+@query(f"WITH {WORDS} SELECT word, CASE WHEN {_L} % 2 = 1 THEN 'n.' ELSE 'old' END AS pos, '旧' AS gloss_zh, CASE WHEN {_L} % 4 = 0 THEN 'old' ELSE 'about ' || word END AS gloss_en FROM w")
+def completed_entries(spark, d):
+    e = catalog.words(spark, d).select("word", F.lit("old").alias("pos"), F.lit("旧").alias("gloss_zh"), F.lit("old").alias("gloss_en"))
+    return models.complete_each(e, _entry_reply, "A book")
+
+
+_TRI = catalog.ORACLES["trigram_score"]
+
+
+@query(
+    f"""WITH {COLLOC}, tri3 AS ({_TRI}), b AS (SELECT row_number() OVER (ORDER BY round(s, 2) DESC, n DESC, phrase) AS no, phrase, n, round(s, 2) AS pmi FROM col WHERE s > 0 AND n >= 3
+  ), t AS (SELECT row_number() OVER (ORDER BY pmi DESC, n DESC, phrase) AS no, phrase, n, pmi FROM tri3)
+  SELECT 2 AS words, CAST(no AS INTEGER) AS no, phrase, n, pmi FROM b WHERE no <= 20 UNION ALL SELECT 3, CAST(no AS INTEGER), phrase, n, pmi FROM t WHERE no <= 10"""
+)
+def phrase_statistics(spark, d):
+    from pyspark.sql import Window
+
+    docs, order = readers.english(spark, d), Window.orderBy(F.desc("pmi"), F.desc("n"), "phrase")
+    best = lambda n, least, k: ngrams.top(ngrams.collocations(docs, n, least), k).select(F.lit(n).alias("words"), F.row_number().over(order).alias("no"), "phrase", "n", "pmi")
+    return best(2, 3, 20).unionAll(best(3, 2, 10))
+
+
+@query(
+    f"""WITH {WORDS}, c AS (SELECT row_number() OVER (ORDER BY n DESC, word) AS r, word, n FROM w WHERE word NOT IN ({quoted(L.REPORT_WORDS)})), v AS (SELECT level AS key, count(*) AS n FROM w GROUP BY 1)
+  SELECT '书名：A book' || chr(10) || '高频实词：' || (SELECT string_agg(word || '×' || n, '、' ORDER BY r) FROM c WHERE r <= 15) || chr(10) || '难度分布：' || (SELECT string_agg(key || '×' || n, '、' ORDER BY key) FROM v)
+    || chr(10) || '词性分布：' || 'n.×' || (SELECT count(*) FROM w) AS prompt"""
+)
+def report_request(spark, d):
+    w = catalog.words(spark, d).withColumn("pos", F.lit("noun"))
+    return models.report_prompt(reports.statistics(w, w, catalog.sentences(spark, d), ngrams.collocations(readers.english(spark, d))), "A book")
