@@ -68,8 +68,12 @@ def lemmas(words: DataFrame) -> DataFrame:
         .select("word", F.col("rank").alias("own"), base.alias("base"))
         .select("*", F.when(~last.rlike("[aeiouy]"), F.concat("base", F.lit("e"))).alias("with_e"), F.when((F.length("base") >= 3) & (last == F.substring("base", -2, 1)) & ~last.rlike("[aeiouy]"), X.without_last(F.col("base"), 1)).alias("single"))
     )
-    for c in ("base", "with_e", "single"):
-        tries = tries.join(ranks.select(F.col("word").alias(c), F.col("rank").alias(f"{c}_rank")), c, "left")
+    #: All stems of all words meet the ranks in one join.
+    kinds = ("base", "with_e", "single")
+    stems = tries.select("word", "own", F.explode(F.array(*(F.struct(F.lit(c).alias("kind"), F.col(c).alias("stem")) for c in kinds))).alias("s")).select("word", "own", "s.kind", "s.stem").where("stem is not null")
+    ranked = stems.join(ranks.select(F.col("word").alias("stem"), "rank"), "stem", "left")
+    of = lambda c, name: F.max(F.when(F.col("kind") == c, F.col(name)))
+    tries = ranked.groupBy("word", "own").agg(*(of(c, "stem").alias(c) for c in kinds), *(of(c, "rank").alias(f"{c}_rank") for c in kinds))
     stem = lambda a, b, c: F.when(X.more_common("with_e_rank", "base_rank"), a).when(X.more_common("single_rank", "base_rank"), b).otherwise(c)
     restored = tries.select("word", "own", stem(F.col("with_e"), F.col("single"), F.col("base")).alias("stem"), stem(F.col("with_e_rank"), F.col("single_rank"), F.col("base_rank")).alias("stem_rank"))
     return done.unionAll(restored.select("word", F.when(X.more_common("stem_rank", "own"), F.col("stem")).otherwise(F.col("word")).alias("lemma")))

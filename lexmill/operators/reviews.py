@@ -14,7 +14,10 @@ def initial(words: DataFrame, start: int = 0) -> DataFrame:
 
 
 def replay(reviews: DataFrame, key: str, *order: str) -> DataFrame:
-    """(key, ease, interval, reps, status, reviews) after all reviews (key, quality, order...) in order: a fold over each key's reviews."""
+    """(key, ease, interval, reps, status, reviews) after all reviews (key, quality, order...) in order.
+
+    A fold over each key's reviews, which are one array: as many as a learner makes, not as many as there are rows.
+    """
     start = F.struct(F.lit(L.START_EASE).alias("ease"), F.lit(0).alias("interval"), F.lit(0).alias("reps"), F.lit("new").alias("status"))
     in_order = F.array_sort(F.collect_list(F.struct(*order, "quality")))
     states = reviews.groupBy(key).agg(in_order.alias("rs"), F.count("*").alias("reviews"))

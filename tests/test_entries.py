@@ -154,3 +154,13 @@ def test_registries(spark, monkeypatch):
     assert not any(api.INJECTED.values())
     assert api.call_schema("quantile_of")["parameters"]["properties"].keys() == {"zipf", "band", "level"}
     assert {"ipa", "morpheme"} <= set(api.ENRICHERS)
+
+
+def test_stream_and_batch_reviews_agree(spark):
+    from lexmill.streaming.reviews import step
+
+    rows = [(e / 100, i, r, q) for e in (130, 185, 250, 333) for i in (0, 1, 6, 15, 45) for r in (0, 1, 2, 5) for q in range(-1, 7)]
+    s = X.review_step("ease", "interval", "reps", "quality")
+    for r in spark.createDataFrame(rows, "ease double, interval int, reps int, quality int").select("*", s.alias("s")).collect():
+        ease, interval, reps = step(r.ease, r.interval, r.reps, r.quality)
+        assert (r.s.interval, r.s.reps) == (interval, reps) and r.s.ease == pytest.approx(ease, abs=0.0101)
