@@ -57,7 +57,7 @@ LEAST_SHARE, LEAST_DOCS, ODDS = 0.01, 3, 8.0
 SURE_ODDS = 2.0
 #: Voters that a toxic document may have before weaker ones are needless for it.
 COVER = 3
-ROUNDS, RIDGE = 60, 1e-3
+ROUNDS, RIDGE = 60, 1e-5
 #: What a voter's rates are before any row is seen, in rows: the given label is right in 9 of 10.
 GIVEN_RIGHT, PRIOR_ROWS = 0.9, 20.0
 #: Traits that a task counts at a time.
