@@ -208,12 +208,20 @@ def logistic(x: np.ndarray, y: np.ndarray, weights: np.ndarray) -> np.ndarray:
     x = np.hstack([x, np.ones((len(x), 1))])
     beta, ridge = np.zeros(x.shape[1]), np.full(x.shape[1], RIDGE * weights.sum())
     ridge[-1] = 1e-9
-    for _ in range(40):
+
+    def loss(b: np.ndarray) -> float:
+        z = x @ b
+        return float((weights * (np.logaddexp(0, z) - y * z)).sum() + (ridge * b * b).sum() / 2)
+
+    now = loss(beta)
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
         slope = x.T @ (weights * (y - p)) - ridge * beta
-        step = np.linalg.solve((x.T * (weights * np.maximum(p * (1 - p), 1e-6))) @ x + np.diag(ridge), slope)
-        beta += np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-6:
+        step = np.linalg.solve((x.T * (weights * np.maximum(p * (1 - p), 1e-9))) @ x + np.diag(ridge), slope)
+        while (then := loss(beta + step)) > now and np.abs(step).max() > 1e-9:
+            step /= 2  # a full step may go too far where labels are sure
+        beta, gained, now = beta + step, now - then, then
+        if gained < 1e-9 * weights.sum():
             break
     return beta
 
