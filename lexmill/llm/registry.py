@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexmill.llm import clustering, decontamination, licenses, line_dedup, packing, sharding, simhash, token_counts, toxicity, url_filters, vector_search
+from lexmill.llm import clustering, decontamination, hard_negatives, licenses, line_dedup, packing, sharding, simhash, token_counts, toxicity, url_filters, vector_search
 
 QUERIES = {
     "op5_line_dedup": line_dedup.op5_line_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op2_token_counts": token_counts.op2_token_counts,
     "op7_decontamination": decontamination.op7_decontamination,
     "op11_clustering": clustering.op11_clustering,
+    "op12_hard_negatives": hard_negatives.op12_hard_negatives,
 }
 
 ORACLES = {
@@ -23,4 +24,5 @@ ORACLES = {
     "op10_vector_search": vector_search.ORACLE,
     "op7_decontamination": decontamination.ORACLE,
     "op11_clustering": clustering.ORACLE,
+    "op12_hard_negatives": hard_negatives.ORACLE,
 }
