@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexmill.llm import clustering, decontamination, hard_negatives, licenses, line_dedup, packing, sharding, simhash, token_counts, toxicity, url_filters, vector_search
+from lexmill.llm import clustering, decontamination, hard_negatives, licenses, line_dedup, packing, sentence_pieces, sharding, simhash, token_counts, toxicity, url_filters, vector_search
 
 QUERIES = {
     "op5_line_dedup": line_dedup.op5_line_dedup,
@@ -17,6 +17,7 @@ QUERIES = {
     "op7_decontamination": decontamination.op7_decontamination,
     "op11_clustering": clustering.op11_clustering,
     "op12_hard_negatives": hard_negatives.op12_hard_negatives,
+    "op13_sentencepiece": sentence_pieces.op13_sentencepiece,
 }
 
 ORACLES = {
