@@ -9,10 +9,16 @@ them. The array is sorted by prefix doubling.
 Every suffix of every item that holds a window is binary-searched in the array:
 word by word the interval of training suffixes that share its beginning narrows,
 until it is empty or the window is shared. Suffixes with equal windows are one
-search; they are sorted once, on the driver. Each place of an interval is a
-verbatim match, and matches that follow each other on one diagonal (place in the
-document less place in the item) are one longer match, so matches come out with
-their whole length and both locations, however long they are.
+search; they are sorted once, on the driver. Each place of an interval holds an
+item's window.
+
+Places in a document and places in items are never paired with each other. The
+windows that both sides share become symbols; the suffixes of both over these
+symbols are ranked together by prefix doubling, and the longest match that
+begins at a word is the longer of the common beginnings with the items' suffixes
+that stand next to it in this order. Matches that a longer one contains are left
+out, so they are at most as many as the words of the document, each with its
+place in one item that holds it, however often words repeat on both sides.
 
 The benchmark is the stated query set. Its suffixes are broadcast in blocks of
 bounded size; one pass over the documents holds each shard against one block
@@ -54,8 +60,8 @@ class Items:
         self.keys, self.window = [key for key, _ in texts], window
         ids = [np.array([self.vocabulary[w] for w in words], dtype=np.int64) for _, words in texts]
         depths = [min(window, len(x)) for x in ids]
-        rows = [np.pad(x[j : j + d], (0, window - d)) for x, d in zip(ids, depths, strict=True) for j in range(len(x) - d + 1)]
-        suffixes = np.array(rows, dtype=np.int64).reshape(-1, window)
+        rows = [np.zeros((0, window), np.int32), *(np.pad(np.lib.stride_tricks.sliding_window_view(x, d), ((0, 0), (0, window - d))) for x, d in zip(ids, depths, strict=True))]
+        suffixes = np.concatenate(rows).astype(np.int32)
         owner = np.repeat(np.arange(len(ids)), [len(x) - d + 1 for x, d in zip(ids, depths, strict=True)]).astype(np.int64)
         place = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(x) - d + 1) for x, d in zip(ids, depths, strict=True))])
         #: Sorted distinct windows; window w stands at owner, place [of[w], of[w + 1]).
@@ -65,12 +71,14 @@ class Items:
         self.owner, self.place = owner[order], place[order]
         self.depth = (self.windows > 0).sum(1)
         self.single = np.unique(self.windows[self.depth == 1, 0])
+        #: Where each item begins if all stand one after the other, a gap between any two.
+        self.begin = np.cumsum(np.array([0, *(len(x) + 1 for x in ids)], dtype=np.int64))
         n = len(self.vocabulary) + 1
         self.pairs = np.unique(np.concatenate([np.zeros(0, np.int64), *(x[:-1] * n + x[1:] for x in ids)]))
 
-    def find(self, words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(first word, words, item, the window's place in the item) of each place in the shard that holds an item's window."""
-        none = (np.zeros(0, np.int64),) * 4
+    def find(self, words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in the shard, window that stands there), by place. Windows of items with fewer words than a window may stand where others do."""
+        none = (np.zeros(0, np.int64),) * 2
         if not len(words) or not len(self.windows):
             return none
         n = len(self.vocabulary) + 1
@@ -79,7 +87,7 @@ class Items:
         if not len(at):
             return none
         # The words that follow each suffix, none beyond an unknown word or another document's.
-        key = np.zeros((len(at), self.window), dtype=np.int64)
+        key = np.zeros((len(at), self.window), dtype=np.int32)
         alive = np.ones(len(at), dtype=bool)
         for k in range(self.window):
             to = np.minimum(at + k, len(words) - 1)
@@ -89,8 +97,72 @@ class Items:
         lo, hi = intervals(key[order], self.windows, self.depth)
         found = np.flatnonzero(hi > lo)
         window, mine = spread(found, lo[found], hi[found])
-        which, stands = spread(np.arange(len(window)), self.of[window], self.of[window + 1])
-        return at[order[mine]][which], self.depth[window][which], self.owner[stands], self.place[stands]
+        place = at[order[mine]]
+        sort = np.lexsort((window, place))
+        return place[sort], window[sort]
+
+    def spans(self, place: np.ndarray, window: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(first word, words, item, first word in the item): the longest match at each place of find() that no match from the place before contains."""
+        whole = self.depth[window] == self.window
+        short = ~whole
+        first = self.of[window[short]]
+        out = [(place[short], self.depth[window[short]], self.owner[first], self.place[first])]
+        if whole.any():
+            a, symbol = place[whole], window[whole]
+            used = np.unique(symbol)
+            item_symbol, stands = spread(used, self.of[used], self.of[used + 1])
+            # Positions of all texts one after the other, a gap between any two.
+            owner, at = self.owner[stands], self.place[stands]
+            position = self.begin[owner] + at
+            order = np.argsort(position, kind="stable")
+            position, item_symbol, owner, at = position[order], item_symbol[order], owner[order], at[order]
+            mine = a + doc[a]
+            n, other = longest_beginnings(np.r_[mine, position + mine[-1] + 2], np.r_[symbol, item_symbol], len(mine))
+            end = a + n
+            new = np.r_[True, (mine[1:] != mine[:-1] + 1) | (end[1:] > end[:-1])]
+            out.append((a[new], n[new] - 1 + self.window, owner[other[new]], at[other[new]]))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def longest_beginnings(position: np.ndarray, symbol: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each of the first n suffixes: the symbols that the longest common beginning with any of the others has, and which other.
+
+    A suffix runs as long as positions follow each other. Sorting by prefix doubling takes as many rounds as the
+    longest run has binary digits; a rank of 4 bytes is kept for each suffix and round.
+    """
+    m = len(symbol)
+    ranks = [np.unique(symbol, return_inverse=True)[1].ravel().astype(np.int32) + 1]
+    ends = np.flatnonzero(np.r_[position[1:] != position[:-1] + 1, True])
+    left = ends[np.searchsorted(ends, np.arange(m))] - np.arange(m) + 1
+    while (step := 1 << (len(ranks) - 1)) < left.max():
+        second = np.where(left > step, ranks[-1][np.minimum(np.arange(m) + step, m - 1)], 0)
+        ranks.append(np.unique(ranks[-1].astype(np.int64) * (m + 1) + second, return_inverse=True)[1].ravel().astype(np.int32) + 1)
+    order = np.lexsort((np.arange(m), ranks[-1]))
+    others = np.where(order >= n, np.arange(m), -1)
+    before = np.maximum.accumulate(others)
+    after = m - 1 - np.maximum.accumulate(np.where(order >= n, m - 1 - np.arange(m), -1)[::-1])[::-1] if n < m else np.full(m, m)
+    at = np.empty(m, np.int64)
+    at[order] = np.arange(m)
+    best, which = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for beside in (before[at[:n]], after[at[:n]]):
+        there = (beside >= 0) & (beside < m)
+        x, y = np.flatnonzero(there), order[beside[there]]
+        common = _common(ranks, left, x.copy(), y.copy())
+        more = common > best[x]
+        best[x[more]], which[x[more]] = common[more], y[more] - n
+    return best, which
+
+
+def _common(ranks: list[np.ndarray], left: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Symbols that suffixes x and y have in common from their beginning, side by side."""
+    total, live = np.zeros(len(x), np.int64), np.ones(len(x), dtype=bool)
+    for k in range(len(ranks) - 1, -1, -1):
+        same = live & (ranks[k][x] == ranks[k][y])
+        more = np.where(same, np.minimum(1 << k, left[x]), 0)
+        live &= ~(same & (np.minimum(left[x], left[y]) <= 1 << k))  # one of them ends there
+        total += more
+        x, y = np.where(live, x + more, x), np.where(live, y + more, y)
+    return total
 
 
 def spread(labels: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -143,14 +215,6 @@ def bisect(column: np.ndarray, want: np.ndarray, lo: np.ndarray, hi: np.ndarray,
     return lo
 
 
-def longest_matches(at: np.ndarray, n: np.ndarray, item: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(first word, words, item, place in the item) of whole matches: windows that follow each other on one diagonal are one."""
-    order = np.lexsort((at, at - place, item))
-    a, i, d, m, p = at[order], item[order], (at - place)[order], n[order], place[order]
-    first = np.flatnonzero(np.r_[True, (i[1:] != i[:-1]) | (d[1:] != d[:-1]) | (a[1:] != a[:-1] + 1)]) if len(a) else np.zeros(0, np.int64)
-    return a[first], np.diff(np.r_[first, len(a)]) - 1 + m[first], i[first], p[first]
-
-
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple]]:
     """The benchmark, a bounded block at a time."""
     held, size = [], 0
@@ -174,7 +238,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
     """docs with n_words, n_hit, n_items, longest_match (words), item_ids (sorted), items_sha256, contaminated and matches.
 
     matches: item_id, first word in the document, first word in the item and
-    words of every verbatim match of at least a window, by place.
+    words of every verbatim match of at least a window that no longer one
+    contains, by place; where several items hold it, one of them.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -222,24 +287,35 @@ def scan_shard(texts: list[str | None], blocks: list) -> list[tuple]:
     sizes = np.array([len(p) for p in split], dtype=np.int64)
     begin = np.cumsum(sizes) - sizes
     doc = np.repeat(np.arange(len(split)), sizes)
-    matches: list[list[tuple]] = [[] for _ in texts]
+    spans: list[list[tuple]] = [[] for _ in texts]
+    ids: list[set[str]] = [set() for _ in texts]
     for block in blocks:
         items = _opened(block)
         get = items.vocabulary.get
         words = np.array([get(w, 0) for part in split for w in part], dtype=np.int64)
-        for a, n, i, p in zip(*(x.tolist() for x in longest_matches(*items.find(words, doc))), strict=True):
-            key = items.keys[i]
-            matches[doc[a]].append((a - int(begin[doc[a]]), p, n, None if key is None else str(key)))
+        place, window = items.find(words, doc)
+        if len(place):
+            names = [None if k is None else str(k) for k in items.keys]
+            n = len(items.windows)
+            held = np.unique(doc[place] * n + window)
+            of, stands = spread(held // n, items.of[held % n], items.of[held % n + 1])
+            for i in np.unique(of * len(names) + items.owner[stands]).tolist():
+                if names[i % len(names)] is not None:
+                    ids[i // len(names)].add(names[i % len(names)])
+            for a, m, i, p in zip(*(x.tolist() for x in items.spans(place, window, doc)), strict=True):
+                spans[doc[a]].append((a - int(begin[doc[a]]), -m, p, names[i]))
         if len(blocks) > 1 and hasattr(block, "_value"):
             del items, get, block._value  # read again for the next shard
     out = []
-    for size, found in zip(sizes.tolist(), matches, strict=True):
-        hit, reached = 0, 0
-        found.sort(key=lambda m: (m[0], m[2], m[3] or "", m[1]))
-        for a, _, n, _ in found:
-            hit += max(0, a + n - max(a, reached))
-            reached = max(reached, a + n)
-        out.append((size, hit, max((m[2] for m in found), default=0), sorted({m[3] for m in found if m[3] is not None}), [{"item_id": k, "first": a, "item_first": p, "words": n} for a, p, n, k in found]))
+    for size, found, keys in zip(sizes.tolist(), spans, ids, strict=True):
+        hit, reached, matches = 0, 0, []
+        found.sort(key=lambda m: (m[0], m[1], m[3] or "", m[2]))
+        for a, m, p, key in found:
+            if a - m > reached:
+                hit += a - m - max(a, reached)
+                reached = a - m
+                matches.append({"item_id": key, "first": a, "item_first": p, "words": -m})
+        out.append((size, hit, max((m["words"] for m in matches), default=0), sorted(keys), matches))
     return out
 
 

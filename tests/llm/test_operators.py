@@ -492,6 +492,51 @@ def test_longest_matches_and_their_places():
     assert [tuple(m.values()) for m in out[0][4]] == [("1", 1, 5, 17), ("2", 19, 0, 2)]
 
 
+def test_repeated_words_on_both_sides_take_little_time_and_memory():
+    """A megabyte of one word against an item of a megabyte of it; pairs of their places would be 2.5e11."""
+    import time
+    import tracemalloc
+
+    many = "a " * 500_000
+    items = decontamination.Items([(1, many), (2, "b " * 30), (3, "a b " * 20_000)], 10)
+    tracemalloc.start()
+    began = time.time()
+    out = decontamination.scan_shard([many + "x", "a b " * 30_000, "c"], [items])
+    assert time.time() - began < 60  # some 5 s where nothing else runs
+    assert tracemalloc.get_traced_memory()[1] < 500e6
+    tracemalloc.stop()
+    assert [r[:4] for r in out] == [(500_001, 500_000, 500_000, ["1"]), (60_000, 60_000, 40_000, ["3"]), (1, 0, 0, [])]
+    assert [m["words"] for m in out[0][4]] == [500_000]
+
+
+def test_longest_matches_by_brute_force():
+    rnd = random.Random(12)
+    for vocabulary, window in (("ab", 3), ("abcde", 2), ("aab", 4)):
+        line = lambda n: " ".join(rnd.choice(vocabulary) for _ in range(n))  # noqa: E731, B023
+        listed = [(i, line(rnd.choice([1, 2, 5, 30]))) for i in range(9)]
+        shard = [line(rnd.choice([0, 1, 3, 60])) for _ in range(12)]
+        for text, (n, hit, longest, ids, matches) in zip(shard, decontamination.scan_shard(shard, [decontamination.Items(listed[:5], window), decontamination.Items(listed[5:], window)]), strict=True):
+            assert (n, hit, ids) == brute_contamination(text, listed, window)
+            ws, ends = words_of(text), []
+            for a in range(len(ws)):
+                best = 0
+                for _, item in listed:
+                    iw = words_of(item)
+                    for p in range(len(iw)):
+                        k = 0
+                        while a + k < len(ws) and p + k < len(iw) and ws[a + k] == iw[p + k]:
+                            k += 1
+                        if k >= min(window, len(iw)):
+                            best = max(best, k)
+                if best and a + best > max((e for _, e in ends), default=0):
+                    ends.append((a, a + best))
+            assert [(m["first"], m["first"] + m["words"]) for m in matches] == ends
+            assert longest == max((e - a for a, e in ends), default=0)
+            for m in matches:
+                iw = words_of(listed[int(m["item_id"])][1])
+                assert iw[m["item_first"] : m["item_first"] + m["words"]] == ws[m["first"] : m["first"] + m["words"]]
+
+
 def test_intervals_by_brute_force():
     rnd = np.random.default_rng(3)
     suffixes, tests = rnd.integers(1, 4, (400, 5)), rnd.integers(1, 4, (200, 5))
