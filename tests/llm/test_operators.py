@@ -290,6 +290,35 @@ def test_mined_rules_by_brute_force(spark):
         assert confidence == pytest.approx(sum(x[1] == v for x in having) / len(having)) and confidence >= 0.9
 
 
+def test_tokens_that_come_together_are_one(spark):
+    """40 tokens of one site, and a path that grows by a part at a time: sets of either would be 2^40."""
+    import time
+
+    site = [f"p:s{i}" for i in range(40)]
+    rows = [([*site, "h:a", "h:all"], "block")] * 30 + [(["h:b", "h:all", *(f"p:d{j}" for j in range(i % 30))], "allow" if i % 30 < 20 else "block") for i in range(300)]
+    began = time.time()
+    mined = url_filters.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"), 0.02, 0.9).collect()
+    assert time.time() - began < 120
+    sure = {(tuple(r.tokens), r.verdict): r for r in mined}
+    assert sure[("h:a",), "block"].alike == [["h:a", *sorted(site)]]
+    # brute force: each single token and each pair, by the same rules
+    brute = {}
+    tokens = sorted({t for ts, _ in rows for t in ts if t not in site})
+    for few in [(t,) for t in tokens] + [(a, b) for a in tokens for b in tokens if a < b]:
+        having = [v for ts, v in rows if set(few) <= set(ts)]
+        for v in ("allow", "block"):
+            share = sum(x == v for _, x in rows) / len(rows)
+            if having.count(v) >= 0.02 * len(rows) and having.count(v) / len(having) >= 0.9 and having.count(v) / len(having) > share and len(having) < len(rows):
+                brute[few, v] = having.count(v) / len(having)
+    best = {k for k, c in brute.items() if len(k[0]) == 1 or not any(brute.get(((t,), k[1]), 0) >= c for t in k[0])}
+    assert best == set(sure)
+    assert {(("h:a",), "block"), (("p:d18",), "block"), (("p:d19",), "block")} <= best
+    urls = ["http://x.net/de/" + "/".join(f"s{i}" for i in range(40)) + f"/{k}" for k in range(40)]
+    urls = [u.replace("/de/", "/fr/") if i % 2 else u for i, u in enumerate(urls)] + [f"http://y.com/{i}/t" for i in range(60)]
+    judged = url_filters.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()
+    assert all(r.verdict == "block" for r in judged if "s39" in r.path)
+
+
 def test_judgement_by_brute_force(spark):
     """Every url against every mined rule; urls of one id, long urls, frequent tokens with digits."""
     rnd = random.Random(15)
