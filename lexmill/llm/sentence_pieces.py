@@ -9,7 +9,8 @@ encoder put in front.
 
 No merge can reach over two adjacent characters that stand together in no
 piece. So texts part, by classes of characters that the vocabulary links, and
-before blanks where no piece has one behind another character; the agenda of
+before blanks where no piece has one behind another character (there whole
+words are looked up first); the agenda of
 each part is independent of the others. Results of short parts are kept, so a
 frequent word is merged once in a worker. Longer parts go through the agenda
 each time, in n log n steps.
@@ -28,6 +29,7 @@ from __future__ import annotations
 
 import codecs
 import hashlib
+from array import array
 from collections.abc import Callable, Iterator
 from functools import cache
 from heapq import heapify, heappop, heappush
@@ -41,29 +43,13 @@ from pyspark.sql.pandas.types import to_arrow_type
 from lexmill.llm.common import blocks_of, table
 
 BLANK = "▁"
-#: Of a worker: parts whose ids are kept, and the characters of the longest of these. Texts (rows, characters) that are worked at a time.
-MOST_PARTS, LONGEST_PART = 300_000, 48
+#: Of a worker: parts and words whose ids are kept, and the characters of the longest of these. Texts (rows, characters) that are worked at a time.
+MOST_PARTS, LONGEST_PART = 500_000, 48
 ROWS, CHARS = 2048, 2_000_000
 
 codecs.register_error("lexmill.each_byte", lambda e: ("�" * (e.end - e.start), e.end))
 
 
-class _Kept(dict):
-    """Results of short parts; emptied when full."""
-
-    def __init__(self, make: Callable[[str], bytes]):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, part: str) -> bytes:
-        made = self.make(part)
-        if len(part) <= LONGEST_PART:
-            if len(self) >= MOST_PARTS:
-                self.clear()
-            self[part] = made
-        return made
-
-
 class PieceEncoder:
     """Encodes and decodes as the merge-type vocabulary at `path` says."""
 
@@ -91,7 +77,9 @@ class PieceEncoder:
         self.prefixed = library.normalize("a").startswith(BLANK)
         self.plain = library.normalize("a  b\tＡ ﬁ ") == self.prefixed * BLANK + f"a{BLANK * 2}b\tＡ{BLANK}ﬁ{BLANK}"
         self.parts = self.divided()
-        self.kept = _Kept(lambda part: b"".join(i.to_bytes(4, "little") for i in self.merge(part)))
+        #: Packed ids of parts, and of words with the blank before them.
+        self.kept: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     def divided(self) -> Callable[[str], list[str]]:
         """Cuts a text into parts between which nothing merges.
@@ -100,7 +88,8 @@ class PieceEncoder:
         those that such neighbours link. A part is blanks and then characters of
         one class; a character that stands beside none is a part by itself.
         """
-        if any(BLANK in name.lstrip(BLANK) for name in self.ids):
+        self.by_word = not any(BLANK in name.lstrip(BLANK) for name in self.ids)
+        if not self.by_word:
             return lambda text: [text] if text else []
         class_of: dict[str, set[str]] = {}
         for name in self.ids:
@@ -122,7 +111,25 @@ class PieceEncoder:
         return (BLANK if self.prefixed else "") + text.replace(" ", BLANK) if self.plain else self.library.normalize(text)
 
     def merge(self, part: str) -> list[int]:
-        """Ids of a part, by the agenda."""
+        """Ids of a part, by the agenda: a list of the ranks of all pairs for short parts, a heap for long ones."""
+        return self.merge_long(part) if len(part) > LONGEST_PART or self.unused else self.merge_short(part)
+
+    def merge_short(self, part: str) -> list[int]:
+        rank_of, none = self.ranks.get, len(self.ranks)
+        symbols = list(part)
+        #: The rank of each symbol with the one behind it.
+        ranks = [rank_of(a + b, none) for a, b in zip(symbols, symbols[1:], strict=False)]
+        while ranks and (best := min(ranks)) < none:
+            at = ranks.index(best)  # the first place of several
+            symbols[at] = symbol = symbols[at] + symbols[at + 1]
+            del symbols[at + 1], ranks[at]
+            if at < len(ranks):
+                ranks[at] = rank_of(symbol + symbols[at + 1], none)
+            if at:
+                ranks[at - 1] = rank_of(symbols[at - 1] + symbol, none)
+        return self.named(symbols, {})
+
+    def merge_long(self, part: str) -> list[int]:
         rank_of, unused = self.ranks.get, self.unused
         symbols: list[str] = list(part)
         n = len(symbols)
@@ -158,8 +165,15 @@ class PieceEncoder:
                     heappush(agenda, rank * n + at)
                     if unused and symbols[at] + symbol in unused:
                         made[symbols[at] + symbol] = symbols[at], symbol
+        return self.named([s for s in symbols if s is not None], made)
+
+    def named(self, symbols: list[str], made: dict[str, tuple[str, str]]) -> list[int]:
+        """Ids of symbols: unused pieces part as they were made, symbols that are no piece become bytes."""
+        found = list(map(self.ids.get, symbols))
+        if None not in found and not made:
+            return found
         out: list[int] = []
-        todo = [s for s in reversed(symbols) if s is not None]
+        todo = symbols[::-1]
         while todo:
             symbol = todo.pop()
             if symbol in made:
@@ -172,21 +186,59 @@ class PieceEncoder:
                 out.append(self.unknown)
         return out
 
+    def packed(self, text: str) -> bytes:
+        """Ids of a normalised text, part by part."""
+        kept, out = self.kept, []
+        for part in self.parts(text):
+            found = kept.get(part)
+            if found is None:
+                found = array("I", self.merge(part)).tobytes()
+                self.keep(kept, part, found)
+            out.append(found)
+        return b"".join(out)
+
+    def keep(self, kept: dict[str, bytes], part: str, found: bytes) -> None:
+        """Keep the ids of a short part; a full table is emptied."""
+        if len(part) <= LONGEST_PART:
+            if len(kept) >= MOST_PARTS:
+                kept.clear()
+            kept[part] = found
+
     def encode(self, text: str | None) -> bytes:
         """Ids with begin and end, as little-endian unsigned 32-bit integers."""
-        body = b"".join(map(self.kept.__getitem__, self.parts(self.normalised(text or ""))))
+        text = self.normalised(text or "")
+        words = text.split(BLANK)
+        if self.by_word and text and not words[0] and "" not in words[1:]:
+            # Every blank stands alone before a word.
+            del words[0]
+            get = self.words.get
+            out = list(map(get, words))
+            if None in out:
+                for i, x in enumerate(out):
+                    if x is None:
+                        out[i] = self.packed(BLANK + words[i])
+                        self.keep(self.words, words[i], out[i])
+            body = b"".join(out)
+        else:
+            body = self.packed(text)
         return b"".join((self.begin.to_bytes(4, "little"), body, self.end.to_bytes(4, "little")))
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD each."""
-        surface, out, at = self.surface, [], 0
-        first = next((i for i in ids if i not in self.control), self.unknown)
-        for to in [*(i for i, x in enumerate(ids) if x in self.control), len(ids)]:
+        surface, control = self.surface.__getitem__, self.control
+        while ids and ids[0] in control:
+            ids = ids[1:]
+        first = ids[0] if ids else self.unknown
+        text = lambda some: b"".join(map(surface, some)).decode("utf-8", "lexmill.each_byte")
+        while ids and ids[-1] in control:
+            ids = ids[:-1]
+        if control.isdisjoint(ids):
+            out = text(ids)
+        else:
             # Bytes on two sides of a control id make no character.
-            out.append(b"".join(map(surface.__getitem__, ids[at:to])).decode("utf-8", "lexmill.each_byte"))
-            at = to + 1
-        text = "".join(out)
-        return text[1:] if self.prefixed and first != self.unknown and first not in self.byte_ids and text.startswith(" ") else text
+            breaks = [-1, *(i for i, x in enumerate(ids) if x in control), len(ids)]
+            out = "".join(text(ids[a + 1 : b]) for a, b in zip(breaks, breaks[1:], strict=False))
+        return out[1:] if self.prefixed and first != self.unknown and first not in self.byte_ids and out.startswith(" ") else out
 
 
 @cache
