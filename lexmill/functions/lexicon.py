@@ -251,3 +251,14 @@ SUBJECT_FILES = {
 # What a model may decide about a suspect word; states of learning in their cycle.
 DECISIONS = ["repair", "spelling", "proper", "noise", "keep"]
 LEARNING_CYCLE = ["new", "learning", "mastered"]
+
+# Seeds of the tagger: words of closed classes, endings that tell a class.
+CLOSED_CLASSES = {
+    "DET": "the a an this that these those",
+    "ADP": "of in to for with on at by from into over under",
+    "PRON": "he she it they we you i him her them his their its our your my",
+    "CCONJ": "and or but nor",
+    "AUX": "is are was were be been has have had do does did will would can could may might must shall should",
+    "PART": "not",
+}
+SURE_ENDINGS = {"NOUN": "tion sion ness ment ity ism", "ADV": "ly", "ADJ": "able ible ous ful ive ical est", "VERB": "ed ing ize"}

@@ -799,11 +799,6 @@ def review_plan_note(spark, d):
     return reports.plan_note(words(spark, d))
 
 
-@query(f"WITH {WORDS} SELECT CASE WHEN n % 3 = 0 THEN 'n.' ELSE 'v.' END AS pos, count(*) AS n, CAST(round_even(count(*) * 100 / (SELECT count(*) FROM w), 0) AS INTEGER) AS pct FROM w GROUP BY 1")
-def pos_distribution(spark, d):
-    return reports.distribution(words(spark, d).select(F.when(F.col("n") % 3 == 0, X.pos_code(F.lit("noun"))).otherwise(X.pos_code(F.lit("vt"))).alias("pos")), "pos")
-
-
 @query(
     f"WITH {WORDS}, p AS {rows_sql([(w, *p) for w, p in L.COMMON_IPA.items()], 'word', 'us', 'uk')} SELECT w.word, us, uk FROM w JOIN p ON w.word = p.word"
 )
