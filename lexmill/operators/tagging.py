@@ -31,6 +31,7 @@ MOST_KEYS, LEAST, ENDING, UNIT = 200_000, 2, 4, 1000
 #: What a count is raised by: of a key's tags, of a tag's successors.
 KEY_SMOOTH, STEP_SMOOTH = 0.1, 1.0
 START = "^"
+SENTENCE_END = r"[.!?]+\s*|\n"
 
 
 def seed_tag(word: Column | str) -> Column:
@@ -142,7 +143,7 @@ def tag(sentences: DataFrame, model: Model, tokens_col: str = "tokens") -> DataF
 
 def tokens_by_sentence(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(doc_id, sentence, tokens): sentences with words, numbered from 0 within their document."""
-    split = docs.select("doc_id", F.posexplode(F.split(F.coalesce(text_col, F.lit("")), r"[.!?]+\s*|\n")).alias("sentence", "s"))
+    split = docs.select("doc_id", F.posexplode(F.split(F.coalesce(text_col, F.lit("")), SENTENCE_END)).alias("sentence", "s"))
     return split.select("doc_id", "sentence", X.corpus_tokens("s").alias("tokens")).where(F.size("tokens") > 0)
 
 

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import expressions as X
 from lexmill.functions import lexicon as L
-from lexmill.operators import corpus, reports, tagging
+from lexmill.operators import corpus, levels, ngrams, phrases, reports, tagging
 from lexmill.operators.ranking import durable
 from lexmill.plans import catalog
-from lexmill.plans.catalog import DERIVED, LEMMA, TOKEN_RE, query, quoted
+from lexmill.plans.catalog import COLLOC, DERIVED, LEMMA, PHRASE_RE, TOKEN_RE, WORDS, query, quoted, rows_sql
 from lexmill.sources import readers
 
 # ---- part-of-speech tags
@@ -132,3 +132,73 @@ def tagged_forms(spark, d):
     rows = rows.withColumn("lemma_pos", F.coalesce("lemma_pos", "pos"))
     made = X.form_decision("word", "lemma", "pos", "lemma_pos", X.term_context(freq="n"))
     return rows.select("word", "lemma", "pos", "lemma_pos", made["independent"].alias("independent"), made["reason"].alias("reason"))
+
+
+# ---- phrases
+
+
+def phrase_table(spark: SparkSession, d: str) -> DataFrame:
+    """(phrase, kind): the fixed lists, and the first four words of each benchmark item as slang."""
+    opening = F.array_join(F.slice(X.phrase_tokens("text"), 1, 4), " ")
+    own = readers.table(spark, d, "benchmark").select(opening.alias("phrase"), F.lit("slang").alias("kind")).where("phrase <> ''")
+    return phrases.fixed_phrases(spark).unionAll(own).distinct()
+
+
+_FIXED = rows_sql([*((p, "collocation") for p in L.SET_PHRASES), *((p, "slang") for p in L.IDIOMS), *((p, "polysemy") for p in L.POLYSEMOUS)], "phrase", "kind")
+_PHRASES = f"""ph AS (
+  SELECT * FROM {_FIXED} UNION SELECT DISTINCT array_to_string(regexp_extract_all(lower(text), '{PHRASE_RE}')[1:4], ' '), 'slang' FROM benchmark WHERE len(regexp_extract_all(lower(text), '{PHRASE_RE}')) > 0
+)"""
+_PLACES = f"""sized AS (
+  SELECT phrase, kind, len(regexp_extract_all(phrase, '{PHRASE_RE}')) AS n FROM ph
+), dw AS (
+  SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(lower(coalesce(text, '')), '{PHRASE_RE}') AS ws FROM documents
+), dg AS (
+  SELECT doc_id, i - 1 AS place, n, array_to_string(ws[i:i + n - 1], ' ') AS gram
+  FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM dw, (SELECT DISTINCT n FROM sized) WHERE len(ws) >= n)
+), places AS (
+  SELECT doc_id, phrase, kind, place FROM dg JOIN sized ON sized.n = dg.n AND sized.phrase = dg.gram
+)"""
+
+
+@query(
+    f"""WITH {COLLOC}, {_PHRASES.replace("ph AS", "ph0 AS")}, ph AS (SELECT * FROM ph0 UNION SELECT phrase, 'book' FROM col WHERE s > 0 AND n >= 5), {_PLACES}
+SELECT doc_id, phrase, kind, place FROM places"""
+)
+def phrase_places(spark, d):
+    """Every place of every set phrase, idiom, special word and frequent collocation of the English texts, in all documents."""
+    book = ngrams.collocations(readers.english(spark, d)).where("n >= 5").select("phrase", F.lit("book").alias("kind"))
+    return phrases.find(readers.table(spark, d, "documents"), phrase_table(spark, d).unionAll(book))
+
+
+_KIND = "list_sort(list(DISTINCT phrase) FILTER (WHERE kind = '{0}'))"
+
+
+@query(
+    f"WITH {_PHRASES}, {_PLACES} SELECT doc_id, "
+    + ", ".join(f"coalesce(array_to_string({_KIND.format(k)}, ', '), '') AS {c}" for k, c in (("polysemy", "polysemy"), ("collocation", "collocations"), ("slang", "slang")))
+    + ", count(*) AS n FROM places GROUP BY doc_id"
+)
+def phenomena_in_context(spark, d):
+    found = durable(phrases.find(readers.table(spark, d, "documents"), phrase_table(spark, d)))
+    listed = phrases.phenomena(found).select("doc_id", *(F.array_join(c, ", ").alias(c) for c in ("polysemy", "collocations", "slang")))
+    return listed.join(found.groupBy("doc_id").agg(F.count("*").alias("n")), "doc_id")
+
+
+@query(
+    rf"""WITH {WORDS}, {_PHRASES}, ss AS (
+  SELECT doc_id, no, s FROM (SELECT doc_id, unnest(range(0, len(x))) AS no, unnest(x) AS s FROM (SELECT doc_id, regexp_split_to_array(coalesce(text, ''), '[.!?]+\s*|\n') AS x FROM documents WHERE lang = 'en')) WHERE s <> ''
+), sw AS (
+  SELECT DISTINCT doc_id, no, s, lower(unnest(regexp_extract_all(s, '{TOKEN_RE}'))) AS word FROM ss
+), f3 AS (
+  SELECT * FROM sw QUALIFY row_number() OVER (PARTITION BY word ORDER BY doc_id, no) <= 3
+), near AS (
+  SELECT DISTINCT word FROM f3 JOIN ph ON ph.kind <> 'polysemy' AND contains(lower(f3.s), ph.phrase) UNION SELECT word FROM f3 WHERE word IN ({quoted(L.POLYSEMOUS)})
+)
+SELECT w.word, n, near.word IS NOT NULL AS in_context FROM w LEFT JOIN near ON near.word = w.word
+WHERE (w.word NOT IN ({quoted(L.FILTER_WORDS)}) AND n >= 2 AND zipf >= 0) OR near.word IS NOT NULL OR w.word IN ({quoted(L.POLYSEMOUS)})"""
+)
+def phenomenon_filter(spark, d):
+    """The classic filter, which also keeps words by the phrases, slang and special senses of their contexts."""
+    near = phrases.words_in_context(readers.english(spark, d), phrase_table(spark, d)).select("word", F.lit(True).alias("near"))
+    rows = catalog.words(spark, d).join(near, "word", "left")
+    return levels.classic_filter(rows, must=F.coalesce("near", F.lit(False))).select("word", "n", F.coalesce("near", F.lit(False)).alias("in_context"))

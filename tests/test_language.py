@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexmill.operators import tagging
+from lexmill.operators import phrases, tagging
 
 
 @pytest.fixture(scope="module")
@@ -70,6 +70,66 @@ def test_a_bounded_model_keeps_the_most_frequent_keys(treebank):
 
 
 def test_seed_tags(spark):
-    words = ["The", "station", "quickly", "walked", "ed", "and", "xyz", "edible"]
+    words = ["The", "station", "quickly", "walked", "ed", "and", "xyz", "sensible"]
     rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", tagging.seed_tag(F.col("w")).alias("t")).collect()
     assert [r.t for r in rows] == ["DET", "NOUN", "ADV", "VERB", None, "CCONJ", None, "ADJ"]
+
+
+# ---- phrases
+
+
+def brute_words(text, listed):
+    import re
+
+    ws = re.findall(r"[A-Za-z']+", text.lower())
+    out = []
+    for p, k in listed:
+        ps = re.findall(r"[A-Za-z']+", p.lower())
+        out += [(p, k, i) for i in range(len(ws) - len(ps) + 1) if ps and ws[i : i + len(ps)] == ps]
+    return out
+
+
+LISTED = [("a b", "x"), ("a b", "y"), ("A  b", "z"), ("b", "x"), ("b a b", "x"), ("it's a", "x"), ("c c", "x"), ("...", "x"), ("", "x"), ("a b a b a", "q")]
+
+
+def test_phrases_by_words_and_by_shuffle_equal_brute_force(spark):
+    rnd = random.Random(6)
+    texts = [" ".join(rnd.choice(["a", "b", "c", "A", "it's", "d.", "é"]) for _ in range(rnd.randint(0, 30))) for _ in range(40)] + [None, "", "a b", "a b"]
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)], "doc_id long, text string, phrase string, place int")
+    table = spark.createDataFrame([*LISTED, (None, "x")], "phrase string, kind string")
+    want = sorted((i, *m) for i, t in enumerate(texts) if t for m in brute_words(t, LISTED))
+    for most in (phrases.MOST_PHRASES, 2):
+        assert sorted(tuple(r) for r in phrases.find(docs, table, most=most).collect()) == want
+    assert phrases.find(docs, table.limit(0)).count() == 0
+    assert phrases.find(docs.limit(0), table).count() == 0
+
+
+def test_phrases_by_characters_find_substrings(spark):
+    rnd = random.Random(7)
+    texts = ["".join(rnd.choice("abA é") for _ in range(rnd.randint(0, 40))) for _ in range(40)] + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    table = spark.createDataFrame(LISTED[:8], "phrase string, kind string")
+    want = []
+    for i, t in enumerate(texts):
+        for p, k in LISTED[:8]:
+            low = (t or "").lower()
+            want += [(i, p, k, j) for j in range(len(low)) if low.startswith(p.lower(), j)]
+    for most in (phrases.MOST_PHRASES, 2):
+        assert sorted(tuple(r) for r in phrases.find(docs, table, by="characters", most=most).collect()) == sorted(want)
+
+
+def test_a_hundred_thousand_phrases_in_one_pass(spark):
+    many = spark.range(100_000).select(F.concat(F.lit("w"), F.regexp_replace(F.hex("id"), "[0-9]", "x"), F.lit(" y w"), F.hex(F.col("id") % 7)).alias("phrase"), F.lit("k").alias("kind"))
+    docs = spark.createDataFrame([(1, "so wAB y wB then wAB y w")], "doc_id long, text string")
+    planted = spark.createDataFrame([("wab y wb", "k"), ("then wab", "k")], "phrase string, kind string")
+    found = phrases.find(docs, many.unionAll(planted))
+    assert {(r.phrase, r.place) for r in found.collect()} >= {("wab y wb", 1), ("then wab", 4)}
+    assert found._jdf.queryExecution().toString().count("Exchange") == 0
+
+
+def test_words_in_context(spark):
+    docs = spark.createDataFrame([(1, "We break down here. Spring is far.\nNo more"), (2, "here. here. here. late we break down"), (3, None)], "doc_id long, text string")
+    found = {r.word: r.kinds for r in phrases.words_in_context(docs, phrases.fixed_phrases(spark)).collect()}
+    assert found == {"we": ["collocation"], "break": ["collocation"], "down": ["collocation"], "here": ["collocation"], "spring": ["polysemy"], "late": ["collocation"]}
+    listed = phrases.phenomena(phrases.find(docs, phrases.fixed_phrases(spark))).collect()
+    assert sorted((r.doc_id, r.polysemy, r.collocations, r.slang) for r in listed) == [(1, ["spring"], ["break down"], []), (2, [], ["break down"], [])]
