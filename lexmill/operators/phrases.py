@@ -133,7 +133,9 @@ def _joined(texts: DataFrame, split: DataFrame, by: str) -> DataFrame:
     cut = X.phrase_tokens("text") if by == "words" else F.split(F.lower("text"), "")
     sizes = [r[0] for r in split.select(F.size("symbols").alias("n")).distinct().orderBy("n").collect()]
     symbols = texts.select("id", cut.alias("ws"))
-    at = F.explode(F.flatten(F.array(*(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("ws") - n + 1)), lambda i, n=n: F.struct(i.alias("i"), F.slice("ws", i, n).alias("part"))) for n in sizes))))
+    every = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("ws") - n + 1)), lambda i: F.struct(i.alias("i"), F.slice("ws", i, n).alias("part")))
+    runs = lambda n: F.filter(every(n), lambda x: F.size(x["part"]) == n)
+    at = F.explode(F.flatten(F.array(*map(runs, sizes))))
     parts = symbols.where(F.size("ws") > 0).select("id", at.alias("x")).select("id", (F.col("x.i") - 1).cast("long").alias("place"), F.col("x.part").alias("part"), F.xxhash64("x.part").alias("h"))
     return parts.join(split.withColumn("h", F.xxhash64("symbols")), "h").where("part = symbols").select("id", "phrase", F.explode("kinds").alias("kind"), "place")
 
