@@ -81,14 +81,23 @@ def register_generator(name: str):
     return add
 
 
+def clean_words(docs: DataFrame) -> DataFrame:
+    """(word, n, zipf, rank, band, level) of the clean lemmas of documents (doc_id, text)."""
+    tokens = readers.tokens(docs.withColumn("text", corpus.repair("text")))
+    table = durable(corpus.word_table(tokens))
+    clean = corpus.clean_tokens(tokens, durable(corpus.lemmas(table))).select(F.col("lemma").alias("token"))
+    return durable(corpus.word_table(clean).withColumn("level", X.level_of_zipf("zipf")))
+
+
+def difficult_words(docs: DataFrame) -> DataFrame:
+    """(word, n, q, tier) of the clean lemmas of documents."""
+    return clean_words(docs).select("word", "n", F.round(X.difficulty("zipf", "band", "level"), 6).alias("q")).withColumn("tier", X.tier("q"))
+
+
 @register_generator("vocabulary")
 def vocabulary(docs: DataFrame, u: float = 0.6, important: DataFrame | None = None, gates: levels.Gates = levels.Gates(), most: int = 2500) -> DataFrame:
     """From documents (doc_id, text) to the selected words with difficulty, tier and reason, most frequent first."""
-    repaired = docs.withColumn("text", corpus.repair("text"))
-    tokens = readers.tokens(repaired)
-    table = durable(corpus.word_table(tokens))
-    clean = corpus.clean_tokens(tokens, durable(corpus.lemmas(table))).select(F.col("lemma").alias("token"))
-    words = durable(corpus.word_table(clean).withColumn("level", X.level_of_zipf("zipf")))
+    words = clean_words(docs)
     kept = levels.quantile_filter(words, u, important if important is not None else words.select("word").limit(0), gates)
     return kept.withColumn("tier", X.tier("q")).orderBy(F.desc("n"), "word").limit(most)
 

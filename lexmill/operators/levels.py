@@ -87,10 +87,14 @@ def missing(c: Column | str) -> Column:
 
 
 def look_up(words: DataFrame, cmu: DataFrame, cefr: DataFrame, oxford: DataFrame, bilingual: DataFrame, wiki: DataFrame, strategy: str = "hardest") -> DataFrame:
-    """words (word) with ipa, gloss_en, gloss_zh, pos, level, etymology, sources by precedence. Left joins; Spark broadcasts what is small."""
-    out = words
+    """Each word of words (word) once, with ipa, gloss_en, gloss_zh, pos, level, etymology, sources by precedence.
+
+    Dictionaries hold a word once. All rows meet in one exchange by word, whose first step adds up what a task has.
+    """
+    rows = words.select("word", F.lit(True).alias("asked"))
     for name, d in (("cmu", cmu), ("cefr", cefr), ("oxford", oxford), ("bi", bilingual), ("wiki", wiki)):
-        out = out.join(d.select("word", *(F.col(c).alias(f"{name}_{c}") for c in d.columns if c != "word")), "word", "left")
+        rows = rows.unionByName(d.select("word", *(F.col(c).alias(f"{name}_{c}") for c in d.columns if c != "word")), allowMissingColumns=True)
+    out = rows.groupBy("word").agg(*(F.max(c).alias(c) for c in rows.columns if c != "word")).where("asked")
     pick = lambda *cs: F.coalesce(*(missing(c) for c in cs))
     source = lambda *pairs: reduce(lambda c, p: F.when(missing(p[1]).isNotNull(), p[0]).otherwise(c), reversed(pairs), F.lit(None).cast("string"))
     chosen = {
