@@ -4,11 +4,17 @@ Every k words in a row of every text are joined to the positions that these
 words have in the templates, by hash and verified by the words themselves. A match
 at word i of a text and position j of a template votes for the diagonal i - j.
 Votes are summed by (text, template, diagonal). Of passage templates, diagonals
-with enough votes that lie near each other are merged, which bridges words put
-in or left out; scattered single votes of common words join nothing. A span is
-verified by its words: how many of the template's k-grams stand in it, and how
-many of its own k-grams are the template's. A phrase template (the base) counts
-only where one diagonal has every vote, which is the phrase word for word.
+that lie near each other are merged, which bridges words put in or left out. A
+phrase template (the base) counts only where one diagonal has every vote, which
+is the phrase word for word.
+
+A merged span is verified by aligning it: its matches are walked in the text's order, and
+those that also go forward in the template pair words with words. The pairs must
+make up most of the template's words and of the span's own. Templates of
+different labels that share most of their words differ in some k-grams, those
+that no other label's template has; a span must hold half of these. Of verified
+spans that overlap, those with the most words aligned stay, so "CC BY" inside
+"CC BY-NC" is no license of its own.
 
 Templates may be of any length, whole licenses too; those with fewer words than
 k are joined by as many words as they have. Templates are a parameter and go
@@ -30,32 +36,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import WORD_PATTERN, fold, table
+from lexmill.llm.common import WORD_PATTERN, fold, table, words_of
+from lexmill.llm.license_texts import PASSAGES
 
 #: Phrases that must stand word for word.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: Longer passages of public license notices; a span that covers most of one adds its label.
-PASSAGES = {
-    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files": "mit",
-    "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license": "apache",
-    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license": "gpl",
-    "under the terms of the gnu lesser general public license as published by the free software foundation": "lgpl",
-    "under the terms of the gnu affero general public license as published by the free software foundation": "agpl",
-    "redistribution and use in source and binary forms with or without modification are permitted": "bsd",
-    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "isc",
-    "this source code form is subject to the terms of the mozilla public license": "mpl",
-    "this is free and unencumbered software released into the public domain": "unlicense",
-    "licensed under cc by": "cc-by",
-    "licensed under cc by nc": "cc-by-nc",
-    "licensed under a creative commons attribution": "cc-by",
-    "this work is licensed under the gnu general public license version": "gpl-notice",
-}
-
-#: Words of a gram; share of a template's grams that a span must hold, and of its own grams that must be the template's.
-GRAM, COVERAGE, OWN = 2, 0.8, 0.5
-#: Votes that a diagonal needs to be merged, and how far apart merged diagonals may be.
-VOTES, DRIFT = 2, 2
+#: Words of a gram; share of a template's words that a span must align, of its own words that must be the template's, of the
+#: template's grams that no other label has.
+GRAM, COVERAGE, OWN, RARE = 4, 0.8, 0.5, 0.5
+#: How far apart merged diagonals may be.
+DRIFT = 2
 
 
 def words(text: Column) -> Column:
@@ -76,23 +67,42 @@ def placed(rows: DataFrame, column: str, most: int, *kept: str) -> DataFrame:
     return rows.select(*kept, column, F.posexplode_outer(column).alias("i", "w0")).select(*kept, "i", F.struct("w0", *(F.get(column, F.col("i") + n).alias(f"w{n}") for n in range(1, most))).alias("w"))
 
 
-def templates(spark: SparkSession, phrases: dict[str, str], passages: dict[str, str], k: int) -> tuple[DataFrame, list[int]]:
-    """(tid, label, base, grams, tpos, t, gram): a row for each gram of a template, t its words; and the sizes of grams."""
-    listed = [*((text, label, True) for text, label in phrases.items()), *((text, label, False) for text, label in passages.items())]
-    sizes = {min(k, len(text.split())) for text, *_ in listed}
+def templates(spark: SparkSession, phrases: dict[str, str], passages: list[tuple[str, str]], k: int) -> tuple[DataFrame, list[int]]:
+    """(tid, label, base, size, length, grams, rares, tpos, t, gram, rare): a row for each gram of a template, t its words; and the sizes of grams.
+
+    rare: no passage of another label has the gram.
+    """
+    listed = [*((label, text, True) for text, label in phrases.items()), *((label, text, False) for label, text in passages)]
+    sizes = {min(k, len(words_of(text))) for _, text, _ in listed}
     if 0 in sizes:
         raise ValueError("a template has no words")
-    literals = F.array(*(F.struct(F.lit(i).alias("tid"), F.lit(text).alias("text"), F.lit(label).alias("label"), F.lit(base).alias("base")) for i, (text, label, base) in enumerate(listed)))
-    split = spark.range(1).select(F.inline(literals)).withColumn("words", words(F.col("text")))
-    split = split.withColumn("size", F.least(F.lit(k), F.size("words"))).withColumn("grams", F.size("words") - F.col("size") + 1)
-    at = placed(split, "words", max(sizes), "tid", "label", "base", "size", "grams").where(F.col("i") < F.col("grams"))
+    literals = F.array(*(F.struct(F.lit(i).alias("tid"), F.lit(text).alias("text"), F.lit(label).alias("label"), F.lit(base).alias("base")) for i, (label, text, base) in enumerate(listed)))
+    split = spark.range(1).select(F.inline(literals)).withColumn("words", words(F.col("text"))).withColumn("length", F.size("words"))
+    split = split.withColumn("size", F.least(F.lit(k), F.col("length"))).withColumn("grams", F.col("length") - F.col("size") + 1)
+    at = placed(split, "words", max(sizes), "tid", "label", "base", "size", "length", "grams").where(F.col("i") < F.col("grams"))
     hashed = F.lit(None).cast("long")
     for size in sorted(sizes):
         hashed = F.when(F.col("size") == size, gram(F.col("w"), size)).otherwise(hashed)
-    return at.select("tid", "label", "base", "size", "grams", F.col("i").alias("tpos"), F.col("w").alias("t"), hashed.alias("gram")), sorted(sizes)
+    every = at.select("tid", "label", "base", "size", "length", "grams", F.col("i").alias("tpos"), F.col("w").alias("t"), hashed.alias("gram"))
+    labels = every.where(~F.col("base")).groupBy("gram").agg(F.countDistinct("label").alias("labels"))
+    known = every.join(labels, "gram", "left").withColumn("rare", ~F.col("base") & (F.coalesce("labels", F.lit(0)) == 1)).drop("labels")
+    rares = known.groupBy("tid").agg(F.count(F.when(F.col("rare"), 1)).alias("rares"))
+    return known.join(rares, "tid"), sorted(sizes)
+
+
+def aligned(at: Column, size: Column) -> Column:
+    """(t, s): words of the template and of the text that matches (i, tpos, rare), walked in order, pair up."""
+    start = F.struct(F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.lit(0).alias("t"), F.lit(0).alias("s"))
 
+    def step(state: Column, hit: Column) -> Column:
+        new = lambda at, last: F.when(last < 0, size).otherwise(F.least(size, at - last))
+        on = F.struct(hit["i"].alias("i"), hit["tpos"].alias("j"), (state["t"] + new(hit["tpos"], state["j"])).alias("t"), (state["s"] + new(hit["i"], state["i"])).alias("s"))
+        return F.when((hit["i"] > state["i"]) & (hit["tpos"] > state["j"]), on).otherwise(state)
 
-def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, passages: dict[str, str] = PASSAGES, id_col: str = "doc_id", text_col: str = "text", k: int = GRAM, coverage: float = COVERAGE) -> DataFrame:
+    return F.aggregate(F.array_sort(at), start, step)
+
+
+def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, passages: list[tuple[str, str]] = PASSAGES, id_col: str = "doc_id", text_col: str = "text", k: int = GRAM, coverage: float = COVERAGE) -> DataFrame:
     """(id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans) for each row of docs.
 
     spans: first and last word, label and coverage of each verified passage or phrase.
@@ -112,38 +122,48 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, passages: dict[str,
     hits = hits.where(F.col("tid").isNotNull() | F.col("i").isNull() | (F.col("i") == 0))
     hit = F.col("tid").isNotNull()
     passage = hit & ~F.col("base")
+    template = ["row", "id", "n_words", "tid", "label", "base", "size", "length", "grams", "rares"]
     diagonals = (
         hits.withColumn("diagonal", F.col("i") - F.col("tpos"))
-        .groupBy("row", "id", "n_words", "tid", "label", "base", "size", "grams", "diagonal")
-        .agg(F.count(F.when(hit, 1)).alias("votes"), F.collect_list(F.when(passage, F.struct("i", "tpos"))).alias("at"), F.min(F.when(hit, F.col("i"))).alias("lo"), F.max(F.col("i") + F.col("size") - 1).alias("hi"))
+        .groupBy(*template, "diagonal")
+        .agg(F.count(F.when(hit, 1)).alias("votes"), F.collect_list(F.when(passage, F.struct("i", "tpos", "rare"))).alias("at"), F.min(F.when(hit, F.col("i"))).alias("lo"), F.max(F.col("i") + F.col("size") - 1).alias("hi"))
     )
-    #: A passage of few grams may have a single vote on a diagonal; nothing else does by chance that often.
-    strong = F.col("tid").isNull() | F.col("base") | (F.col("votes") >= F.least(F.lit(VOTES), F.col("grams")))
-    along = Window.partitionBy("row", "tid", "strong").orderBy("diagonal")
+    along = Window.partitionBy("row", "tid").orderBy("diagonal")
     apart = F.col("base") | F.lag("diagonal").over(along).isNull() | (F.col("diagonal") - F.lag("diagonal").over(along) > DRIFT)
-    own = F.size(F.array_distinct(F.transform("at", lambda x: x["i"])))
-    held = F.size(F.array_distinct(F.transform("at", lambda x: x["tpos"])))
     bands = (
-        diagonals.withColumn("strong", strong)
-        .withColumn("band", F.sum(F.coalesce(apart, F.lit(True)).cast("int")).over(along))
-        .groupBy("row", "id", "n_words", "tid", "label", "base", "size", "grams", "strong", "band")
+        diagonals.withColumn("band", F.sum(F.coalesce(apart, F.lit(True)).cast("int")).over(along))
+        .groupBy(*template, "band")
         .agg(F.max("votes").alias("votes"), F.flatten(F.collect_list("at")).alias("at"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-        .withColumn("coverage", F.when(F.col("base"), F.col("votes") / F.col("grams")).when(F.col("strong"), held / F.col("grams")))
-        .withColumn("own", own / (F.col("hi") - F.col("lo") + 2 - F.col("size")))
+        .withColumn("pairs", F.when(passage, aligned(F.col("at"), F.col("size"))))
+        .withColumn("coverage", F.when(F.col("base"), F.col("votes") / F.col("grams")).otherwise(F.col("pairs.t") / F.col("length")))
+        .withColumn("own", F.col("pairs.s") / (F.col("hi") - F.col("lo") + 1))
+        .withColumn("held", F.size(F.array_distinct(F.transform(F.filter("at", lambda x: x["rare"]), lambda x: x["tpos"]))))
     )
     whole = F.col("base") & (F.col("votes") == F.col("grams"))
-    near = ~F.col("base") & F.col("strong") & (F.col("coverage") >= coverage) & (F.col("own") >= OWN)
+    near = F.coalesce(passage & (F.col("coverage") >= coverage) & (F.col("own") >= OWN) & (F.col("held") >= RARE * F.col("rares")), F.lit(False))
+    # Islands of overlapping verified spans: of each the spans with most words aligned stay.
+    before = Window.partitionBy("row", "near").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
+    through = Window.partitionBy("row", "near").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, 0)
+    island = Window.partitionBy("row", "near", "island")
+    weight = F.struct(F.col("pairs.t"), F.col("coverage"))
+    spans = (
+        bands.withColumn("near", near)
+        .withColumn("new", F.coalesce(F.col("lo") > F.max("hi").over(before), F.lit(True)).cast("int"))
+        .withColumn("island", F.sum("new").over(through))
+        .withColumn("best", F.col("near") & (weight == F.max(weight).over(island)))
+    )
+    best = F.coalesce("best", F.lit(False))
     listed = lambda c: F.array_join(F.array_sort(F.collect_set(F.when(c, F.col("label")))), ",")
     return (
-        bands.groupBy("row", "id", "n_words")
+        spans.groupBy("row", "id", "n_words")
         .agg(
             F.count(F.when(whole, 1)).alias("n_base"),
             F.min(F.when(whole, F.col("lo"))).cast("long").alias("first_word"),
             F.max(F.when(whole, F.col("lo"))).cast("long").alias("last_word"),
             listed(whole).alias("base_labels"),
-            listed(whole | near).alias("labels"),
-            F.coalesce(F.max(F.when(whole, F.lit(1.0)).when(~F.col("base"), F.col("coverage") * F.least(F.lit(1.0), F.col("own") / OWN))), F.lit(0.0)).alias("score"),
-            F.array_sort(F.collect_list(F.when(whole | near, F.struct(F.col("lo").alias("first"), F.col("hi").alias("last"), "label", "coverage")))).alias("spans"),
+            listed(whole | best).alias("labels"),
+            F.coalesce(F.max(F.when(whole, F.lit(1.0)).when(passage, F.col("coverage") * F.least(F.lit(1.0), F.col("own") / OWN))), F.lit(0.0)).alias("score"),
+            F.array_sort(F.collect_list(F.when(whole | best, F.struct(F.col("lo").alias("first"), F.col("hi").alias("last"), "label", "coverage")))).alias("spans"),
         )
         .drop("row")
         .withColumnRenamed("id", id_col)
