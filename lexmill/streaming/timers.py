@@ -90,7 +90,9 @@ def needs_timers(spark: SparkSession) -> None:
 
 
 def review_news(reviews: DataFrame, key: str = "word", late: str = "1 day") -> DataFrame:
-    """NEWS of a stream of reviews (key, ts, id, quality); at in milliseconds of event time."""
+    """NEWS of a stream of reviews (key, ts, id, quality); at in milliseconds of event time. Times without a zone are UTC."""
+    if dict(reviews.dtypes)["ts"] == "timestamp_ntz":
+        reviews = reviews.withColumn("ts", F.convert_timezone(F.lit("UTC"), F.current_timezone(), "ts").cast("timestamp"))
     rows = reviews.select(F.col(key).cast("string").alias("key"), "ts", F.col("id").cast("long").alias("id"), F.col("quality").cast("int").alias("quality"), F.unix_millis("ts").alias("ms"))
     kept = rows.where("key is not null and ts is not null and id is not null and quality is not null").withWatermark("ts", late)
     return kept.groupBy("key").transformWithState(Words(), NEWS, "append", "eventTime")

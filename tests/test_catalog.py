@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from lexmill.plans import catalog, entries, files, language, surface  # noqa: F401  (these add their queries)
+from lexmill.plans import catalog, entries, files, language, streams, surface  # noqa: F401  (these add their queries)
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
