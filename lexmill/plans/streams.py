@@ -15,7 +15,7 @@ from lexmill.streaming import timers
 
 @query(
     f"""WITH RECURSIVE e AS (
-  SELECT user_id, event_id AS id, epoch_ms(ts) AS "at", {case_sql(_QUALITY, 'event_type')} AS q FROM events WHERE event_type IS NOT NULL AND user_id IS NOT NULL
+  SELECT user_id, event_id AS id, epoch_us(ts) // 1000 AS "at", {case_sql(_QUALITY, 'event_type')} AS q FROM events WHERE event_type IS NOT NULL AND user_id IS NOT NULL
 ), r AS (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY "at", id) AS k, now FROM e, (SELECT max("at") - {timers.DAY} AS now FROM e WHERE q IS NOT NULL) WHERE q IS NOT NULL AND "at" <= now
 ), s AS (
