@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import expressions as X
 from lexmill.functions import lexicon as L
+from lexmill.operators.ranking import numbered
 from lexmill.sources import readers
 
 
@@ -96,6 +97,39 @@ def clean_tokens(tokens: DataFrame, lemma_of: DataFrame) -> DataFrame:
     return words.join(wanted, "word").select("doc_id", "pos", "token", "lemma")
 
 
+def word_decisions(words: DataFrame, tags: DataFrame | None = None, least: int = 5) -> DataFrame:
+    """(word, surface, lemma, independent, reason) of every word (word, n, rank) that belongs to the clean corpus.
+
+    surface: the word with its cut end restored, where a word of at least `least` occurrences continues it.
+    tags: (word, pos); without them, forms count as nouns. All is decided once for each word, not for each token.
+    """
+    surfaces = recover_truncated(words, words.where(F.col("n") >= least)).withColumnRenamed("recovered", "surface")
+    lemma_of = lemmas(words)
+    rows = surfaces.join(lemma_of.select(F.col("word").alias("surface"), "lemma"), "surface")
+    if tags is None:
+        rows = rows.withColumns({"pos": F.lit("NOUN"), "lemma_pos": F.lit("NOUN")})
+    else:
+        own, of = (tags.select(F.col("word").alias(c), F.col("pos").alias(p)) for c, p in (("surface", "pos"), ("lemma", "lemma_pos")))
+        rows = rows.join(own, "surface", "left").join(of, "lemma", "left").withColumn("lemma_pos", F.coalesce("lemma_pos", "pos"))
+    wanted = ~F.col("surface").isin(*L.STOP_WORDS) & ~F.col("lemma").isin(*L.STOP_WORDS) & (F.length("lemma") >= 2) & ~X.is_noise("lemma")
+    made = X.form_decision("surface", "lemma", "pos", "lemma_pos", X.term_context(freq=F.lit(1)))
+    return rows.where(wanted).select("word", "surface", "lemma", made["independent"].alias("independent"), made["reason"].alias("reason"))
+
+
+def clean_corpus(tokens: DataFrame, decisions: DataFrame, page: int = 500) -> DataFrame:
+    """(doc_id, pos, token, lemma, context, page_no): the clean corpus in order, `page` rows to a page.
+
+    A word that stands on its own appears once, where it comes first, as itself
+    and with the reason; every other token appears with its lemma. Pages come from row numbers over range partitions.
+    """
+    rows = tokens.withColumn("word", F.lower("token")).join(decisions, "word")
+    once = first_of_each(rows.where("independent").drop("word"), "surface", "doc_id", "pos")
+    every = rows.where("not independent").drop("word").select(*once.columns)
+    lemma = F.when(F.col("independent"), F.col("surface")).otherwise(F.col("lemma"))
+    emitted = once.unionAll(every).select("doc_id", "pos", F.col("surface").alias("token"), lemma.alias("lemma"), F.when(F.col("independent"), F.col("reason")).otherwise("").alias("context"))
+    return numbered(emitted, "doc_id", "pos").withColumn("page_no", F.floor((F.col("n") - 1) / page) + 1).drop("n")
+
+
 def first_of_each(tokens: DataFrame, key: str, *order: str) -> DataFrame:
     """Of rows with one key only the first in the order."""
     rest = [c for c in tokens.columns if c != key]

@@ -134,6 +134,33 @@ def tagged_forms(spark, d):
     return rows.select("word", "lemma", "pos", "lemma_pos", made["independent"].alias("independent"), made["reason"].alias("reason"))
 
 
+_DECIDED = f"""k5 AS (SELECT word FROM w WHERE n >= 5), rec AS (
+  SELECT w.word, CASE WHEN length(w.word) < 4 OR k.word IS NOT NULL THEN w.word ELSE coalesce(a.word, b.word, c.word, e.word, w.word) END AS surface
+  FROM w LEFT JOIN k5 k ON w.word = k.word LEFT JOIN k5 a ON a.word = w.word || 'e' LEFT JOIN k5 b ON b.word = w.word || 'es' LEFT JOIN k5 c ON c.word = w.word || 'ed' LEFT JOIN k5 e ON e.word = w.word || 'd'
+), dec0 AS (
+  SELECT rec.word, surface, l.lemma, p.pos, coalesce(q.pos, p.pos) AS lemma_pos,
+    surface = l.lemma OR (regexp_matches(surface, '(ed|ing|s|es)$') AND starts_with(surface, l.lemma)) AS inflected, regexp_matches(surface, '.{{4,}}({DERIVED})$') AS ending
+  FROM rec JOIN lem l ON l.word = rec.surface LEFT JOIN wtag p ON p.word = surface LEFT JOIN wtag q ON q.word = l.lemma
+  WHERE surface NOT IN ({quoted(L.STOP_WORDS)}) AND l.lemma NOT IN ({quoted(L.STOP_WORDS)}) AND length(l.lemma) >= 2 AND NOT {catalog.NOISE.replace("word", "l.lemma")}
+), decided AS (
+  SELECT word, surface, lemma, coalesce(pos <> lemma_pos, false) OR (ending AND NOT inflected) AS independent, CASE WHEN pos <> lemma_pos THEN '派生：POS ' || lemma_pos || '→' || pos ELSE '{L.FORM_REASONS["derived"]}' END AS reason
+  FROM dec0
+), rows_ AS (
+  SELECT doc_id, pos, surface, lemma, independent, reason FROM tok JOIN decided d ON lower(tok.token) = d.word
+), once AS (
+  SELECT doc_id, pos, surface AS token, surface AS lemma, reason AS context FROM rows_ WHERE independent QUALIFY row_number() OVER (PARTITION BY surface ORDER BY doc_id, pos) = 1
+  UNION ALL SELECT doc_id, pos, surface, lemma, '' FROM rows_ WHERE NOT independent
+)"""
+
+
+@query(f"{VITERBI}, {_WORD_TAGS}, {LEMMA}, {_DECIDED} SELECT doc_id, pos, token, lemma, context, CAST((row_number() OVER (ORDER BY doc_id, pos) - 1) // 500 + 1 AS BIGINT) AS page_no FROM once")
+def clean_corpus(spark, d):
+    """The English corpus: cut ends restored, lemmas, words of their own once, numbered pages."""
+    tags = durable(tagging.word_tags(tagged(spark, d)).select("word", "pos"))
+    decisions = durable(corpus.word_decisions(catalog.words(spark, d), tags))
+    return corpus.clean_corpus(readers.tokens(readers.english(spark, d)), decisions)
+
+
 # ---- phrases
 
 
