@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import expressions as X
 from lexmill.functions import lexicon as L
+from lexmill.operators.ranking import durable
 
 #: Name of a field to the function that gives its HTML as a column, empty where there is nothing to show.
 FIELDS: dict[str, Callable[[], Column]] = {}
@@ -132,19 +133,21 @@ def entry_html(entries: DataFrame, order: list[str] | None = None) -> DataFrame:
 def alphabetical_html(entries: DataFrame) -> DataFrame:
     """(word, letter_head, html) of a plain list: article elements, a head where the first letter of the order changes.
 
-    The head needs the word before: ordered within the first letter, so no task sorts all.
+    The head stands at each letter's least word, which every task adds up before the
+    exchange: nothing is sorted or gathered by letter.
     """
-    from pyspark.sql import Window
-
     letter = F.upper(F.substring("word", 1, 1))
-    first = F.row_number().over(Window.partitionBy(letter).orderBy(F.lower("word"), "word")) == 1
+    entries = durable(entries.where(_text("word") != "")).withColumns({"__id": F.monotonically_increasing_id(), "__letter": letter})
+    least = entries.groupBy("__letter").agg(F.min(F.struct(F.lower("word").alias("l"), "word", "__id")).alias("x"))
+    entries = entries.join(least.select(F.col("x.__id").alias("__id"), F.lit(True).alias("__first")), "__id", "left")
+    first, letter = F.col("__first"), F.col("__letter")
     line = lambda name, c: _if(_text(c), F.concat(F.lit(f'\n  <div class="{name}">'), X.html_escape(c), F.lit("</div>")))
     html = F.concat(
         F.lit('<article class="entry">\n  <header class="headword">'), _tag("span", "word", X.html_escape("word")), _tag("span", "pos", X.html_escape("pos")), F.lit("</header>"),
         line("zh-def", "gloss_zh"), line("en-def", "gloss_en"), line("etymology", "etymology"), F.lit("\n</article>"),
     )
     head = F.concat(F.lit('<h2 class="alpha-header">'), letter, F.lit("</h2>"))
-    return entries.where(_text("word") != "").select("word", F.when(first, head).alias("letter_head"), html.alias("html"))
+    return entries.select("word", F.when(first, head).alias("letter_head"), html.alias("html"))
 
 
 # ---- names and lines of other formats

@@ -18,16 +18,15 @@ def common_ipa(word) -> Column:
 def contexts(words: DataFrame, sentences: DataFrame, most: int = 3) -> DataFrame:
     """(word, contexts): the first sentences (doc_id, no, sentence) that hold each word, cleaned, at most `most`.
 
-    Each round takes the least (document, sentence) beyond those taken, so no
+    Each task keeps `most` of a word's sentences before the exchange, so no
     word's sentences are ever collected whole.
     """
-    tokens = sentences.select("doc_id", "no", "sentence", F.explode(F.array_distinct(F.transform(X.corpus_tokens("sentence"), lambda x: F.lower(x)))).alias("word"))
-    held = tokens.join(words.select("word").distinct(), "word").select("word", F.struct("doc_id", "no", "sentence").alias("s"))
-    out = held.groupBy("word").agg(F.array(F.min("s")).alias("xs"))
-    for _ in range(most - 1):
-        beyond = held.join(out, "word").where(F.col("s") > F.element_at("xs", -1)).groupBy("word").agg(F.min("s").alias("a"))
-        out = out.join(beyond, "word", "left").select("word", F.when(F.col("a").isNull(), F.col("xs")).otherwise(F.concat("xs", F.array("a"))).alias("xs"))
-    return out.select("word", X.clean_examples(F.col("xs.sentence")).alias("contexts"))
+    tokens = sentences.select("doc_id", "no", "sentence", F.explode(F.array_distinct(F.transform(X.corpus_tokens("sentence"), F.lower))).alias("word"))
+    held = tokens.join(words.select("word").distinct(), "word")
+    order = Window.partitionBy("word").orderBy("doc_id", "no")
+    first = held.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most)
+    xs = first.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("r", "sentence"))).alias("xs"))
+    return xs.select("word", X.clean_examples(F.col("xs.sentence")).alias("contexts"))
 
 
 def numbered_sentences(docs: DataFrame) -> DataFrame:

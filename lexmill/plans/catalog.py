@@ -816,17 +816,69 @@ def first_contexts(spark, d):
     return corpus.first_of_each(rows.join(important(spark, d).distinct(), "word"), "word", "doc_id", "no")
 
 
-@query()
-def enriched_entries(spark, d):
-    docs = readers.english(spark, d)
-    w = words(spark, d).orderBy(F.desc("n"), "word").limit(300)
+_KEPT_ROWS = ORACLES["quantile_filter"].replace("SELECT word, n, q, kept_by FROM r", "SELECT r.word FROM r")
+_ENRICHED = rf"""{COLLOC}, {WORDS}, sel AS ({_KEPT_ROWS}), e0 AS (SELECT w.* FROM w JOIN sel USING (word)
+), lk AS ({ORACLES["wordbank_lookup"].replace("WITH " + WORDS, "")}
+), sent AS (
+  SELECT doc_id, unnest(range(0, len(ss))) AS no, unnest(ss) AS sentence
+  FROM (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?])[\s\v]+', '\1' || chr(10), 'g'), chr(10)) AS ss FROM documents WHERE lang = 'en')
+), held AS (
+  SELECT DISTINCT doc_id, no, sentence, lower(unnest(regexp_extract_all(sentence, '{TOKEN_RE}'))) AS word FROM sent
+), c3 AS (
+  SELECT held.*, row_number() OVER (PARTITION BY word ORDER BY doc_id, no) AS r FROM held JOIN e0 USING (word) QUALIFY r <= 3
+), cleaned AS (
+  SELECT word, r, {SANITIZE} AS clean FROM (SELECT word, r, {STRIP.format("sentence")} AS s FROM c3)
+), cx AS (
+  SELECT word, list_filter(xs, lambda x, i: list_position(xs, x) = i) AS xs FROM (SELECT word, list(clean ORDER BY r) AS xs FROM cleaned WHERE clean <> '' GROUP BY word)
+), pairs AS (
+  SELECT phrase, a AS word, n, round(s, 2) AS pmi FROM col WHERE s > 0 AND n >= 3 UNION SELECT phrase, b, n, round(s, 2) FROM col WHERE s > 0 AND n >= 3
+), p4 AS (
+  SELECT word, phrase, row_number() OVER (PARTITION BY word ORDER BY pmi DESC, n DESC, phrase) AS r FROM pairs QUALIFY r <= 4
+), px AS (
+  SELECT word, list(phrase ORDER BY r) AS phrases FROM p4 GROUP BY word
+), enriched AS (
+  SELECT e0.word, e0.n, lk.pos, lk.gloss_en, e0.level, coalesce(array_to_string(cx.xs, ' | '), '') AS examples, coalesce(array_to_string(px.phrases, ' | '), '') AS collocations,
+         CASE WHEN e0.word IN ({quoted(L.POLYSEMOUS)}) THEN e0.word ELSE '' END AS polysemy
+  FROM e0 LEFT JOIN lk ON lk.word = e0.word LEFT JOIN cx ON cx.word = e0.word LEFT JOIN px ON px.word = e0.word
+)"""
+
+
+def enriched(spark, d):
+    """Entries of all selected words, every field that can be had offline."""
+    docs, w = readers.english(spark, d), words(spark, d)
+    kept = durable(levels.quantile_filter(w, 0.75, important(spark, d)).select("word").join(w, "word"))
     t = dictionaries(spark, d)
-    found = levels.look_up(w.select("word"), t["cmu"], t["cefr"], t["oxford"], t["bilingual"], t["wiktionary"])
-    phrases = ngrams.phrases_of(ngrams.collocations(docs, 2, 3), w)
-    return enrich.preview(enrich.enrich(w, found, enrich.contexts(w, enrich.numbered_sentences(docs)), phrases)).select("word", "n", "pos", "gloss_en", "level", "examples", "collocations", F.col("phenomena.polysemy").alias("polysemy"))
+    found = levels.look_up(kept.select("word"), t["cmu"], t["cefr"], t["oxford"], t["bilingual"], t["wiktionary"])
+    phrases = ngrams.phrases_of(ngrams.collocations(docs, 2, 3), kept)
+    entries = enrich.enrich(kept, found, enrich.contexts(kept, enrich.numbered_sentences(docs)), phrases)
+    return entries.select("word", "n", "pos", "gloss_en", "level", F.array_join("examples", " | ").alias("examples"), F.array_join("collocations", " | ").alias("collocations"), F.array_join("phenomena.polysemy", "").alias("polysemy"))
+
+
+@query(f"WITH {_ENRICHED} SELECT * FROM enriched")
+def enriched_entries(spark, d):
+    return enriched(spark, d)
+
+
+_PAGED_GLOSS = "concat_ws(chr(10), gloss_en, nullif(examples, ''), nullif(collocations, ''))"
+_ESC = "replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+@query(
+    f"""WITH {_ENRICHED}, h AS (
+  SELECT word, '<div class="entry"><b>' || {_ESC.format("word")} || '</b><span style="color:' || {case_sql(L.LEVEL_COLOURS, "level")} || '">' || level || '</span> ×' || n || '<p>' || replace({_ESC.format(_PAGED_GLOSS)}, chr(10), '<br>') || '</p></div>' AS html
+  FROM enriched WHERE trim({_PAGED_GLOSS}) <> ''
+), pg AS (SELECT word, html, (row_number() OVER (ORDER BY lower(word), html) - 1) // 500 + 1 AS page FROM h)
+SELECT CAST(page AS BIGINT) AS page, count(*) AS entries, md5('<!DOCTYPE html><html><head><meta charset=''utf-8''><title>Words</title></head><body>' || chr(10) || string_agg(html, chr(10) ORDER BY lower(word), html) || chr(10) || '</body></html>') AS html
+FROM pg GROUP BY page"""
+)
+def enriched_pages(spark, d):
+    """From the corpus to pages of rendered entries: all selected words with gloss, examples and collocations."""
+    gloss = F.concat_ws("\n", "gloss_en", F.nullif("examples", F.lit("")), F.nullif("collocations", F.lit("")))
+    entries = enriched(spark, d).withColumn("gloss", gloss)
+    pages = reports.html_pages(reports.entry_html(entries), "Words")
+    return pages.select("page", (F.size(F.split("html", '<div class="entry">')) - 1).cast("long").alias("entries"), F.md5("html").alias("html"))
 
 
-_KEPT_ROWS = ORACLES["quantile_filter"].replace("SELECT word, n, q, kept_by FROM r", "SELECT r.word FROM r")
 _ENTRY = (
     f"'<div class=\"entry\"><b>' || word || '</b><span style=\"color:' || {case_sql(L.LEVEL_COLOURS, 'level')} || '\">' || level || '</span> ×' || n || '<p>gloss of ' || word || '</p></div>'"
 )
