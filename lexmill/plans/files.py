@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from lexmill.operators import replies, search
 from lexmill.operators.ranking import shared_folder
 from lexmill.plans import catalog
 from lexmill.plans.catalog import WORDS, query
@@ -51,3 +52,42 @@ def dictionary_sources(spark, d):
         lost = rows.where("broken is not null").select("broken")
         out, broken = (entries, lost) if out is None else (out.unionAll(entries), broken.unionAll(lost))
     return out.unionAll(broken.agg(F.count("*").cast("string").alias("value")).select(F.lit("broken").alias("kind"), F.lit("").alias("word"), "value"))
+
+
+@query(
+    f"WITH {WORDS}, e AS (SELECT word, n, 'level ' || level AS gloss, CASE WHEN n % 2 = 0 THEN 'mastered' ELSE 'new' END AS status FROM w), "
+    "f AS (SELECT 'tion' AS q, * FROM e WHERE contains(word, 'tion') AND status = 'new' UNION ALL SELECT 'an', * FROM e WHERE contains(word, 'an') AND status = 'mastered' UNION ALL SELECT 'l c2', * FROM e WHERE contains(lower(gloss), 'l c2')) "
+    "SELECT q, word, n, status FROM f QUALIFY row_number() OVER (PARTITION BY q ORDER BY word) BETWEEN 51 AND 100"
+)
+def indexed_search(spark, d):
+    """The second page of three searches over all words, from a stored index."""
+    w = catalog.words(spark, d)
+    path, fields = f"{shared_folder(spark).rstrip('/')}/index-{uuid.uuid4().hex}", ["word", "gloss"]
+    search.build(w.select("word", "n", F.concat(F.lit("level "), "level").alias("gloss")), path, fields)
+    states = w.where("n % 2 = 0").select("word", F.lit("mastered").alias("status"))
+    out = None
+    for q, status in (("tion", "new"), ("an", "mastered"), ("l c2", None)):
+        first = search.search(spark, path, fields, q, states, status, size=50).agg(F.max("entry")).first()[0]
+        page = search.search(spark, path, fields, q, states, status, first, 50).select(F.lit(q).alias("q"), "word", "n", "status")
+        out = page if out is None else out.unionAll(page)
+    return out
+
+
+@query("SELECT conv_id, turn, CASE WHEN text IS NULL THEN NULL WHEN length(text) % 5 = 0 THEN 'RuntimeError: busy' END AS error, CASE WHEN length(text) % 5 <> 0 THEN md5('reply to ' || text) END AS reply FROM conversations")
+def stored_replies(spark, d):
+    """A reply to every turn from a store that two jobs fill: the first job's model fails for most turns."""
+    path = f"{shared_folder(spark).rstrip('/')}/replies-{uuid.uuid4().hex}"
+    turns = readers.table(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("prompt"))
+    replies.ask_once(turns, _busy(3), path, pause=0.0, tries=1)
+    return replies.ask_once(turns, _busy(5), path, pause=0.0, tries=2).select("conv_id", "turn", "error", F.md5("reply").alias("reply"))
+
+
+def _busy(often: int):
+    """A model that is busy for prompts of some lengths; those of lengths that 5 divides never get a reply."""
+
+    def ask(prompt: str) -> str:
+        if len(prompt) % 5 == 0 or often == 3 and len(prompt) % 3:
+            raise RuntimeError("busy")
+        return f"reply to {prompt}"
+
+    return ask
