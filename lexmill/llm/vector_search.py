@@ -4,8 +4,10 @@ Pivots are a fixed number of vectors from a bounded sample. Every vector is
 keyed by its nearest pivot, its distance to it and its norm; the cell of a pivot
 is cut into rings (annuli) by quantiles of the distance, so there are at most
 PIVOTS x RINGS rings whatever the size of the table, and the driver holds one
-row for each. A ring's rows are dealt to slices of about SLICE rows, so equal
-vectors and large cells spread.
+row for each. A ring's rows are dealt to slices, so equal vectors and large
+cells spread. A slice has about as many rows as there are queries, from SLICE to
+MOST_SLICE, so that queries which nothing prunes travel no more than the rows do
+(beyond MOST_SLICE queries: queries / MOST_SLICE times as much).
 
 For a query q and a ring of pivot p with distances from lo to hi and norms up to
 m, no row x of it can score more than either of
@@ -41,9 +43,10 @@ from pyspark.sql import functions as F
 
 from lexmill.llm.common import durable, table
 
-#: Rows of the sample, pivots of each vector length, rings of a pivot, rows of a slice.
-SAMPLE, PIVOTS, RINGS, SLICE = 4096, 64, 16, 2048
-#: Queries of a slice that are scored at a time.
+#: Rows of the sample, pivots of each vector length, rings of a pivot, least and most rows of a slice.
+SAMPLE, PIVOTS, RINGS, SLICE, MOST_SLICE = 4096, 64, 16, 2048, 65_536
+#: Scores that a slice makes at a time.
+SCORES = 1 << 20
 QUERIES = 512
 SCALE = 256
 
@@ -113,7 +116,7 @@ def _matrix(column: pa.Array, length: int) -> np.ndarray:
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows of which is_query (over column id) is true."""
     results = None
-    for index in indexes(vectors, id_col, vector_col):
+    for index in indexes(vectors, is_query, id_col, vector_col):
         found = index.search(is_query, k)
         results = found if results is None else results.unionAll(found)
     if results is None:
@@ -125,7 +128,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
 def scored_share(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> float:
     """The share of all pairs of a query and a row of its length that the search scores."""
     scored = every = 0
-    for index in indexes(vectors, id_col, vector_col):
+    for index in indexes(vectors, is_query, id_col, vector_col):
         first, others = index.expansions(is_query, k)
         sizes = dict(zip(zip(index.rings.cell.tolist(), index.rings.ring.tolist(), strict=True), index.rings.n.tolist(), strict=True))
         scored += sum(r["n"] * sizes[r["cell"], r["ring"]] for r in first.unionAll(others).groupBy("cell", "ring").agg(F.countDistinct("query_id").alias("n")).collect())
@@ -133,18 +136,20 @@ def scored_share(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str =
     return scored / every if every else 0.0
 
 
-def indexes(vectors: DataFrame, id_col: str, vector_col: str) -> Iterator[Index]:
-    """An index for each vector length."""
+def indexes(vectors: DataFrame, is_query: Column, id_col: str, vector_col: str) -> Iterator[Index]:
+    """An index for each vector length, in slices for so many queries."""
     rows = durable(usable(vectors, id_col, vector_col).withColumn("n", F.size("v")).where("n > 0"))
     for (length,) in rows.select("n").distinct().orderBy("n").toLocalIterator():
-        yield Index(rows.where(F.col("n") == length).drop("n"), length)
+        own = rows.where(F.col("n") == length).drop("n")
+        yield Index(own, length, own.where(is_query).count())
 
 
 class Index:
     """Rows (id, v) of one length, keyed by cell, ring and slice."""
 
-    def __init__(self, rows: DataFrame, length: int):
+    def __init__(self, rows: DataFrame, length: int, queries: int):
         self.length = length
+        size = max(SLICE, min(MOST_SLICE, queries))
         sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
         sampled = np.unique(np.array([r["v"] for r in sample], dtype=np.float64).reshape(-1, length), axis=0)
         pivots = sampled[np.linspace(0, len(sampled) - 1, min(PIVOTS, len(sampled))).astype(int)]
@@ -160,7 +165,7 @@ class Index:
         ring = F.size(F.filter("cuts", lambda c: c < F.col("distance")))
         ringed = durable(keyed.join(F.broadcast(cuts), "cell").select("id", "v", "cell", ring.alias("ring"), "distance", "norm"))
         #: At most PIVOTS x RINGS rows.
-        found = ringed.groupBy("cell", "ring").agg(F.count("*").alias("n"), F.min("distance").alias("lo"), F.max("distance").alias("hi"), F.max("norm").alias("most")).withColumn("slices", F.ceil(F.col("n") / SLICE).cast("int"))
+        found = ringed.groupBy("cell", "ring").agg(F.count("*").alias("n"), F.min("distance").alias("lo"), F.max("distance").alias("hi"), F.max("norm").alias("most")).withColumn("slices", F.ceil(F.col("n") / size).cast("int"))
         listed = found.orderBy("cell", "ring").collect()
         self.rings = Rings(pivots, listed)
         slices = F.broadcast(found.select("cell", "ring", "slices"))
@@ -227,8 +232,9 @@ class Index:
                         vectors.append(_matrix(part.column("v"), length))
                     elif ids:
                         ids, vectors = [np.concatenate(ids)], [np.concatenate(vectors)]
-                        for i in range(0, b - a, QUERIES):
-                            yield best(part.slice(i, QUERIES), ids[0], vectors[0])
+                        few = max(1, SCORES // len(ids[0]))
+                        for i in range(0, b - a, few):
+                            yield best(part.slice(i, few), ids[0], vectors[0])
 
         def best(asked: pa.RecordBatch, ids: np.ndarray, vectors: np.ndarray) -> pa.RecordBatch:
             mine, floor = (asked.column(c).to_numpy(zero_copy_only=False) for c in ("id", "threshold"))

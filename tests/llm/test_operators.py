@@ -903,5 +903,5 @@ def test_vector_search_prunes_clusters_and_takes_repeated_ids(spark):
 def test_registry_names():
     from lexmill.llm import registry
 
-    assert [int(re.match(r"op(\d+)_", n)[1]) for n in sorted(registry.QUERIES, key=lambda n: int(re.match(r"op(\d+)_", n)[1]))] == list(range(1, 11))
+    assert [int(re.match(r"op(\d+)_", n)[1]) for n in sorted(registry.QUERIES, key=lambda n: int(re.match(r"op(\d+)_", n)[1]))] == list(range(1, 14))
     assert json.dumps(sorted(registry.ORACLES))
