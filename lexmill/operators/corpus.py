@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import expressions as X
 from lexmill.functions import lexicon as L
-from lexmill.operators.ranking import numbered
+from lexmill.operators.ranking import durable, numbered
 from lexmill.sources import readers
 
 
@@ -47,15 +47,24 @@ def repair(text_col: str = "text", lang: str = "en"):
     return F.when(X.stripped(text_col) == "", F.col(text_col)).otherwise(X.joined_hyphens(text) if lang == "en" else text)
 
 
-def word_table(tokens: DataFrame) -> DataFrame:
-    """(word, n, zipf, band, rank): frequency per billion words on a log scale, a band of 1 to 10 from it, a rank that is smaller for more common words."""
-    words = tokens.groupBy(F.lower("token").alias("word")).agg(F.count("*").alias("n"))
+def counted_words(tokens: DataFrame) -> DataFrame:
+    """(word, n, first_doc)."""
+    return tokens.groupBy(F.lower("token").alias("word")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+
+
+def ranked_words(words: DataFrame) -> DataFrame:
+    """words (word, n, ...) with zipf, the frequency per billion words on a log scale, a band of 1 to 10 from it, and a rank that is smaller for more common words."""
     total = words.agg(F.sum("n").alias("total"))
     zipf = F.round(F.log10(F.col("n") * 1e9 / F.col("total")), 6)
-    sized = words.join(F.broadcast(total)).select("word", "n", zipf.alias("zipf"), (F.col("total") - F.col("n") + 1).alias("rank"))
+    sized = words.join(F.broadcast(total)).select(*words.columns, zipf.alias("zipf"), (F.col("total") - F.col("n") + 1).alias("rank"))
     return sized.withColumn("band", F.least(F.lit(10), F.greatest(F.lit(1), F.ceil((8 - F.col("zipf")) * 2))).cast("int"))
 
 
+def word_table(tokens: DataFrame) -> DataFrame:
+    """(word, n, zipf, rank, band) of tokens."""
+    return ranked_words(tokens.groupBy(F.lower("token").alias("word")).agg(F.count("*").alias("n")))
+
+
 def lemmas(words: DataFrame) -> DataFrame:
     """(word, lemma) of a table with word and rank: only distinct words are looked up; stems of -ing and -ed are restored by rank."""
     ranks = words.select("word", "rank")
@@ -89,9 +98,21 @@ def recover_truncated(words: DataFrame, known: DataFrame) -> DataFrame:
     return out.select("word", F.when((F.length("word") < 4) | F.col("own").isNotNull(), F.col("word")).otherwise(longer).alias("recovered"))
 
 
+def clean_lemmas(lemma_of: DataFrame) -> DataFrame:
+    """Of (word, lemma) those that are no stop word (word or lemma), single letter or noise."""
+    return lemma_of.where(~F.col("word").isin(*L.STOP_WORDS) & ~F.col("lemma").isin(*L.STOP_WORDS) & (F.length("lemma") >= 2) & ~X.is_noise("word") & ~X.is_noise("lemma"))
+
+
+def lemma_table(tokens: DataFrame) -> DataFrame:
+    """(lemma, n, first_doc) of the clean corpus in one pass over the tokens: all else is done with distinct words."""
+    words = durable(counted_words(tokens))
+    lemma_of = clean_lemmas(lemmas(ranked_words(words)))
+    return words.join(lemma_of, "word").groupBy("lemma").agg(F.sum("n").alias("n"), F.min("first_doc").alias("first_doc"))
+
+
 def clean_tokens(tokens: DataFrame, lemma_of: DataFrame) -> DataFrame:
     """(doc_id, pos, token, lemma) without stop words (token or lemma), single letters and noise; words are tested once each, in the lemma table."""
-    wanted = lemma_of.where(~F.col("word").isin(*L.STOP_WORDS) & ~F.col("lemma").isin(*L.STOP_WORDS) & (F.length("lemma") >= 2) & ~X.is_noise("word") & ~X.is_noise("lemma"))
+    wanted = clean_lemmas(lemma_of)
     #: The most frequent words are stop words: they go before the exchange, not in it.
     words = tokens.withColumn("word", F.lower("token")).where(~F.col("word").isin(*L.STOP_WORDS) & (F.length("word") >= 2))
     return words.join(wanted, "word").select("doc_id", "pos", "token", "lemma")

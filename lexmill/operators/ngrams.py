@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import expressions as X
 from lexmill.functions import lexicon as L
+from lexmill.operators.ranking import durable
 
 
 def placed_words(docs: DataFrame, n: int, text_col: str = "text") -> DataFrame:
@@ -37,16 +38,23 @@ def is_meaningful(*words: Column) -> Column:
 
 
 def collocations(docs: DataFrame, n: int = 2, min_count: int = 2, text_col: str = "text") -> DataFrame:
-    """(phrase, words, n, pmi) of phrases with a content word, counts of at least min_count and a score over 0."""
-    ws = [F.col(f"w{k + 1}") for k in range(n)]
-    counts = ngram_counts(docs, n, text_col).where(F.col("n") >= min_count).where(is_meaningful(*ws))
+    """(phrase, words, n, pmi) of phrases with a content word, counts of at least min_count and a score over 0.
+
+    The texts are read once: runs that a text's end cuts short are counted with nulls at their end,
+    so the counts of single words and of pairs are sums over those of longer runs.
+    """
+    names = [f"w{k + 1}" for k in range(n)]
+    ws = [F.col(x) for x in names]
+    placed = placed_words(docs, n, text_col).select("w1", *(F.get("ws", F.col("i") + k).alias(f"w{k + 1}") for k in range(1, n)))
+    runs = durable(placed.groupBy(*names).agg(F.count("*").alias("n")))
+    counts = runs.where(F.col(names[-1]).isNotNull() & (F.col("n") >= min_count)).where(is_meaningful(*ws))
     if n == 2:
-        single = placed_words(docs, n, text_col).groupBy("w1").agg(F.count("*").alias("c"))
+        single = durable(runs.groupBy("w1").agg(F.sum("n").alias("c")))
         total = single.agg(F.sum("c").alias("total"))
         a, b = (single.select(F.col("w1").alias(f"w{i}"), F.col("c").alias(f"c{i}")) for i in (1, 2))
         scored = counts.join(a, "w1").join(b, "w2").join(F.broadcast(total)).withColumn("s", pmi(F.col("n"), F.col("c1"), F.col("c2"), F.col("total")))
     else:
-        pairs = ngram_counts(docs, 2, text_col, 3).withColumnRenamed("n", "ab")
+        pairs = runs.where("w2 is not null").groupBy("w1", "w2").agg(F.sum("n").alias("ab"))
         scored = counts.join(pairs, ["w1", "w2"]).withColumn("s", F.log2(F.greatest(F.lit(1), F.col("n")) / F.greatest(F.lit(1), F.col("ab")) * 2))
     return scored.where("s > 0").select(F.concat_ws(" ", *ws).alias("phrase"), F.array(*ws).alias("words"), "n", F.round("s", 2).alias("pmi"))
 

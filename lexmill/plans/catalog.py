@@ -143,7 +143,7 @@ def clean_tokens(spark, d):
 
 @query(f"WITH {CLEAN} SELECT lemma, count(*) AS n, min(doc_id) AS first_doc FROM ct GROUP BY lemma")
 def lemma_counts(spark, d):
-    return clean_tokens(spark, d).groupBy("lemma").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+    return corpus.lemma_table(readers.tokens(readers.english(spark, d)))
 
 
 @query(f"WITH {CLEAN} SELECT doc_id, pos, lemma FROM (SELECT *, row_number() OVER (PARTITION BY lemma ORDER BY doc_id, pos) AS r FROM ct) WHERE r = 1")
