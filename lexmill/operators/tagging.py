@@ -19,12 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions import expressions as X
 from lexmill.functions import lexicon as L
-from lexmill.operators.ranking import durable
 
 #: Words and endings of a model; least count of either; letters of the longest ending; thousandths.
 MOST_KEYS, LEAST, ENDING, UNIT = 200_000, 2, 4, 1000
@@ -41,9 +40,9 @@ def seed_tag(word: Column | str) -> Column:
     for pos, words in L.CLOSED_CLASSES.items():
         is_one = w.isin(*words.split())
         tag = F.when(is_one, pos) if tag is None else tag.when(is_one, pos)
-    for pos, endings in L.SURE_ENDINGS.items():
-        tag = tag.when(w.rlike(f"^.{{3,}}({'|'.join(endings.split())})$"), pos)
-    return tag
+    of = {e: pos for pos, endings in L.SURE_ENDINGS.items() for e in endings.split()}
+    ending = F.regexp_extract(w, f"^.{{3,}}({'|'.join(of)})$", 1)  # no ending ends another
+    return tag.otherwise(X.mapping(of, ending))
 
 
 def keys_of(word: Column) -> Column:
@@ -112,12 +111,19 @@ class Model:
 
 def train(tagged: DataFrame, most_keys: int = MOST_KEYS, least: int = LEAST) -> Model:
     """The model of rows (sentence, place, token, pos); rows without a pos are gaps over which no succession is counted."""
-    rows = durable(tagged.select("sentence", "place", F.lower("token").alias("token"), "pos"))
-    order = Window.partitionBy("sentence").orderBy("place")
-    first = F.row_number().over(order) == 1
-    pairs = rows.select("pos", F.when(first, START).otherwise(F.lag("pos").over(order)).alias("before")).where("pos is not null and before is not null")
-    steps = {(r["before"], r["pos"]): r["n"] for r in pairs.groupBy("before", "pos").agg(F.count("*").alias("n")).collect()}
-    counted = rows.where("pos is not null").groupBy("token", "pos").agg(F.count("*").alias("n"))
+    placed = F.array_sort(F.collect_list(F.struct("place", "token", "pos")))
+    sentences = tagged.groupBy("sentence").agg(placed.alias("x")).select(F.col("x.token").alias("tokens"), F.col("x.pos").alias("tags"))
+    return train_sentences(sentences, most_keys, least)
+
+
+def train_sentences(sentences: DataFrame, most_keys: int = MOST_KEYS, least: int = LEAST) -> Model:
+    """The model of sentences (tokens, tags), a tag or null for each token. Two passes, of which each task sends its sums only."""
+    before = F.concat(F.array(F.lit(START)), F.slice("tags", 1, F.greatest(F.size("tags") - 1, F.lit(0))))
+    pairs = sentences.where(F.size("tags") > 0).select(F.explode(F.arrays_zip(before.alias("before"), F.col("tags").alias("pos"))).alias("x")).select("x.before", "x.pos")
+    counted_pairs = pairs.where("pos is not null and before is not null").groupBy("before", "pos").agg(F.count("*").alias("n"))
+    steps = {(r["before"], r["pos"]): r["n"] for r in counted_pairs.collect()}  # tags x tags
+    words = sentences.select(F.explode(F.arrays_zip(F.col("tokens").alias("token"), F.col("tags").alias("pos"))).alias("x")).select(F.lower("x.token").alias("token"), "x.pos")
+    counted = words.where("pos is not null").groupBy("token", "pos").agg(F.count("*").alias("n"))
     by_key = counted.select(F.explode(keys_of(F.col("token"))).alias("key"), "pos", "n").groupBy("key", "pos").agg(F.sum("n").alias("n"))
     kept = by_key.groupBy("key").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("pos", "n"))).alias("counts"))
     keys = {r["key"]: r["counts"] for r in kept.where(F.col("all") >= least).orderBy(F.desc("all"), "key").limit(most_keys).collect()}
@@ -148,9 +154,8 @@ def tokens_by_sentence(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def seeded(sentences: DataFrame) -> DataFrame:
-    """Training rows from sentences (doc_id, sentence, tokens) by sure tags."""
-    rows = sentences.select(F.struct("doc_id", "sentence").alias("sentence"), F.posexplode("tokens").alias("place", "token"))
-    return rows.withColumn("pos", seed_tag("token"))
+    """sentences (tokens, ...) with the sure tags of their tokens."""
+    return sentences.withColumn("tags", F.transform("tokens", seed_tag))
 
 
 def word_tags(tagged: DataFrame) -> DataFrame:

@@ -87,7 +87,7 @@ VITERBI = rf"""WITH RECURSIVE sen AS (
 def tagged(spark: SparkSession, d: str) -> DataFrame:
     """(doc_id, sentence, tokens, tags) of all documents, by a model of their own sure words."""
     sentences = tagging.tokens_by_sentence(readers.table(spark, d, "documents"))
-    return tagging.tag(sentences, tagging.train(tagging.seeded(sentences)))
+    return tagging.tag(sentences, tagging.train_sentences(tagging.seeded(sentences)))
 
 
 @query(VITERBI + " SELECT doc_id, CAST(sentence AS INTEGER) AS sentence, array_to_string(ts, ' ') AS words, array_to_string(path, ' ') AS tags FROM tagged")
