@@ -9,9 +9,11 @@ larger tables meet the texts in a shuffle instead, by the hash of as many words
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Iterable, Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,20 +50,27 @@ class Automaton:
             key = tuple(self.number.setdefault(s, len(self.number) + 1) for s in symbols)
             at.setdefault(key, []).extend((phrase, kind) for kind in kinds)
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for key, named in at.items():
-            self.automaton.add_word(key, (len(key), named))
+        for group, key in enumerate(at):
+            self.automaton.add_word(key, group)
         if at:
             self.automaton.make_automaton()
         self.empty = not at
-
-    def find(self, symbols: list[str]) -> Iterator[tuple[str, str, int]]:
-        """(phrase, kind, place of its first symbol) of every occurrence."""
-        if self.empty or not symbols:
-            return
+        #: Of a group of phrases with the same symbols: how many symbols; the names from first[group] to first[group + 1].
+        self.size = np.array([len(key) for key in at], dtype=np.int64)
+        self.first = np.cumsum([0, *(len(named) for named in at.values())])
+        names = [x for named in at.values() for x in named]
+        self.phrase, self.kind = (pa.array([x[i] for x in names], pa.string()) for i in (0, 1))
+
+    def ends(self, symbols: Iterable[str]) -> list[tuple[int, int]]:
+        """(place of its last symbol, group) of every occurrence."""
         get = self.number.get
-        for end, (size, named) in self.automaton.iter(tuple(get(s, 0) for s in symbols)):
-            for phrase, kind in named:
-                yield phrase, kind, end - size + 1
+        return [] if self.empty else list(self.automaton.iter(tuple([get(s, 0) for s in symbols])))
+
+    def named(self, row: np.ndarray, end: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, pa.Array, pa.Array, np.ndarray]:
+        """(row, phrase, kind, place of its first symbol) of occurrences."""
+        n = self.first[group + 1] - self.first[group]
+        name = np.repeat(self.first[group] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.repeat(row, n), self.phrase.take(pa.array(name)), self.kind.take(pa.array(name)), np.repeat(end - self.size[group] + 1, n)
 
 
 _compiled: dict[int, Automaton] = {}
@@ -99,33 +108,33 @@ def find(docs: DataFrame, phrases: DataFrame, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     split = durable(split_phrases(phrases.where("phrase is not null"), by))
     size = split.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("symbols")), F.lit(0)).alias("symbols")).first()
-    cut = X.phrase_tokens("text") if by == "words" else None
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
     if size["n"] > most or size["symbols"] > MOST_SYMBOLS:
         return _joined(texts, split, by).withColumnRenamed("id", id_col)
     sent = _Sent(spark, [tuple(r) for r in split.select("phrase", "kinds", "symbols").toLocalIterator()])
-    kind = texts.schema["id"].dataType
-    given = texts.select("id", cut.alias("text")) if cut is not None else texts.select("id", F.lower("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_type
-
-        types = [to_arrow_type(kind), pa.string(), pa.string(), pa.int64()]
-        packed = lambda rows: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=["id", "phrase", "kind", "place"])
         automaton = _automaton(sent)
+        cut = re.compile(L.PHRASE_TOKEN_PATTERN).findall if by == "words" else iter
         for batch in batches:
-            rows = []
+            column, row, found = batch.column("text"), [], []
             for i in range(batch.num_rows):
-                key, text = batch.column("id")[i].as_py(), batch.column("text")[i].as_py()
-                for phrase, name, place in automaton.find(text):
-                    rows.append((key, phrase, name, place))
-                    if len(rows) >= MOST_ROWS:
-                        yield packed(rows)
-                        rows = []
-            if rows:
-                yield packed(rows)
-
-    return given.mapInArrow(run, f"id {kind.simpleString()}, {FOUND}").withColumnRenamed("id", id_col)
+                ends = automaton.ends(cut(column[i].as_py()))
+                found += ends
+                row += [i] * len(ends)
+                if found and (len(found) >= MOST_ROWS or i + 1 == batch.num_rows):
+                    yield packed(automaton, batch, row, found)
+                    row, found = [], []
+            if found:
+                yield packed(automaton, batch, row, found)
+
+    def packed(automaton: Automaton, batch: pa.RecordBatch, row: list[int], found: list[tuple[int, int]]) -> pa.RecordBatch:
+        hits = np.array(found, dtype=np.int64)
+        rows, phrase, kind, place = automaton.named(np.array(row), hits[:, 0], hits[:, 1])
+        return pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(rows)), phrase, kind, pa.array(place)], names=["id", "phrase", "kind", "place"])
+
+    lowered = texts.select("id", F.lower("text").alias("text"))
+    return lowered.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, {FOUND}").withColumnRenamed("id", id_col)
 
 
 def _joined(texts: DataFrame, split: DataFrame, by: str) -> DataFrame:
