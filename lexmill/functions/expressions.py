@@ -302,7 +302,9 @@ def review_step(ease, interval, reps, quality) -> Column:
     """State after a review of quality 0 to 5: (ease, interval, reps, status)."""
     q = F.least(F.lit(5), F.greatest(F.lit(0), col(quality)))
     good = q >= 3
-    grown = F.when(col(reps) == 0, L.FIRST_INTERVALS[0]).when(col(reps) == 1, L.FIRST_INTERVALS[1]).otherwise(F.greatest(F.lit(1), F.rint(col(interval) * col(ease)).cast("int")))
+    longer = col(interval) * col(ease)
+    longer = F.when(longer > L.LONGEST_INTERVAL, F.lit(float(L.LONGEST_INTERVAL))).otherwise(longer)
+    grown = F.when(col(reps) == 0, L.FIRST_INTERVALS[0]).when(col(reps) == 1, L.FIRST_INTERVALS[1]).otherwise(F.greatest(F.lit(1), F.rint(longer).cast("int")))
     new_ease = F.greatest(F.lit(L.LEAST_EASE), F.round(col(ease) + 0.1 - (5 - q) * (0.08 + (5 - q) * 0.02), 2))
     return F.struct(
         new_ease.alias("ease"),

@@ -214,6 +214,8 @@ ANY_SUBJECT = ["philosophy", "biology", "physics", "chemistry"]
 
 # The spaced-repetition schedule starts and bounds.
 START_EASE, LEAST_EASE, FIRST_INTERVALS = 2.5, 1.3, (1, 6)
+#: Days; the largest 32-bit number.
+LONGEST_INTERVAL = (1 << 31) - 1
 
 # Pronunciations (American, British) of common words without a dictionary.
 COMMON_IPA = {

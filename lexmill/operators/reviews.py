@@ -35,7 +35,7 @@ def review(states: DataFrame, word: str, quality: int, day: int) -> DataFrame:
     s = X.review_step("ease", "interval", "reps", F.lit(quality))
     mine = F.col("word") == word
     new = {c: F.when(mine, s[c]).otherwise(F.col(c)).alias(c) for c in ("ease", "interval", "reps")}
-    return states.select("word", *new.values(), F.when(mine, s["interval"] + day).otherwise(F.col("due")).alias("due"))
+    return states.select("word", *new.values(), F.when(mine, F.least(s["interval"].cast("long") + day, F.lit(L.LONGEST_INTERVAL)).cast("int")).otherwise(F.col("due")).alias("due"))
 
 
 def cycle(events: DataFrame, key: str, status: str, *order: str) -> DataFrame:

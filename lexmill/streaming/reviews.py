@@ -18,7 +18,7 @@ def step(ease: float, interval: int, reps: int, quality: int) -> tuple[float, in
     """One review, as review_step() of the batch expressions."""
     q = min(5, max(0, quality))
     if q >= 3:
-        interval, reps = L.FIRST_INTERVALS[reps] if reps < 2 else max(1, round(interval * ease)), reps + 1
+        interval, reps = L.FIRST_INTERVALS[reps] if reps < 2 else min(L.LONGEST_INTERVAL, max(1, round(interval * ease))), reps + 1
     else:
         interval, reps = 1, 0
     return max(L.LEAST_EASE, round(ease + 0.1 - (5 - q) * (0.08 + (5 - q) * 0.02), 2)), interval, reps
