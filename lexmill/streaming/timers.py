@@ -30,60 +30,84 @@ NEWS = "key string, kind string, at long, id long, ease double, interval int, re
 
 
 class Words(StatefulProcessor):
-    """News of a word: reviewed, due, repeated, late."""
+    """News of a word: reviewed, due, repeated, late.
+
+    A call reads and writes a word's lists once, however many reviews it has, and one timer stands for a word: at the
+    first time at which something of it is to be done.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("state", "ease double, interval int, reps int, at long, due long")
-        self.waiting = handle.getMapState("waiting", "at long, id long", "quality int")
-        self.applied = handle.getMapState("applied", "id long", "at long")
+        self.state = handle.getValueState("state", "ease double, interval int, reps int, at long, due long, timer long")
+        self.waiting = handle.getListState("waiting", "at long, id long, quality int")
+        self.applied = handle.getListState("applied", "id long, at long")
+
+    def read(self) -> tuple:
+        return self.state.get() if self.state.exists() else (L.START_EASE, 0, 0, None, None, None)
+
+    def write(self, ease: float, interval: int, reps: int, last: int | None, due: int | None, old: int | None, timer: int | None, fired: bool) -> None:
+        """The state with its timer set to `timer`; a timer that fired is gone by itself."""
+        if timer != old and old is not None and not fired:
+            self.handle.deleteTimer(old)
+        if timer is not None and (timer != old or fired):
+            self.handle.registerTimer(timer)
+        self.state.update((ease, interval, reps, last, due, timer))
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803 - Spark's names
-        last = self.state.get()[3] if self.state.exists() else None
+        ease, interval, reps, last, due, timer = self.read()
+        applied = {number for number, _ in self.applied.get()}
+        waiting = {(at, number) for at, number, _ in self.waiting.get()}
+        new = []
         for r in rows:
-            news = None
-            if self.applied.containsKey((r.id,)) or self.waiting.containsKey((r.ms, r.id)):
-                news = "repeated"
-            elif last is not None and r.ms < last:
-                news = "late"
+            at, number = r.ms, r.id
+            news = "repeated" if number in applied or (at, number) in waiting else "late" if last is not None and at < last else None
             if news:
-                yield Row(key=key[0], kind=news, at=r.ms, id=r.id, ease=None, interval=None, reps=None)
+                yield Row(key=key[0], kind=news, at=at, id=number, ease=None, interval=None, reps=None)
             else:
-                self.waiting.updateValue((r.ms, r.id), (r.quality,))
-                self.handle.registerTimer(r.ms)
+                waiting.add((at, number))
+                new.append((at, number, r.quality))
+        if new:
+            self.waiting.appendList(new)
+            first = min(new)[0]
+            self.write(ease, interval, reps, last, due, timer, first if timer is None else min(first, timer), False)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
         now = timerValues.getCurrentWatermarkInMs()
-        ease, interval, reps, last, due = self.state.get() if self.state.exists() else (L.START_EASE, 0, 0, None, None)
-        old = due
-        ready = sorted((k[0], k[1], v[0]) for k, v in self.waiting.iterator() if k[0] <= now)
-        for at, number, quality in ready:
+        ease, interval, reps, last, due, timer = self.read()
+        ready, rest = [], []
+        for x in self.waiting.get():
+            (ready if x[0] <= now else rest).append(tuple(x))
+        applied = [tuple(x) for x in self.applied.get()]
+        seen = len(applied)
+        for at, number, quality in sorted(ready):
             if due is not None and due <= at:
                 yield Row(key=key[0], kind="due", at=due, id=None, ease=ease, interval=interval, reps=reps)
             ease, interval, reps = step(ease, interval, reps, quality)
             last, due = at, at + interval * DAY
-            self.waiting.removeKey((at, number))
-            self.applied.updateValue((number,), (at,))
-            self.handle.registerTimer(at + KEEP_DAYS * DAY)
+            applied.append((number, at))
             yield Row(key=key[0], kind="reviewed", at=at, id=number, ease=ease, interval=interval, reps=reps)
         if due is not None and due <= now:
             yield Row(key=key[0], kind="due", at=due, id=None, ease=ease, interval=interval, reps=reps)
             due = None
-        if due != old:
-            if old is not None and old > now:
-                self.handle.deleteTimer(old)
-            if due is not None:
-                self.handle.registerTimer(due)
-        if last is not None:
-            self.state.update((ease, interval, reps, last, due))
-        for k, v in list(self.applied.iterator()):
-            if v[0] + KEEP_DAYS * DAY <= now:
-                self.applied.removeKey(k)
+        kept = [x for x in applied if x[1] + KEEP_DAYS * DAY > now]
+        if ready:
+            _put(self.waiting, rest)
+        if ready or len(kept) != seen:
+            _put(self.applied, kept)
+        times = [at for at, _, _ in rest] + [at + KEEP_DAYS * DAY for _, at in kept] + ([] if due is None else [due])
+        self.write(ease, interval, reps, last, due, timer, min(times, default=None), True)
 
     def close(self) -> None:
         pass
 
 
+def _put(held, rows: list[tuple]) -> None:
+    if rows:
+        held.put(rows)
+    else:
+        held.clear()
+
+
 def needs_timers(spark: SparkSession) -> None:
     """Timers and several states of a key need the RocksDB store."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)

@@ -96,3 +96,45 @@ def test_repeated_late_and_dropped_reviews(store, tmp_path):
 
 def test_an_empty_stream_has_no_news(store, tmp_path):
     assert run(store, tmp_path, [[], [(None, 1, 1, 1)]]) == []
+
+
+class Store:
+    """A stand-in for a word's states that counts the calls."""
+
+    def __init__(self):
+        self.calls, self.value, self.rows, self.timers = 0, None, [], []
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls += 1
+            return {
+                "exists": lambda: self.value is not None,
+                "get": lambda: self.value if self.value is not None else iter(self.rows),
+                "update": lambda x: setattr(self, "value", x),
+                "appendList": self.rows.extend,
+                "put": lambda x: setattr(self, "rows", list(x)),
+                "clear": lambda: setattr(self, "rows", []),
+                "registerTimer": self.timers.append,
+                "deleteTimer": self.timers.remove,
+                "getValueState": lambda *_: self.states[0],
+                "getListState": lambda *_: self.states[1 if self.calls < 3 else 2],
+                "getMapState": lambda *_: pytest.fail("a map state costs a call for each review"),
+            }[name](*args)
+
+        return call
+
+
+def test_calls_of_the_store_do_not_grow_with_a_words_reviews():
+    handle, states = Store(), [Store(), Store(), Store()]
+    handle.states = states
+    words = timers.Words()
+    words.init(handle)
+    Review = collections.namedtuple("Review", "ms id quality")
+    made = [Review(i * 1000, i, 5) for i in range(2000)]
+    assert list(words.handleInputRows(("a",), iter(made), None)) == []
+    assert handle.timers == [0]
+    now = type("T", (), {"getCurrentWatermarkInMs": lambda self: 10**9})()
+    news = list(words.handleExpiredTimer(("a",), now, None))
+    assert [r.id for r in news if r.kind == "reviewed"] == list(range(2000))
+    assert news[-1].interval == 2147483647
+    assert sum(s.calls for s in (handle, *states)) < 30
