@@ -5,6 +5,8 @@ substrings, over characters): the tokens of a text walk through it once, however
 phrases there are, and every phrase that ends at a token is given, also inside others.
 The automaton goes to the tasks up to MOST_PHRASES phrases and MOST_SYMBOLS of their words;
 larger tables meet the texts in a shuffle instead, by the hash of as many words as a phrase has.
+Where phrases of two words are many, as collocations are, these go to the tasks as sorted numbers
+instead, twelve bytes each: up to MOST_PAIRS pairs of MOST_WORDS words, in the same pass over the texts.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from collections.abc import Iterable, Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +28,10 @@ from lexmill.operators.ranking import durable
 
 #: Bounds of what is sent to every task; hits that a task holds at a time.
 MOST_PHRASES, MOST_SYMBOLS, MOST_ROWS = 500_000, 4_000_000, 50_000
+#: From how many on phrases of two words are sorted numbers; bounds of these.
+PAIRS_FROM, MOST_PAIRS, MOST_WORDS = 10_000, 30_000_000, 4_000_000
+#: Words of texts that a task looks up at a time.
+MOST_WORDS_HELD = 1_000_000
 FOUND = "phrase string, kind string, place long"
 
 
@@ -73,14 +80,66 @@ class Automaton:
         return np.repeat(row, n), self.phrase.take(pa.array(name)), self.kind.take(pa.array(name)), np.repeat(end - self.size[group] + 1, n)
 
 
-_compiled: dict[int, Automaton] = {}
+class Pairs:
+    """Phrases of two words: the numbers of both words in one, sorted, with the number of their list of kinds."""
+
+    def __init__(self, words: list[str], kinds: list[list[str]], keys: np.ndarray, listed: np.ndarray):
+        self.number = {w: i for i, w in enumerate(words, 1)}
+        self.words, self.keys, self.listed = pa.array(["", *words], pa.string()), keys, listed
+        self.size = np.array([len(k) for k in kinds], dtype=np.int64)
+        self.first = np.cumsum([0, *self.size])
+        self.kind = pa.array([k for ks in kinds for k in ks], pa.string())
+
+    def found(self, ids: pa.Array, row: np.ndarray, place: np.ndarray, word: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Every occurrence in the words (row, place, number) of texts that follow each other."""
+        key = word[:-1] << 32 | word[1:]
+        at = np.flatnonzero((row[:-1] == row[1:]) & (word[:-1] > 0) & (word[1:] > 0))
+        where = np.searchsorted(self.keys, key[at])
+        hit = self.keys[np.minimum(where, len(self.keys) - 1)] == key[at]
+        at, group = at[hit], self.listed[where[hit]]
+        for i in range(0, len(at), MOST_ROWS):
+            x, g = at[i : i + MOST_ROWS], group[i : i + MOST_ROWS]
+            n = self.size[g]
+            kind = np.repeat(self.first[g] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            phrase = pc.binary_join_element_wise(self.words.take(pa.array(word[x])), self.words.take(pa.array(word[x + 1])), " ")
+            x, of = np.repeat(x, n), np.repeat(np.arange(len(n)), n)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(row[x])), phrase.take(pa.array(of)), self.kind.take(pa.array(kind)), pa.array(place[x])], names=["id", "phrase", "kind", "place"])
+
+
+def _sent_pairs(split: DataFrame) -> tuple[DataFrame, _Sent | None]:
+    """The phrases that are left, and those of two words with a blank between them as sorted numbers; None where these are few or too many."""
+    spark = split.sparkSession
+    is_pair = (F.size("symbols") == 2) & (F.col("phrase") == F.concat_ws(" ", "symbols"))
+    two = split.where(is_pair)
+    words = two.select(F.explode("symbols").alias("w")).distinct()
+    if not PAIRS_FROM <= two.count() <= MOST_PAIRS or words.count() > MOST_WORDS:
+        return split, None
+    listed = [r[0] for r in two.select("kinds").distinct().orderBy("kinds").collect()]  # kinds are a handful
+    named = words.toArrow().column(0).to_pylist()
+    sent = _Sent(spark, named)
+    codes = [tuple(k) for k in listed]
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, code = {w: i for i, w in enumerate(sent.value, 1)}, {k: i for i, k in enumerate(codes)}
+        for batch in batches:
+            keys = [of[a] << 32 | of[b] for a, b in batch.column("symbols").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([code[tuple(k)] for k in batch.column("kinds").to_pylist()], pa.int32())], names=["key", "listed"])
+
+    table = two.select("symbols", "kinds").mapInArrow(numbered, "key long, listed int").toArrow()
+    keys, lists = (table.column(c).to_numpy() for c in ("key", "listed"))
+    order = np.argsort(keys)
+    return split.where(~is_pair), _Sent(spark, (named, listed, keys[order], lists[order]))
+
 
+_compiled: dict[int, Automaton | Pairs] = {}
 
-def _automaton(sent) -> Automaton:
-    """Compiled once in a worker; the last one is kept."""
+
+def _made(sent: _Sent, make):
+    """Compiled once in a worker; those of the last search are kept."""
     if sent.id not in _compiled:
-        _compiled.clear()
-        _compiled[sent.id] = Automaton(sent.value)
+        for old in [k for k in _compiled if k < sent.id - 16]:
+            del _compiled[old]
+        _compiled[sent.id] = make(sent.value)
     return _compiled[sent.id]
 
 
@@ -107,19 +166,33 @@ def find(docs: DataFrame, phrases: DataFrame, id_col: str = "doc_id", text_col:
     """
     spark = docs.sparkSession
     split = durable(split_phrases(phrases.where("phrase is not null"), by))
-    size = split.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("symbols")), F.lit(0)).alias("symbols")).first()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
-    if size["n"] > most or size["symbols"] > MOST_SYMBOLS:
-        return _joined(texts, split, by).withColumnRenamed("id", id_col)
-    sent = _Sent(spark, [tuple(r) for r in split.select("phrase", "kinds", "symbols").toLocalIterator()])
+    split, pairs = _sent_pairs(split) if by == "words" else (split, None)
+    size = split.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("symbols")), F.lit(0)).alias("symbols")).first()
+    joined = _joined(texts, split, by) if size["n"] > most or size["symbols"] > MOST_SYMBOLS else None
+    if joined is not None and pairs is None:
+        return joined.withColumnRenamed("id", id_col)
+    sent = _Sent(spark, [] if joined is not None else [tuple(r) for r in split.select("phrase", "kinds", "symbols").toLocalIterator()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = _automaton(sent)
+        automaton, two = _made(sent, Automaton), pairs and _made(pairs, lambda x: Pairs(*x))
         cut = re.compile(L.PHRASE_TOKEN_PATTERN).findall if by == "words" else iter
         for batch in batches:
-            column, row, found = batch.column("text"), [], []
+            column, row, found, numbers, sizes = batch.column("text"), [], [], [], []
+            held = 0
             for i in range(batch.num_rows):
-                ends = automaton.ends(cut(column[i].as_py()))
+                symbols = cut(column[i].as_py())
+                if two:
+                    get = two.number.get
+                    numbers.append(np.fromiter((get(w, 0) for w in symbols), np.int64, len(symbols)))
+                    sizes.append((i, len(symbols)))
+                    held += len(symbols)
+                    if held >= MOST_WORDS_HELD or i + 1 == batch.num_rows:
+                        n = np.array([n for _, n in sizes])
+                        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                        yield from two.found(batch.column("id"), np.repeat(np.array([r for r, _ in sizes]), n), place, np.concatenate(numbers))
+                        numbers, sizes, held = [], [], 0
+                ends = automaton.ends(symbols)
                 found += ends
                 row += [i] * len(ends)
                 if found and (len(found) >= MOST_ROWS or i + 1 == batch.num_rows):
@@ -134,7 +207,8 @@ def find(docs: DataFrame, phrases: DataFrame, id_col: str = "doc_id", text_col:
         return pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(rows)), phrase, kind, pa.array(place)], names=["id", "phrase", "kind", "place"])
 
     lowered = texts.select("id", F.lower("text").alias("text"))
-    return lowered.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, {FOUND}").withColumnRenamed("id", id_col)
+    out = lowered.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, {FOUND}")
+    return (out if joined is None else out.unionByName(joined)).withColumnRenamed("id", id_col)
 
 
 def _joined(texts: DataFrame, split: DataFrame, by: str) -> DataFrame:

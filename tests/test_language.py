@@ -133,3 +133,15 @@ def test_words_in_context(spark):
     assert found == {"we": ["collocation"], "break": ["collocation"], "down": ["collocation"], "here": ["collocation"], "spring": ["polysemy"], "late": ["collocation"]}
     listed = phrases.phenomena(phrases.find(docs, phrases.fixed_phrases(spark))).collect()
     assert sorted((r.doc_id, r.polysemy, r.collocations, r.slang) for r in listed) == [(1, ["spring"], ["break down"], []), (2, [], ["break down"], [])]
+
+
+def test_many_phrases_of_two_words_are_found_without_a_shuffle(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "The red Fox saw the red, red fox"), (2, "fox the"), (3, None), (4, ""), (5, "red"), (6, "fox's red fox")], "doc_id long, text string")
+    table = spark.createDataFrame([("red fox", "book"), ("red fox", "slang"), ("the red", "book"), ("fox  the", "odd"), ("red", "polysemy"), ("saw the red", "slang"), ("fox the", None), ("red red", "book")], "phrase string, kind string")
+    want = sorted(map(tuple, phrases.find(docs, table).collect()))
+    assert (1, "red fox", "slang", 6) in want and (2, "fox  the", "odd", 0) in want and (6, "red fox", "book", 1) in want
+    monkeypatch.setattr(phrases, "PAIRS_FROM", 1)
+    monkeypatch.setattr(phrases, "MOST_ROWS", 2)
+    for most in (phrases.MOST_PHRASES, 0):
+        assert sorted(map(tuple, phrases.find(docs, table, most=most).collect())) == want
+    assert "Exchange" not in phrases.find(docs, table.where("phrase in ('red fox', 'the red')"), most=0)._jdf.queryExecution().executedPlan().toString()
