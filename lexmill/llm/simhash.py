@@ -20,15 +20,17 @@ connected with, not all pairs, so dense groups give rows in proportion to their
 Components come from alternating large-star and small-star rounds over these
 links, in the cluster, each round written to the shared checkpoint folder.
 
-near_duplicate_texts() is the same idea by similarity of the texts, for which
-fingerprints alone are too coarse (texts whose 5-word shingles overlap by 0.8
-differ in about 10 of 64 bits). Pairs meet in bands of minimal shingle hashes
+near_duplicate_texts() goes on to the similarity of the texts. The fingerprints
+of their 5-word shingles are linked through the same keys and pivot tables, and
+the texts of a component of links are one group, which the shingle sets check.
+Fingerprints alone are too coarse for all pairs (texts whose shingles overlap by
+0.8 differ in about 10 of 64 bits), so bands of minimal shingle hashes add groups
 (12 bands of 4: a pair at 0.8 meets with probability 0.998, nearer pairs more
-surely). A member of a band is held against every earlier one that it isn't
-connected with yet, whatever the size of the band (its shingle sets lie in a
+surely). A member of a group is held against every earlier one that it isn't
+connected with yet, whatever the size of the group (its shingle sets lie in a
 temporary file beyond SPOOL bytes), so links are as complete as all pairs of the
-band. Fingerprints of the sets only say which partners to try first: no pair is
-discarded by its bits, the shingle sets decide. Exact copies are merged first.
+group. Within a group fingerprints only say which partners to try first: no pair
+is discarded by its bits, the shingle sets decide. Exact copies are merged first.
 
 Contract for odd rows: null and empty texts have the fingerprint 0, linked like
 any other; texts with fewer words than a shingle are one shingle, those of any
@@ -358,7 +360,7 @@ def copy_of(text_col: str):
     return F.coalesce(F.md5(F.col(text_col).cast("binary")), F.lit(""))
 
 
-def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", radius: int = 2) -> tuple[DataFrame, DataFrame]:
     """(id, copy, ..) of each row with an id; (copy, rep, node, root) of each text: its smallest id, its number and its component's smallest number.
 
     Numbers rise with (rep, copy), so the smallest one has the component's smallest id.
@@ -378,7 +380,10 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_c
     sketches = durable(texts.mapInArrow(sketch, f"id {kind}, copy string, fp long, bands array<long>"))
     least = sketches.groupBy("copy").agg(F.min("id").alias("rep"))
     copies = durable(least.repartitionByRange("rep", "copy").sortWithinPartitions("rep", "copy").withColumn("node", F.monotonically_increasing_id()))
-    reps = sketches.join(copies, "copy").where("id = rep").select("node", "fp", F.explode("bands").alias("band"))
+    texts_once = sketches.join(copies, "copy").where("id = rep and size(bands) > 0").select("node", "fp", "bands")
+    linked = components(links(durable(texts_once.select("fp").distinct()), radius)).select(F.col("node").alias("fp"), "root")
+    of_links = texts_once.select("node", "fp").join(linked, "fp", "left").select("node", "fp", F.xxhash64(F.lit("fingerprints"), F.coalesce("root", "fp")).alias("band"))
+    reps = texts_once.select("node", "fp", F.explode("bands").alias("band")).unionAll(of_links)
     crowded = durable(reps.groupBy("band").agg(F.countDistinct("node").alias("n")).where("n > 1").select("band"))
     members = durable(reps.join(crowded, "band").dropDuplicates(["band", "node"]))
     wanted = members.select("node").distinct().join(copies, "node").select("node", "copy", F.col("rep").alias("id"))

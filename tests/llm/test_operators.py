@@ -905,3 +905,14 @@ def test_registry_names():
 
     assert [int(re.match(r"op(\d+)_", n)[1]) for n in sorted(registry.QUERIES, key=lambda n: int(re.match(r"op(\d+)_", n)[1]))] == list(range(1, 14))
     assert json.dumps(sorted(registry.ORACLES))
+
+def test_near_duplicates_come_through_links_of_fingerprints(spark, monkeypatch):
+    rnd = np.random.default_rng(5)
+    words = [f"w{i}" for i in rnd.integers(10**6, size=4000)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:2000], "other", *words[2001:]])), (3, " ".join(f"v{i}" for i in range(3000))), (4, ""), (5, None)]
+    before = simhash.links
+    seen = []
+    monkeypatch.setattr(simhash, "links", lambda fps, radius: seen.append(radius) or before(fps, radius))
+    found = {r.doc_id: r.component_id for r in simhash.near_duplicate_texts(make(spark, rows)).collect()}
+    assert seen == [2]
+    assert found[2] == found[1] == 1 and found[3] == 3
