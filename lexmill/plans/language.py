@@ -87,7 +87,13 @@ VITERBI = rf"""WITH RECURSIVE sen AS (
 def tagged(spark: SparkSession, d: str) -> DataFrame:
     """(doc_id, sentence, tokens, tags) of all documents, by a model of their own sure words."""
     sentences = tagging.tokens_by_sentence(readers.table(spark, d, "documents"))
-    return tagging.tag(sentences, tagging.train_sentences(tagging.seeded(sentences)))
+    return tagging.tag(sentences, tagging.train_seeded(sentences))
+
+
+def own_tags(spark: SparkSession, d: str) -> DataFrame:
+    """(word, pos, n) of all words of the documents by the same model: words are counted with their tags where they are tagged."""
+    sentences = tagging.tokens_by_sentence(readers.table(spark, d, "documents"))
+    return tagging.best_tags(tagging.tag_counts(sentences, tagging.train_seeded(sentences)))
 
 
 @query(VITERBI + " SELECT doc_id, CAST(sentence AS INTEGER) AS sentence, array_to_string(ts, ' ') AS words, array_to_string(path, ' ') AS tags FROM tagged")
@@ -104,12 +110,12 @@ _WORD_TAGS = """wp AS (
 
 @query(f"{VITERBI}, {_WORD_TAGS} SELECT word, pos, n FROM wtag")
 def word_tags(spark, d):
-    return tagging.word_tags(tagged(spark, d))
+    return own_tags(spark, d)
 
 
 @query(f"{VITERBI}, {_WORD_TAGS} SELECT pos, count(*) AS n, CAST(round_even(count(*) * 100 / (SELECT count(*) FROM wtag), 0) AS INTEGER) AS pct FROM wtag GROUP BY pos")
 def pos_distribution(spark, d):
-    return reports.distribution(durable(tagging.word_tags(tagged(spark, d))), "pos")
+    return reports.distribution(durable(own_tags(spark, d)), "pos")
 
 
 @query(
@@ -127,7 +133,7 @@ FROM f""".replace("{{4,}}", "{4,}")
 def tagged_forms(spark, d):
     """Every word's form decision with the tags of word and lemma that the model gives."""
     w = catalog.words(spark, d)
-    tags = durable(tagging.word_tags(tagged(spark, d)).select("word", "pos"))
+    tags = durable(own_tags(spark, d).select("word", "pos"))
     rows = corpus.lemmas(w).join(w.select("word", "n"), "word").join(tags, "word").join(tags.select(F.col("word").alias("lemma"), F.col("pos").alias("lemma_pos")), "lemma", "left")
     rows = rows.withColumn("lemma_pos", F.coalesce("lemma_pos", "pos"))
     made = X.form_decision("word", "lemma", "pos", "lemma_pos", X.term_context(freq="n"))
@@ -156,7 +162,7 @@ _DECIDED = f"""k5 AS (SELECT word FROM w WHERE n >= 5), rec AS (
 @query(f"{VITERBI}, {_WORD_TAGS}, {LEMMA}, {_DECIDED} SELECT doc_id, pos, token, lemma, context, CAST((row_number() OVER (ORDER BY doc_id, pos) - 1) // 500 + 1 AS BIGINT) AS page_no FROM once")
 def clean_corpus(spark, d):
     """The English corpus: cut ends restored, lemmas, words of their own once, numbered pages."""
-    tags = durable(tagging.word_tags(tagged(spark, d)).select("word", "pos"))
+    tags = durable(own_tags(spark, d).select("word", "pos"))
     decisions = durable(corpus.word_decisions(catalog.words(spark, d), tags))
     return corpus.clean_corpus(readers.tokens(readers.english(spark, d)), decisions)
 
