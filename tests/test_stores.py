@@ -112,3 +112,30 @@ def test_a_budget_bounds_what_is_asked(spark, tmp_path):
         replies.ask_once(prompts, model_in(str(log)), store, most, pause=0.01)
         assert len(calls(log)) == done
     assert set(calls(log).values()) == {1}
+
+
+def test_files_grow_with_folders_and_not_with_prompts(spark, tmp_path):
+    import os
+
+    store = str(tmp_path / "store")
+    prompts = spark.range(600).select(F.concat(F.lit("p\n\u2028é"), F.col("id").cast("string")).alias("prompt"))
+    assert replies.ask_once(prompts, str.upper, store, pause=0.0).where("reply = upper(prompt)").count() == 600
+    files = [os.path.join(at, f) for at, _, fs in os.walk(store) for f in fs]
+    assert len([f for f in files if not os.path.basename(f).startswith(".")]) <= 256  # one of each task and folder
+    assert not [f for f in files if f.endswith(".part")]
+
+
+def test_a_torn_line_is_asked_again(spark, tmp_path):
+    import glob
+
+    store = str(tmp_path / "store")
+    prompts = spark.range(40).select(F.concat(F.lit("q"), F.col("id").cast("string")).alias("prompt"))
+    replies.ask_once(prompts, str.upper, store, pause=0.0)
+    torn = sorted(glob.glob(f"{store}/*/*.json"))[0]
+    whole = open(torn, "rb").read()
+    lost = whole.rstrip(b"\n").rfind(b"\n") + 1
+    open(torn, "wb").write(whole[: lost + 20])
+    log = tmp_path / "log"
+    log.mkdir()
+    assert sorted(r.reply for r in replies.ask_once(prompts, model_in(str(log)), store, pause=0.0).collect()) == sorted(f"Q{i}" for i in range(40))
+    assert list(calls(log).values()) == [1]
