@@ -14,10 +14,11 @@ from lexmill.functions import lexicon as L
 def placed_words(docs: DataFrame, n: int, text_col: str = "text") -> DataFrame:
     """(ws, i, w1): every word with its text's words; texts under n words are left out.
 
-    The words stay one array through the generator, so they are split once a text.
+    The words stay one array through the generator. Its outer form and a filter that needs i keep
+    filters above it: below, each of them would split the text once more. The last filter is that of joins, so all readers of one count share it.
     """
     ws = docs.select(X.phrase_tokens(text_col).alias("ws"))
-    return ws.select("ws", F.posexplode("ws").alias("i", "w1")).where(F.size("ws") >= n)
+    return ws.select("ws", F.posexplode_outer("ws").alias("i", "w1")).where(F.greatest(F.col("i") + 1, F.size("ws")) >= n).where("w1 is not null")
 
 
 def ngram_counts(docs: DataFrame, n: int, text_col: str = "text", least: int | None = None) -> DataFrame:

@@ -34,7 +34,8 @@ def corpus_stats(words: DataFrame, sentences: DataFrame) -> DataFrame:
 def sentences(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(doc_id, sentence, size) of sentences with words."""
     s = docs.select("doc_id", F.explode(F.split(F.coalesce(text_col, F.lit("")), r"[.!?]+\s*|\n")).alias("sentence"))
-    return s.withColumn("size", F.size(X.corpus_tokens("sentence"))).where("size > 0")
+    # A filter by size would be moved below it and cut every sentence twice.
+    return s.where(F.col("sentence").rlike(L.TOKEN_PATTERN)).withColumn("size", F.size(X.corpus_tokens("sentence")))
 
 
 def frequency_bands(words: DataFrame) -> DataFrame:
