@@ -52,6 +52,21 @@ def counted_words(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy(F.lower("token").alias("word")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
 
 
+def document_sizes(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_tokens, n_types) of documents with tokens.
+
+    A row is counted where it is read and sends three numbers; only the rows of ids
+    that occur more than once send their distinct words too.
+    """
+    ws = docs.select("doc_id", X.corpus_tokens("text").alias("ws"))
+    sizes = ws.select("doc_id", F.size("ws").alias("n"), F.size(F.array_distinct(F.transform("ws", F.lower))).alias("types"))
+    counted = durable(sizes.groupBy("doc_id").agg(F.sum("n").alias("n_tokens"), F.max("types").cast("long").alias("n_types"), F.count("*").alias("rows")).where("n_tokens > 0"))
+    several = counted.where("rows > 1").select(F.col("doc_id").alias("id"), "n_tokens")
+    words = docs.join(several, F.col("doc_id").eqNullSafe(F.col("id"))).select("id", "n_tokens", F.explode(F.array_distinct(F.transform(X.corpus_tokens("text"), F.lower))).alias("word"))
+    joined = words.groupBy("id", "n_tokens").agg(F.countDistinct("word").alias("n_types"))
+    return counted.where("rows = 1").select("doc_id", "n_tokens", "n_types").unionAll(joined.select(F.col("id").alias("doc_id"), "n_tokens", "n_types"))
+
+
 def ranked_words(words: DataFrame) -> DataFrame:
     """words (word, n, ...) with zipf, the frequency per billion words on a log scale, a band of 1 to 10 from it, and a rank that is smaller for more common words."""
     total = words.agg(F.sum("n").alias("total"))

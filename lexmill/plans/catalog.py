@@ -85,7 +85,7 @@ def tokens_top50(spark, d):
 
 @query(f"WITH {TOK} SELECT doc_id, count(*) AS n_tokens, count(DISTINCT lower(token)) AS n_types FROM tok GROUP BY doc_id")
 def token_counts_by_doc(spark, d):
-    return readers.tokens(readers.english(spark, d)).groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.countDistinct(F.lower("token")).alias("n_types"))
+    return corpus.document_sizes(readers.english(spark, d))
 
 
 @query(f"WITH {WORDS} SELECT word, n, zipf, rank, band, level FROM w")

@@ -1,6 +1,6 @@
 """Texts are cut into words once a scan, and one count serves all its readers."""
 
-from lexmill.operators import ngrams, reports
+from lexmill.operators import corpus, ngrams, reports
 
 
 def cuts(df):
@@ -29,3 +29,11 @@ def test_one_count_of_words_serves_a_collocation(spark):
     plan = ngrams.collocations(docs, 2, 2)._jdf.queryExecution().optimizedPlan().toString()
     scans = [x for x in plan.split("\n") if "w1" in x and "Filter" in x and "greatest" in x]
     assert len(scans) == 4 and sum("isnotnull(w1" in x for x in scans) == 4
+
+
+def test_documents_are_counted_where_they_are_read(spark):
+    rows = [(1, "A a b"), (2, None), (3, "..."), (4, "x Y y"), (4, "y z"), (None, "q"), (None, "Q r"), (5, ""), (5, "one")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, r.n_tokens, r.n_types) for r in corpus.document_sizes(docs).collect()} == {(1, 3, 2), (4, 5, 3), (None, 3, 2), (5, 1, 1)}
+    unique = corpus.document_sizes(docs.where("doc_id = 1"))
+    assert [(r.n_tokens, r.n_types) for r in unique.collect()] == [(3, 2)]
