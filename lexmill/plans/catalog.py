@@ -490,8 +490,8 @@ def phenomena(spark, d):
 # ---- dictionaries (made from the corpus, as no dictionary files ship with the tables)
 
 
-def dictionaries(spark, d):
-    w = words(spark, d)
+def dictionaries(spark, d, w=None):
+    w = words(spark, d) if w is None else w
     pick = lambda k: w.where(F.length("word") % 3 != k)
     return {
         "cmu": pick(0).select("word", F.array(F.lit("HH"), F.lit("AH0"), F.lit("L"), F.lit("OW1")).alias("phones")),
@@ -847,7 +847,7 @@ def enriched(spark, d):
     """Entries of all selected words, every field that can be had offline."""
     docs, w = readers.english(spark, d), words(spark, d)
     kept = durable(levels.quantile_filter(w, 0.75, important(spark, d)).select("word").join(w, "word"))
-    t = dictionaries(spark, d)
+    t = dictionaries(spark, d, w)
     found = levels.look_up(kept.select("word"), t["cmu"], t["cefr"], t["oxford"], t["bilingual"], t["wiktionary"])
     phrases = ngrams.phrases_of(ngrams.collocations(docs, 2, 3), kept)
     entries = enrich.enrich(kept, found, enrich.contexts(kept, enrich.numbered_sentences(docs)), phrases)
