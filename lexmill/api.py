@@ -83,10 +83,11 @@ def register_generator(name: str):
 
 def clean_words(docs: DataFrame) -> DataFrame:
     """(word, n, zipf, rank, band, level) of the clean lemmas of documents (doc_id, text)."""
-    tokens = readers.tokens(docs.withColumn("text", corpus.repair("text")))
-    table = durable(corpus.word_table(tokens))
-    clean = corpus.clean_tokens(tokens, durable(corpus.lemmas(table))).select(F.col("lemma").alias("token"))
-    return durable(corpus.word_table(clean).withColumn("level", X.level_of_zipf("zipf")))
+    table = durable(corpus.word_table(readers.tokens(docs.withColumn("text", corpus.repair("text")))))
+    # The texts are read once: a lemma's count is the sum of its words'.
+    clean = table.select("word", "n").join(corpus.clean_lemmas(corpus.lemmas(table)), "word")
+    counts = durable(clean.groupBy(F.lower("lemma").alias("word")).agg(F.sum("n").alias("n")))
+    return durable(corpus.ranked_words(counts).withColumn("level", X.level_of_zipf("zipf")))
 
 
 def difficult_words(docs: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from functools import reduce
+from functools import cache, reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -40,11 +40,26 @@ def repeat_key(line) -> Column:
 
 
 @F.pandas_udf(StringType())
-def composed(text: pd.Series) -> pd.Series:
-    """Unicode's composed form (NFC), which no built-in function gives."""
+def in_composed_form(text: pd.Series) -> pd.Series:
     return text.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))
 
 
+@cache
+def uncomposed_pattern() -> str:
+    """A class of the characters that the composed form changes, joins to the one before or puts in order; texts without them are in that form."""
+    joined = {c for i in range(0xC0, 0x110000) for c in unicodedata.normalize("NFD", chr(i))[1:]}
+    found = [i for i in range(0xC0, 0x110000) if chr(i) in joined or unicodedata.combining(chr(i)) or unicodedata.normalize("NFC", chr(i)) != chr(i)]
+    starts = [i for k, i in enumerate(found) if not k or found[k - 1] != i - 1]
+    ends = [i for k, i in enumerate(found) if k + 1 == len(found) or found[k + 1] != i + 1]
+    ranges = "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in zip(starts, ends, strict=True))
+    return f"[\\x{{{found[0]:x}}}-\\x{{10ffff}}&&[{ranges}]]"  # one comparison for characters below all of them
+
+
+def composed(text) -> Column:
+    """Unicode's composed form (NFC), which no built-in function gives; only texts that may not be in it are sent to Python."""
+    return F.coalesce(in_composed_form(F.when(col(text).rlike(uncomposed_pattern()), col(text))), col(text))
+
+
 def joined_hyphens(text) -> Column:
     return F.replace(col(text), F.lit("-\n"), F.lit(""))
 
