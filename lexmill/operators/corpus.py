@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import expressions as X
 from lexmill.functions import lexicon as L
-from lexmill.operators.ranking import durable, numbered
+from lexmill.operators.ranking import durable, numbered, running
 from lexmill.sources import readers
 
 
@@ -133,6 +136,64 @@ def clean_tokens(tokens: DataFrame, lemma_of: DataFrame) -> DataFrame:
     return words.join(wanted, "word").select("doc_id", "pos", "token", "lemma")
 
 
+def clean_places(docs: DataFrame, lemma_of: DataFrame) -> DataFrame:
+    """(doc_id, places): of each row of docs the places of the tokens of clean_tokens(), in order; rows without any are left out.
+
+    The words that are left out are few (stop words, noise, forms of both) and go to every task; no token goes through an
+    exchange. A row's tokens come one after the other, so a task puts them together again as they pass.
+    """
+    out = lemma_of.select("word").join(clean_lemmas(lemma_of).select("word"), "word", "left_anti")
+    own = docs.schema["doc_id"].dataType
+    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("at"))
+    tokens = rows.select("doc_id", "at", F.posexplode_outer(X.corpus_tokens("text")).alias("pos", "token")).withColumn("word", F.lower("token"))
+    kept = tokens.join(F.broadcast(out), "word", "left_anti").where("pos is not null").select("doc_id", "at", "pos")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None  # the row at the end of a batch may go on in the next one
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at, pos, ids = batch.column("at").to_numpy(), batch.column("pos").to_numpy(), batch.column("doc_id")
+            if last is not None:
+                at, pos, ids = np.concatenate([last[0], at]), np.concatenate([last[1], pos]), pa.concat_arrays([last[2], ids])
+            starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+            end = int(starts[-1])
+            last = at[end:], pos[end:], ids.slice(end)
+            if end:
+                yield grouped(ids, pos[:end], starts[:-1])
+        if last is not None:
+            yield grouped(last[2], last[1], np.zeros(1, np.int64))
+
+    return kept.mapInArrow(run, f"doc_id {own.simpleString()}, places array<int>")
+
+
+def grouped(ids: pa.Array, pos: np.ndarray, starts: np.ndarray) -> pa.RecordBatch:
+    ends = np.append(starts, len(pos)).astype(np.int32)
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(starts)), pa.ListArray.from_arrays(pa.array(ends), pa.array(pos.astype(np.int32)))], names=["doc_id", "places"])
+
+
+def paged_places(places: DataFrame, size: int = 500) -> DataFrame:
+    """(doc_id, pos, page_no) of (doc_id, places): all places in the order of doc_id and pos, `size` to a page; rows without an id come last.
+
+    Only one row for each id is put in order: its places start where those of the ids before it end.
+    The places of an id that has several rows are numbered one by one.
+    """
+    places = durable(places)
+    own = F.size("places").cast("long")
+    counts = running(places.groupBy("doc_id").agg(F.sum(own).alias("n"), F.count("*").alias("rows")), F.asc_nulls_last("doc_id"), value="n", name="before").select(F.col("doc_id").alias("__i"), "rows", "before")
+    counts = durable(counts)
+    met = F.col("doc_id").eqNullSafe(F.col("__i"))
+    page = lambda n: (F.floor(n / size) + 1).alias("page_no")
+    once = places.join(counts.where("rows = 1"), met).select("doc_id", "before", F.posexplode("places").alias("k", "pos")).select("doc_id", "pos", page(F.col("before") + F.col("k")))
+    several = counts.where("rows > 1")
+    if several.isEmpty():
+        return once
+    mixed = places.join(several, met).select("doc_id", "before", F.explode("places").alias("pos"))
+    numbers = durable(numbered(mixed, F.asc_nulls_last("doc_id"), "pos"))
+    first = numbers.groupBy("doc_id").agg(F.min("n").alias("first")).withColumnRenamed("doc_id", "__i")
+    return once.unionAll(numbers.join(first, met).select("doc_id", "pos", page(F.col("before") + F.col("n") - F.col("first"))))
+
+
 def word_decisions(words: DataFrame, tags: DataFrame | None = None, least: int = 5) -> DataFrame:
     """(word, surface, lemma, independent, reason) of every word (word, n, rank) that belongs to the clean corpus.
 

@@ -37,3 +37,13 @@ def numbered(df: DataFrame, *order: Column | str, name: str = "n") -> DataFrame:
     counts = sorted_.groupBy(part.alias("__p")).agg(F.count("*").alias("__c")).select("__p", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__s"))
     low = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
     return sorted_.withColumn("__p", part).join(F.broadcast(counts), "__p").withColumn(name, low + F.col("__s") + 1).drop("__p", "__s", "__at")
+
+
+def running(df: DataFrame, *order: Column | str, value: str, name: str) -> DataFrame:
+    """df with the sum of `value` over all rows before each in the given total order; distributed as numbered() is."""
+    sorted_ = durable(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()))
+    earlier = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sorted_.groupBy("__p").agg(F.sum(value).alias("__c")).select("__p", F.coalesce(F.sum("__c").over(earlier), F.lit(0)).alias("__s"))
+    own = Window.partitionBy("__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    within = sorted_.withColumn("__b", F.coalesce(F.sum(value).over(own), F.lit(0)))
+    return within.join(F.broadcast(sums), "__p").withColumn(name, F.col("__b") + F.col("__s")).drop("__p", "__b", "__s")

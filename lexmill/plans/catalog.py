@@ -153,9 +153,7 @@ def first_occurrences(spark, d):
 
 @query(f"WITH {CLEAN} SELECT doc_id, pos, CAST((row_number() OVER (ORDER BY doc_id, pos) - 1) // 500 + 1 AS BIGINT) AS page_no FROM ct")
 def synthetic_pages(spark, d):
-    from lexmill.operators.ranking import numbered
-
-    return numbered(clean_tokens(spark, d).select("doc_id", "pos"), "doc_id", "pos").select("doc_id", "pos", (F.floor((F.col("n") - 1) / 500) + 1).alias("page_no"))
+    return corpus.paged_places(corpus.clean_places(readers.english(spark, d), durable(corpus.lemmas(words(spark, d)))))
 
 
 @query(
