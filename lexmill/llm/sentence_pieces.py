@@ -11,12 +11,16 @@ No merge can reach over two adjacent characters that stand together in no
 piece. So texts part, by classes of characters that the vocabulary links, and
 before blanks where no piece has one behind another character (there whole
 words are looked up first); the agenda of
-each part is independent of the others. Results of short parts are kept, so a
-frequent word is merged once in a worker. Longer parts go through the agenda
-each time, in n log n steps.
+each part is independent of the others. Results of short parts are kept until
+they are not met for as many new ones as a table holds, so a frequent word is
+merged once in a worker. Longer parts go through the agenda each time, in
+n log n steps.
 
-Every text of every Arrow batch is encoded and decoded by the library too, which
-says in `agrees` whether ids and text are the same.
+Texts of a batch are decoded together: one take of the bytes of all their ids.
+The library says in `agrees` whether ids and text are the same. It decodes the
+ids of every text. As no piece has a blank behind another character, it encodes
+words with the blanks before them, each once when a worker makes it; from the
+first word on that differs it encodes every text whole.
 
 Contract for odd rows: null text counts as empty; an empty text has no ids but
 begin and end, and decodes to an empty one; texts and parts of any length are encoded
@@ -34,6 +38,7 @@ from collections.abc import Callable, Iterator
 from functools import cache
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -43,13 +48,31 @@ from pyspark.sql.pandas.types import to_arrow_type
 from lexmill.llm.common import blocks_of, table
 
 BLANK = "▁"
-#: Of a worker: parts and words whose ids are kept, and the characters of the longest of these. Texts (rows, characters) that are worked at a time.
+#: Of a worker: parts or words whose ids a table keeps (and as many older ones beside), and the characters of the longest of these. Texts (rows, characters) that are worked at a time.
 MOST_PARTS, LONGEST_PART = 500_000, 48
 ROWS, CHARS = 2048, 2_000_000
 
 codecs.register_error("lexmill.each_byte", lambda e: ("�" * (e.end - e.start), e.end))
 
 
+class Kept(dict[str, bytes]):
+    """Packed ids of parts, made where missing; a full table stays as the older one, from which parts that are met again come back."""
+
+    def __init__(self, made: Callable[[str], bytes]):
+        super().__init__()
+        self.made = made
+        self.older: dict[str, bytes] = {}
+
+    def __missing__(self, part: str) -> bytes:
+        found = self.older.get(part) or self.made(part)
+        if len(part) <= LONGEST_PART:
+            if len(self) >= MOST_PARTS:
+                self.older = self.copy()
+                self.clear()
+            self[part] = found
+        return found
+
+
 class PieceEncoder:
     """Encodes and decodes as the merge-type vocabulary at `path` says."""
 
@@ -74,12 +97,19 @@ class PieceEncoder:
         #: What each id adds to a text; nothing for control ids.
         self.surface = [b"" if library.is_control(i) else bytes([int(names[i][3:5], 16)]) if library.is_byte(i) else names[i].replace(BLANK, " ").encode() for i in every]
         self.surface[self.unknown] = library.decode([self.unknown]).encode()
+        #: The same for many ids at once: their bytes, which are control ids, and behind which a text begins with no blank of the encoder's.
+        self.surfaces = pa.array(self.surface, pa.large_binary())
+        self.is_control = np.isin(np.array(every), list(self.control))
+        self.is_bare = np.isin(np.array(every), [self.unknown, *self.byte_ids])
         self.prefixed = library.normalize("a").startswith(BLANK)
         self.plain = library.normalize("a  b\tＡ ﬁ ") == self.prefixed * BLANK + f"a{BLANK * 2}b\tＡ{BLANK}ﬁ{BLANK}"
         self.parts = self.divided()
-        #: Packed ids of parts, and of words with the blank before them.
-        self.kept: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        #: Packed ids of parts that begin with no blank, and of parts and whole words with the blank before them, by what follows it.
+        self.kept = Kept(self.merged)
+        self.words = Kept(self.after_blank)
+        #: Those among the latter that the library has not encoded yet, and whether it gave the same ids for all others.
+        self.new: dict[str, bytes] = {}
+        self.same = True
 
     def divided(self) -> Callable[[str], list[str]]:
         """Cuts a text into parts between which nothing merges.
@@ -88,10 +118,11 @@ class PieceEncoder:
         those that such neighbours link. A part is blanks and then characters of
         one class; a character that stands beside none is a part by itself.
         """
+        self.class_of: dict[str, set[str]] = {}
         self.by_word = not any(BLANK in name.lstrip(BLANK) for name in self.ids)
         if not self.by_word:
             return lambda text: [text] if text else []
-        class_of: dict[str, set[str]] = {}
+        class_of = self.class_of
         for name in self.ids:
             for x, y in zip(name, name[1:], strict=False):
                 if x != BLANK:
@@ -186,41 +217,62 @@ class PieceEncoder:
                 out.append(self.unknown)
         return out
 
-    def packed(self, text: str) -> bytes:
-        """Ids of a normalised text, part by part."""
-        kept, out = self.kept, []
-        for part in self.parts(text):
-            found = kept.get(part)
-            if found is None:
-                found = array("I", self.merge(part)).tobytes()
-                self.keep(kept, part, found)
-            out.append(found)
-        return b"".join(out)
-
-    def keep(self, kept: dict[str, bytes], part: str, found: bytes) -> None:
-        """Keep the ids of a short part; a full table is emptied."""
-        if len(part) <= LONGEST_PART:
-            if len(kept) >= MOST_PARTS:
-                kept.clear()
-            kept[part] = found
+    def merged(self, part: str) -> bytes:
+        return array("I", self.merge(part)).tobytes()
+
+    def after_blank(self, word: str) -> bytes:
+        """Ids of a blank and the word behind it."""
+        text = BLANK + word
+        parts = [text] if self.class_of.get(word[:1], frozenset()).issuperset(word) else self.parts(text)
+        found = self.packed(parts) if len(parts) > 1 else self.merged(text)
+        if word:
+            self.new[word] = found
+            if len(self.new) >= ROWS:
+                self.compare()
+        return found
+
+    def compare(self) -> bool:
+        """Whether the library encodes all words so far as they were made."""
+        expected = self.library.encode([w if self.prefixed else " " + w for w in self.new], num_threads=1)
+        self.same = self.same and all(array("I", x).tobytes() == found for x, found in zip(expected, self.new.values(), strict=True))
+        self.new.clear()
+        return self.same
+
+    def packed(self, parts: list[str]) -> bytes:
+        """Ids of the parts of a normalised text."""
+        kept, words = self.kept, self.words
+        return b"".join([words[part[1:]] if part[0] == BLANK else kept[part] for part in parts])
+
+    def words_of(self, text: str | None) -> list[str] | None:
+        """What follows the first blank of each run of blanks, the last word with the blanks behind it; None where the text can't be cut so."""
+        first, *words = self.normalised(text or "").split(BLANK)
+        if first or not words or not self.by_word:
+            return None
+        if "" not in words:
+            return words
+        out, gap = [], 0
+        for word in words:
+            if word:
+                out.append(BLANK * gap + word)
+                gap = 0
+            else:
+                gap += 1
+        if gap and out:
+            out[-1] += BLANK * gap
+        return out or ([BLANK * (gap - 1)] if gap > 1 else None)
 
     def encode(self, text: str | None) -> bytes:
         """Ids with begin and end, as little-endian unsigned 32-bit integers."""
-        text = self.normalised(text or "")
-        words = text.split(BLANK)
-        if self.by_word and text and not words[0] and "" not in words[1:]:
-            # Every blank stands alone before a word.
-            del words[0]
-            get = self.words.get
-            out = list(map(get, words))
-            if None in out:
-                for i, x in enumerate(out):
-                    if x is None:
-                        out[i] = self.packed(BLANK + words[i])
-                        self.keep(self.words, words[i], out[i])
-            body = b"".join(out)
-        else:
-            body = self.packed(text)
+        words = self.words_of(text)
+        return self.encode_whole(text) if words is None else self.encode_words(words)
+
+    def encode_words(self, words: list[str]) -> bytes:
+        return self.framed(b"".join(map(self.words.__getitem__, words)))
+
+    def encode_whole(self, text: str | None) -> bytes:
+        return self.framed(self.packed(self.parts(self.normalised(text or ""))))
+
+    def framed(self, body: bytes) -> bytes:
         return b"".join((self.begin.to_bytes(4, "little"), body, self.end.to_bytes(4, "little")))
 
     def decode(self, ids: list[int]) -> str:
@@ -241,6 +293,23 @@ class PieceEncoder:
         return out[1:] if self.prefixed and first != self.unknown and first not in self.byte_ids and out.startswith(" ") else out
 
 
+    def decode_packed(self, texts: list[bytes]) -> list[str]:
+        """The texts of ids as encode() gives them."""
+        if not texts:
+            return []
+        ids = np.frombuffer(b"".join(texts), "<u4")
+        ends = np.cumsum([len(x) // 4 for x in texts])
+        starts = np.concatenate(([0], ends[:-1]))
+        if np.count_nonzero(self.is_control[ids]) > 2 * len(texts):
+            # Control ids beside begin and end.
+            return [self.decode(memoryview(x).cast("I").tolist()) for x in texts]
+        _, offsets, data = self.surfaces.take(pa.array(ids)).buffers()
+        offsets, data = np.frombuffer(offsets, np.int64), memoryview(data or b"")
+        blank = (~self.is_bare[ids[starts + 1]]).tolist() if self.prefixed else [False] * len(texts)
+        shown = [str(data[a:b], "utf-8", "lexmill.each_byte") for a, b in zip(offsets[starts].tolist(), offsets[ends].tolist(), strict=True)]
+        return [out[1:] if strip and out.startswith(" ") else out for out, strip in zip(shown, blank, strict=True)]
+
+
 @cache
 def encoder(path: str) -> PieceEncoder:
     """One for each worker process and model."""
@@ -250,14 +319,15 @@ def encoder(path: str) -> PieceEncoder:
 def encode_texts(texts: list[str | None], path: str) -> list[tuple[bytes, str, bool]]:
     """(ids, decoded text, whether the library says the same of both) of each text."""
     tool = encoder(path)
-    out = []
-    library = tool.library.encode([t or "" for t in texts], add_bos=True, add_eos=True, num_threads=1)
-    for text, expected, shown in zip(texts, library, tool.library.decode(library, num_threads=1), strict=True):
-        ids = tool.encode(text)
-        listed = memoryview(ids).cast("I").tolist()
-        decoded = tool.decode(listed)
-        out.append((ids, decoded, listed == expected and decoded == shown))
-    return out
+    words = [tool.words_of(t) for t in texts]
+    packed = [tool.encode_whole(t) if w is None else tool.encode_words(w) for t, w in zip(texts, words, strict=True)]
+    decoded = tool.decode_packed(packed)
+    shown = tool.library.decode([memoryview(x).cast("I").tolist() for x in packed], num_threads=1)
+    same = tool.compare()
+    whole = [i for i, w in enumerate(words) if w is None or not same]
+    expected = tool.library.encode([texts[i] or "" for i in whole], add_bos=True, add_eos=True, num_threads=1)
+    differ = {i for i, x in zip(whole, expected, strict=True) if array("I", x).tobytes() != packed[i]}
+    return [(ids, text, text == said and i not in differ) for i, (ids, text, said) in enumerate(zip(packed, decoded, shown, strict=True))]
 
 
 def encode_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:

@@ -175,6 +175,59 @@ def test_kept_parts_stay_bounded(monkeypatch, tool):
         assert len(own.kept) <= 3 and len(own.words) <= 3
 
 
+def test_words_met_again_are_not_merged_again_when_a_table_was_full(monkeypatch):
+    monkeypatch.setattr(sentence_pieces, "MOST_PARTS", 3)
+    own = sentence_pieces.PieceEncoder(PATH)
+    merged, merge = [], own.merge
+    monkeypatch.setattr(own, "merge", lambda part: merged.append(part) or merge(part))
+    for i in "abcdefghijklmnop":
+        own.encode(f"often x{i}")
+    assert merged.count("▁often") == 1
+
+
+class Counted:
+    """The library, with the texts that it was given to encode."""
+
+    def __init__(self, library):
+        self.library, self.seen = library, []
+
+    def __getattr__(self, name):
+        return getattr(self.library, name)
+
+    def encode(self, texts, **options):
+        self.seen += texts
+        return self.library.encode(texts, **options)
+
+
+def test_the_library_encodes_a_word_once_with_the_blanks_before_it(monkeypatch):
+    own = sentence_pieces.PieceEncoder(PATH)
+    own.library = Counted(own.library)
+    monkeypatch.setattr(sentence_pieces, "encoder", lambda path: own)
+    assert all(x[2] for x in sentence_pieces.encode_texts(["the cat.\nAnd", "cat.\nAnd the"] * 50, PATH) + sentence_pieces.encode_texts(["the the", "two  blanks", "  blanks ", "   ", "", None], PATH))
+    assert sorted(x for x in own.library.seen if x in ("the", "cat.\nAnd")) == ["cat.\nAnd", "the"]
+    assert sorted(x for x in own.library.seen if "lanks" in x) == ["▁blanks", "▁▁blanks", "▁▁blanks▁"]
+    assert not any(" " in x for x in own.library.seen)
+
+
+def test_words_of_a_text_are_all_of_it(tool):
+    for text in ["a b", " a", "  a  b ", "a   ", " ", "    ", "▁", "a▁b ▁", "\n x\n"]:
+        words = tool.words_of(text)
+        assert "▁" + "▁".join(words) == tool.normalised(text)
+        assert all(w.strip("▁") for w in words) or len(words) == 1
+    assert tool.words_of("") is None and tool.words_of(None) is None
+
+
+def test_a_word_that_the_library_encodes_otherwise_is_told_of_every_text_with_it(monkeypatch):
+    own = sentence_pieces.PieceEncoder(PATH)
+    merge = own.merge
+    monkeypatch.setattr(own, "merge", lambda part: [own.ids[c] for c in part] if part == "▁wrong" else merge(part))
+    monkeypatch.setattr(sentence_pieces, "encoder", lambda path: own)
+    texts = ["a right word", "a wrong word", "wrong  blanks", "right  blanks"]
+    for _ in range(2):  # the second time all words are kept
+        assert [x[2] for x in sentence_pieces.encode_texts(texts, PATH)] == [True, False, False, True]
+    assert [x[2] for x in sentence_pieces.encode_texts(["wrong", "right"], PATH)] == [False, True]
+
+
 def test_pieces_of_a_table(spark):
     rows = [(1, "the cat"), (1, "the cat"), (None, "Été"), (2, None), (3, "")]
     docs = spark.createDataFrame([(i, t, "x", 5) for i, t in rows], "doc_id long, text string, ids string, id int")
